@@ -266,3 +266,116 @@ SELECT split, count(*) AS n_lines,
 FROM (SELECT split, list_filter(regexp_split_to_array(text, '{WS}+'), lambda x: x <> '') AS t
       FROM wcorpus)
 GROUP BY split"""
+
+
+# ------------------------------------------------------------------ T5-T20
+def _line_sql(expr: str) -> str:
+    return _with(LINES) + f"SELECT doc_id, line_no, {expr} AS text FROM lines"
+
+
+def _space_runs(x: str, cls: str) -> str:
+    m = f"regexp_replace({x}, '({cls})', chr(57344) || '\\1' || chr(57345), 'g')"
+    return f"translate(replace({m}, chr(57345) || chr(57344), ' '), chr(57344) || chr(57345), '  ')"
+
+
+def _t(x): return f"regexp_replace({x}, '{NUMBER_PATTERN}', ' #num ', 'g')"
+def _s(x): return f"regexp_replace({x}, '{NUMBER_PATTERN}', '*', 'g')"
+def _ws(x): return f"regexp_replace({x}, '{WS}+', ' ', 'g')"
+
+
+def _latin(x):
+    marked = f"regexp_replace({x}, '([a-zA-Z]+)', ' ' || chr(1) || '\\1' || chr(2) || ' ', 'g')"
+    dropped = f"regexp_replace({marked}, ' ' || chr(1) || '[a-zA-Z]' || chr(2) || ' ', '', 'g')"
+    return f"replace(replace({dropped}, chr(1), ''), chr(2), '')"
+
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+ORACLE["mask_alnum"] = _line_sql("regexp_replace(text, '[a-z]+|[0-9]+|[A-Z]+', '*', 'g')")
+ORACLE["collapse_stars"] = _line_sql("regexp_replace(text, '\\*+', '*', 'g')")
+ORACLE["fix_typos"] = _line_sql("replace(replace(text, '花贝', '花呗'), '借贝', '借呗')")
+ORACLE["tag_numbers"] = _line_sql(_t("text"))
+ORACLE["star_numbers"] = _line_sql(_s("text"))
+ORACLE["space_latin"] = _line_sql(_latin("text"))
+ORACLE["lower_latin"] = _line_sql(
+    f"translate(regexp_replace(text, '([a-zA-Z]+)', ' \\1 ', 'g'), '{UPPER}', '{LOWER}')")
+ORACLE["space_symbols"] = _line_sql(_space_runs("text", SYM))
+ORACLE["space_cjk"] = _line_sql(_space_runs("text", CJK_CLASS))
+ORACLE["collapse_ws"] = _line_sql(_ws("text"))
+ORACLE["clean_symbols"] = _line_sql(_ws(_space_runs(_s(_space_runs("text", SYM)), CJK_CLASS)))
+ORACLE["clean_numbers"] = _line_sql(_ws(_latin(_t("text"))))
+
+STOP = """stop AS (
+  SELECT token FROM wcounts ORDER BY freq DESC, f.d, f.l, f.p LIMIT 20)"""
+
+ORACLE["drop_stopwords"] = _with(LINES, WTOK, WCOUNTS, STOP) + """
+SELECT l.doc_id, l.line_no, coalesce(r.n, 0) AS n_tokens, coalesce(r.tokens, '') AS tokens
+FROM lines l LEFT JOIN (
+  SELECT doc_id, line_no, count(*) AS n, string_agg(token, ' ' ORDER BY pos) AS tokens
+  FROM wtok WHERE token NOT IN (SELECT token FROM stop) GROUP BY doc_id, line_no) r
+ON l.doc_id = r.doc_id AND l.line_no = r.line_no"""
+
+MASKED = """masked AS (
+  SELECT doc_id, line_no,
+         replace(replace(regexp_replace(regexp_replace(text, '[a-z]+|[0-9]+|[A-Z]+', '*', 'g'),
+                                        '\\*+', '*', 'g'), '花贝', '花呗'), '借贝', '借呗') AS text
+  FROM lines)"""
+MTOK = WTOK.replace("wtok AS", "mtok AS").replace("FROM lines", "FROM masked")
+MCOUNTS = WCOUNTS.replace("wcounts AS", "mcounts AS").replace("FROM wtok", "FROM mtok")
+
+ORACLE["clean_words"] = _with(LINES, MASKED, MTOK, MCOUNTS) + """
+SELECT l.doc_id, l.line_no, coalesce(r.text, '') AS text
+FROM lines l LEFT JOIN (
+  SELECT doc_id, line_no, string_agg(token, ' ' ORDER BY pos) AS text
+  FROM mtok
+  WHERE token NOT IN (SELECT token FROM mcounts ORDER BY freq DESC, f.d, f.l, f.p LIMIT 20)
+  GROUP BY doc_id, line_no) r
+ON l.doc_id = r.doc_id AND l.line_no = r.line_no"""
+
+ORACLE["flatten_tokens"] = f"""
+SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, array_to_string(t, ' ') AS tokens
+FROM (SELECT doc_id,
+             flatten(list_transform(string_split(text, chr(10)),
+                     lambda l: list_filter(regexp_split_to_array(l, '{WS}+'),
+                                           lambda x: x <> ''))) AS t
+      FROM documents)"""
+
+ORACLE["remove_none"] = _line_sql(
+    "array_to_string(list_filter(list_transform(string_split(text, ' '), "
+    "lambda x: nullif(x, '')), lambda x: x IS NOT NULL), ' ')")
+
+# ------------------------------------------------------------------ W5, W6, O3, O4, U3
+_SEQ = [*_ENC, WFRAMED, WSEQ]
+
+ORACLE["padded_batches"] = _with(*_SEQ) + """,
+ordered AS (
+  SELECT row_idx, CAST(row_idx % 10 AS BIGINT) AS shard, ids,
+         row_number() OVER (ORDER BY row_idx % 10, row_idx) - 1 AS i,
+         count(*) OVER () AS n
+  FROM wseq),
+kept AS (
+  SELECT *, CAST(i // 8 AS BIGINT) AS batch, CAST(i % 8 AS BIGINT) AS batch_pos
+  FROM ordered WHERE i < (n // 8) * 8)
+SELECT batch, batch_pos, row_idx, shard,
+       array_to_string(list_concat(ids, list_transform(
+           range(max(len(ids)) OVER (PARTITION BY batch) - len(ids)), lambda x: 0)), ' ')
+         AS padded
+FROM kept""".replace("FROM kept", "FROM kept").replace(
+    "SELECT batch, batch_pos", "SELECT batch, batch_pos", 1)
+
+ORACLE["iter_batches"] = _with(*_SEQ) + """
+SELECT row_idx, CAST(row_idx // 8 AS BIGINT) AS batch FROM wseq
+WHERE row_idx < ((SELECT count(*) FROM wseq) // 8) * 8"""
+
+ORACLE["head_rows"] = _with(*_SEQ) + """
+SELECT row_idx, array_to_string(ids, ' ') AS ids FROM wseq
+WHERE row_idx < (SELECT count(*) FROM wcorpus WHERE split = 'dev')"""
+
+ORACLE["shuffle_rows"] = _with(*_SEQ) + """
+SELECT row_idx,
+       CAST(row_number() OVER (ORDER BY md5(concat_ws(':', '42', '1', row_idx)), row_idx) - 1
+            AS BIGINT) AS order_idx
+FROM wseq"""
+
+ORACLE["repeat_epochs"] = _with(*_SEQ) + """
+SELECT row_idx, CAST(e.range AS BIGINT) AS epoch FROM wseq, range(3) e"""

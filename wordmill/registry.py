@@ -302,3 +302,89 @@ def flagship_summary(spark, sf) -> DataFrame:
 @query("prepare_corpus_summary")
 def q_flagship(spark, sf):
     return flagship_summary(spark, sf)
+
+
+# ------------------------------------------------------------------ T5-T20 cleaners
+
+STOP_K = 20   # stop list of the registered queries: the 20 most frequent tokens (data-derived)
+
+
+def _line_map(spark, sf, fn, name="text"):
+    return normalize(lines(spark, sf).select("doc_id", "line_no", fn(F.col("text")).alias(name)))
+
+
+for _name, _fn in [("mask_alnum", tx.mask_alnum), ("collapse_stars", tx.collapse_stars),
+                   ("fix_typos", tx.fix_typos), ("tag_numbers", tx.tag_numbers),
+                   ("star_numbers", tx.star_numbers), ("space_latin", tx.space_latin),
+                   ("lower_latin", tx.lower_latin), ("space_symbols", tx.space_symbols),
+                   ("space_cjk", tx.space_cjk), ("collapse_ws", tx.collapse_ws),
+                   ("clean_symbols", tx.clean_symbols), ("clean_numbers", tx.clean_numbers)]:
+    QUERIES[_name] = (lambda fn: lambda spark, sf: _line_map(spark, sf, fn))(_fn)
+
+
+@query("drop_stopwords")
+def q_drop_stopwords(spark, sf):
+    ln = lines(spark, sf)
+    stop = vb.top_tokens(vb.token_counts(ln, "word"), STOP_K)
+    t = tx.drop_stopwords(tx.word_tokens("text"), stop)
+    return normalize(ln.select("doc_id", "line_no", F.size(t).alias("n_tokens"),
+                               tx.join_tokens(t).alias("tokens")))
+
+
+@query("clean_words")
+def q_clean_words(spark, sf):
+    ln = lines(spark, sf)
+    masked = ln.select("doc_id", "line_no",
+                       tx.fix_typos(tx.collapse_stars(tx.mask_alnum("text"))).alias("text"))
+    stop = vb.top_tokens(vb.token_counts(masked, "word"), STOP_K)
+    return normalize(ln.select("doc_id", "line_no", tx.clean_words("text", stop).alias("text")))
+
+
+@query("flatten_tokens")
+def q_flatten(spark, sf):
+    d = documents(spark, sf)
+    t = tx.flatten(F.transform(F.split("text", "\n"), lambda l: tx.word_tokens(l)))
+    return normalize(d.select("doc_id", F.size(t).alias("n_tokens"),
+                              tx.join_tokens(t).alias("tokens")))
+
+
+@query("remove_none")
+def q_remove_none(spark, sf):
+    t = tx.remove_none(F.transform(F.split("text", " "), lambda x: F.nullif(x, F.lit(""))))
+    return _line_map(spark, sf, lambda c: tx.join_tokens(
+        tx.remove_none(F.transform(F.split(c, " "), lambda x: F.nullif(x, F.lit(""))))))
+
+
+# ------------------------------------------------------------------ W5, W6, O3, O4, U3
+
+@query("padded_batches")
+def q_padded_batches(spark, sf):
+    s = _sequences(spark, sf)
+    b = rows.padded_batches(s, N_BATCH, "ids")
+    return normalize(b.select("batch", "batch_pos", "row_idx", "shard",
+                              ids_str("padded").alias("padded")))
+
+
+@query("iter_batches")
+def q_iter_batches(spark, sf):
+    s = _sequences(spark, sf)
+    return normalize(rows.iter_batches(s, N_BATCH, truncate=True).select("row_idx", "batch"))
+
+
+@query("head_rows")
+def q_head(spark, sf):
+    s = _sequences(spark, sf)
+    n_dev = prepared(spark, sf, "word").corpus.where(F.col("split") == "dev").count()
+    return normalize(rows.head(s, n_dev).select("row_idx", ids_str("ids").alias("ids")))
+
+
+@query("shuffle_rows")
+def q_shuffle(spark, sf):
+    s = _sequences(spark, sf)
+    return normalize(rows.shuffle(s.select("row_idx"), SEED, 1))
+
+
+@query("repeat_epochs")
+def q_repeat(spark, sf):
+    s = _sequences(spark, sf)
+    return normalize(rows.repeat_epochs(s.select("row_idx"), 3))
