@@ -360,8 +360,7 @@ SELECT batch, batch_pos, row_idx, shard,
        array_to_string(list_concat(ids, list_transform(
            range(max(len(ids)) OVER (PARTITION BY batch) - len(ids)), lambda x: 0)), ' ')
          AS padded
-FROM kept""".replace("FROM kept", "FROM kept").replace(
-    "SELECT batch, batch_pos", "SELECT batch, batch_pos", 1)
+FROM kept"""
 
 ORACLE["iter_batches"] = _with(*_SEQ) + """
 SELECT row_idx, CAST(row_idx // 8 AS BIGINT) AS batch FROM wseq
@@ -379,3 +378,134 @@ FROM wseq"""
 
 ORACLE["repeat_epochs"] = _with(*_SEQ) + """
 SELECT row_idx, CAST(e.range AS BIGINT) AS epoch FROM wseq, range(3) e"""
+
+
+# ------------------------------------------------------------------ B1-B8, A4, O2
+WFREQ = """wfreq AS (SELECT token AS word, count(*) AS freq FROM wtok GROUP BY token),
+wsym AS (SELECT word, freq, list_append(string_split(word, ''), '</w>') AS s FROM wfreq),
+wpair_occ AS (
+  SELECT freq, s[i] AS l, s[i + 1] AS r
+  FROM (SELECT freq, s, unnest(range(1, len(s))) AS i FROM wsym)),
+wstats AS (SELECT l, r, CAST(sum(freq) AS BIGINT) AS n FROM wpair_occ GROUP BY l, r)"""
+_BPE = [LINES, WTOK, WFREQ]
+
+ORACLE["word_symbols"] = _with(*_BPE) + \
+    "SELECT word, freq, array_to_string(s, ' ') AS symbols FROM wsym"
+
+ORACLE["pair_stats"] = _with(*_BPE) + "SELECT l, r, n FROM wstats"
+
+ORACLE["best_pair"] = _with(*_BPE) + """
+SELECT l, r, n, CAST(row_number() OVER (ORDER BY n DESC, l, r) - 1 AS BIGINT) AS rank
+FROM wstats ORDER BY n DESC, l, r LIMIT 10"""
+
+ORACLE["merge_pair"] = _with(*_BPE) + """,
+best AS (SELECT l, r FROM wstats ORDER BY n DESC, l, r LIMIT 1),
+merged AS (
+  SELECT word, freq,
+         replace(chr(28) || array_to_string(s, chr(29) || chr(28)) || chr(29),
+                 chr(28) || b.l || chr(29) || chr(28) || b.r || chr(29),
+                 chr(28) || b.l || b.r || chr(29)) AS w
+  FROM wsym, best b)
+SELECT word, freq,
+       replace(substr(w, 2, length(w) - 2), chr(29) || chr(28), ' ') AS symbols
+FROM merged"""
+
+
+def _learn_sql(n: int) -> str:
+    """n one-at-a-time greedy merge steps, unrolled."""
+    parts = [f"""w0 AS (SELECT word, freq,
+         chr(28) || array_to_string(s, chr(29) || chr(28)) || chr(29) AS w FROM wsym)"""]
+    for k in range(n):
+        parts.append(f"""s{k} AS (
+  SELECT l, r, CAST(sum(freq) AS BIGINT) AS n
+  FROM (SELECT freq, sy[i] AS l, sy[i + 1] AS r
+        FROM (SELECT freq, sy, unnest(range(1, len(sy))) AS i
+              FROM (SELECT freq, string_split(substr(w, 2, length(w) - 2),
+                                              chr(29) || chr(28)) AS sy FROM w{k})))
+  GROUP BY l, r),
+b{k} AS (SELECT l, r, n FROM s{k} WHERE n >= 2 ORDER BY n DESC, l, r LIMIT 1),
+w{k + 1} AS (
+  SELECT word, freq,
+         CASE WHEN b.l IS NULL THEN w
+              ELSE replace(w, chr(28) || b.l || chr(29) || chr(28) || b.r || chr(29),
+                           chr(28) || b.l || b.r || chr(29)) END AS w
+  FROM w{k} LEFT JOIN b{k} b ON true)""")
+    codes = " UNION ALL ".join(f"SELECT {k} AS rank, l, r, n FROM b{k}" for k in range(n))
+    parts.append(f"codes AS ({codes})")
+    return ",\n".join(parts)
+
+
+LEARNED = _learn_sql(20)
+
+ORACLE["learn_bpe"] = _with(*_BPE, LEARNED) + """
+SELECT CAST(rank AS BIGINT) AS rank, l AS "left", r AS "right", n FROM codes"""
+
+ORACLE["rank_codes"] = _with(LINES, WTOK, WFREQ) + """,
+fwsym AS (
+  SELECT token AS word, count(*) AS freq, list_append(string_split(token, ''), '</w>') AS s
+  FROM wtok WHERE line_no = 0 GROUP BY token),
+fstats AS (
+  SELECT l, r, sum(freq) AS n
+  FROM (SELECT freq, s[i] AS l, s[i + 1] AS r
+        FROM (SELECT freq, s, unnest(range(1, len(s))) AS i FROM fwsym))
+  GROUP BY l, r),
+a AS (SELECT l, r, row_number() OVER (ORDER BY n DESC, l, r) - 1 AS rank
+      FROM wstats ORDER BY n DESC, l, r LIMIT 20),
+b AS (SELECT l, r, row_number() OVER (ORDER BY n DESC, l, r) + 19 AS rank
+      FROM fstats ORDER BY n DESC, l, r LIMIT 20)
+SELECT l AS "left", r AS "right", CAST(min(rank) AS BIGINT) AS rank
+FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY l, r"""
+
+ORACLE["symbol_pairs"] = _with(*_BPE) + """
+SELECT word, CAST(count(DISTINCT p) AS BIGINT) AS n_pairs,
+       array_to_string(list_sort(list_distinct(list(p))), ' ') AS pairs
+FROM (SELECT word, s[i] || chr(31) || s[i + 1] AS p
+      FROM (SELECT word, s, unnest(range(1, len(s))) AS i FROM wsym))
+GROUP BY word"""
+
+TOPCODES = """topcodes AS (
+  SELECT list({'f': chr(28) || l || chr(29) || chr(28) || r || chr(29),
+               't': chr(28) || l || r || chr(29)} ORDER BY n DESC, l, r) AS cl
+  FROM (SELECT l, r, n FROM wstats ORDER BY n DESC, l, r LIMIT 50))"""
+
+
+def _fold_sql(codes_cte: str) -> str:
+    return f"""{codes_cte},
+folded AS (
+  SELECT word, string_split(substr(m, 2, length(m) - 2), chr(29) || chr(28)) AS sy
+  FROM (SELECT word,
+               list_reduce(c.cl, lambda acc, x: replace(acc, x.f, x.t),
+                           chr(28) || array_to_string(s, chr(29) || chr(28)) || chr(29)) AS m
+        FROM wsym, {codes_cte.split(' AS')[0]} c)),
+segmented AS (
+  SELECT word,
+         CASE WHEN sy[len(sy)] = '</w>' THEN sy[1:len(sy) - 1]
+              ELSE list_concat(sy[1:len(sy) - 1], [replace(sy[len(sy)], '</w>', '')]) END AS sub
+  FROM folded),
+segform AS (
+  SELECT word, array_to_string(list_concat(list_transform(sub[1:len(sub) - 1],
+                                                           lambda x: x || '@@'),
+                                            [sub[len(sub)]]), ' ') AS seg
+  FROM segmented)"""
+
+
+ORACLE["segment_words"] = _with(*_BPE, _fold_sql(TOPCODES)) + \
+    "SELECT word, array_to_string(sub, ' ') AS subwords FROM segmented"
+ORACLE["segment_words_fold"] = ORACLE["segment_words"]
+
+_SEGTEXT = """
+SELECT l.doc_id, l.line_no, coalesce(r.text, '') AS text
+FROM lines l LEFT JOIN (
+  SELECT t.doc_id, t.line_no, string_agg(g.seg, ' ' ORDER BY t.pos) AS text
+  FROM wtok t JOIN segform g ON g.word = t.token
+  GROUP BY t.doc_id, t.line_no) r
+ON l.doc_id = r.doc_id AND l.line_no = r.line_no"""
+
+ORACLE["segment_text"] = _with(*_BPE, _fold_sql(TOPCODES)) + _SEGTEXT
+
+LEARNEDCODES = """learnedcodes AS (
+  SELECT list({'f': chr(28) || l || chr(29) || chr(28) || r || chr(29),
+               't': chr(28) || l || r || chr(29)} ORDER BY rank) AS cl
+  FROM codes)"""
+
+ORACLE["segment_text_learned"] = _with(*_BPE, LEARNED, _fold_sql(LEARNEDCODES)) + _SEGTEXT

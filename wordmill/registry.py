@@ -388,3 +388,110 @@ def q_shuffle(spark, sf):
 def q_repeat(spark, sf):
     s = _sequences(spark, sf)
     return normalize(rows.repeat_epochs(s.select("row_idx"), 3))
+
+
+# ------------------------------------------------------------------ B1-B8, A4, O2
+
+from pyspark.sql import Window  # noqa: E402
+
+from wordmill.operators import bpe  # noqa: E402
+
+N_CODES_TOP = 50      # code list of the segmentation checks: the 50 best initial pairs
+N_MERGES_CHECK = 20   # merges learned by the registered learning query
+
+
+def _words(spark, sf):
+    return bpe.word_symbols(lines(spark, sf))
+
+
+def _top_codes(spark, sf, k=N_CODES_TOP):
+    top = bpe.best_pairs(bpe.pair_stats(_words(spark, sf)), k).collect()
+    return spark.createDataFrame([(i, r["l"], r["r"]) for i, r in enumerate(top)],
+                                 "rank int, left string, right string")
+
+
+@query("word_symbols")
+def q_word_symbols(spark, sf):
+    w = _words(spark, sf)
+    return normalize(w.select("word", "freq",
+                              F.array_join(bpe.symbols_of("w"), " ").alias("symbols")))
+
+
+@query("pair_stats")
+def q_pair_stats(spark, sf):
+    return normalize(bpe.pair_stats(_words(spark, sf)))
+
+
+@query("best_pair")
+def q_best_pair(spark, sf):
+    top = bpe.best_pairs(bpe.pair_stats(_words(spark, sf)), 10)
+    return normalize(top.withColumn("rank", F.row_number().over(
+        Window.orderBy(*bpe.pair_order())) - 1))
+
+
+@query("merge_pair")
+def q_merge_pair(spark, sf):
+    w = _words(spark, sf)
+    b = bpe.best_pairs(bpe.pair_stats(w), 1).first()
+    m = bpe.merge_pair(w, b["l"], b["r"])
+    return normalize(m.select("word", "freq",
+                              F.array_join(bpe.symbols_of("w"), " ").alias("symbols")))
+
+
+_CODES: dict = {}
+
+
+def learned_codes(spark, sf, n=N_MERGES_CHECK):
+    key = (id(spark), sf, n)
+    if key not in _CODES:
+        _CODES[key] = bpe.learn_bpe(_words(spark, sf), n).cache()
+    return _CODES[key]
+
+
+@query("learn_bpe")
+def q_learn_bpe(spark, sf):
+    return normalize(learned_codes(spark, sf))
+
+
+@query("rank_codes")
+def q_rank_codes(spark, sf):
+    ln = lines(spark, sf)
+    first = ln.where(F.col("line_no") == 0)
+    a = bpe.best_pairs(bpe.pair_stats(bpe.word_symbols(ln)), 20).collect()
+    b = bpe.best_pairs(bpe.pair_stats(bpe.word_symbols(first)), 20).collect()
+    codes = spark.createDataFrame([(i, r["l"], r["r"]) for i, r in enumerate(a + b)],
+                                  "rank int, left string, right string")
+    return normalize(bpe.rank_codes(codes))
+
+
+@query("symbol_pairs")
+def q_symbol_pairs(spark, sf):
+    w = _words(spark, sf)
+    p = bpe.symbol_pairs(bpe.symbols_of("w"))
+    s = F.array_sort(F.transform(p, lambda x: F.concat(x["l"], F.lit("\x1f"), x["r"])))
+    return normalize(w.select("word", F.size(p).alias("n_pairs"),
+                              F.array_join(s, " ").alias("pairs")))
+
+
+@query("segment_words")
+def q_segment_words(spark, sf):
+    w = _words(spark, sf).select("word")
+    s = bpe.segment_words(w, _top_codes(spark, sf))
+    return normalize(s.select("word", F.array_join("subwords", " ").alias("subwords")))
+
+
+@query("segment_words_fold")
+def q_segment_words_fold(spark, sf):
+    w = _words(spark, sf).select("word")
+    s = bpe.segment_words_fold(w, _top_codes(spark, sf))
+    return normalize(s.select("word", F.array_join("subwords", " ").alias("subwords")))
+
+
+@query("segment_text")
+def q_segment_text(spark, sf):
+    return normalize(bpe.segment_text(lines(spark, sf), _top_codes(spark, sf)))
+
+
+@query("segment_text_learned")
+def q_segment_text_learned(spark, sf):
+    return normalize(bpe.segment_text(lines(spark, sf), learned_codes(spark, sf)))
