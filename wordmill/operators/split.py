@@ -62,4 +62,5 @@ def replicate_index(idx: DataFrame, n: int, col: str = "row_idx", blocks: int =
     """The index repeated at offsets 0, n/4, n/2, 3n/4 (integer division) for data made
     of four augmented blocks. A generator over the block number, no join."""
     offs = F.array(*[F.lit((k * n) // blocks) for k in range(blocks)])
-    return idx.select((F.col(col) + F.explode(offs)).alias(col))
+    return idx.select(F.col(col), F.explode(offs).alias("_off")) \
+        .select((F.col(col) + F.col("_off")).alias(col))

@@ -52,14 +52,16 @@ def corpus_tokens(lines: DataFrame, mode: str = "word", keys=LINE_KEY) -> DataFr
 def token_counts(lines: DataFrame, mode: str = "word", keys=LINE_KEY) -> DataFrame:
     """A1: frequency per token plus the first position it was seen at.
 
-    Partial aggregation runs map-side, so a hot token costs one row per map task in the
-    shuffle, not one per occurrence.
+    The first position is reported as ``first_doc_id, first_line_no, first_pos`` whatever the
+    two line-key columns are called (file order = key order). Partial aggregation runs
+    map-side, so a hot token costs one row per map task in the shuffle, not one per occurrence.
     """
     toks = corpus_tokens(lines, mode, keys)
     first = F.min(F.struct(*[F.col(k) for k in keys], F.col("pos"))).alias("_first")
     agg = toks.groupBy("token").agg(F.count(F.lit(1)).alias("freq"), first)
+    names = ("first_doc_id", "first_line_no")
     return agg.select("token", "freq",
-                      *[F.col("_first")[k].alias("first_" + k) for k in keys],
+                      *[F.col("_first")[k].alias(nm) for k, nm in zip(keys, names)],
                       F.col("_first")["pos"].alias("first_pos"))
 
 

@@ -509,3 +509,116 @@ LEARNEDCODES = """learnedcodes AS (
   FROM codes)"""
 
 ORACLE["segment_text_learned"] = _with(*_BPE, LEARNED, _fold_sql(LEARNEDCODES)) + _SEGTEXT
+
+
+# ------------------------------------------------------------------ pairs
+PAIRS = """pairs AS (
+  SELECT d.doc_id AS pair_id, string_split(d.text, chr(10))[1] AS a,
+         coalesce(string_split(d.text, chr(10))[2], '') AS b,
+         CAST(coalesce(l.toxic, -1) AS BIGINT) AS label
+  FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id),
+ipairs AS (SELECT *, CAST(row_number() OVER (ORDER BY pair_id) - 1 AS BIGINT) AS row_idx
+           FROM pairs)"""
+
+ORACLE["doc_pairs"] = _with(PAIRS) + "SELECT pair_id, a, b, label FROM pairs"
+
+
+def _enc_side(col: str) -> str:
+    return f"""enc_{col} AS (
+  SELECT p.pair_id, list(coalesce(s.id, 0) ORDER BY p.pos) AS ids
+  FROM (SELECT pair_id, CAST(generate_subscripts(t, 1) AS BIGINT) AS pos, unnest(t) AS token
+        FROM (SELECT pair_id, string_split({col}, ' ') AS t FROM pairs)) p
+  LEFT JOIN wspecials s ON s.token = p.token
+  GROUP BY p.pair_id)"""
+
+
+_EPAIRS = [*ALL_W, SPECIALS, PAIRS, _enc_side("a"), _enc_side("b")]
+
+ORACLE["encode_fields"] = _with(*_EPAIRS) + """
+SELECT p.pair_id, p.label, array_to_string(ea.ids, ' ') AS a_ids,
+       array_to_string(eb.ids, ' ') AS b_ids
+FROM pairs p JOIN enc_a ea ON ea.pair_id = p.pair_id JOIN enc_b eb ON eb.pair_id = p.pair_id"""
+
+ORACLE["split_by_index"] = _with(PAIRS) + """
+SELECT pair_id, row_idx, CASE WHEN row_idx % 10 = 0 THEN 'dev' ELSE 'train' END AS split
+FROM ipairs"""
+
+REPL = """repl AS (
+  SELECT row_idx + (k * (SELECT count(*) FROM ipairs)) // 4 AS row_idx
+  FROM ipairs, (SELECT range AS k FROM range(4)) ks WHERE row_idx % 10 = 0)"""
+
+ORACLE["replicate_index"] = _with(PAIRS, REPL) + \
+    "SELECT CAST(row_idx AS BIGINT) AS row_idx FROM repl"
+
+ORACLE["index_complement"] = _with(PAIRS, REPL) + """
+SELECT CAST(row_idx AS BIGINT) AS row_idx FROM (
+  (SELECT row_idx FROM repl EXCEPT SELECT range FROM range((SELECT count(*) FROM ipairs)))
+  UNION ALL
+  (SELECT range FROM range((SELECT count(*) FROM ipairs)) EXCEPT SELECT row_idx FROM repl))"""
+
+ORACLE["stack_columns"] = _with(PAIRS) + """
+SELECT CAST(0 AS BIGINT) AS side, row_idx, a AS text FROM ipairs
+UNION ALL SELECT CAST(1 AS BIGINT) AS side, row_idx, b AS text FROM ipairs"""
+
+ORACLE["concat_datasets"] = _with(PAIRS) + """
+SELECT CAST(row_number() OVER (ORDER BY src, row_idx) - 1 AS BIGINT) AS row_idx, pair_id, label
+FROM (SELECT CASE WHEN label >= 0 THEN 0 ELSE 1 END AS src, row_idx, pair_id, label
+      FROM ipairs)"""
+
+ORACLE["zip_columns"] = """
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents),
+a AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_idx, p[1] AS a FROM d),
+b AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_idx, p[2] AS b
+      FROM d WHERE len(p) >= 2),
+l AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_idx, toxic AS label FROM labels)
+SELECT CAST(coalesce(a.row_idx, b.row_idx, l.row_idx) AS BIGINT) AS row_idx, a.a, b.b,
+       CAST(l.label AS BIGINT) AS label
+FROM a FULL OUTER JOIN b ON a.row_idx = b.row_idx
+       FULL OUTER JOIN l ON coalesce(a.row_idx, b.row_idx) = l.row_idx"""
+
+ORACLE["unstack_halves"] = _with(LINES) + """,
+il AS (SELECT row_number() OVER (ORDER BY doc_id, line_no) - 1 AS row_idx, text FROM lines),
+n AS (SELECT count(*) AS n FROM il)
+SELECT CAST(x.row_idx AS BIGINT) AS row_idx, x.text AS a, y.text AS b
+FROM il x, il y, n
+WHERE x.row_idx < n.n // 2 AND y.row_idx = x.row_idx + (n.n - n.n // 2)"""
+
+ORACLE["frame_pair"] = _with(*_EPAIRS) + f""",
+fp AS (
+  SELECT p.pair_id, ea.ids AS a, eb.ids AS b, {NV} AS v
+  FROM pairs p JOIN enc_a ea ON ea.pair_id = p.pair_id JOIN enc_b eb ON eb.pair_id = p.pair_id)
+SELECT pair_id, CAST(0 AS BIGINT) AS ord,
+       CAST(len(x) AS BIGINT) AS len, array_to_string(x, ' ') AS ids
+FROM (SELECT pair_id, list_concat([v], a[1:35], [v + 1], b[1:35], [v + 2]) AS x FROM fp)
+UNION ALL
+SELECT pair_id, CAST(1 AS BIGINT) AS ord,
+       CAST(len(x) AS BIGINT) AS len, array_to_string(x, ' ') AS ids
+FROM (SELECT pair_id, list_concat([v], b[1:35], [v + 1], a[1:35], [v + 2]) AS x FROM fp)"""
+
+ORACLE["char_chain"] = _with(PAIRS) + f""",
+st AS (SELECT 0 AS side, row_idx, a AS text FROM ipairs
+       UNION ALL SELECT 1, row_idx, b FROM ipairs),
+sc AS (
+  SELECT token, count(*) AS freq FROM (
+    SELECT unnest(list_filter(string_split(regexp_replace(text, '{WS}', '', 'g'), ''),
+                              lambda x: x <> '')) AS token FROM st)
+  GROUP BY token),
+sv AS (SELECT token FROM sc WHERE freq >= 10
+       AND token NOT IN ('UNK', '_start_', '_delimiter_', '_end_')),
+sch AS (
+  SELECT side, row_idx, CAST(generate_subscripts(t, 1) AS BIGINT) AS pos, unnest(t) AS ch
+  FROM (SELECT side, row_idx,
+               string_split(regexp_replace(text, '^{WS}+|{WS}+$', '', 'g'), '') AS t FROM st)),
+su AS (
+  SELECT s.side, s.row_idx, coalesce(r.text, '') AS text
+  FROM st s LEFT JOIN (
+    SELECT c.side, c.row_idx,
+           string_agg(CASE WHEN c.ch = '' OR regexp_full_match(c.ch, '{WS}') THEN ''
+                           WHEN v.token IS NULL THEN 'UNK' ELSE c.ch END, ' ' ORDER BY c.pos)
+             AS text
+    FROM sch c LEFT JOIN sv v ON v.token = c.ch
+    GROUP BY c.side, c.row_idx) r
+  ON s.side = r.side AND s.row_idx = r.row_idx)
+SELECT x.row_idx, x.text AS a, y.text AS b, p.label
+FROM su x JOIN su y ON x.row_idx = y.row_idx AND x.side = 0 AND y.side = 1
+     JOIN ipairs p ON p.row_idx = x.row_idx"""

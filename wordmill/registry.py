@@ -495,3 +495,109 @@ def q_segment_text(spark, sf):
 @query("segment_text_learned")
 def q_segment_text_learned(spark, sf):
     return normalize(bpe.segment_text(lines(spark, sf), learned_codes(spark, sf)))
+
+
+# ------------------------------------------------------------------ pairs: J4-J8, U1, U2, U4, E9, B9, B10
+
+from wordmill.operators import pairs as pr  # noqa: E402
+from wordmill.plans import shell_chains as sc  # noqa: E402
+
+
+def doc_pairs(spark, sf):
+    return pr.doc_pairs(documents(spark, sf), src.read_table(spark, sf, "labels"))
+
+
+def indexed_pairs(spark, sf):
+    return pr.index_rows(doc_pairs(spark, sf))
+
+
+@query("doc_pairs")
+def q_doc_pairs(spark, sf):
+    return normalize(doc_pairs(spark, sf))
+
+
+def _encoded_pairs(spark, sf):
+    p = prepared(spark, sf, "word")
+    table = vb.add_specials(p.vocab, p.n_vocab)
+    return vb.encode_fields(doc_pairs(spark, sf), ["a", "b"], table, p.n_vocab + 3), p.n_vocab
+
+
+@query("encode_fields")
+def q_encode_fields(spark, sf):
+    e, _ = _encoded_pairs(spark, sf)
+    return normalize(e.select("pair_id", "label", ids_str("a_ids").alias("a_ids"),
+                              ids_str("b_ids").alias("b_ids")))
+
+
+def _split_index(ip):
+    return ip.where(F.col("row_idx") % 10 == 0).select("row_idx")
+
+
+@query("split_by_index")
+def q_split_by_index(spark, sf):
+    ip = indexed_pairs(spark, sf)
+    return normalize(split.split_by_index(ip, _split_index(ip)).select("pair_id", "row_idx",
+                                                                       "split"))
+
+
+@query("replicate_index")
+def q_replicate_index(spark, sf):
+    ip = indexed_pairs(spark, sf)
+    return normalize(split.replicate_index(_split_index(ip), ip.count()))
+
+
+@query("index_complement")
+def q_index_complement(spark, sf):
+    ip = indexed_pairs(spark, sf)
+    n = ip.count()
+    return normalize(rows.index_complement(split.replicate_index(_split_index(ip), n), n))
+
+
+@query("stack_columns")
+def q_stack_columns(spark, sf):
+    return normalize(rows.stack_columns(indexed_pairs(spark, sf)))
+
+
+@query("concat_datasets")
+def q_concat_datasets(spark, sf):
+    ip = indexed_pairs(spark, sf)
+    first = ip.where(F.col("label") >= 0).select("row_idx", "pair_id", "label")
+    second = ip.where(F.col("label") < 0).select("row_idx", "pair_id", "label")
+    return normalize(rows.concat_datasets(first, second))
+
+
+@query("zip_columns")
+def q_zip_columns(spark, sf):
+    d = documents(spark, sf).select("doc_id", F.split("text", "\n").alias("p"))
+    a = pr.index_rows(d.select("doc_id", F.get("p", 0).alias("a")), "doc_id").drop("doc_id")
+    b = pr.index_rows(d.where(F.size("p") >= 2).select("doc_id", F.get("p", 1).alias("b")),
+                      "doc_id").drop("doc_id")
+    lab = pr.index_rows(src.read_table(spark, sf, "labels").select(
+        "doc_id", F.col("toxic").alias("label")), "doc_id").drop("doc_id")
+    return normalize(pr.zip_columns(a, b, lab))
+
+
+@query("unstack_halves")
+def q_unstack_halves(spark, sf):
+    ln = rows.dense_index(lines(spark, sf), [F.col("doc_id"), F.col("line_no")])
+    return normalize(pr.unstack_halves(ln, ln.count()))
+
+
+@query("frame_pair")
+def q_frame_pair(spark, sf):
+    e, v = _encoded_pairs(spark, sf)
+    sp = vb.special_ids(v)
+    f = pr.frame_pairs(e, CLF_N_CTX, sp[vb.START], sp[vb.DELIMITER], sp[vb.END])
+    return normalize(f.select("pair_id", "ord", F.size("ids").alias("len"),
+                              ids_str("ids").alias("ids")))
+
+
+@query("subword_chain")
+def q_subword_chain(spark, sf):
+    out, _ = sc.subword_chain(indexed_pairs(spark, sf), N_MERGES_CHECK)
+    return normalize(out)
+
+
+@query("char_chain")
+def q_char_chain(spark, sf):
+    return normalize(sc.char_chain(indexed_pairs(spark, sf)))
