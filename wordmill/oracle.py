@@ -622,3 +622,98 @@ su AS (
 SELECT x.row_idx, x.text AS a, y.text AS b, p.label
 FROM su x JOIN su y ON x.row_idx = y.row_idx AND x.side = 0 AND y.side = 1
      JOIN ipairs p ON p.row_idx = x.row_idx"""
+
+
+# ------------------------------------------------------------------ M1-M9, A5-A10, W7, W8, J9
+LOGITS = """lg AS (
+  SELECT vec_id AS id, [CAST(embedding[1] AS DOUBLE), CAST(embedding[2] AS DOUBLE)] AS x,
+         CAST(CASE WHEN label = 1 THEN 1 ELSE 0 END AS BIGINT) AS y,
+         CAST(embedding[3] AS DOUBLE) AS e2
+  FROM embeddings),
+ce AS (
+  SELECT id, y, x,
+         greatest(x[1], x[2]) + ln(exp(x[1] - greatest(x[1], x[2]))
+                                   + exp(x[2] - greatest(x[1], x[2]))) - x[y + 1] AS ce,
+         CASE WHEN x[2] > x[1] THEN 1 ELSE 0 END AS pred
+  FROM lg),
+wce AS (SELECT id, y, ((2 * 0.8 - 1) * y + 1 - 0.8) * ce AS loss, pred FROM ce)"""
+
+ORACLE["softmax"] = _with(LOGITS) + """
+SELECT id, round(exp(x[1] - m) / (exp(x[1] - m) + exp(x[2] - m)), 6) AS p0,
+       round(exp(x[2] - m) / (exp(x[1] - m) + exp(x[2] - m)), 6) AS p1
+FROM (SELECT id, x, greatest(x[1], x[2]) AS m FROM lg)"""
+
+ORACLE["cross_entropy"] = _with(LOGITS) + "SELECT id, y, round(ce, 6) AS ce FROM ce"
+ORACLE["weighted_cross_entropy"] = _with(LOGITS) + \
+    "SELECT id, y, round(loss, 6) AS loss FROM wce"
+ORACLE["argmax"] = _with(LOGITS) + "SELECT id, CAST(pred AS BIGINT) AS pred FROM ce"
+
+ORACLE["score_distribution_label"] = _with(LOGITS) + ", sc AS (" + \
+    "SELECT id, least(abs(e2) * 5, 5.0) AS s FROM lg)\nSELECT id, round(s, 6) AS score, " + \
+    ", ".join(f"round(CASE WHEN {i} = floor(s) + 1 THEN s - floor(s) WHEN {i} = floor(s) "
+              f"THEN floor(s) - s + 1 ELSE 0.0 END, 6) AS w{i}" for i in range(6)) + " FROM sc"
+
+ORACLE["f1"] = _with(LOGITS) + """
+SELECT tp, fp, fn,
+       round(CASE WHEN tp > 0 THEN 100.0 * 2 * tp / (2 * tp + fp + fn) ELSE 0.0 END, 6) AS f1
+FROM (SELECT CAST(sum(CASE WHEN y = 1 AND pred = 1 THEN 1 ELSE 0 END) AS BIGINT) AS tp,
+             CAST(sum(CASE WHEN y <> 1 AND pred = 1 THEN 1 ELSE 0 END) AS BIGINT) AS fp,
+             CAST(sum(CASE WHEN y = 1 AND pred <> 1 THEN 1 ELSE 0 END) AS BIGINT) AS fn FROM wce)"""
+
+ORACLE["row_weighted_cost"] = _with(LOGITS) + """
+SELECT round(sum(m * n) / sum(n), 6) AS cost, CAST(sum(n) AS BIGINT) AS n_rows
+FROM (SELECT b, avg(loss) AS m, count(*) AS n
+      FROM (SELECT (row_number() OVER (ORDER BY id) - 1) // 32 AS b, loss FROM wce) GROUP BY b)"""
+
+WDEV = f"""wdev AS (
+  SELECT CAST(row_number() OVER (ORDER BY doc_id, line_no) - 1 AS BIGINT) AS row_idx,
+         list_concat([{NV}], ids[1:198], [{NV} + 2]) AS ids
+  FROM wenc WHERE split = 'dev')"""
+
+
+def _targets(src: str, name: str) -> str:
+    return f"""{name} AS (
+  SELECT row_idx AS seq, CAST(i AS BIGINT) AS pos, ids[i] AS prev, ids[i + 1] AS next
+  FROM (SELECT row_idx, ids, unnest(range(1, len(ids))) AS i FROM {src}))"""
+
+
+LMCTE = [*_SEQ, WDEV, _targets("wseq", "ttrain"), _targets("wdev", "tdev"),
+         """bigrams AS (SELECT prev, next, count(*) AS c FROM ttrain GROUP BY prev, next),
+totals AS (SELECT prev, sum(c) AS t FROM bigrams GROUP BY prev)""",
+         f"""plosses AS (
+  SELECT d.seq, d.pos, d.next,
+         -ln((coalesce(b.c, 0) + 1.0) / (coalesce(t.t, 0) + 1.0 * ({NV} + 3))) AS loss
+  FROM tdev d LEFT JOIN bigrams b ON b.prev = d.prev AND b.next = d.next
+  LEFT JOIN totals t ON t.prev = d.prev)""",
+         "slosses AS (SELECT seq AS row_idx, avg(loss) AS loss FROM plosses GROUP BY seq)"]
+
+ORACLE["next_token_targets"] = _with(*_SEQ, _targets("wseq", "ttrain")) + \
+    "SELECT seq, pos, prev, next FROM ttrain"
+
+ORACLE["fit_ngram_lm"] = _with(*LMCTE) + f"""
+SELECT b.prev, b.next, b.c, t.t, round(ln((b.c + 1.0) / (t.t + 1.0 * ({NV} + 3))), 6) AS logp
+FROM bigrams b JOIN totals t ON t.prev = b.prev"""
+
+ORACLE["score_ngram_lm"] = _with(*LMCTE) + \
+    "SELECT seq, pos, round(loss, 6) AS loss, 1.0 AS mask FROM plosses"
+
+ORACLE["masked_seq_loss"] = _with(*LMCTE) + """
+SELECT seq AS row_idx,
+       round(sum(loss * CAST(sign(next) AS DOUBLE)) / sum(CAST(sign(next) AS DOUBLE)), 6) AS loss
+FROM plosses GROUP BY seq"""
+
+ORACLE["perplexity"] = _with(*LMCTE) + """
+SELECT round(avg(exp(loss)), 6) AS ppl, round(avg(loss), 6) AS loss, count(*) AS n_seq
+FROM slosses"""
+
+ORACLE["batch_averaged_metrics"] = _with(*LMCTE) + """
+SELECT round(avg(bl), 6) AS loss, round(avg(bp), 6) AS ppl, count(*) AS n_batches
+FROM (SELECT row_idx // 8 AS b, avg(loss) AS bl, avg(exp(loss)) AS bp FROM slosses GROUP BY b)"""
+
+ORACLE["objective"] = _with(LOGITS, *LMCTE) + """
+SELECT round(c, 6) AS clf_loss, round(l, 6) AS lm_loss, round(c + 0.5 * l, 6) AS objective
+FROM (SELECT (SELECT avg(loss) FROM wce) AS c, (SELECT avg(loss) FROM slosses) AS l)"""
+
+ORACLE["every_n_steps"] = _with(*LMCTE) + """
+SELECT row_idx AS step, 'loss' AS name, round(loss, 6) AS value FROM slosses
+WHERE row_idx % 100 = 0"""

@@ -601,3 +601,182 @@ def q_subword_chain(spark, sf):
 @query("char_chain")
 def q_char_chain(spark, sf):
     return normalize(sc.char_chain(indexed_pairs(spark, sf)))
+
+
+# ------------------------------------------------------------------ M1-M9, A5-A10, W7, W8, J9
+
+from wordmill.functions import scoring as scr  # noqa: E402
+from wordmill.operators import classifier as clf  # noqa: E402
+from wordmill.operators import evaluate as ev  # noqa: E402
+from wordmill.operators import lm  # noqa: E402
+
+POS_WEIGHT = clf.POS_WEIGHT
+LM_COEF = 0.5          # classifier fine-tuning default
+CLF_BATCH = 32         # classifier batch size
+LOG_EVERY = 100        # W8 step interval
+ADD_K = 1.0
+
+
+def logits(spark, sf):
+    """Logits = first two embedding entries; y = (label = 1); row_idx in vec_id order."""
+    e = src.read_table(spark, sf, "embeddings")
+    x = e.select(F.col("vec_id").alias("id"),
+                 F.slice(F.transform("embedding", lambda v: v.cast("double")), 1, 2)
+                 .alias("logits"),
+                 F.when(F.col("label") == 1, 1).otherwise(0).alias("y"),
+                 F.col("embedding")[2].cast("double").alias("e2"))
+    return x
+
+
+@query("softmax")
+def q_softmax(spark, sf):
+    p = scr.softmax("logits")
+    return normalize(logits(spark, sf).select("id", p[0].alias("p0"), p[1].alias("p1")))
+
+
+@query("cross_entropy")
+def q_cross_entropy(spark, sf):
+    return normalize(logits(spark, sf).select("id", "y", scr.cross_entropy("logits", "y")
+                                              .alias("ce")))
+
+
+def _clf_losses(spark, sf):
+    x = logits(spark, sf)
+    return x.select("id", "y", scr.weighted_cross_entropy(scr.cross_entropy("logits", "y"),
+                                                          "y", POS_WEIGHT).alias("loss"),
+                    scr.argmax("logits").alias("pred"))
+
+
+@query("weighted_cross_entropy")
+def q_wce(spark, sf):
+    return normalize(_clf_losses(spark, sf).select("id", "y", "loss"))
+
+
+@query("argmax")
+def q_argmax(spark, sf):
+    return normalize(logits(spark, sf).select("id", scr.argmax("logits").alias("pred")))
+
+
+@query("score_distribution_label")
+def q_score_label(spark, sf):
+    x = logits(spark, sf).select("id", F.least(F.abs("e2") * 5, F.lit(5.0)).alias("score"))
+    d = scr.score_distribution_label("score", 6)
+    return normalize(x.select("id", "score", *[d[i].alias(f"w{i}") for i in range(6)]))
+
+
+@query("f1")
+def q_f1(spark, sf):
+    return normalize(ev.f1(_clf_losses(spark, sf)))
+
+
+@query("row_weighted_cost")
+def q_row_weighted_cost(spark, sf):
+    l = rows.dense_index(_clf_losses(spark, sf), [F.col("id")])
+    return normalize(ev.row_weighted_cost(l, CLF_BATCH))
+
+
+def _dev_sequences(spark, sf):
+    p = prepared(spark, sf, "word")
+    dev = p.corpus.where(F.col("split") == "dev")
+    framed = pp.encode_frame(dev, p.vocab, p.n_vocab, N_CTX)
+    return rows.dense_index(framed, [F.col("doc_id"), F.col("line_no")]), p.n_vocab
+
+
+def _lm(spark, sf):
+    return lm.fit_ngram_lm(_sequences(spark, sf))
+
+
+def _pos_losses(spark, sf, mask="length"):
+    dev, v = _dev_sequences(spark, sf)
+    bigrams, totals = _lm(spark, sf)
+    return lm.score_ngram_lm(dev, bigrams, totals, v + 3, ADD_K, mask)
+
+
+def _seq_losses(spark, sf, mask="length"):
+    s = ev.masked_seq_loss(_pos_losses(spark, sf, mask))
+    return s.withColumnRenamed("seq", "row_idx")
+
+
+@query("next_token_targets")
+def q_next_token_targets(spark, sf):
+    return normalize(lm.target_positions(_sequences(spark, sf)))
+
+
+@query("fit_ngram_lm")
+def q_fit_ngram_lm(spark, sf):
+    b, t = _lm(spark, sf)
+    v = prepared(spark, sf, "word").n_vocab + 3
+    return normalize(b.join(t, "prev").select(
+        "prev", "next", "c", "t", F.log((F.col("c") + ADD_K) / (F.col("t") + ADD_K * v))
+        .alias("logp")))
+
+
+@query("score_ngram_lm")
+def q_score_ngram_lm(spark, sf):
+    return normalize(_pos_losses(spark, sf, "length"))
+
+
+@query("masked_seq_loss")
+def q_masked_seq_loss(spark, sf):
+    return normalize(_seq_losses(spark, sf, "nonzero"))
+
+
+@query("perplexity")
+def q_perplexity(spark, sf):
+    return normalize(ev.perplexity(_seq_losses(spark, sf)))
+
+
+@query("batch_averaged_metrics")
+def q_batch_metrics(spark, sf):
+    return normalize(ev.batch_averaged_metrics(_seq_losses(spark, sf), N_BATCH))
+
+
+@query("objective")
+def q_objective(spark, sf):
+    return normalize(ev.objective(_clf_losses(spark, sf), _seq_losses(spark, sf), LM_COEF))
+
+
+@query("every_n_steps")
+def q_every_n_steps(spark, sf):
+    m = _seq_losses(spark, sf).select(F.col("row_idx").alias("step"),
+                                      F.lit("loss").alias("name"), F.col("loss").alias("value"))
+    return normalize(ev.every_n_steps(m, LOG_EVERY))
+
+
+@query("embedding_lookup_sum")
+def q_embedding_lookup_sum(spark, sf):
+    p = prepared(spark, sf, "char")
+    pairs = doc_pairs(spark, sf)
+    ra = vb.unk_replace(pairs.select(F.col("pair_id"), F.lit(0).alias("side"),
+                                     F.col("a").alias("text"))
+                        .unionByName(pairs.select(F.col("pair_id"), F.lit(1).alias("side"),
+                                                  F.col("b").alias("text"))),
+                        p.vocab, p.n_vocab, "char", keys=("pair_id", "side"))
+    wide = ra.groupBy("pair_id").agg(
+        F.max(F.when(F.col("side") == 0, F.col("text"))).alias("a"),
+        F.max(F.when(F.col("side") == 1, F.col("text"))).alias("b"))
+    table = vb.add_specials(p.vocab, p.n_vocab)
+    enc = vb.encode_fields(wide, ["a", "b"], table, p.n_vocab + 3)
+    sp = vb.special_ids(p.n_vocab)
+    framed = pr.frame_pairs(enc, CLF_N_CTX, sp[vb.START], sp[vb.DELIMITER], sp[vb.END])
+    emb = src.read_table(spark, sf, "embeddings")
+    h = lm.embedding_lookup_sum(framed, emb, p.n_vocab, emb.count())
+    return normalize(h.select(
+        "pair_id", "ord", "pos", "id", "pos_id", F.size("h").alias("dim"),
+        F.round(F.aggregate("h", F.lit(0.0), lambda a, x: a + x), 4).alias("h_sum"),
+        F.round(F.aggregate("h", F.lit(0.0), lambda a, x: a + x * x), 4).alias("h_sq")))
+
+
+@query("score_pairs")
+def q_score_pairs(spark, sf):
+    ip = indexed_pairs(spark, sf)
+    sp = split.split_by_index(ip, _split_index(ip))
+    model = clf.fit_pair_classifier(sp.where(F.col("split") == "train"))
+    scored = clf.score_pairs(model, sp.withColumnRenamed("pair_id", "index"), key="index")
+    return normalize(scored.select("index", "split", "label", "pred"))
+
+
+@query("pair_f1")
+def q_pair_f1(spark, sf):
+    s = q_score_pairs(spark, sf).where((F.col("split") == "dev") & (F.col("label") >= 0))
+    return normalize(ev.f1(s.withColumnRenamed("label", "y")))
