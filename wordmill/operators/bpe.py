@@ -90,21 +90,24 @@ def merge_pair(words: DataFrame, left: str, right: str) -> DataFrame:
     return words.withColumn("w", merge_expr(F.col("w"), [(left, right)]))
 
 
-def _stats_with_bounds(stats: DataFrame) -> DataFrame:
-    """Pairs with the largest count of any pair ending in ``l`` and any pair starting with
-    ``r`` (the most a pair created by merging (l, r) can be seen)."""
-    into = stats.groupBy(F.col("r").alias("_s")).agg(F.max("n").alias("in_l"))
-    outof = stats.groupBy(F.col("l").alias("_s")).agg(F.max("n").alias("out_r"))
-    return (stats.join(into, stats["l"] == into["_s"], "left").drop("_s")
-            .join(outof, stats["r"] == outof["_s"], "left").drop("_s"))
-
-
-def choose_batch(top: list, produced: set, remaining: int) -> list:
+def symbol_bounds(stats: DataFrame, symbols) -> dict:
+    """For each candidate symbol s: the largest count of a pair ending in s (``in``) and of a
+    pair starting with s (``out``): the most a pair created next to a merge can be seen.
+    Bounded by the number of candidate symbols."""
+    syms = list(symbols)
+    into = stats.where(F.col("r").isin(syms)).groupBy(F.col("r").alias("s")) \
+        .agg(F.max("n").alias("m")).withColumn("side", F.lit("in"))
+    outof = stats.where(F.col("l").isin(syms)).groupBy(F.col("l").alias("s")) \
+        .agg(F.max("n").alias("m")).withColumn("side", F.lit("out"))
+    return {(r["side"], r["s"]): r["m"] for r in into.unionByName(outof).collect()}
+
+
+def choose_batch(top: list, bounds: dict, produced: set, remaining: int) -> list:
     """Longest prefix of the ranked candidates that one-at-a-time greedy would also take.
 
     A later pair joins only if it shares no symbol with the pairs taken (so its count is
     unchanged) and its count is strictly above every count a new pair could reach (bounded by
-    min(n, in_l) and min(n, out_r) of each taken pair). The batch closes after a pair of two
+    min(n, in(l)) and min(n, out(r)) of each taken pair). The batch closes after a pair of two
     equal symbols, or one whose merged string already exists as a symbol.
     """
     taken: list = []
@@ -112,13 +115,14 @@ def choose_batch(top: list, produced: set, remaining: int) -> list:
     bound = 0
     for row in top:
         l, r, n = row["l"], row["r"], row["n"]
+        in_l, out_r = bounds.get(("in", l), 0), bounds.get(("out", r), 0)
         if len(taken) >= remaining or n < MIN_PAIR_COUNT:
             break
         if taken and (l in used or r in used or n <= bound):
             break
         taken.append((l, r, n))
         used.update((l, r))
-        bound = max(bound, min(n, row["in_l"] or 0), min(n, row["out_r"] or 0))
+        bound = max(bound, min(n, in_l), min(n, out_r))
         m = l + r
         close = l == r or m in produced or m == END_OF_WORD
         produced.add(m)
@@ -128,7 +132,7 @@ def choose_batch(top: list, produced: set, remaining: int) -> list:
 
 
 def learn_bpe(words: DataFrame, n_merges: int = DEFAULT_MERGES, k: int = 64,
-              checkpoint_every: int = 8, batch: bool = True) -> DataFrame:
+              checkpoint_every: int = 8, batch: bool = True, log=None) -> DataFrame:
     """B3 + B4: ranked merge codes ``(rank, left, right, n)``.
 
     Ties between equally frequent pairs go to the smaller (left, right) (a fixed rule where the
@@ -136,25 +140,32 @@ def learn_bpe(words: DataFrame, n_merges: int = DEFAULT_MERGES, k: int = 64,
     seen fewer than twice. Only the <= k top pairs of a pass reach the driver.
     """
     spark = words.sparkSession
-    cur = cut_lineage(words.select("word", "freq", "w"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cur = cut_lineage(words.select("word", "freq", "w").repartition(parts))
     prev = None
     produced: set = set()
     codes: list = []
     passes = 0
     while len(codes) < n_merges:
-        top = (_stats_with_bounds(pair_stats(cur)).orderBy(*pair_order())
-               .limit(k if batch else 1).collect())
+        stats = pair_stats(cur).persist()
+        top = stats.orderBy(*pair_order()).limit(k if batch else 1).collect()
         if prev is not None:          # ``cur`` is materialised now; its parent can go
             prev.unpersist()
             prev = None
         if not top or top[0]["n"] < MIN_PAIR_COUNT:
+            stats.unpersist()
             break
-        if batch:
-            taken = choose_batch(top, produced, n_merges - len(codes))
+        if batch and len(top) > 1 and n_merges - len(codes) > 1:
+            cand = {x for row in top for x in (row["l"], row["r"])}
+            taken = choose_batch(top, symbol_bounds(stats, cand), produced,
+                                 n_merges - len(codes))
         else:
             taken = [(top[0]["l"], top[0]["r"], top[0]["n"])]
             produced.add(taken[0][0] + taken[0][1])
+        stats.unpersist()
         codes.extend(taken)
+        if log is not None:
+            log(f"pass {passes}: +{len(taken)} merges (total {len(codes)}), best n={top[0]['n']}")
         nxt = cur.withColumn("w", merge_expr(F.col("w"), [(l, r) for l, r, _ in taken]))
         passes += 1
         if passes % checkpoint_every == 0:

@@ -49,20 +49,42 @@ def corpus_tokens(lines: DataFrame, mode: str = "word", keys=LINE_KEY) -> DataFr
     return lines.select(*keys, F.posexplode(count_tokens_col("text", mode)).alias("pos", "token"))
 
 
+_DOC_SHIFT = "CAST(9223372036854775808 AS DECIMAL(38,0))"    # 2^63: doc ids may be negative
+_LINE_SCALE = "CAST(4611686018427387904 AS DECIMAL(38,0))"   # 2^62: room for (line, pos)
+
+
+def first_seen_key(doc, line, pos) -> Column:
+    """(doc, line, pos) packed into one decimal(38,0) that orders like the tuple.
+
+    A fixed-width key keeps ``min`` in a hash aggregate (a struct minimum falls back to a
+    sort-based aggregate, which sorts every token of every map task). line and pos are ints.
+    """
+    inner = (F.col(line).cast("long") * F.lit(2 ** 31) + F.col(pos).cast("long"))
+    return ((F.col(doc).cast("decimal(38,0)") + F.expr(_DOC_SHIFT)) * F.expr(_LINE_SCALE)
+            + inner.cast("decimal(38,0)"))
+
+
+def _unpack_first_seen(k: Column) -> list:
+    inner = F.pmod(k, F.expr(_LINE_SCALE)).cast("long")
+    doc = (((k - inner.cast("decimal(38,0)")) / F.expr(_LINE_SCALE)).cast("decimal(38,0)")
+           - F.expr(_DOC_SHIFT)).cast("long")
+    return [doc.alias("first_doc_id"),
+            F.floor(inner / F.lit(2 ** 31)).cast("long").alias("first_line_no"),
+            F.pmod(inner, F.lit(2 ** 31)).cast("int").alias("first_pos")]
+
+
 def token_counts(lines: DataFrame, mode: str = "word", keys=LINE_KEY) -> DataFrame:
     """A1: frequency per token plus the first position it was seen at.
 
     The first position is reported as ``first_doc_id, first_line_no, first_pos`` whatever the
     two line-key columns are called (file order = key order). Partial aggregation runs
-    map-side, so a hot token costs one row per map task in the shuffle, not one per occurrence.
+    map-side in a hash aggregate, so a hot token costs one row per map task in the shuffle,
+    not one per occurrence.
     """
     toks = corpus_tokens(lines, mode, keys)
-    first = F.min(F.struct(*[F.col(k) for k in keys], F.col("pos"))).alias("_first")
-    agg = toks.groupBy("token").agg(F.count(F.lit(1)).alias("freq"), first)
-    names = ("first_doc_id", "first_line_no")
-    return agg.select("token", "freq",
-                      *[F.col("_first")[k].alias(nm) for k, nm in zip(keys, names)],
-                      F.col("_first")["pos"].alias("first_pos"))
+    agg = toks.groupBy("token").agg(F.count(F.lit(1)).alias("freq"),
+                                    F.min(first_seen_key(keys[0], keys[1], "pos")).alias("_k"))
+    return agg.select("token", "freq", *_unpack_first_seen(F.col("_k")))
 
 
 def corpus_totals(lines: DataFrame, mode: str = "word") -> DataFrame:

@@ -13,7 +13,8 @@ BROADCAST_MAX_ROWS = 2_000_000
 
 
 def get_session(app: str = "wordmill", master: str | None = None,
-                shuffle_partitions: int | None = None) -> SparkSession:
+                shuffle_partitions: int | None = None,
+                driver_memory: str | None = None) -> SparkSession:
     """Create (or reuse) a session with AQE on and the UI off.
 
     On a cluster the master, memory and checkpoint folder come from spark-submit; here we only
@@ -24,6 +25,8 @@ def get_session(app: str = "wordmill", master: str | None = None,
         b = b.master(master)
     cpus = os.environ.get("BENCH_CPUS")
     parts = shuffle_partitions or (int(cpus) if cpus else 8)
+    if driver_memory:
+        b = b.config("spark.driver.memory", driver_memory)
     b = (b.config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.shuffle.partitions", str(parts))

@@ -33,8 +33,20 @@ def read_corpus(src, spark: SparkSession | None = None, text: str = "text",
                  .select(F.input_file_name().alias("_f"), F.col("value").alias(text)))
         from wordmill.operators.rows import dense_index
         src = dense_index(files, [F.col("_f")], name=key).drop("_f")
-    return src.select(F.col(key).alias("doc_id"),
-                      F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "text"))
+    src = spread_small_scan(src.select(F.col(key).alias("doc_id"), F.col(text).alias("text")))
+    return src.select("doc_id", F.posexplode(F.split(F.col("text"), "\n")).alias("line_no", "text"))
+
+
+def spread_small_scan(df: DataFrame) -> DataFrame:
+    """Round-robin a scan that has fewer partitions than the cluster has cores.
+
+    A large input is already split by files and row groups and is left alone (no shuffle);
+    a small one (a few row groups) would otherwise run its tokenisation on a few cores.
+    """
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < par:
+        return df.repartition(2 * par)
+    return df
 
 
 def read_pairs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
