@@ -67,3 +67,18 @@ def test_bigram_lm_matches_counts(spark):
     assert abs(pos[1]["loss"] + math.log(2 / 9)) < 1e-12
     seq = ev.masked_seq_loss(lm.score_ngram_lm(dev, b, t, 6, 1.0)).first()["loss"]
     assert abs(seq - (pos[0]["loss"] + pos[1]["loss"]) / 2) < 1e-12
+
+
+def test_pair_classifier_learns_shared_tokens(spark):
+    from wordmill.operators import classifier as clf
+    rows = []
+    for i in range(40):
+        if i % 2:
+            rows.append((i, f"red apple {i}", f"red apple {i + 1}", 1))
+        else:
+            rows.append((i, f"blue sky {i}", f"green sea {i + 1}", 0))
+    pairs = spark.createDataFrame(rows, "index long, a string, b string, label int")
+    model = clf.fit_pair_classifier(pairs, max_iter=50)
+    scored = clf.score_pairs(model, pairs, key="index")
+    f = ev.f1(scored.withColumnRenamed("label", "y")).first()
+    assert scored.count() == 40 and f["f1"] == 100.0

@@ -87,3 +87,10 @@ def test_remove_none_and_flatten(spark):
     assert df.select(tx.flatten("x")).first()[0] == ["a", "b", "c"]
     df = spark.createDataFrame([(["a", None, "b"],)], "x array<string>")
     assert df.select(tx.remove_none("x")).first()[0] == ["a", "b"]
+
+
+def test_project_with_optional_label(spark):
+    with_label = spark.createDataFrame([("x", "y", 1, 9)], "a string, b string, label int, z int")
+    without = spark.createDataFrame([("x", "y", 9)], "a string, b string, z int")
+    assert tx.project_with_optional_label(with_label).columns == ["a", "b", "label"]
+    assert tx.project_with_optional_label(without).columns == ["a", "b"]

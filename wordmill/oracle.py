@@ -411,10 +411,10 @@ SELECT word, freq,
 FROM merged"""
 
 
-def _learn_sql(n: int) -> str:
-    """n one-at-a-time greedy merge steps, unrolled."""
+def _learn_sql(n: int, src: str = "wsym") -> str:
+    """n one-at-a-time greedy merge steps, unrolled, over the words of ``src``."""
     parts = [f"""w0 AS (SELECT word, freq,
-         chr(28) || array_to_string(s, chr(29) || chr(28)) || chr(29) AS w FROM wsym)"""]
+         chr(28) || array_to_string(s, chr(29) || chr(28)) || chr(29) AS w FROM {src})"""]
     for k in range(n):
         parts.append(f"""s{k} AS (
   SELECT l, r, CAST(sum(freq) AS BIGINT) AS n
@@ -469,14 +469,14 @@ TOPCODES = """topcodes AS (
   FROM (SELECT l, r, n FROM wstats ORDER BY n DESC, l, r LIMIT 50))"""
 
 
-def _fold_sql(codes_cte: str) -> str:
+def _fold_sql(codes_cte: str, src: str = "wsym") -> str:
     return f"""{codes_cte},
 folded AS (
   SELECT word, string_split(substr(m, 2, length(m) - 2), chr(29) || chr(28)) AS sy
   FROM (SELECT word,
                list_reduce(c.cl, lambda acc, x: replace(acc, x.f, x.t),
                            chr(28) || array_to_string(s, chr(29) || chr(28)) || chr(29)) AS m
-        FROM wsym, {codes_cte.split(' AS')[0]} c)),
+        FROM {src}, {codes_cte.split(' AS')[0]} c)),
 segmented AS (
   SELECT word,
          CASE WHEN sy[len(sy)] = '</w>' THEN sy[1:len(sy) - 1]
@@ -717,3 +717,136 @@ FROM (SELECT (SELECT avg(loss) FROM wce) AS c, (SELECT avg(loss) FROM slosses) A
 ORACLE["every_n_steps"] = _with(*LMCTE) + """
 SELECT row_idx AS step, 'loss' AS name, round(loss, 6) AS value FROM slosses
 WHERE row_idx % 100 = 0"""
+
+# Char vocabulary of the corpus; both pair sides char-unk-replaced, encoded with the
+# specials, framed both ways (n_ctx 73), then token and position vectors added per position.
+CNV = "(SELECT count(*) FROM cvocab)"
+J9 = f"""pst AS (SELECT pair_id, 0 AS side, a AS text FROM pairs
+        UNION ALL SELECT pair_id, 1 AS side, b AS text FROM pairs),
+pch AS (
+  SELECT pair_id, side, generate_subscripts(t, 1) AS pos, unnest(t) AS ch
+  FROM (SELECT pair_id, side,
+               string_split(regexp_replace(text, '^{WS}+|{WS}+$', '', 'g'), '') AS t FROM pst)),
+punk AS (
+  SELECT s.pair_id, s.side, coalesce(r.text, '') AS text
+  FROM pst s LEFT JOIN (
+    SELECT c.pair_id, c.side,
+           string_agg(CASE WHEN c.ch = '' OR regexp_full_match(c.ch, '{WS}') THEN ''
+                           WHEN v.id IS NULL THEN 'UNK' ELSE c.ch END, ' ' ORDER BY c.pos) AS text
+    FROM pch c LEFT JOIN cvocab v ON v.token = c.ch AND v.id > 0
+    GROUP BY c.pair_id, c.side) r
+  ON s.pair_id = r.pair_id AND s.side = r.side),
+cspecials AS (
+  SELECT id, token FROM cvocab
+  UNION ALL SELECT {CNV}, '_start_' UNION ALL SELECT {CNV} + 1, '_delimiter_'
+  UNION ALL SELECT {CNV} + 2, '_end_'),
+penc AS (
+  SELECT p.pair_id, p.side, list(coalesce(s.id, 0) ORDER BY p.pos) AS ids
+  FROM (SELECT pair_id, side, generate_subscripts(t, 1) AS pos, unnest(t) AS token
+        FROM (SELECT pair_id, side, string_split(text, ' ') AS t FROM punk)) p
+  LEFT JOIN cspecials s ON s.token = p.token
+  GROUP BY p.pair_id, p.side),
+pfr AS (
+  SELECT x.pair_id, o.ord,
+         CASE WHEN o.ord = 0
+              THEN list_concat([v.v], x.ids[1:35], [v.v + 1], y.ids[1:35], [v.v + 2])
+              ELSE list_concat([v.v], y.ids[1:35], [v.v + 1], x.ids[1:35], [v.v + 2]) END AS ids
+  FROM penc x JOIN penc y ON x.pair_id = y.pair_id AND x.side = 0 AND y.side = 1,
+       (SELECT range AS ord FROM range(2)) o, (SELECT {CNV} AS v) v),
+ppos AS (
+  SELECT pair_id, ord, CAST(generate_subscripts(ids, 1) - 1 AS BIGINT) AS pos,
+         unnest(ids) AS id
+  FROM pfr),
+hvec AS (
+  SELECT p.pair_id, p.ord, p.pos, p.id, p.pos + {CNV} + 3 AS pos_id,
+         list_transform(list_zip(t.embedding, q.embedding),
+                        lambda z: CAST(z[1] AS DOUBLE) + CAST(z[2] AS DOUBLE)) AS h
+  FROM ppos p JOIN embeddings t ON t.vec_id = p.id
+  JOIN embeddings q ON q.vec_id = p.pos + {CNV} + 3)"""
+
+ORACLE["embedding_lookup_sum"] = _with(LINES, CTOK, CCOUNTS, CVOCAB, PAIRS, J9) + """
+SELECT pair_id, ord, pos, CAST(id AS BIGINT) AS id, CAST(pos_id AS BIGINT) AS pos_id,
+       CAST(len(h) AS BIGINT) AS dim,
+       round(round(list_reduce(h, lambda a, x: a + x), 4), 6) AS h_sum,
+       round(round(list_reduce(list_transform(h, lambda x: x * x), lambda a, x: a + x), 4), 6)
+         AS h_sq
+FROM hvec"""
+
+
+# ------------------------------------------------------------------ S2-S12 round trips, R1
+ORACLE["pairs_tsv_roundtrip"] = _with(PAIRS) + """
+SELECT p[1] AS a, p[2] AS b,
+       CAST(CASE WHEN len(p) < 3 THEN -1 ELSE CAST(p[len(p)] AS INTEGER) END AS BIGINT) AS label
+FROM (SELECT string_split(a || chr(9) || b || chr(9) || CAST(label AS VARCHAR), chr(9)) AS p
+      FROM pairs)"""
+
+ORACLE["inference_pairs_roundtrip"] = _with(PAIRS) + """
+SELECT coalesce(p[1], '') AS "index", coalesce(p[2], '') AS a, coalesce(p[3], '') AS b
+FROM (SELECT string_split(CAST(pair_id AS VARCHAR) || chr(9) || a || chr(9) || b, chr(9)) AS p
+      FROM pairs)"""
+
+ORACLE["vocab_roundtrip"] = ORACLE["vocab_word"]
+
+ORACLE["counts_roundtrip"] = _with(LINES, WTOK, WCOUNTS) + "SELECT token, freq FROM wcounts"
+
+ORACLE["codes_roundtrip"] = _with(*_BPE) + """
+SELECT CAST(row_number() OVER (ORDER BY n DESC, l, r) - 1 AS BIGINT) AS rank,
+       l AS "left", r AS "right"
+FROM wstats ORDER BY n DESC, l, r LIMIT 50"""
+
+ORACLE["split_roundtrip"] = ORACLE["prepare_corpus"]
+
+ORACLE["sequences_roundtrip"] = ORACLE["prepare_sequences"]
+
+ORACLE["split_index_roundtrip"] = _with(PAIRS) + \
+    "SELECT row_idx FROM ipairs WHERE row_idx % 10 = 0"
+
+ORACLE["metrics_roundtrip"] = _with(*LMCTE) + """
+SELECT row_idx AS step, 'loss' AS name, round(loss, 6) AS value, true AS stamped FROM slosses"""
+
+ORACLE["predictions_roundtrip"] = _with(LOGITS) + """
+SELECT CAST(id AS VARCHAR) AS "index", CAST(pred AS VARCHAR) AS label FROM ce"""
+
+ORACLE["stream_token_counts"] = _with(LINES, WTOK) + \
+    "SELECT token, count(*) AS freq FROM wtok GROUP BY token"
+
+
+# Stacked pair corpus -> 20 learned merges -> segmentation -> tokens seen >= 10 times ->
+# unk replacement -> first/second half -> labels pasted by row.
+STACK = f"""st AS (SELECT 0 AS side, row_idx, a AS text FROM ipairs
+       UNION ALL SELECT 1 AS side, row_idx, b AS text FROM ipairs),
+stok AS (
+  SELECT side, row_idx, generate_subscripts(t, 1) AS pos, unnest(t) AS token
+  FROM (SELECT side, row_idx,
+               list_filter(regexp_split_to_array(text, '{WS}+'), lambda x: x <> '') AS t
+        FROM st)),
+ssym AS (SELECT token AS word, count(*) AS freq,
+                list_append(string_split(token, ''), '</w>') AS s
+         FROM stok GROUP BY token)"""
+
+ORACLE["subword_chain"] = _with(PAIRS, STACK, _learn_sql(20, "ssym"),
+                                _fold_sql(LEARNEDCODES, "ssym")) + f""",
+sseg AS (
+  SELECT s.side, s.row_idx, coalesce(r.text, '') AS text
+  FROM st s LEFT JOIN (
+    SELECT t.side, t.row_idx, string_agg(g.seg, ' ' ORDER BY t.pos) AS text
+    FROM stok t JOIN segform g ON g.word = t.token GROUP BY t.side, t.row_idx) r
+  ON s.side = r.side AND s.row_idx = r.row_idx),
+sgt AS (
+  SELECT side, row_idx, generate_subscripts(t, 1) AS pos, unnest(t) AS token
+  FROM (SELECT side, row_idx,
+               list_filter(regexp_split_to_array(text, '{WS}+'), lambda x: x <> '') AS t
+        FROM sseg)),
+svoc AS (SELECT token FROM sgt GROUP BY token HAVING count(*) >= 10
+         AND token NOT IN ('UNK', '_start_', '_delimiter_', '_end_')),
+sunk AS (
+  SELECT s.side, s.row_idx, coalesce(r.text, '') AS text
+  FROM st s LEFT JOIN (
+    SELECT t.side, t.row_idx,
+           string_agg(CASE WHEN v.token IS NULL THEN 'UNK' ELSE t.token END, ' '
+                      ORDER BY t.pos) AS text
+    FROM sgt t LEFT JOIN svoc v ON v.token = t.token GROUP BY t.side, t.row_idx) r
+  ON s.side = r.side AND s.row_idx = r.row_idx)
+SELECT x.row_idx, x.text AS a, y.text AS b, p.label
+FROM sunk x JOIN sunk y ON x.row_idx = y.row_idx AND x.side = 0 AND y.side = 1
+     JOIN ipairs p ON p.row_idx = x.row_idx"""

@@ -780,3 +780,128 @@ def q_score_pairs(spark, sf):
 def q_pair_f1(spark, sf):
     s = q_score_pairs(spark, sf).where((F.col("split") == "dev") & (F.col("label") >= 0))
     return normalize(ev.f1(s.withColumnRenamed("label", "y")))
+
+
+# ------------------------------------------------------------------ S2-S12 round trips, R1, R2
+
+import uuid  # noqa: E402
+
+from wordmill.session import scratch_path  # noqa: E402
+from wordmill.streaming import stream as stm  # noqa: E402
+
+
+def _scratch(spark, name):
+    return scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+@query("pairs_tsv_roundtrip")
+def q_pairs_tsv(spark, sf):
+    """Labelled pairs written as unquoted TSV and read back (label = last field)."""
+    path = _scratch(spark, "pairs")
+    src.write_pairs(doc_pairs(spark, sf), path)
+    pairs, _ = src.read_pairs(spark, path)
+    return normalize(pairs.select("a", "b", "label"))
+
+
+@query("inference_pairs_roundtrip")
+def q_inference_pairs(spark, sf):
+    """S3: ``index, A, B`` TSV read with no header and no quoting."""
+    path = _scratch(spark, "inference")
+    doc_pairs(spark, sf).select(F.concat_ws("\t", F.col("pair_id").cast("string"), "a", "b")
+                                .alias("value")).write.text(path)
+    return normalize(src.read_inference_pairs(spark, path))
+
+
+@query("vocab_roundtrip")
+def q_vocab_roundtrip(spark, sf):
+    """Vocabulary persisted as (id, token) and loaded back."""
+    path = _scratch(spark, "vocab")
+    src.write_vocab(prepared(spark, sf, "word").vocab, path, path + "-text")
+    return normalize(src.read_vocab(spark, path))
+
+
+@query("counts_roundtrip")
+def q_counts_roundtrip(spark, sf):
+    """``token count`` lines written and parsed back."""
+    path = _scratch(spark, "counts")
+    src.write_counts(vb.token_counts(lines(spark, sf), "word"), path)
+    return normalize(src.read_counts(spark, path))
+
+
+@query("codes_roundtrip")
+def q_codes_roundtrip(spark, sf):
+    """Ranked merge codes persisted and loaded back."""
+    path = _scratch(spark, "codes")
+    src.write_codes(_top_codes(spark, sf), path)
+    return normalize(src.read_codes(spark, path))
+
+
+@query("split_roundtrip")
+def q_split_roundtrip(spark, sf):
+    """The prepared corpus written with one folder per split and read back."""
+    path = _scratch(spark, "split")
+    src.write_split(prepared(spark, sf, "word").corpus, path)
+    return normalize(spark.read.parquet(path).select("doc_id", "line_no", "split", "text"))
+
+
+@query("sequences_roundtrip")
+def q_sequences_roundtrip(spark, sf):
+    """Sequences written by shard and read back in (shard, row_idx) order."""
+    path = _scratch(spark, "sequences")
+    src.write_sequences(_sequences(spark, sf), path)
+    s = src.read_sequences(spark, path)
+    return normalize(s.select("row_idx", "shard", ids_str("ids").alias("ids")))
+
+
+@query("split_index_roundtrip")
+def q_split_index_roundtrip(spark, sf):
+    """The dev index (every 10th pair row) as a one-column table."""
+    path = _scratch(spark, "index")
+    _split_index(indexed_pairs(spark, sf)).write.parquet(path)
+    return normalize(src.read_split_index(spark, path))
+
+
+@query("metrics_roundtrip")
+def q_metrics_roundtrip(spark, sf):
+    """Per-sequence dev losses appended as JSON metric records (time stamped)."""
+    path = _scratch(spark, "metrics")
+    m = _seq_losses(spark, sf).select(F.col("row_idx").alias("step"),
+                                      F.lit("loss").alias("name"), F.col("loss").alias("value"))
+    src.append_metrics(m, path)
+    back = src.read_metrics(spark, path)
+    return normalize(back.select("step", "name", "value",
+                                 F.col("ts").isNotNull().alias("stamped")))
+
+
+@query("predictions_roundtrip")
+def q_predictions_roundtrip(spark, sf):
+    """``index \\t label`` predictions (argmax of the logits) written and read back."""
+    path = _scratch(spark, "pred")
+    src.write_predictions(_clf_losses(spark, sf).select(F.col("id").alias("index"),
+                                                        F.col("pred").alias("label")), path)
+    back = spark.read.option("sep", "\t").schema("index string, label string").csv(path)
+    return normalize(back)
+
+
+@query("stream_token_counts")
+def q_stream_token_counts(spark, sf):
+    """Running counts after the stream has consumed every arriving document file."""
+    name = f"wm_stream_counts_{uuid.uuid4().hex[:8]}"
+    q = stm.start_token_counts(stm.read_document_stream(spark, sf.rstrip("/") + "/documents*.parquet"),
+                               name)
+    q.awaitTermination()
+    return normalize(spark.table(name))
+
+
+@query("stream_encode")
+def q_stream_encode(spark, sf):
+    """R2: streamed lines segmented (50 best initial pairs), unk-replaced, encoded, framed."""
+    ln = lines(spark, sf)
+    codes = _top_codes(spark, sf)
+    v, n = pp.build_vocab(bpe.segment_text(ln, codes), "word", vb.MIN_COUNT_PREPARE)
+    out = _scratch(spark, "stream-encode")
+    q = stm.start_stream_encode(stm.read_document_stream(spark, sf.rstrip("/") + "/documents*.parquet"),
+                                codes, v, n, out, f"wm_encode_{uuid.uuid4().hex[:8]}", N_CTX)
+    q.awaitTermination()
+    e = spark.read.parquet(out)
+    return normalize(e.select("doc_id", "line_no", ids_str("ids").alias("ids")))

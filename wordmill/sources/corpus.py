@@ -78,9 +78,10 @@ INFERENCE_SCHEMA = T.StructType([T.StructField("index", T.StringType()),
 
 
 def read_inference_pairs(spark: SparkSession, path: str) -> DataFrame:
-    """S3: TSV ``index, A, B``; no header, no quoting."""
-    return (spark.read.option("sep", "\t").option("header", "false").option("quote", "")
-            .schema(INFERENCE_SCHEMA).csv(path))
+    """S3: TSV ``index, A, B``; no header, no quoting; empty or missing fields read as ''."""
+    df = (spark.read.option("sep", "\t").option("header", "false").option("quote", "")
+          .schema(INFERENCE_SCHEMA).csv(path))
+    return df.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in df.columns])
 
 
 def write_vocab(vocab: DataFrame, path: str, text_path: str | None = None) -> None:
