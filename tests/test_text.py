@@ -43,6 +43,16 @@ def test_whitespace_rules_match_python_on_corpus(spark):
         assert r["s"] == r["text"].strip()
 
 
+def test_whitespace_constants_are_pythons(spark):
+    ws = "".join(chr(c) for c in range(0x110000) if chr(c).isspace())
+    assert tx.WS_CHARS == ws
+    probe = list(ws) + ["a", "_", "\u200b", "\x00", "\ufeff", "\u180e"]
+    df = spark.createDataFrame([(c,) for c in probe], "c string")
+    got = {r["c"]: r["m"] for r in df.select("c", F.col("c").rlike("^" + tx.WS_CLASS + "$")
+                                             .alias("m")).collect()}
+    assert got == {c: c.isspace() for c in probe}
+
+
 def test_number_tags(spark):
     out = one(spark, tx.tag_numbers("text"), "tel 138****1234 x***")
     assert out == "tel  #num  x #num "

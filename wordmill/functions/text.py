@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 # Spark's trim strips only U+0020 and Java's \s is ASCII-only, so the class is spelled out.
 WS_CLASS = (r"[\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
             r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
+# The same 29 characters as a plain string (for translate/btrim, which need no regex engine).
+WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+            "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+            "\u2028\u2029\u202f\u205f\u3000")
 # Punctuation marks that become their own tokens in the symbol cleaner (ASCII '*' and '\' are
 # not in the set). Written Java-safe: '[' escaped, '-' escaped.
 SYMBOL_CLASS = "[!“\"#$%&'()+,\\-./:;<=>?@\\[\\]^_`{|}~，。！？、【】「」～；（）：”‘’·－…〈〉』『]"
@@ -40,14 +44,28 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def ws_to_space(text) -> Column:
+    """Every whitespace character becomes U+0020 (a character map, no regex)."""
+    return F.translate(_c(text), WS_CHARS, " " * len(WS_CHARS))
+
+
 def word_tokens(text) -> Column:
-    """Split on runs of Unicode whitespace, dropping empties (Python ``str.split()``)."""
-    return F.array_remove(F.split(_c(text), WS_CLASS + "+"), "")
+    """Split on runs of Unicode whitespace, dropping empties (Python ``str.split()``).
+
+    Whitespace is mapped to U+0020 and split on that one literal character (the non-regex
+    split path); the empty strings between consecutive spaces are removed.
+    """
+    return F.array_remove(F.split(ws_to_space(text), " "), "")
 
 
 def strip(text) -> Column:
-    """Unicode strip of both ends (Python ``str.strip()``)."""
-    return F.regexp_replace(_c(text), "^" + WS_CLASS + "+|" + WS_CLASS + "+$", "")
+    """Unicode strip of both ends (Python ``str.strip()``), a character-set trim."""
+    return F.btrim(_c(text), F.lit(WS_CHARS))
+
+
+def drop_ws(text) -> Column:
+    """Delete every whitespace character."""
+    return F.translate(_c(text), WS_CHARS, "")
 
 
 def chars(text) -> Column:

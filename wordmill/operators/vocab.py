@@ -9,7 +9,7 @@ shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordmill.functions import text as tx
@@ -40,7 +40,7 @@ def count_tokens_col(text, mode: str) -> Column:
     if mode == "word":
         return tx.word_tokens(text)
     if mode == "char":
-        return F.array_remove(tx.chars(F.regexp_replace(tx._c(text), tx.WS_CLASS, "")), "")
+        return F.array_remove(tx.chars(tx.drop_ws(text)), "")
     raise ValueError(f"mode must be 'word' or 'char', not {mode!r}")
 
 
@@ -119,18 +119,34 @@ def counts_by_frequency(counts: DataFrame) -> DataFrame:
     return dense_index(counts, frequency_order(), name="rank")
 
 
-def assign_vocab_ids(counts: DataFrame, min_freq: int = MIN_COUNT_PREPARE) -> DataFrame:
+# Above this many kept tokens, vocabulary ids come from distributed dense numbering instead of
+# one sorted window partition.
+WINDOW_MAX_ROWS = 1_000_000
+
+
+def assign_vocab_ids(counts: DataFrame, min_freq: int = MIN_COUNT_PREPARE,
+                     n_kept: int | None = None) -> DataFrame:
     """Id 0 = UNK, then 1.. by (freq desc, first seen) over tokens with freq >= min_freq.
 
     Reserved strings never take an id of their own (a literal ``UNK`` in the text is UNK).
+    With a checked count of kept tokens at most ``WINDOW_MAX_ROWS`` the ids come from one
+    ``row_number`` window (a small sort); otherwise from distributed dense numbering.
     """
     kept = min_count(counts, min_freq).where(~F.col("token").isin(*RESERVED))
-    ranked = dense_index(kept, frequency_order(), name="_r")
+    if n_kept is not None and n_kept <= WINDOW_MAX_ROWS:
+        ranked = kept.withColumn("_r", F.row_number().over(Window.orderBy(*frequency_order())) - 1)
+    else:
+        ranked = dense_index(kept, frequency_order(), name="_r")
     body = ranked.select((F.col("_r") + 1).cast("int").alias("id"), "token")
     unk = counts.sparkSession.createDataFrame([(0, UNK)], "id int, token string")
     return unk.unionByName(body)
 
 
+def kept_tokens(counts: DataFrame, min_freq: int) -> DataFrame:
+    """Tokens that can enter a vocabulary (freq >= min_freq, not reserved)."""
+    return min_count(counts, min_freq).where(~F.col("token").isin(*RESERVED))
+
+
 def add_specials(vocab: DataFrame, n_vocab: int) -> DataFrame:
     """The three reserved rows at V, V+1, V+2 (V = vocabulary rows including UNK)."""
     spark = vocab.sparkSession

@@ -27,20 +27,35 @@ class Prepared:
 
 def build_vocab(lines: DataFrame, mode: str = "word", min_freq: int = vb.MIN_COUNT_PREPARE,
                 materialize: bool = True) -> tuple[DataFrame, int]:
-    """A1 -> A3 -> W1; returns the vocabulary and V."""
-    v = vb.assign_vocab_ids(vb.token_counts(lines, mode), min_freq)
+    """A1 -> A3 -> W1; returns the vocabulary and V (rows including UNK).
+
+    Only the kept tokens (freq >= min_freq) are written to the checkpoint folder; their count
+    is V - 1 and decides how ids are numbered.
+    """
+    kept = vb.kept_tokens(vb.token_counts(lines, mode), min_freq)
+    if materialize:
+        kept = cut_lineage(kept)
+    n_kept = kept.count()
+    v = vb.assign_vocab_ids(kept, min_freq, n_kept=n_kept)
     if materialize:
-        v = cut_lineage(v)
-    return v, v.count()
+        v = v.cache()
+    return v, n_kept + 1
 
 
 def prepare_corpus(lines: DataFrame, mode: str = "word", min_freq: int = vb.MIN_COUNT_PREPARE,
                    seed: int = split.DEFAULT_SEED, materialize: bool = True) -> Prepared:
-    """Vocabulary, dev rate, unk replacement and the train/dev split of every line."""
+    """Vocabulary, dev rate, unk replacement and the train/dev split of every line.
+
+    With ``materialize`` the split corpus is written once to the checkpoint folder: train
+    encoding, dev encoding and the language model all read it, so the corpus is tokenised and
+    looked up once.
+    """
     v, n_vocab = build_vocab(lines, mode, min_freq, materialize)
     rate = split.dev_rate(lines.count())
     replaced = vb.unk_replace(lines, v, n_vocab, mode)
     corpus = split.random_split(replaced, rate, seed).select("doc_id", "line_no", "split", "text")
+    if materialize:
+        corpus = cut_lineage(corpus)
     return Prepared(v, n_vocab, rate, corpus)
 
 
