@@ -106,3 +106,18 @@ def test_segmentation_properties(spark):
     joined = lines.join(seg.withColumnRenamed("text", "seg"), ["doc_id", "line_no"])
     for r in joined.collect():
         assert r["seg"].replace("@@ ", "").split() == r["text"].split()
+
+
+def test_fold_condition():
+    assert bpe.fold_equals_greedy([("t", "h"), ("th", "e"), ("a", "a")])
+    assert not bpe.fold_equals_greedy([("ab", "c"), ("a", "b")])     # operand made later
+    assert not bpe.fold_equals_greedy([("a", "bc"), ("b", "c"), ("ab", "c")])
+    assert not bpe.fold_equals_greedy([("a", "b"), ("a", "b")])      # same string twice
+
+
+def test_greedy_and_fold_paths_agree_on_text(spark):
+    lines = fixture_lines(spark, 15)
+    codes = bpe.learn_bpe(bpe.word_symbols(lines), 25)
+    a = bpe.segment_text(lines, codes, native=True)
+    b = bpe.segment_text(lines, codes, native=False)
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0

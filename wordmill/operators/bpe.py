@@ -90,38 +90,41 @@ def merge_pair(words: DataFrame, left: str, right: str) -> DataFrame:
     return words.withColumn("w", merge_expr(F.col("w"), [(left, right)]))
 
 
-def symbol_bounds(stats: DataFrame, symbols) -> dict:
-    """For each candidate symbol s: the largest count of a pair ending in s (``in``) and of a
-    pair starting with s (``out``): the most a pair created next to a merge can be seen.
-    Bounded by the number of candidate symbols."""
-    syms = list(symbols)
-    into = stats.where(F.col("r").isin(syms)).groupBy(F.col("r").alias("s")) \
-        .agg(F.max("n").alias("m")).withColumn("side", F.lit("in"))
-    outof = stats.where(F.col("l").isin(syms)).groupBy(F.col("l").alias("s")) \
-        .agg(F.max("n").alias("m")).withColumn("side", F.lit("out"))
-    return {(r["side"], r["s"]): r["m"] for r in into.unionByName(outof).collect()}
-
-
-def choose_batch(top: list, bounds: dict, produced: set, remaining: int) -> list:
+def topk_bounds(top: list, complete: bool) -> tuple:
+    """Upper bounds of the counts of pairs ending in / starting with each symbol, from the
+    top-K pairs alone: a pair outside the list is seen at most as often as the K-th pair."""
+    floor = 0 if complete else top[-1]["n"]
+    into: dict = {}
+    outof: dict = {}
+    for row in top:
+        into[row["r"]] = max(into.get(row["r"], 0), row["n"])
+        outof[row["l"]] = max(outof.get(row["l"], 0), row["n"])
+    return into, outof, floor
+
+
+def choose_batch(top: list, produced: set, remaining: int, complete: bool = False) -> list:
     """Longest prefix of the ranked candidates that one-at-a-time greedy would also take.
 
     A later pair joins only if it shares no symbol with the pairs taken (so its count is
-    unchanged) and its count is strictly above every count a new pair could reach (bounded by
-    min(n, in(l)) and min(n, out(r)) of each taken pair). The batch closes after a pair of two
+    unchanged) and its count is strictly above every count a new pair could reach: merging
+    (l, r) seen n times creates pairs seen at most min(n, max count of a pair ending in l) and
+    min(n, max count of a pair starting with r) times. The batch closes after a pair of two
     equal symbols, or one whose merged string already exists as a symbol.
     """
+    into, outof, floor = topk_bounds(top, complete)
     taken: list = []
     used: set = set()
     bound = 0
     for row in top:
         l, r, n = row["l"], row["r"], row["n"]
-        in_l, out_r = bounds.get(("in", l), 0), bounds.get(("out", r), 0)
         if len(taken) >= remaining or n < MIN_PAIR_COUNT:
             break
         if taken and (l in used or r in used or n <= bound):
             break
         taken.append((l, r, n))
         used.update((l, r))
+        in_l = max(into.get(l, 0), floor)
+        out_r = max(outof.get(r, 0), floor)
         bound = max(bound, min(n, in_l), min(n, out_r))
         m = l + r
         close = l == r or m in produced or m == END_OF_WORD
@@ -131,13 +134,14 @@ def choose_batch(top: list, bounds: dict, produced: set, remaining: int) -> list
     return taken
 
 
-def learn_bpe(words: DataFrame, n_merges: int = DEFAULT_MERGES, k: int = 64,
+def learn_bpe(words: DataFrame, n_merges: int = DEFAULT_MERGES, k: int = 256,
               checkpoint_every: int = 8, batch: bool = True, log=None) -> DataFrame:
     """B3 + B4: ranked merge codes ``(rank, left, right, n)``.
 
     Ties between equally frequent pairs go to the smaller (left, right) (a fixed rule where the
     original falls back to dict order). Stops after ``n_merges`` codes or when the best pair is
-    seen fewer than twice. Only the <= k top pairs of a pass reach the driver.
+    seen fewer than twice. Only the <= k top pairs of a pass reach the driver; each pass is one
+    aggregate (map-side combined) and one TakeOrdered.
     """
     spark = words.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -147,22 +151,17 @@ def learn_bpe(words: DataFrame, n_merges: int = DEFAULT_MERGES, k: int = 64,
     codes: list = []
     passes = 0
     while len(codes) < n_merges:
-        stats = pair_stats(cur).persist()
-        top = stats.orderBy(*pair_order()).limit(k if batch else 1).collect()
+        top = pair_stats(cur).orderBy(*pair_order()).limit(k).collect()
         if prev is not None:          # ``cur`` is materialised now; its parent can go
             prev.unpersist()
             prev = None
         if not top or top[0]["n"] < MIN_PAIR_COUNT:
-            stats.unpersist()
             break
-        if batch and len(top) > 1 and n_merges - len(codes) > 1:
-            cand = {x for row in top for x in (row["l"], row["r"])}
-            taken = choose_batch(top, symbol_bounds(stats, cand), produced,
-                                 n_merges - len(codes))
+        if batch:
+            taken = choose_batch(top, produced, n_merges - len(codes), complete=len(top) < k)
         else:
             taken = [(top[0]["l"], top[0]["r"], top[0]["n"])]
             produced.add(taken[0][0] + taken[0][1])
-        stats.unpersist()
         codes.extend(taken)
         if log is not None:
             log(f"pass {passes}: +{len(taken)} merges (total {len(codes)}), best n={top[0]['n']}")
@@ -259,6 +258,26 @@ def segment_words_fold(words: DataFrame, codes: DataFrame, word: str = "word") -
     return words.select(F.col(word).alias("word"), fixed.alias("subwords"))
 
 
+FOLD_MAX_CODES = 500   # longer code lists use the greedy mapInPandas form
+
+
+def fold_equals_greedy(pairs: list) -> bool:
+    """True when applying the codes in rank order gives the min-rank greedy result: no code has
+    an operand that only a code of the same or a later rank produces, and no two codes (or a
+    code and the end mark) spell the same string. Then greedy merges codes in increasing rank,
+    which is exactly the fold."""
+    made: dict = {}
+    for i, (l, r) in enumerate(pairs):
+        m = l + r
+        if m in made or m == END_OF_WORD:
+            return False
+        made[m] = i
+    for i, (l, r) in enumerate(pairs):
+        if made.get(l, -1) >= i or made.get(r, -1) >= i:
+            return False
+    return True
+
+
 def segmented_form(subwords: Column, sep: str = SEPARATOR) -> Column:
     """Each non-final subword gets the separator; joined by one space."""
     n = F.size(subwords)
@@ -267,12 +286,17 @@ def segmented_form(subwords: Column, sep: str = SEPARATOR) -> Column:
 
 
 def segment_text(lines: DataFrame, codes: DataFrame, sep: str = SEPARATOR,
-                 keys=vb.LINE_KEY, native: bool = False) -> DataFrame:
+                 keys=vb.LINE_KEY, native: bool | None = None) -> DataFrame:
     """One output line per input line, words segmented and joined by spaces.
 
     Distinct words are segmented once and joined back to every occurrence (broadcast when
-    their checked count allows, else a shuffled join with AQE skew splitting).
+    their checked count allows, else a shuffled join with AQE skew splitting). ``native=None``
+    picks the JVM fold for short code lists on which it provably equals greedy, else the
+    greedy ``mapInPandas`` form.
     """
+    if native is None:
+        ranked = [(r["left"], r["right"]) for r in rank_codes(codes).orderBy("rank").collect()]
+        native = len(ranked) <= FOLD_MAX_CODES and fold_equals_greedy(ranked)
     distinct = lines.select(F.explode(tx.word_tokens("text")).alias("word")).distinct()
     seg = (segment_words_fold if native else segment_words)(distinct, codes)
     table = seg.select(F.col("word").alias("_tok"),
