@@ -62,8 +62,12 @@ def adjacent_pairs(syms: Column) -> Column:
 
 
 def pair_stats(words: DataFrame) -> DataFrame:
-    """A4: Σ word frequency over adjacent symbol pairs; ``aaa`` counts (a, a) twice."""
-    ex = words.select("freq", F.explode(adjacent_pairs(symbols_of("w"))).alias("p"))
+    """A4: Σ word frequency over adjacent symbol pairs; ``aaa`` counts (a, a) twice.
+
+    The symbol array is its own projection so it is split once per word, not once per use.
+    """
+    syms = words.select("freq", symbols_of("w").alias("_s"))
+    ex = syms.select("freq", F.explode(adjacent_pairs(F.col("_s"))).alias("p"))
     return ex.groupBy(F.col("p.l").alias("l"), F.col("p.r").alias("r")) \
         .agg(F.sum("freq").cast("long").alias("n"))
 
@@ -244,18 +248,20 @@ def segment_words(words: DataFrame, codes: DataFrame, word: str = "word") -> Dat
 def segment_words_fold(words: DataFrame, codes: DataFrame, word: str = "word") -> DataFrame:
     """B7, native form: fold the codes in rank order with ``replace`` on the marked word.
 
-    Equal to the greedy rule when every operand of a code is a character, the end mark or the
-    result of an earlier code and no two codes spell the same string (true of learned codes);
-    its cost grows with the number of codes, so it suits short lists.
+    Equal to the greedy rule when ``fold_equals_greedy`` holds for the code list (true of
+    learned codes); its cost grows with the number of codes, so it suits short lists. Each
+    step is its own projection so the replace chain runs once per word.
     """
     pairs = [(r["left"], r["right"]) for r in rank_codes(codes).orderBy("rank").collect()]
     w = merge_expr(delimit(F.concat(tx.chars(word), F.array(F.lit(END_OF_WORD)))), pairs)
-    syms = symbols_of(w)
+    marked = words.select(F.col(word).alias("word"), w.alias("_w"))
+    split = marked.select("word", symbols_of("_w").alias("_s"))
+    syms = F.col("_s")
     last = F.element_at(syms, -1)
     fixed = F.when(last == END_OF_WORD, F.slice(syms, 1, F.size(syms) - 1)).otherwise(
         F.concat(F.slice(syms, 1, F.size(syms) - 1),
                  F.array(F.replace(last, F.lit(END_OF_WORD), F.lit("")))))
-    return words.select(F.col(word).alias("word"), fixed.alias("subwords"))
+    return split.select("word", fixed.alias("subwords"))
 
 
 FOLD_MAX_CODES = 500   # longer code lists use the greedy mapInPandas form
@@ -301,6 +307,7 @@ def segment_text(lines: DataFrame, codes: DataFrame, sep: str = SEPARATOR,
     seg = (segment_words_fold if native else segment_words)(distinct, codes)
     table = seg.select(F.col("word").alias("_tok"),
                        segmented_form(F.col("subwords"), sep).alias("_val"))
+    # (``subwords`` is a materialised column here, so the form reads it, not the fold)
     table = cut_lineage(table)
     n = table.count()
     out = vb.lookup_tokens(lines, keys, tx.word_tokens("text"), table, n, F.col("_val"),
