@@ -47,6 +47,12 @@ def symbols_of(w) -> Column:
     return F.split(F.substring(w, F.lit(2), F.length(w) - 2), CLOSE + OPEN)
 
 
+def n_symbols(w) -> Column:
+    """Number of symbols of a marked word (one opening mark each)."""
+    w = F.col(w) if isinstance(w, str) else w
+    return F.length(w) - F.length(F.replace(w, F.lit(OPEN), F.lit("")))
+
+
 def word_symbols(lines: DataFrame) -> DataFrame:
     """B1: distinct words with their frequency, as characters + end-of-word mark."""
     counts = lines.select(F.explode(tx.word_tokens("text")).alias("word")) \
@@ -169,7 +175,9 @@ def learn_bpe(words: DataFrame, n_merges: int = DEFAULT_MERGES, k: int = 256,
         codes.extend(taken)
         if log is not None:
             log(f"pass {passes}: +{len(taken)} merges (total {len(codes)}), best n={top[0]['n']}")
-        nxt = cur.withColumn("w", merge_expr(F.col("w"), [(l, r) for l, r, _ in taken]))
+        # a word that became one symbol has no pair left and can never change again
+        nxt = (cur.withColumn("w", merge_expr(F.col("w"), [(l, r) for l, r, _ in taken]))
+               .where(n_symbols("w") > 1))
         passes += 1
         if passes % checkpoint_every == 0:
             nxt = cut_lineage(nxt)

@@ -521,6 +521,7 @@ ipairs AS (SELECT *, CAST(row_number() OVER (ORDER BY pair_id) - 1 AS BIGINT) AS
            FROM pairs)"""
 
 ORACLE["doc_pairs"] = _with(PAIRS) + "SELECT pair_id, a, b, label FROM pairs"
+ORACLE["project_pairs"] = _with(PAIRS) + "SELECT a, b, label FROM pairs"
 
 
 def _enc_side(col: str) -> str:

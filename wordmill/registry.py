@@ -68,7 +68,7 @@ _CACHE: dict = {}
 
 def prepared(spark, sf, mode="word") -> pp.Prepared:
     """E12 for a table folder, computed once per session (vocabulary materialised)."""
-    key = (id(spark), sf, mode)
+    key = (spark.sparkContext.applicationId, sf, mode)
     if key not in _CACHE:
         _CACHE[key] = pp.prepare_corpus(lines(spark, sf), mode)
     return _CACHE[key]
@@ -442,7 +442,7 @@ _CODES: dict = {}
 
 
 def learned_codes(spark, sf, n=N_MERGES_CHECK):
-    key = (id(spark), sf, n)
+    key = (spark.sparkContext.applicationId, sf, n)
     if key not in _CODES:
         _CODES[key] = bpe.learn_bpe(_words(spark, sf), n).cache()
     return _CODES[key]
@@ -522,6 +522,12 @@ def _encoded_pairs(spark, sf):
     return vb.encode_fields(doc_pairs(spark, sf), ["a", "b"], table, p.n_vocab + 3), p.n_vocab
 
 
+@query("project_pairs")
+def q_project_pairs(spark, sf):
+    """Pair columns with the label kept because the frame has one."""
+    return normalize(tx.project_with_optional_label(doc_pairs(spark, sf)))
+
+
 @query("encode_fields")
 def q_encode_fields(spark, sf):
     e, _ = _encoded_pairs(spark, sf)
