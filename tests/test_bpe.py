@@ -121,3 +121,13 @@ def test_greedy_and_fold_paths_agree_on_text(spark):
     a = bpe.segment_text(lines, codes, native=True)
     b = bpe.segment_text(lines, codes, native=False)
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_incremental_equals_full_recount(spark):
+    lines = fixture_lines(spark, 12)
+    w = bpe.word_symbols(lines)
+    a = bpe.learn_bpe(w, 30, incremental=True).orderBy("rank").collect()
+    b = bpe.learn_bpe(w, 30, incremental=False).orderBy("rank").collect()
+    c = bpe.learn_bpe(w, 30, batch=False).orderBy("rank").collect()
+    key = [[(r["left"], r["right"], r["n"]) for r in x] for x in (a, b, c)]
+    assert key[0] == key[1] == key[2]

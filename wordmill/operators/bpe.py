@@ -144,27 +144,49 @@ def choose_batch(top: list, produced: set, remaining: int, complete: bool = Fals
     return taken
 
 
+def _pairs_weighted(words: DataFrame, sign: int) -> DataFrame:
+    syms = words.select((F.col("freq") * sign).alias("freq"), symbols_of("w").alias("_s"))
+    return syms.select("freq", F.explode(adjacent_pairs(F.col("_s"))).alias("p")) \
+        .select(F.col("p.l").alias("l"), F.col("p.r").alias("r"), F.col("freq").alias("n"))
+
+
+# Word tables with more distinct words than this update their pair statistics incrementally;
+# smaller ones recount (fewer stages per pass, which is what dominates on small tables).
+INCREMENTAL_MIN_WORDS = 2_000_000
+
+
 def learn_bpe(words: DataFrame, n_merges: int = DEFAULT_MERGES, k: int = 256,
-              checkpoint_every: int = 8, batch: bool = True, log=None) -> DataFrame:
+              checkpoint_every: int = 8, batch: bool = True, incremental: bool | None = None,
+              log=None) -> DataFrame:
     """B3 + B4: ranked merge codes ``(rank, left, right, n)``.
 
     Ties between equally frequent pairs go to the smaller (left, right) (a fixed rule where the
     original falls back to dict order). Stops after ``n_merges`` codes or when the best pair is
-    seen fewer than twice. Only the <= k top pairs of a pass reach the driver; each pass is one
-    aggregate (map-side combined) and one TakeOrdered.
+    seen fewer than twice. Only the <= k top pairs of a pass reach the driver.
+
+    ``incremental`` keeps the pair statistics as a table and updates it from the words a pass
+    changed (old symbols counted negatively, new ones positively), so a pass shuffles a delta
+    plus the distinct pairs instead of every pair occurrence of every word; words are found
+    with a narrow filter on the merged patterns. Otherwise every pass recounts from scratch.
+    Word and statistics tables are cut from their lineage every ``checkpoint_every`` passes.
+    ``incremental=None`` chooses by the checked number of distinct words.
     """
     spark = words.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cur = cut_lineage(words.select("word", "freq", "w").repartition(parts))
-    prev = None
+    if incremental is None:
+        incremental = cur.count() > INCREMENTAL_MIN_WORDS
+    stats = cut_lineage(pair_stats(cur)) if incremental else None
+    old: list = []                     # tables to release once their successors exist
     produced: set = set()
     codes: list = []
     passes = 0
     while len(codes) < n_merges:
-        top = pair_stats(cur).orderBy(*pair_order()).limit(k).collect()
-        if prev is not None:          # ``cur`` is materialised now; its parent can go
-            prev.unpersist()
-            prev = None
+        src = stats if incremental else pair_stats(cur)
+        top = src.orderBy(*pair_order()).limit(k).collect()
+        for d in old:                  # the new tables are materialised now
+            d.unpersist()
+        old = []
         if not top or top[0]["n"] < MIN_PAIR_COUNT:
             break
         if batch:
@@ -175,17 +197,30 @@ def learn_bpe(words: DataFrame, n_merges: int = DEFAULT_MERGES, k: int = 256,
         codes.extend(taken)
         if log is not None:
             log(f"pass {passes}: +{len(taken)} merges (total {len(codes)}), best n={top[0]['n']}")
+        merged = [(l, r) for l, r, _ in taken]
         # a word that became one symbol has no pair left and can never change again
-        nxt = (cur.withColumn("w", merge_expr(F.col("w"), [(l, r) for l, r, _ in taken]))
+        nxt = (cur.withColumn("w", merge_expr(F.col("w"), merged))
                .where(n_symbols("w") > 1))
         passes += 1
-        if passes % checkpoint_every == 0:
-            nxt = cut_lineage(nxt)
-        else:
-            nxt = nxt.persist()
-        prev, cur = cur, nxt
-    for d in (prev, cur):
-        if d is not None and d.is_cached:
+        cut = passes % checkpoint_every == 0
+        if incremental:
+            hit = None
+            for l, r in merged:
+                c = F.instr("w", OPEN + l + CLOSE + OPEN + r + CLOSE) > 0
+                hit = c if hit is None else hit | c
+            before = cur.where(hit)
+            after = before.withColumn("w", merge_expr(F.col("w"), merged))
+            delta = _pairs_weighted(after, 1).unionByName(_pairs_weighted(before, -1))
+            nstats = (stats.unionByName(delta).groupBy("l", "r")
+                      .agg(F.sum("n").cast("long").alias("n")).where(F.col("n") != 0))
+            nstats = cut_lineage(nstats) if cut else nstats.persist()
+            old.append(stats)
+            stats = nstats
+        nxt = cut_lineage(nxt) if cut else nxt.persist()
+        old.append(cur)
+        cur = nxt
+    for d in old + [cur] + ([stats] if stats is not None else []):
+        if d.is_cached:
             d.unpersist()
     return spark.createDataFrame([(i, l, r, int(n)) for i, (l, r, n) in enumerate(codes)],
                                  "rank int, left string, right string, n long")
