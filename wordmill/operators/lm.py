@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordmill.functions import frames as fr
-from wordmill.session import BROADCAST_MAX_ROWS
+from wordmill.session import BROADCAST_MAX_ROWS, cut_lineage
 
 
 def target_positions(seqs: DataFrame, ids: str = "ids", seq: str = "row_idx") -> DataFrame:
@@ -21,14 +21,19 @@ def target_positions(seqs: DataFrame, ids: str = "ids", seq: str = "row_idx") ->
                 F.col("t.next").alias("next"))
 
 
-def fit_ngram_lm(train: DataFrame, ids: str = "ids", seq: str = "row_idx") -> tuple:
+def fit_ngram_lm(train: DataFrame, ids: str = "ids", seq: str = "row_idx",
+                 materialize: bool = True) -> tuple:
     """M6: bigram counts (prev, next, c) and context totals (prev, t).
 
-    Both are aggregates with map-side partial aggregation; a hot context id costs one row per
-    map task in the shuffle.
+    The counts are an aggregate with map-side partial aggregation (a hot context id costs one
+    row per map task in the shuffle). The fitted counts are the model: with ``materialize``
+    they are written once to the checkpoint folder and the totals are summed from that copy,
+    so scoring does not aggregate the training sequences twice.
     """
     t = target_positions(train, ids, seq)
     bigrams = t.groupBy("prev", "next").agg(F.count(F.lit(1)).alias("c"))
+    if materialize:
+        bigrams = cut_lineage(bigrams)
     totals = bigrams.groupBy("prev").agg(F.sum("c").alias("t"))
     return bigrams, totals
 

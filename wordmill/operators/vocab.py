@@ -159,32 +159,38 @@ def special_ids(n_vocab: int) -> dict:
     return {START: n_vocab, DELIMITER: n_vocab + 1, END: n_vocab + 2}
 
 
-def regroup(exploded: DataFrame, keys, pos: str, value: Column, name: str) -> DataFrame:
+def regroup(exploded: DataFrame, keys, pos: str, value: Column, name: str,
+            carry=()) -> DataFrame:
     """Re-collect exploded values per key in position order.
 
     ``collect_list`` alone is unordered after a shuffle, so (pos, value) structs are sorted.
     Rows with a null position (empty input arrays from posexplode_outer) give ``[]``.
+    ``carry`` columns are constant per key and kept with ``first``.
     """
     s = F.array_sort(F.collect_list(F.when(F.col(pos).isNotNull(),
                                            F.struct(F.col(pos).alias("p"), value.alias("v")))))
-    return (exploded.groupBy(*keys).agg(s.alias("_s"))
-            .select(*keys, F.transform("_s", lambda e: e["v"]).alias(name)))
+    kept = [F.first(c).alias(c) for c in carry]
+    return (exploded.groupBy(*keys).agg(s.alias("_s"), *kept)
+            .select(*keys, *carry, F.transform("_s", lambda e: e["v"]).alias(name)))
 
 
 def lookup_tokens(df: DataFrame, keys, tokens: Column, table: DataFrame, n_table: int,
-                  on_hit, on_miss, name: str, limit: int = BROADCAST_MAX_ROWS) -> DataFrame:
+                  on_hit, on_miss, name: str, limit: int = BROADCAST_MAX_ROWS,
+                  partition_keys=None, carry=()) -> DataFrame:
     """Map every token of every row through a lookup table, keeping row and token order.
 
     ``table`` has columns ``(_tok, _val)``. ``on_hit``/``on_miss`` build the output value from
-    the token and ``_val`` columns.
+    the token and ``_val`` columns. ``partition_keys`` (default: all keys) is what rows are
+    clustered by before a broadcast lookup; a prefix of the keys lets a later aggregate on
+    that prefix reuse the same exchange. ``carry`` columns ride along unchanged.
     """
     small = n_table <= limit
-    base = df.repartition(*keys) if small else df
-    ex = base.select(*keys, F.posexplode_outer(tokens).alias("_pos", "_tok"))
+    base = df.repartition(*(partition_keys or keys)) if small else df
+    ex = base.select(*keys, *carry, F.posexplode_outer(tokens).alias("_pos", "_tok"))
     t = F.broadcast(table) if small else table
     j = ex.join(t, "_tok", "left")
     value = F.when(F.col("_val").isNotNull(), on_hit).otherwise(on_miss)
-    return regroup(j, keys, "_pos", value, name)
+    return regroup(j, keys, "_pos", value, name, carry)
 
 
 def vocab_lookup_table(vocab: DataFrame) -> DataFrame:
@@ -226,19 +232,25 @@ def encode_fields(df: DataFrame, cols, vocab_specials: DataFrame, n_table: int,
                   key: str = "pair_id") -> DataFrame:
     """J3 on each text column; other columns pass through.
 
-    The text columns are stacked into one long frame so one join serves all of them, then
-    pivoted back by a join on the key.
+    The text columns are stacked into one long frame (the other columns ride along on the
+    first field's rows) so one lookup serves all of them; rows are clustered by ``key`` only,
+    so the per-field re-assembly and the pivot back to one row per key share one exchange and
+    no join back to the input is needed. ``key`` must be unique per row.
     """
+    rest = [c for c in df.columns if c not in cols and c != key]
     stacked = None
     for i, c in enumerate(cols):
-        part = df.select(F.col(key), F.lit(i).alias("_field"), F.col(c).alias("_text"))
+        extra = [F.col(r) if i == 0 else F.lit(None).cast(df.schema[r].dataType).alias(r)
+                 for r in rest]
+        part = df.select(F.col(key), F.lit(i).alias("_field"), F.col(c).alias("_text"), *extra)
         stacked = part if stacked is None else stacked.unionByName(part)
-    enc = encode(stacked, vocab_specials, n_table, keys=(key, "_field"), text="_text",
-                 out="_ids")
-    wide = enc.groupBy(key).agg(*[F.max(F.when(F.col("_field") == i, F.col("_ids")))
-                                  .alias(c + "_ids") for i, c in enumerate(cols)])
-    rest = [c for c in df.columns if c not in cols]
-    return df.select(*rest).join(wide, key, "left")
+    table = vocab_specials.select(F.col("token").alias("_tok"), F.col("id").alias("_val"))
+    enc = lookup_tokens(stacked, (key, "_field"), F.split(F.col("_text"), " "), table, n_table,
+                        F.col("_val"), F.lit(0), "_ids", partition_keys=(key,), carry=rest)
+    return enc.groupBy(key).agg(
+        *[F.max(c).alias(c) for c in rest],
+        *[F.max(F.when(F.col("_field") == i, F.col("_ids"))).alias(c + "_ids")
+          for i, c in enumerate(cols)])
 
 
 def top_tokens(counts: DataFrame, k: int) -> list:
