@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from wordmill.functions import text as tx
 from wordmill.operators import vocab as vb
-from wordmill.session import BROADCAST_MAX_ROWS, cut_lineage
+from wordmill.session import BROADCAST_MAX_ROWS, cut_lineage, literal_rows
 
 # ---------------------------------------------------------------------------------------------
 # Fixed values.
@@ -222,8 +222,8 @@ def learn_bpe(words: DataFrame, n_merges: int = DEFAULT_MERGES, k: int = 256,
     for d in old + [cur] + ([stats] if stats is not None else []):
         if d.is_cached:
             d.unpersist()
-    return spark.createDataFrame([(i, l, r, int(n)) for i, (l, r, n) in enumerate(codes)],
-                                 "rank int, left string, right string, n long")
+    return literal_rows(spark, [(i, l, r, int(n)) for i, (l, r, n) in enumerate(codes)],
+                        "rank int, left string, right string, n long")
 
 
 def rank_codes(codes: DataFrame) -> DataFrame:

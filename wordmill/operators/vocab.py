@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from wordmill.functions import text as tx
 from wordmill.operators.rows import dense_index
-from wordmill.session import BROADCAST_MAX_ROWS
+from wordmill.session import BROADCAST_MAX_ROWS, literal_rows
 
 # ---------------------------------------------------------------------------------------------
 # Reserved token strings and their order after the vocabulary.
@@ -138,7 +138,7 @@ def assign_vocab_ids(counts: DataFrame, min_freq: int = MIN_COUNT_PREPARE,
     else:
         ranked = dense_index(kept, frequency_order(), name="_r")
     body = ranked.select((F.col("_r") + 1).cast("int").alias("id"), "token")
-    unk = counts.sparkSession.createDataFrame([(0, UNK)], "id int, token string")
+    unk = literal_rows(counts.sparkSession, [(0, UNK)], "id int, token string")
     return unk.unionByName(body)
 
 
@@ -150,8 +150,9 @@ def kept_tokens(counts: DataFrame, min_freq: int) -> DataFrame:
 def add_specials(vocab: DataFrame, n_vocab: int) -> DataFrame:
     """The three reserved rows at V, V+1, V+2 (V = vocabulary rows including UNK)."""
     spark = vocab.sparkSession
-    specials = spark.createDataFrame(
-        [(n_vocab, START), (n_vocab + 1, DELIMITER), (n_vocab + 2, END)], "id int, token string")
+    specials = literal_rows(
+        spark, [(n_vocab, START), (n_vocab + 1, DELIMITER), (n_vocab + 2, END)],
+        "id int, token string")
     return vocab.select("id", "token").unionByName(specials)
 
 

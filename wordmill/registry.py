@@ -17,6 +17,7 @@ from wordmill.functions import frames as fr
 from wordmill.functions import text as tx
 from wordmill.operators import rows, split, vocab as vb
 from wordmill.plans import prepare as pp
+from wordmill.session import literal_rows
 from wordmill.sources import corpus as src
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -406,8 +407,8 @@ def _words(spark, sf):
 
 def _top_codes(spark, sf, k=N_CODES_TOP):
     top = bpe.best_pairs(bpe.pair_stats(_words(spark, sf)), k).collect()
-    return spark.createDataFrame([(i, r["l"], r["r"]) for i, r in enumerate(top)],
-                                 "rank int, left string, right string")
+    return literal_rows(spark, [(i, r["l"], r["r"]) for i, r in enumerate(top)],
+                        "rank int, left string, right string")
 
 
 @query("word_symbols")
@@ -459,8 +460,8 @@ def q_rank_codes(spark, sf):
     first = ln.where(F.col("line_no") == 0)
     a = bpe.best_pairs(bpe.pair_stats(bpe.word_symbols(ln)), 20).collect()
     b = bpe.best_pairs(bpe.pair_stats(bpe.word_symbols(first)), 20).collect()
-    codes = spark.createDataFrame([(i, r["l"], r["r"]) for i, r in enumerate(a + b)],
-                                  "rank int, left string, right string")
+    codes = literal_rows(spark, [(i, r["l"], r["r"]) for i, r in enumerate(a + b)],
+                         "rank int, left string, right string")
     return normalize(bpe.rank_codes(codes))
 
 

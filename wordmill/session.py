@@ -74,3 +74,18 @@ def broadcast_if_small(df: DataFrame, n_rows: int, limit: int = BROADCAST_MAX_RO
     """Broadcast hint only behind a checked row count; beyond it the planner decides."""
     from pyspark.sql import functions as F
     return F.broadcast(df) if n_rows <= limit else df
+
+
+def literal_rows(spark: SparkSession, rows: list, schema: str) -> DataFrame:
+    """A small driver-side table (bounded by the caller) as a JVM literal: no Python RDD, so no
+    Python worker is needed to read it. ``schema`` is a DDL string like ``"id int, t string"``."""
+    from pyspark.sql import functions as F
+    from pyspark.sql.types import _parse_datatype_string
+    st = _parse_datatype_string(schema)
+    names = [f.name for f in st.fields]
+    if not rows:
+        return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name)
+                                      for f in st.fields])
+    structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name)
+                          for v, f in zip(r, st.fields)]) for r in rows]
+    return spark.range(1).select(F.inline(F.array(*structs))).select(*names)
