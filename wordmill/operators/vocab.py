@@ -222,11 +222,11 @@ def unk_replace(lines: DataFrame, vocab: DataFrame, n_vocab: int, mode: str = "w
 
 
 def encode(df: DataFrame, vocab_specials: DataFrame, n_table: int, keys=LINE_KEY,
-           text: str = "text", out: str = "ids") -> DataFrame:
+           text: str = "text", out: str = "ids", carry=()) -> DataFrame:
     """Split on single spaces (empty tokens kept), token -> id, unknown -> 0."""
     table = vocab_specials.select(F.col("token").alias("_tok"), F.col("id").alias("_val"))
     return lookup_tokens(df, keys, F.split(F.col(text), " "), table, n_table,
-                         F.col("_val"), F.lit(0), out)
+                         F.col("_val"), F.lit(0), out, carry=carry)
 
 
 def encode_fields(df: DataFrame, cols, vocab_specials: DataFrame, n_table: int,

@@ -60,13 +60,13 @@ def prepare_corpus(lines: DataFrame, mode: str = "word", min_freq: int = vb.MIN_
 
 
 def encode_frame(corpus: DataFrame, v: DataFrame, n_vocab: int, n_ctx: int,
-                 keys=("doc_id", "line_no")) -> DataFrame:
-    """W2 -> J3 -> E4 over unk-replaced lines; returns keys + ``ids`` (framed)."""
+                 keys=("doc_id", "line_no"), carry=()) -> DataFrame:
+    """W2 -> J3 -> E4 over unk-replaced lines; returns keys + carry + ``ids`` (framed)."""
     specials = vb.special_ids(n_vocab)
     table = vb.add_specials(v, n_vocab)
-    enc = vb.encode(corpus, table, n_vocab + 3, keys=keys)
-    return enc.select(*keys, fr.frame("ids", n_ctx, specials[vb.START], specials[vb.END])
-                      .alias("ids"))
+    enc = vb.encode(corpus, table, n_vocab + 3, keys=keys, carry=carry)
+    return enc.select(*keys, *carry, fr.frame("ids", n_ctx, specials[vb.START],
+                                              specials[vb.END]).alias("ids"))
 
 
 def prepare_sequences(prepared: Prepared, n_ctx: int = 200, n_shards: int = 10,
@@ -74,9 +74,11 @@ def prepare_sequences(prepared: Prepared, n_ctx: int = 200, n_shards: int = 10,
     """Encode + frame the train lines, number them in file order, round-robin shard.
 
     Output ``(row_idx, shard, doc_id, line_no, ids)``; S8 writes it partitioned by shard.
+    Lines are numbered before encoding, so the range sampler of the numbering reads the
+    written corpus instead of re-running the encoding.
     """
-    lines = prepared.corpus.where(F.col("split") == which)
-    framed = encode_frame(lines, prepared.vocab, prepared.n_vocab, n_ctx)
-    numbered = rows.dense_index(framed, [F.col("doc_id"), F.col("line_no")])
-    return rows.round_robin_shard(numbered, n_shards).select(
+    lines = prepared.corpus.where(F.col("split") == which).select("doc_id", "line_no", "text")
+    numbered = rows.dense_index(lines, [F.col("doc_id"), F.col("line_no")])
+    framed = encode_frame(numbered, prepared.vocab, prepared.n_vocab, n_ctx, carry=("row_idx",))
+    return rows.round_robin_shard(framed, n_shards).select(
         "row_idx", "shard", "doc_id", "line_no", "ids")

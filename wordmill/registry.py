@@ -684,9 +684,7 @@ def q_row_weighted_cost(spark, sf):
 
 def _dev_sequences(spark, sf):
     p = prepared(spark, sf, "word")
-    dev = p.corpus.where(F.col("split") == "dev")
-    framed = pp.encode_frame(dev, p.vocab, p.n_vocab, N_CTX)
-    return rows.dense_index(framed, [F.col("doc_id"), F.col("line_no")]), p.n_vocab
+    return pp.prepare_sequences(p, N_CTX, N_SHARDS, which="dev"), p.n_vocab
 
 
 def _lm(spark, sf):
