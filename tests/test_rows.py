@@ -104,3 +104,27 @@ def test_no_single_partition_exchange_over_lines(spark):
                rows.dense_index(ln, [F.col("doc_id"), F.col("line_no")])):
         assert _single_partition_inputs_ok(_plan(df))
     assert "SinglePartition" not in _plan(counts)
+
+
+def test_plan_properties(spark):
+    ln = corpus_lines(spark)
+    counts = vb.token_counts(ln)
+    p = _plan(counts)
+    assert "HashAggregate" in p and "SortAggregate" not in p
+    # column pruning: the corpus scan reads only the key and the text
+    assert "ReadSchema: struct<doc_id:bigint,text:string>" in p
+    v = spark.createDataFrame([(0, "UNK"), (1, "a")], "id int, token string")
+    rep = vb.unk_replace(read_corpus(read_table(spark, SF_SMALL, "documents")), v, 2, "word")
+    rp = _plan(rep)
+    assert "BroadcastHashJoin" in rp
+    # one shuffle of the corpus (by line key); the re-assembly reuses it
+    assert rp.count("REPARTITION_BY_COL") == 1
+    assert rp.count("Exchange hashpartitioning") == rp.count("REPARTITION_BY_COL")
+
+
+def test_approx_totals(spark):
+    ln = corpus_lines(spark)
+    exact = vb.corpus_totals(ln).first()
+    approx = vb.corpus_totals(ln, approx=True).first()
+    assert exact["n_tokens"] == approx["n_tokens"]
+    assert abs(approx["n_distinct"] - exact["n_distinct"]) <= 0.05 * exact["n_distinct"]

@@ -87,10 +87,12 @@ def token_counts(lines: DataFrame, mode: str = "word", keys=LINE_KEY) -> DataFra
     return agg.select("token", "freq", *_unpack_first_seen(F.col("_k")))
 
 
-def corpus_totals(lines: DataFrame, mode: str = "word") -> DataFrame:
+def corpus_totals(lines: DataFrame, mode: str = "word", approx: bool = False,
+                  rsd: float = 0.01) -> DataFrame:
     """A2: lines, tokens, distinct tokens and characters in one aggregate.
 
-    Characters are T2 tokens (code points of the stripped line other than U+0020).
+    Characters are T2 tokens (code points of the stripped line other than U+0020). With
+    ``approx`` the distinct count is a HyperLogLog++ estimate (no distinct shuffle).
     """
     per_line = lines.select(count_tokens_col("text", mode).alias("_t"),
                             F.size(tx.char_tokens("text")).alias("_c"))
@@ -98,7 +100,8 @@ def corpus_totals(lines: DataFrame, mode: str = "word") -> DataFrame:
     first = F.col("_p").isNull() | (F.col("_p") == 0)
     return ex.agg(F.sum(F.when(first, 1).otherwise(0)).cast("long").alias("n_lines"),
                   F.count("token").alias("n_tokens"),
-                  F.count_distinct("token").alias("n_distinct"),
+                  (F.approx_count_distinct("token", rsd) if approx
+                   else F.count_distinct("token")).alias("n_distinct"),
                   F.sum(F.when(first, F.col("_c")).otherwise(0)).cast("long").alias("n_chars"))
 
 
