@@ -153,6 +153,7 @@ def _pairs_weighted(words: DataFrame, sign: int) -> DataFrame:
 # Word tables with more distinct words than this update their pair statistics incrementally;
 # smaller ones recount (fewer stages per pass, which is what dominates on small tables).
 INCREMENTAL_MIN_WORDS = 2_000_000
+WORDS_PER_PARTITION = 200_000
 
 
 def learn_bpe(words: DataFrame, n_merges: int = DEFAULT_MERGES, k: int = 256,
@@ -172,10 +173,13 @@ def learn_bpe(words: DataFrame, n_merges: int = DEFAULT_MERGES, k: int = 256,
     ``incremental=None`` chooses by the checked number of distinct words.
     """
     spark = words.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cur = cut_lineage(words.select("word", "freq", "w").repartition(parts))
+    first = cut_lineage(words.select("word", "freq", "w"))
+    n_words = first.count()
+    # partitions sized by the table (each pass scans it), not by the shuffle setting
+    parts = max(spark.sparkContext.defaultParallelism, -(-n_words // WORDS_PER_PARTITION))
+    cur = cut_lineage(first.repartition(parts))
     if incremental is None:
-        incremental = cur.count() > INCREMENTAL_MIN_WORDS
+        incremental = n_words > INCREMENTAL_MIN_WORDS
     stats = cut_lineage(pair_stats(cur)) if incremental else None
     old: list = []                     # tables to release once their successors exist
     produced: set = set()

@@ -28,9 +28,12 @@ def dense_index(df: DataFrame, order: list, name: str = "row_idx",
     numbered rows come from the same partitioning (a second evaluation of the range shuffle
     could sample different bounds) and a lost executor cannot renumber anything.
     """
-    n = _parts(df, num_partitions)
     cols = df.columns
-    local = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    # without an explicit count AQE sizes the range partitions (coalesced neighbours are still
+    # contiguous ranges); the written copy makes the numbering independent of that choice
+    ranged = (df.repartitionByRange(num_partitions, *order) if num_partitions
+              else df.repartitionByRange(*order))
+    local = (ranged.sortWithinPartitions(*order)
              .withColumn("_pid", F.spark_partition_id())
              .withColumn("_local", F.monotonically_increasing_id()
                          - F.shiftleft(F.col("_pid").cast("long"), 33)))
