@@ -3,7 +3,6 @@
 import math
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from wordmill.functions import scoring as sc
 from wordmill.operators import evaluate as ev, lm

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from wordmill.operators import rows
 from wordmill.sources import corpus as src
-from wordmill.functions import text as tx
 
 
 def write_text(path, lines):

@@ -1,9 +1,5 @@
 """Streaming R1/R2 equal their batch forms; a replayed R2 does not duplicate rows."""
 
-import glob
-
-from pyspark.sql import functions as F
-
 from conftest import SF_SMALL
 from wordmill.operators import bpe, vocab as vb
 from wordmill.plans import prepare as pp

@@ -1,7 +1,5 @@
 """Vocabulary rules: ordering, ties, reserved tokens, unk replacement, encoding."""
 
-from pyspark.sql import functions as F
-
 from conftest import lines_df
 from wordmill.functions import frames as fr
 from wordmill.operators import vocab as vb

@@ -351,7 +351,6 @@ def q_flatten(spark, sf):
 
 @query("remove_none")
 def q_remove_none(spark, sf):
-    t = tx.remove_none(F.transform(F.split("text", " "), lambda x: F.nullif(x, F.lit(""))))
     return _line_map(spark, sf, lambda c: tx.join_tokens(
         tx.remove_none(F.transform(F.split(c, " "), lambda x: F.nullif(x, F.lit(""))))))
 
