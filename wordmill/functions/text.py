@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------------------------------------
-# Fixed values (must equal the reference rules exactly).
+# Fixed values (must equal the original rules exactly).
 #
 # Python's str.split()/strip() whitespace: the 29 code points for which str.isspace() is true.
 # Spark's trim strips only U+0020 and Java's \s is ASCII-only, so the class is spelled out.

@@ -22,7 +22,7 @@ from wordmill.sources import corpus as src
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
-N_CTX = 200          # pre-training context (reference flag default)
+N_CTX = 200          # pre-training context (the original default)
 N_SHARDS = 10        # sequence shards
 N_BATCH = 8          # pre-training batch size
 CLF_N_CTX = 73       # pair classifier context
