@@ -65,6 +65,7 @@ def lines(spark, sf) -> DataFrame:
 
 
 _CACHE: dict = {}
+_CODES: dict = {}
 
 
 def prepared(spark, sf, mode="word") -> pp.Prepared:
@@ -405,9 +406,12 @@ def _words(spark, sf):
 
 
 def _top_codes(spark, sf, k=N_CODES_TOP):
-    top = bpe.best_pairs(bpe.pair_stats(_words(spark, sf)), k).collect()
-    return literal_rows(spark, [(i, r["l"], r["r"]) for i, r in enumerate(top)],
-                        "rank int, left string, right string")
+    key = (spark.sparkContext.applicationId, sf, "top", k)
+    if key not in _CODES:
+        top = bpe.best_pairs(bpe.pair_stats(_words(spark, sf)), k).collect()
+        _CODES[key] = literal_rows(spark, [(i, r["l"], r["r"]) for i, r in enumerate(top)],
+                                   "rank int, left string, right string")
+    return _CODES[key]
 
 
 @query("word_symbols")
@@ -438,9 +442,6 @@ def q_merge_pair(spark, sf):
                               F.array_join(bpe.symbols_of("w"), " ").alias("symbols")))
 
 
-_CODES: dict = {}
-
-
 def learned_codes(spark, sf, n=N_MERGES_CHECK):
     key = (spark.sparkContext.applicationId, sf, n)
     if key not in _CODES:
