@@ -572,8 +572,9 @@ a AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_idx, p[1] AS a FROM
 b AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_idx, p[2] AS b
       FROM d WHERE len(p) >= 2),
 l AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_idx, toxic AS label FROM labels)
-SELECT CAST(coalesce(a.row_idx, b.row_idx, l.row_idx) AS BIGINT) AS row_idx, a.a, b.b,
-       CAST(l.label AS BIGINT) AS label
+SELECT CAST(coalesce(a.row_idx, b.row_idx, l.row_idx) AS BIGINT) AS row_idx,
+       coalesce(a.a, '') AS a, coalesce(b.b, '') AS b,
+       CAST(coalesce(l.label, -1) AS BIGINT) AS label
 FROM a FULL OUTER JOIN b ON a.row_idx = b.row_idx
        FULL OUTER JOIN l ON coalesce(a.row_idx, b.row_idx) = l.row_idx"""
 
@@ -680,7 +681,7 @@ def _targets(src: str, name: str) -> str:
 
 LMCTE = [*_SEQ, WDEV, _targets("wseq", "ttrain"), _targets("wdev", "tdev"),
          """bigrams AS (SELECT prev, next, count(*) AS c FROM ttrain GROUP BY prev, next),
-totals AS (SELECT prev, sum(c) AS t FROM bigrams GROUP BY prev)""",
+totals AS (SELECT prev, CAST(sum(c) AS BIGINT) AS t FROM bigrams GROUP BY prev)""",
          f"""plosses AS (
   SELECT d.seq, d.pos, d.next,
          -ln((coalesce(b.c, 0) + 1.0) / (coalesce(t.t, 0) + 1.0 * ({NV} + 3))) AS loss
@@ -696,7 +697,7 @@ SELECT b.prev, b.next, b.c, t.t, round(ln((b.c + 1.0) / (t.t + 1.0 * ({NV} + 3))
 FROM bigrams b JOIN totals t ON t.prev = b.prev"""
 
 ORACLE["score_ngram_lm"] = _with(*LMCTE) + \
-    "SELECT seq, pos, round(loss, 6) AS loss, 1.0 AS mask FROM plosses"
+    "SELECT seq, pos, round(loss, 6) AS loss, CAST(1.0 AS DOUBLE) AS mask FROM plosses"
 
 ORACLE["masked_seq_loss"] = _with(*LMCTE) + """
 SELECT seq AS row_idx,

@@ -581,7 +581,11 @@ def q_zip_columns(spark, sf):
                       "doc_id").drop("doc_id")
     lab = pr.index_rows(src.read_table(spark, sf, "labels").select(
         "doc_id", F.col("toxic").alias("label")), "doc_id").drop("doc_id")
-    return normalize(pr.zip_columns(a, b, lab))
+    z = pr.zip_columns(a, b, lab)
+    # a missing field pastes as empty text; read back, a missing label is -1
+    return normalize(z.select("row_idx", F.coalesce("a", F.lit("")).alias("a"),
+                              F.coalesce("b", F.lit("")).alias("b"),
+                              F.coalesce(F.col("label").cast("long"), F.lit(-1)).alias("label")))
 
 
 @query("unstack_halves")
