@@ -852,3 +852,49 @@ sunk AS (
 SELECT x.row_idx, x.text AS a, y.text AS b, p.label
 FROM sunk x JOIN sunk y ON x.row_idx = y.row_idx AND x.side = 0 AND y.side = 1
      JOIN ipairs p ON p.row_idx = x.row_idx"""
+
+# R2: every line segmented with the 50 best initial pairs, vocabulary of the segmented text
+# (min count 20, first-seen ties), unk replacement, encoding with the specials, framing.
+R2 = f"""r2seg AS (
+  SELECT l.doc_id, l.line_no, coalesce(r.text, '') AS text
+  FROM lines l LEFT JOIN (
+    SELECT t.doc_id, t.line_no, string_agg(g.seg, ' ' ORDER BY t.pos) AS text
+    FROM wtok t JOIN segform g ON g.word = t.token GROUP BY t.doc_id, t.line_no) r
+  ON l.doc_id = r.doc_id AND l.line_no = r.line_no),
+r2tok AS (
+  SELECT doc_id, line_no, CAST(generate_subscripts(t, 1) - 1 AS BIGINT) AS pos, unnest(t) AS token
+  FROM (SELECT doc_id, line_no,
+               list_filter(regexp_split_to_array(text, '{WS}+'), lambda x: x <> '') AS t
+        FROM r2seg)),
+r2counts AS (
+  SELECT token, count(*) AS freq, min({{'d': doc_id, 'l': line_no, 'p': pos}}) AS f
+  FROM r2tok GROUP BY token),
+r2vocab AS (
+  SELECT CAST(0 AS BIGINT) AS id, 'UNK' AS token
+  UNION ALL
+  SELECT CAST(row_number() OVER (ORDER BY freq DESC, f.d, f.l, f.p) AS BIGINT) AS id, token
+  FROM r2counts WHERE freq >= 20 AND token NOT IN ('UNK', '_start_', '_delimiter_', '_end_')),
+r2unk AS (
+  SELECT l.doc_id, l.line_no, coalesce(r.text, '') AS text
+  FROM lines l LEFT JOIN (
+    SELECT t.doc_id, t.line_no,
+           string_agg(CASE WHEN v.id IS NULL THEN 'UNK' ELSE t.token END, ' ' ORDER BY t.pos) AS text
+    FROM r2tok t LEFT JOIN r2vocab v ON v.token = t.token AND v.id > 0
+    GROUP BY t.doc_id, t.line_no) r
+  ON l.doc_id = r.doc_id AND l.line_no = r.line_no),
+r2nv AS (SELECT count(*) AS v FROM r2vocab),
+r2spec AS (
+  SELECT id, token FROM r2vocab
+  UNION ALL SELECT v, '_start_' FROM r2nv UNION ALL SELECT v + 1, '_delimiter_' FROM r2nv
+  UNION ALL SELECT v + 2, '_end_' FROM r2nv),
+r2enc AS (
+  SELECT e.doc_id, e.line_no, list(coalesce(s.id, 0) ORDER BY e.pos) AS ids
+  FROM (SELECT doc_id, line_no, generate_subscripts(t, 1) AS pos, unnest(t) AS token
+        FROM (SELECT doc_id, line_no, string_split(text, ' ') AS t FROM r2unk)) e
+  LEFT JOIN r2spec s ON s.token = e.token
+  GROUP BY e.doc_id, e.line_no)"""
+
+ORACLE["stream_encode"] = _with(*_BPE, _fold_sql(TOPCODES), R2) + """
+SELECT doc_id, line_no,
+       array_to_string(list_concat([n.v], ids[1:198], [n.v + 2]), ' ') AS ids
+FROM r2enc, r2nv n"""
