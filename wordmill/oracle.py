@@ -39,15 +39,6 @@ CTOK = f"""ctok AS (
         FROM lines))"""
 
 
-def _counts(name: str, tok: str) -> str:
-    return f"""{name} AS (
-  SELECT token, count(*) AS freq, f.d AS first_doc_id, f.l AS first_line_no, f.p AS first_pos
-  FROM (SELECT token, count(*) OVER (PARTITION BY token) AS c,
-               min({{'d': doc_id, 'l': line_no, 'p': pos}}) OVER (PARTITION BY token) AS f
-        FROM {tok})
-  GROUP BY token, f.d, f.l, f.p)"""
-
-
 WCOUNTS = f"""wcounts AS (
   SELECT token, count(*) AS freq, min({{'d': doc_id, 'l': line_no, 'p': pos}}) AS f
   FROM wtok GROUP BY token)"""
@@ -126,10 +117,6 @@ WFRAMED = f"""wframed AS (
 ALL_W = [LINES, WTOK, WCOUNTS, WVOCAB]
 
 
-def _ids(expr: str) -> str:
-    return f"array_to_string({expr}, ' ')"
-
-
 ORACLE["corpus_lines"] = _with(LINES) + "SELECT doc_id, line_no, text FROM lines"
 
 ORACLE["word_tokens"] = _with(LINES) + f"""

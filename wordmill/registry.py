@@ -7,18 +7,25 @@ oracle): integers as bigint, doubles rounded to 6 places, arrays as space-joined
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wordmill.functions import frames as fr
+from wordmill.functions import scoring as scr
 from wordmill.functions import text as tx
-from wordmill.operators import rows, split, vocab as vb
+from wordmill.operators import bpe, lm, rows, split, vocab as vb
+from wordmill.operators import classifier as clf
+from wordmill.operators import evaluate as ev
+from wordmill.operators import pairs as pr
 from wordmill.plans import prepare as pp
-from wordmill.session import literal_rows
+from wordmill.plans import shell_chains as sc
+from wordmill.session import literal_rows, scratch_path
 from wordmill.sources import corpus as src
+from wordmill.streaming import stream as stm
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -393,9 +400,6 @@ def q_repeat(spark, sf):
 
 # ------------------------------------------------------------------ B1-B8, A4, O2
 
-from pyspark.sql import Window  # noqa: E402
-
-from wordmill.operators import bpe  # noqa: E402
 
 N_CODES_TOP = 50      # code list of the segmentation checks: the 50 best initial pairs
 N_MERGES_CHECK = 20   # merges learned by the registered learning query
@@ -500,9 +504,6 @@ def q_segment_text_learned(spark, sf):
 
 # ------------------------------------------------------------------ pairs: J4-J8, U1, U2, U4, E9, B9, B10
 
-from wordmill.operators import pairs as pr  # noqa: E402
-from wordmill.plans import shell_chains as sc  # noqa: E402
-
 
 def doc_pairs(spark, sf):
     return pr.doc_pairs(documents(spark, sf), src.read_table(spark, sf, "labels"))
@@ -616,10 +617,6 @@ def q_char_chain(spark, sf):
 
 # ------------------------------------------------------------------ M1-M9, A5-A10, W7, W8, J9
 
-from wordmill.functions import scoring as scr  # noqa: E402
-from wordmill.operators import classifier as clf  # noqa: E402
-from wordmill.operators import evaluate as ev  # noqa: E402
-from wordmill.operators import lm  # noqa: E402
 
 POS_WEIGHT = clf.POS_WEIGHT
 LM_COEF = 0.5          # classifier fine-tuning default
@@ -793,11 +790,6 @@ def q_pair_f1(spark, sf):
 
 # ------------------------------------------------------------------ S2-S12 round trips, R1, R2
 
-import uuid  # noqa: E402
-
-from wordmill.session import scratch_path  # noqa: E402
-from wordmill.streaming import stream as stm  # noqa: E402
-
 
 def _scratch(spark, name):
     return scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
