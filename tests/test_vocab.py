@@ -61,3 +61,10 @@ def test_large_stop_table(spark):
     stop = spark.createDataFrame([("the",), ("c",)], "w string")
     out = vb.drop_stopwords_table(toks, stop, 2).orderBy("pos").collect()
     assert [r["token"] for r in out] == ["a", "b"]
+
+
+def test_line_count_from_counting_pass(spark):
+    lines = lines_df(spark, ["a b", "", "  ", "a"])
+    v, n, n_lines = pp.build_vocab(lines, "word", 1, materialize=False, with_line_count=True)
+    assert n_lines == 4 and n == 3
+    assert "\n" not in {r["token"] for r in v.collect()}

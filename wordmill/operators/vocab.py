@@ -29,6 +29,9 @@ MIN_COUNT_SHELL = 10
 # ---------------------------------------------------------------------------------------------
 
 LINE_KEY = ("doc_id", "line_no")
+# One per line in a token count when the line count is wanted from the same pass. Lines are
+# split on it and it is whitespace, so it is never a real token.
+LINE_SENTINEL = "\n"
 
 
 def count_tokens_col(text, mode: str) -> Column:
@@ -44,9 +47,14 @@ def count_tokens_col(text, mode: str) -> Column:
     raise ValueError(f"mode must be 'word' or 'char', not {mode!r}")
 
 
-def corpus_tokens(lines: DataFrame, mode: str = "word", keys=LINE_KEY) -> DataFrame:
-    """Exploded tokens ``(doc_id, line_no, pos, token)``."""
-    return lines.select(*keys, F.posexplode(count_tokens_col("text", mode)).alias("pos", "token"))
+def corpus_tokens(lines: DataFrame, mode: str = "word", keys=LINE_KEY,
+                  line_sentinel: bool = False) -> DataFrame:
+    """Exploded tokens ``(doc_id, line_no, pos, token)``; with ``line_sentinel`` every line
+    also yields one ``LINE_SENTINEL`` after its last token."""
+    toks = count_tokens_col("text", mode)
+    if line_sentinel:
+        toks = F.concat(toks, F.array(F.lit(LINE_SENTINEL)))
+    return lines.select(*keys, F.posexplode(toks).alias("pos", "token"))
 
 
 _DOC_SHIFT = "CAST(9223372036854775808 AS DECIMAL(38,0))"    # 2^63: doc ids may be negative
@@ -73,7 +81,8 @@ def _unpack_first_seen(k: Column) -> list:
             F.pmod(inner, F.lit(2 ** 31)).cast("int").alias("first_pos")]
 
 
-def token_counts(lines: DataFrame, mode: str = "word", keys=LINE_KEY) -> DataFrame:
+def token_counts(lines: DataFrame, mode: str = "word", keys=LINE_KEY,
+                 line_sentinel: bool = False) -> DataFrame:
     """A1: frequency per token plus the first position it was seen at.
 
     The first position is reported as ``first_doc_id, first_line_no, first_pos`` whatever the
@@ -81,7 +90,7 @@ def token_counts(lines: DataFrame, mode: str = "word", keys=LINE_KEY) -> DataFra
     map-side in a hash aggregate, so a hot token costs one row per map task in the shuffle,
     not one per occurrence.
     """
-    toks = corpus_tokens(lines, mode, keys)
+    toks = corpus_tokens(lines, mode, keys, line_sentinel)
     agg = toks.groupBy("token").agg(F.count(F.lit(1)).alias("freq"),
                                     F.min(first_seen_key(keys[0], keys[1], "pos")).alias("_k"))
     return agg.select("token", "freq", *_unpack_first_seen(F.col("_k")))
@@ -147,7 +156,7 @@ def assign_vocab_ids(counts: DataFrame, min_freq: int = MIN_COUNT_PREPARE,
 
 def kept_tokens(counts: DataFrame, min_freq: int) -> DataFrame:
     """Tokens that can enter a vocabulary (freq >= min_freq, not reserved)."""
-    return min_count(counts, min_freq).where(~F.col("token").isin(*RESERVED))
+    return min_count(counts, min_freq).where(~F.col("token").isin(*RESERVED, LINE_SENTINEL))
 
 
 def add_specials(vocab: DataFrame, n_vocab: int) -> DataFrame:

@@ -26,19 +26,30 @@ class Prepared:
 
 
 def build_vocab(lines: DataFrame, mode: str = "word", min_freq: int = vb.MIN_COUNT_PREPARE,
-                materialize: bool = True) -> tuple[DataFrame, int]:
-    """A1 -> A3 -> W1; returns the vocabulary and V (rows including UNK).
+                materialize: bool = True, with_line_count: bool = False):
+    """A1 -> A3 -> W1; returns the vocabulary and V (rows including UNK), and with
+    ``with_line_count`` also the number of lines, counted in the same pass.
 
     Only the kept tokens (freq >= min_freq) are written to the checkpoint folder; their count
     is V - 1 and decides how ids are numbered.
     """
-    kept = vb.kept_tokens(vb.token_counts(lines, mode), min_freq)
+    counts = vb.token_counts(lines, mode, line_sentinel=with_line_count)
+    kept = vb.kept_tokens(counts, min_freq)
+    if with_line_count:
+        kept = kept.unionByName(counts.where(F.col("token") == vb.LINE_SENTINEL))
     if materialize:
         kept = cut_lineage(kept)
+    n_lines = None
+    if with_line_count:
+        row = kept.where(F.col("token") == vb.LINE_SENTINEL).select("freq").first()
+        n_lines = row["freq"] if row else 0
+        kept = kept.where(F.col("token") != vb.LINE_SENTINEL)
     n_kept = kept.count()
     v = vb.assign_vocab_ids(kept, min_freq, n_kept=n_kept)
     if materialize:
         v = v.cache()
+    if with_line_count:
+        return v, n_kept + 1, n_lines
     return v, n_kept + 1
 
 
@@ -46,12 +57,13 @@ def prepare_corpus(lines: DataFrame, mode: str = "word", min_freq: int = vb.MIN_
                    seed: int = split.DEFAULT_SEED, materialize: bool = True) -> Prepared:
     """Vocabulary, dev rate, unk replacement and the train/dev split of every line.
 
-    With ``materialize`` the split corpus is written once to the checkpoint folder: train
-    encoding, dev encoding and the language model all read it, so the corpus is tokenised and
-    looked up once.
+    Two passes over the corpus: counting (which also counts the lines for the dev rate) and
+    replacing. With ``materialize`` the split corpus is written once to the checkpoint folder:
+    train encoding, dev encoding and the language model all read it, so the corpus is
+    tokenised and looked up once.
     """
-    v, n_vocab = build_vocab(lines, mode, min_freq, materialize)
-    rate = split.dev_rate(lines.count())
+    v, n_vocab, n_lines = build_vocab(lines, mode, min_freq, materialize, with_line_count=True)
+    rate = split.dev_rate(n_lines)
     replaced = vb.unk_replace(lines, v, n_vocab, mode)
     corpus = split.random_split(replaced, rate, seed).select("doc_id", "line_no", "split", "text")
     if materialize:
