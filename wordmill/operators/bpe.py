@@ -173,11 +173,12 @@ def learn_bpe(words: DataFrame, n_merges: int = DEFAULT_MERGES, k: int = 256,
     ``incremental=None`` chooses by the checked number of distinct words.
     """
     spark = words.sparkSession
-    first = cut_lineage(words.select("word", "freq", "w"))
+    first = words.select("word", "freq", "w").persist()   # deterministic; recomputable
     n_words = first.count()
     # partitions sized by the table (each pass scans it), not by the shuffle setting
     parts = max(spark.sparkContext.defaultParallelism, -(-n_words // WORDS_PER_PARTITION))
     cur = cut_lineage(first.repartition(parts))
+    first.unpersist()
     if incremental is None:
         incremental = n_words > INCREMENTAL_MIN_WORDS
     stats = cut_lineage(pair_stats(cur)) if incremental else None
