@@ -340,18 +340,21 @@ def segmented_form(subwords: Column, sep: str = SEPARATOR) -> Column:
 
 
 def segment_text(lines: DataFrame, codes: DataFrame, sep: str = SEPARATOR,
-                 keys=vb.LINE_KEY, native: bool | None = None) -> DataFrame:
+                 keys=vb.LINE_KEY, native: bool | None = None,
+                 words: DataFrame | None = None) -> DataFrame:
     """One output line per input line, words segmented and joined by spaces.
 
     Distinct words are segmented once and joined back to every occurrence (broadcast when
     their checked count allows, else a shuffled join with AQE skew splitting). ``native=None``
     picks the JVM fold for short code lists on which it provably equals greedy, else the
-    greedy ``mapInPandas`` form.
+    greedy ``mapInPandas`` form. ``words`` may pass the distinct words of ``lines`` (column
+    ``word``) when they already exist, e.g. the word table BPE was learned on.
     """
     if native is None:
         ranked = [(r["left"], r["right"]) for r in rank_codes(codes).orderBy("rank").collect()]
         native = len(ranked) <= FOLD_MAX_CODES and fold_equals_greedy(ranked)
-    distinct = lines.select(F.explode(tx.word_tokens("text")).alias("word")).distinct()
+    distinct = (words.select("word") if words is not None else
+                lines.select(F.explode(tx.word_tokens("text")).alias("word")).distinct())
     seg = (segment_words_fold if native else segment_words)(distinct, codes)
     table = seg.select(F.col("word").alias("_tok"),
                        segmented_form(F.col("subwords"), sep).alias("_val"))

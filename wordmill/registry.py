@@ -23,7 +23,7 @@ from wordmill.operators import evaluate as ev
 from wordmill.operators import pairs as pr
 from wordmill.plans import prepare as pp
 from wordmill.plans import shell_chains as sc
-from wordmill.session import literal_rows, scratch_path
+from wordmill.session import cut_lineage, literal_rows, scratch_path
 from wordmill.sources import corpus as src
 from wordmill.streaming import stream as stm
 
@@ -406,7 +406,11 @@ N_MERGES_CHECK = 20   # merges learned by the registered learning query
 
 
 def _words(spark, sf):
-    return bpe.word_symbols(lines(spark, sf))
+    """The corpus word table (distinct words with symbols), written once per session."""
+    key = (spark.sparkContext.applicationId, sf, "words")
+    if key not in _CACHE:
+        _CACHE[key] = cut_lineage(bpe.word_symbols(lines(spark, sf)))
+    return _CACHE[key]
 
 
 def _top_codes(spark, sf, k=N_CODES_TOP):
@@ -494,12 +498,14 @@ def q_segment_words_fold(spark, sf):
 
 @query("segment_text")
 def q_segment_text(spark, sf):
-    return normalize(bpe.segment_text(lines(spark, sf), _top_codes(spark, sf)))
+    return normalize(bpe.segment_text(lines(spark, sf), _top_codes(spark, sf),
+                                      words=_words(spark, sf)))
 
 
 @query("segment_text_learned")
 def q_segment_text_learned(spark, sf):
-    return normalize(bpe.segment_text(lines(spark, sf), learned_codes(spark, sf)))
+    return normalize(bpe.segment_text(lines(spark, sf), learned_codes(spark, sf),
+                                      words=_words(spark, sf)))
 
 
 # ------------------------------------------------------------------ pairs: J4-J8, U1, U2, U4, E9, B9, B10
