@@ -41,3 +41,14 @@ def test_vocabulary_window_and_distributed_ids_agree(spark):
     a = vb.assign_vocab_ids(kept, 5, n_kept=n).collect()
     b = vb.assign_vocab_ids(kept, 5).collect()       # no checked size: distributed numbering
     assert sorted(a) == sorted(b) and len(a) == n + 1
+
+
+def test_split_sequences_equal_per_split(spark):
+    lines = read_corpus(read_table(spark, SF_SMALL, "documents").select("doc_id", "text"))
+    prep = pp.prepare_corpus(lines, "word")
+    both = pp.prepare_split_sequences(prep, n_ctx=30)
+    for which in ("train", "dev"):
+        one = pp.prepare_sequences(prep, n_ctx=30, which=which)
+        got = both.where(F.col("split") == which).drop("split")
+        assert got.count() == one.count()
+        assert got.exceptAll(one.select(*got.columns)).count() == 0

@@ -94,3 +94,26 @@ def prepare_sequences(prepared: Prepared, n_ctx: int = 200, n_shards: int = 10,
     framed = encode_frame(numbered, prepared.vocab, prepared.n_vocab, n_ctx, carry=("row_idx",))
     return rows.round_robin_shard(framed, n_shards).select(
         "row_idx", "shard", "doc_id", "line_no", "ids")
+
+
+def prepare_split_sequences(prepared: Prepared, n_ctx: int = 200,
+                            n_shards: int = 10) -> DataFrame:
+    """E13 for both splits in one pass: one numbering and one encoding of the whole corpus.
+
+    Rows are numbered by (split, doc_id, line_no); ``dev`` sorts before ``train``, so the train
+    index is the global one minus the number of dev lines (read from the written corpus).
+    ``row_idx`` restarts at 0 in each split, in file order, exactly as numbering each split
+    alone. The framed sequences are written once (they are what the shard writer and the
+    language model read). Output ``(split, row_idx, shard, doc_id, line_no, ids)``.
+    """
+    c = prepared.corpus.select("doc_id", "line_no", "split", "text")
+    n_dev = c.where(F.col("split") == "dev").count()
+    numbered = rows.dense_index(c, [F.col("split"), F.col("doc_id"), F.col("line_no")],
+                                name="_g")
+    numbered = numbered.withColumn(
+        "row_idx", F.when(F.col("split") == "dev", F.col("_g")).otherwise(F.col("_g") - n_dev))
+    framed = encode_frame(numbered.drop("_g"), prepared.vocab, prepared.n_vocab, n_ctx,
+                          carry=("split", "row_idx"))
+    out = rows.round_robin_shard(framed, n_shards).select(
+        "split", "row_idx", "shard", "doc_id", "line_no", "ids")
+    return cut_lineage(out)

@@ -272,8 +272,16 @@ def q_sequence_length(spark, sf):
     return normalize(f.select("doc_id", "line_no", fr.sequence_length("ids", N_CTX).alias("len")))
 
 
+def _split_sequences(spark, sf):
+    """E13 for both splits, numbered and encoded in one pass, written once per session."""
+    key = (spark.sparkContext.applicationId, sf, "sequences")
+    if key not in _CACHE:
+        _CACHE[key] = pp.prepare_split_sequences(prepared(spark, sf, "word"), N_CTX, N_SHARDS)
+    return _CACHE[key]
+
+
 def _sequences(spark, sf):
-    return pp.prepare_sequences(prepared(spark, sf, "word"), N_CTX, N_SHARDS)
+    return _split_sequences(spark, sf).where(F.col("split") == "train").drop("split")
 
 
 @query("row_index")
@@ -691,7 +699,7 @@ def q_row_weighted_cost(spark, sf):
 
 def _dev_sequences(spark, sf):
     p = prepared(spark, sf, "word")
-    return pp.prepare_sequences(p, N_CTX, N_SHARDS, which="dev"), p.n_vocab
+    return _split_sequences(spark, sf).where(F.col("split") == "dev").drop("split"), p.n_vocab
 
 
 def _lm(spark, sf):
