@@ -1,3 +1,19 @@
 """DuckDB statements of the pipeline operators that SQL can express."""
 
 ORACLE: dict[str, str] = {}
+
+# op4: digest of the text without white space, the longest original text wins
+ORACLE["op4_exact_dedup"] = r"""
+WITH d AS (
+    SELECT doc_id, coalesce(text, '') AS t,
+           sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS h
+    FROM documents)
+SELECT doc_id,
+       first_value(doc_id) OVER w AS keep_id,
+       count(*) OVER (PARTITION BY h) AS group_size,
+       doc_id = first_value(doc_id) OVER w AS kept,
+       h AS text_sha256
+FROM d
+WINDOW w AS (PARTITION BY h ORDER BY length(t) DESC, doc_id
+             ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
+"""

@@ -41,3 +41,16 @@ def op8_token_counts(spark, sf):
     from wordmill.llm import token_counts as tc
     return tc.count_tokens(table(spark, sf, "documents"), tokenizer_file("byte_bpe_50k.json"),
                            limit=1024)
+
+
+@query
+def op4_exact_dedup(spark, sf):
+    from wordmill.llm import exact_dedup as ed
+    return ed.exact_dedup(table(spark, sf, "documents"), capacity=1000)
+
+
+@query
+def op9_simhash(spark, sf):
+    from wordmill.llm import simhash as sh
+    g = sh.groups(table(spark, sf, "documents"), width=3, limit=3)
+    return g.select("doc_id", sh.hex_fingerprint("fp").alias("fingerprint"), "component_id")
