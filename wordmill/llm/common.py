@@ -94,7 +94,17 @@ def task_label() -> str:
     return f"{c.partitionId():06d}-{c.taskAttemptId()}"
 
 
-LONG, STR = T.LongType(), T.StringType()
-
-__all__ = ["ship", "scratch", "written", "drop", "id_and_text", "free_name", "open_fs", "task_label",
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small driver-side table (its size bounded by the caller). It goes to the JVM as Arrow, so
+    reading it needs no Python worker."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    kind = T._parse_datatype_string(schema)
+    arrow = to_arrow_schema(kind)
+    cols = list(zip(*rows)) if rows else [()] * len(arrow)
+    data = pa.table([pa.array(list(c), f.type) for c, f in zip(cols, arrow)], schema=arrow)
+    return spark.createDataFrame(data).select(*[F.col(f.name).cast(f.dataType) for f in kind])
+
+
+__all__ = ["ship", "scratch", "written", "drop", "id_and_text", "free_name", "small_table", "open_fs", "task_label",
            "F", "T"]

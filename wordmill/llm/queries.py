@@ -54,3 +54,9 @@ def op9_simhash(spark, sf):
     from wordmill.llm import simhash as sh
     g = sh.groups(table(spark, sf, "documents"), width=3, limit=3)
     return g.select("doc_id", sh.hex_fingerprint("fp").alias("fingerprint"), "component_id")
+
+
+@query
+def op7_sharding(spark, sf):
+    from wordmill.llm import sharding as sd
+    return sd.shard_table(table(spark, sf, "documents"), n_shards=16)
