@@ -60,3 +60,10 @@ def op9_simhash(spark, sf):
 def op7_sharding(spark, sf):
     from wordmill.llm import sharding as sd
     return sd.shard_table(table(spark, sf, "documents"), n_shards=16)
+
+
+@query
+def op1_toxicity(spark, sf):
+    from wordmill.llm import toxicity as tx
+    return tx.score_documents(table(spark, sf, "documents"), table(spark, sf, "labels"),
+                              threshold=0.3)
