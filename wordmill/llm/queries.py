@@ -67,3 +67,9 @@ def op1_toxicity(spark, sf):
     from wordmill.llm import toxicity as tx
     return tx.score_documents(table(spark, sf, "documents"), table(spark, sf, "labels"),
                               threshold=0.3)
+
+
+@query
+def op6_decontaminate(spark, sf):
+    from wordmill.llm import decontaminate as dc
+    return dc.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
