@@ -73,3 +73,9 @@ def op1_toxicity(spark, sf):
 def op6_decontaminate(spark, sf):
     from wordmill.llm import decontaminate as dc
     return dc.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query
+def op2_mixing(spark, sf):
+    from wordmill.llm import mixing as mx
+    return mx.mix_table(table(spark, sf, "documents"), table(spark, sf, "labels"), domain="lang")

@@ -17,11 +17,11 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordmill.llm import hamming
-from wordmill.llm.common import id_and_text, written
+from wordmill.llm.common import free_name, id_and_text, ship, written
 from wordmill.llm.components import components, join_by_weight
 
 _LOW = np.uint64(0x0101010101010101)
@@ -56,6 +56,20 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     return int(np.packbits(total * 2 > n, bitorder="little").view("<u8")[0])
 
 
+def _fingerprints_with(docs: DataFrame, key: str, width: int) -> DataFrame:
+    """``doc_id, key, fp`` with a long column of the input carried along."""
+    ship(docs.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            fp = np.array([fingerprint(t.as_py(), width) for t in b.column(2)], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))],
+                                             names=["doc_id", "key", "fp"])
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.col(key).alias("key"),
+                       docs["text"].cast("string").alias("text")
+                       ).mapInArrow(run, "doc_id long, key long, fp long")
+
+
 def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
     """``doc_id, fp`` (the 64 bits as a signed long), one row per input row."""
@@ -167,6 +181,12 @@ def groups(docs: DataFrame, width: int = 3, limit: int = 3, id_col: str = "doc_i
     repeated rows are all returned. An empty table gives an empty result.
     """
     rows, _ = written(fingerprints(docs, width, id_col, text_col), "simhash")
+    return (join_by_weight(rows, _classes(rows, limit), "fp", "w", max(1, rows.count()))
+            .select("doc_id", "fp", "component_id"))
+
+
+def _classes(rows: DataFrame, limit: int) -> DataFrame:
+    """Per distinct code of ``rows``: ``fp, root, component_id, w`` (rows with it), ``one``."""
     codes, _ = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least"),
                                               F.count(F.lit(1)).alias("w")), "codes")
     found, _ = written(links(codes.select("fp"), limit), "simhash-links")
@@ -175,9 +195,26 @@ def groups(docs: DataFrame, width: int = 3, limit: int = 3, id_col: str = "doc_i
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"),
                                        F.count(F.lit(1)).alias("codes"))
     named = join_by_weight(linked, least, "root", "codes", max(1, codes.count()))
-    named, _ = written(named.select("fp", "component_id", "w"), "named")
-    return (join_by_weight(rows, named, "fp", "w", max(1, rows.count()))
-            .select("doc_id", "fp", "component_id"))
+    return written(named.select("fp", "root", "component_id", "w", F.lit(1).alias("one")),
+                   "named")[0]
+
+
+def keep_one(docs: DataFrame, width: int = 3, limit: int = 3) -> DataFrame:
+    """``docs`` (all its columns) with one row of each group: the smallest doc_id, any null id
+    last; of rows alike in id and text exactly one. Rows are found again by a hash of id and
+    text; its keys are as good as distinct, so no group of copies meets in one task."""
+    key, nth = free_name(docs, "_key"), free_name(docs, "_nth")
+    marked = docs.withColumn(key, F.xxhash64(docs["doc_id"].cast("long"), docs["text"]))
+    ids, _ = written(_fingerprints_with(marked, key, width), "simhash-keys")
+    named = _classes(ids.select("doc_id", "fp"), limit)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
+    heads = (join_by_weight(ids.groupBy("fp").agg(least.alias("m")), named, "fp", "one",
+                            max(1, named.count()))
+             .groupBy("component_id", "root").agg(F.min("m").alias("m"))
+             .select(F.col("m.key").alias(key)))
+    kept = marked.join(heads, key, "left_semi")
+    first = Window.partitionBy(key).orderBy(key)
+    return kept.withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1).drop(key, nth)
 
 
 def hex_fingerprint(fp):
