@@ -79,3 +79,9 @@ def op6_decontaminate(spark, sf):
 def op2_mixing(spark, sf):
     from wordmill.llm import mixing as mx
     return mx.mix_table(table(spark, sf, "documents"), table(spark, sf, "labels"), domain="lang")
+
+
+@query
+def op10_html_text(spark, sf):
+    from wordmill.llm import html_extract as hx
+    return hx.extract_pages(table(spark, sf, "pages"))
