@@ -85,3 +85,9 @@ def op2_mixing(spark, sf):
 def op10_html_text(spark, sf):
     from wordmill.llm import html_extract as hx
     return hx.extract_pages(table(spark, sf, "pages"))
+
+
+@query
+def op5_pii(spark, sf):
+    from wordmill.llm import pii
+    return pii.pseudonymise(table(spark, sf, "documents"), key="wordmill-demo-key")
