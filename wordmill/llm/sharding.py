@@ -68,6 +68,11 @@ def _table(spark, rows: list[tuple], schema: str) -> DataFrame:
 def _next_nodes(rows: DataFrame, splits: list[Split], n_dims: int) -> DataFrame:
     """Send every row of a split node to its child; rows of leaves stay."""
     spark = rows.sparkSession
+    if len(splits) == 1 and splits[0].node == 0:    # the root: all rows, no table needed
+        s = splits[0]
+        x, tie = F.col(f"d{s.dim}"), F.col("tie")
+        left = (x < s.value) | ((x == s.value) & (tie < s.tie))
+        return rows.withColumn("node", F.when(left, s.left).otherwise(s.right).cast("long"))
     t = _table(spark, [(s.node, s.dim, s.value, s.tie, s.left, s.right) for s in splits],
                "node long, s_dim int, s_value long, s_tie long, s_left long, s_right long")
     x = _pick("s_dim", n_dims)
