@@ -34,7 +34,7 @@ def test_segmentation_hand_case(spark):
     out = bpe.segment_text(lines_df(spark, ["the aaa on thethe", ""]), codes)
     got = [r["text"] for r in out.orderBy("line_no").collect()]
     assert got == ["the aa@@ a on the@@ the", ""]
-    fold = bpe.segment_text(lines_df(spark, ["the aaa on thethe"]), codes, native=True)
+    fold = bpe.segment_text(lines_df(spark, ["the aaa on thethe"]), codes)
     assert fold.first()["text"] == "the aa@@ a on the@@ the"
 
 
@@ -115,12 +115,14 @@ def test_fold_condition():
     assert not bpe.fold_equals_greedy([("a", "b"), ("a", "b")])      # same string twice
 
 
-def test_greedy_and_fold_paths_agree_on_text(spark):
+def test_text_is_its_words_segmented(spark):
     lines = fixture_lines(spark, 15)
     codes = bpe.learn_bpe(bpe.word_symbols(lines), 25)
-    a = bpe.segment_text(lines, codes, native=True)
-    b = bpe.segment_text(lines, codes, native=False)
-    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    words = bpe.segment_words(bpe.word_symbols(lines).select("word"), codes).collect()
+    form = {r["word"]: "@@ ".join(r["subwords"]) for r in words}
+    seg = {(r["doc_id"], r["line_no"]): r["text"] for r in bpe.segment_text(lines, codes).collect()}
+    for r in lines.collect():
+        assert seg[r["doc_id"], r["line_no"]] == " ".join(form[w] for w in r["text"].split())
 
 
 def test_incremental_equals_full_recount(spark):

@@ -34,13 +34,15 @@ def test_prepare_corpus_and_sequences_properties(spark):
     assert max(sizes) - min(sizes) <= 1
 
 
-def test_vocabulary_window_and_distributed_ids_agree(spark):
+def test_narrow_lookups_equal_joins(spark):
     lines = read_corpus(read_table(spark, SF_SMALL, "documents").select("doc_id", "text"))
-    kept = vb.kept_tokens(vb.token_counts(lines), 5)
-    n = kept.count()
-    a = vb.assign_vocab_ids(kept, 5, n_kept=n).collect()
-    b = vb.assign_vocab_ids(kept, 5).collect()       # no checked size: distributed numbering
-    assert sorted(a) == sorted(b) and len(a) == n + 1
+    for mode in ("word", "char"):
+        v = vb.assign_vocab_ids(vb.token_counts(lines, mode), 5)
+        a, b = (vb.unk_replace(lines, v, mode, limit=x) for x in (1 << 30, 0))
+        assert a.count() == lines.count() and a.exceptAll(b).count() == 0
+        t = vb.add_specials(v, v.count())
+        a, b = (vb.encode(lines, t, limit=x) for x in (1 << 30, 0))
+        assert a.count() == lines.count() and a.exceptAll(b).count() == 0
 
 
 def test_split_sequences_equal_per_split(spark):

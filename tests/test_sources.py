@@ -77,4 +77,51 @@ def test_read_corpus_from_text_files(spark, tmp_dir):
     p = os.path.join(tmp_dir, "txt")
     write_text(p, ["one line", "", "third"])
     ln = src.read_corpus(p, spark).orderBy("line_no").collect()
-    assert [r["text"] for r in ln] == ["one line", "", "third", ""]
+    assert [r["text"] for r in ln] == ["one line", "", "third"]
+
+
+def test_lines_of_several_files_and_splits(spark, tmp_dir):
+    p = os.path.join(tmp_dir, "many")
+    os.makedirs(p)
+    want = []
+    for f in range(3):
+        lines = [f"{f} {i} " + "x" * (i % 50) for i in range((f + 1) * 400)]
+        want += [(f, i, t) for i, t in enumerate(lines)]
+        with open(os.path.join(p, f"part-{f}.txt"), "w", encoding="utf-8") as out:
+            out.write("\n".join(lines) + "\n" * (f % 2))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+        got = src.read_corpus(p, spark)
+        assert got.rdd.getNumPartitions() >= 1
+        assert sorted(map(tuple, got.collect())) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_pairs_keep_file_order(spark, tmp_dir):
+    p = os.path.join(tmp_dir, "ordered")
+    os.makedirs(p)
+    for f, n in enumerate((3, 400, 20)):
+        with open(os.path.join(p, f"part-{f}.txt"), "w", encoding="utf-8") as out:
+            out.write("".join(f"a{f}-{i}\tb\n" for i in range(n)))
+    pairs, _ = src.read_pairs(spark, p)
+    got = sorted((r["pair_id"], r["a"]) for r in pairs.collect())
+    assert got == list(enumerate(f"a{f}-{i}" for f, n in enumerate((3, 400, 20)) for i in range(n)))
+
+
+def test_text_vocab_codes_and_counts(spark, tmp_dir):
+    from wordmill.operators import vocab as vb
+    v = spark.createDataFrame([(0, "UNK"), (1, "b"), (2, "a")], "id int, token string")
+    src.write_vocab(v, os.path.join(tmp_dir, "v2"), os.path.join(tmp_dir, "vt2"))
+    assert sorted(src.read_vocab_text(spark, os.path.join(tmp_dir, "vt2")).collect()) == sorted(v.collect())
+    k = spark.createDataFrame([(1, "th", "e"), (0, "t", "h")], "rank int, left string, right string")
+    src.write_codes_text(k, os.path.join(tmp_dir, "kt"))
+    assert sorted(src.read_codes_text(spark, os.path.join(tmp_dir, "kt")).collect()) == sorted(k.collect())
+    c = spark.createDataFrame([("a", 5), ("b", 9), ("c", 1)], "token string, freq long")
+    src.write_counts(c, os.path.join(tmp_dir, "ct"))
+    lines = [r["value"] for r in spark.read.text(os.path.join(tmp_dir, "ct")).collect()]
+    assert sorted(lines) == ["a 5", "b 9", "c 1"]
+    made = src.vocab_from_counts(src.read_counts(spark, os.path.join(tmp_dir, "ct")), 2)
+    assert sorted(map(tuple, made.collect())) == [(0, "UNK"), (1, "b"), (2, "a")]
+    assert vb.UNK == "UNK"

@@ -9,10 +9,11 @@ from wordmill.streaming import stream as st
 PATTERN = SF_SMALL + "/documents*.parquet"
 
 
-def test_stream_token_counts_equals_batch(spark):
-    q = st.start_token_counts(st.read_document_stream(spark, PATTERN), "wm_counts_test")
+def test_stream_token_counts_equals_batch(spark, tmp_dir):
+    out = tmp_dir + "/counts"
+    q = st.start_token_counts(st.read_document_stream(spark, PATTERN), out, "wm_counts_test")
     q.awaitTermination()
-    got = {r["token"]: r["freq"] for r in spark.table("wm_counts_test").collect()}
+    got = {r["token"]: r["freq"] for r in st.read_token_counts(spark, out).collect()}
     docs = read_table(spark, SF_SMALL, "documents").select("doc_id", "text")
     want = {r["token"]: r["freq"] for r in vb.token_counts(read_corpus(docs)).collect()}
     assert got == want

@@ -104,3 +104,10 @@ def test_project_with_optional_label(spark):
     without = spark.createDataFrame([("x", "y", 9)], "a string, b string, z int")
     assert tx.project_with_optional_label(with_label).columns == ["a", "b", "label"]
     assert tx.project_with_optional_label(without).columns == ["a", "b"]
+
+
+def test_private_use_characters_are_kept(spark):
+    df = spark.createDataFrame([("a\ue000b\ue001\ue000c!?\u82b1\u5457x",)], "t string")
+    got = df.select(tx.space_symbols("t"), tx.space_cjk("t")).first()
+    assert got[0] == "a\ue000b\ue001\ue000c ! ? \u82b1\u5457x"
+    assert got[1] == "a\ue000b\ue001\ue000c!? \u82b1 \u5457 x"

@@ -30,15 +30,15 @@ def test_char_mode_space_gives_empty_token(spark):
     lines = lines_df(spark, ["a b"] * 25)
     v, n = pp.build_vocab(lines, "char", 20, materialize=False)
     assert {r["token"]: r["id"] for r in v.collect()} == {"UNK": 0, "a": 1, "b": 2}
-    rep = vb.unk_replace(lines_df(spark, ["a b", "a　c"]), v, n, "char").orderBy("line_no")
+    rep = vb.unk_replace(lines_df(spark, ["a b", "a　c"]), v, "char").orderBy("line_no")
     assert [r["text"] for r in rep.collect()] == ["a  b", "a  UNK"]
-    enc = vb.encode(rep, vb.add_specials(v, n), n + 3).orderBy("line_no")
+    enc = vb.encode(rep, vb.add_specials(v, n)).orderBy("line_no")
     assert [r["ids"] for r in enc.collect()] == [[1, 0, 2], [1, 0, 0]]
 
 
 def test_empty_line_frames_to_start_unk_end(spark):
     v = spark.createDataFrame([(0, "UNK"), (1, "a"), (2, "b")], "id int, token string")
-    enc = vb.encode(lines_df(spark, [""]), vb.add_specials(v, 3), 6)
+    enc = vb.encode(lines_df(spark, [""]), vb.add_specials(v, 3))
     ids = enc.select(fr.frame("ids", 5, 3, 5).alias("f")).first()["f"]
     assert ids == [3, 0, 5]
 
@@ -52,14 +52,14 @@ def test_specials(spark):
 def test_unk_replace_word(spark):
     lines = lines_df(spark, ["x y x", "  ", "y z"])
     v = spark.createDataFrame([(0, "UNK"), (1, "x")], "id int, token string")
-    out = vb.unk_replace(lines, v, 2, "word").orderBy("line_no").collect()
+    out = vb.unk_replace(lines, v, "word").orderBy("line_no").collect()
     assert [r["text"] for r in out] == ["x UNK x", "", "UNK UNK"]
 
 
 def test_large_stop_table(spark):
     toks = vb.corpus_tokens(lines_df(spark, ["the a b the c"]))
     stop = spark.createDataFrame([("the",), ("c",)], "w string")
-    out = vb.drop_stopwords_table(toks, stop, 2).orderBy("pos").collect()
+    out = vb.drop_stopwords_table(toks, stop).orderBy("pos").collect()
     assert [r["token"] for r in out] == ["a", "b"]
 
 

@@ -36,10 +36,6 @@ TYPO_MAP = (("花贝", "花呗"), ("借贝", "借呗"))
 NUM_TAG = " #num "
 # ---------------------------------------------------------------------------------------------
 
-# Private-use marks used to rebuild run-level rewrites from per-character regex replacements.
-_OPEN, _CLOSE = "\ue000", "\ue001"
-
-
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -134,10 +130,10 @@ def lower_latin(text) -> Column:
 
 
 def _space_run_chars(text: Column, char_class: str) -> Column:
-    """Each maximal run of ``char_class`` becomes ' c1 c2 ... cn ' (one space between)."""
-    t = F.regexp_replace(text, "(" + char_class + ")", _OPEN + "$1" + _CLOSE)
-    t = F.replace(t, F.lit(_CLOSE + _OPEN), F.lit(" "))
-    return F.translate(t, _OPEN + _CLOSE, "  ")
+    """Each maximal run of ``char_class`` becomes ' c1 c2 ... cn ' (one space between): a space
+    goes before every character of the class, and behind the last of a run."""
+    t = F.regexp_replace(text, "(" + char_class + ")(?!" + char_class + ")", "$1 ")
+    return F.regexp_replace(t, "(?=" + char_class + ")", " ")
 
 
 def space_symbols(text) -> Column:

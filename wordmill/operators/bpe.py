@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from wordmill.functions import text as tx
 from wordmill.operators import vocab as vb
-from wordmill.session import BROADCAST_MAX_ROWS, cut_lineage, literal_rows
+from wordmill.session import cut_lineage, literal_rows, release, ship
 
 # ---------------------------------------------------------------------------------------------
 # Fixed values.
@@ -150,14 +150,11 @@ def _pairs_weighted(words: DataFrame, sign: int) -> DataFrame:
         .select(F.col("p.l").alias("l"), F.col("p.r").alias("r"), F.col("freq").alias("n"))
 
 
-# Word tables with more distinct words than this update their pair statistics incrementally;
-# smaller ones recount (fewer stages per pass, which is what dominates on small tables).
-INCREMENTAL_MIN_WORDS = 2_000_000
 WORDS_PER_PARTITION = 200_000
 
 
 def learn_bpe(words: DataFrame, n_merges: int = DEFAULT_MERGES, k: int = 256,
-              checkpoint_every: int = 8, batch: bool = True, incremental: bool | None = None,
+              checkpoint_every: int = 8, batch: bool = True, incremental: bool = False,
               log=None) -> DataFrame:
     """B3 + B4: ranked merge codes ``(rank, left, right, n)``.
 
@@ -169,8 +166,8 @@ def learn_bpe(words: DataFrame, n_merges: int = DEFAULT_MERGES, k: int = 256,
     changed (old symbols counted negatively, new ones positively), so a pass shuffles a delta
     plus the distinct pairs instead of every pair occurrence of every word; words are found
     with a narrow filter on the merged patterns. Otherwise every pass recounts from scratch.
-    Word and statistics tables are cut from their lineage every ``checkpoint_every`` passes.
-    ``incremental=None`` chooses by the checked number of distinct words.
+    Word and statistics tables are written every ``checkpoint_every`` passes, and the written
+    predecessors are deleted.
     """
     spark = words.sparkSession
     first = words.select("word", "freq", "w").persist()   # deterministic; recomputable
@@ -179,10 +176,11 @@ def learn_bpe(words: DataFrame, n_merges: int = DEFAULT_MERGES, k: int = 256,
     parts = max(spark.sparkContext.defaultParallelism, -(-n_words // WORDS_PER_PARTITION))
     cur = cut_lineage(first.repartition(parts))
     first.unpersist()
-    if incremental is None:
-        incremental = n_words > INCREMENTAL_MIN_WORDS
     stats = cut_lineage(pair_stats(cur)) if incremental else None
+    start = [cur] + ([stats] if incremental else [])
     old: list = []                     # tables to release once their successors exist
+    files: list = start                # written tables that later ones are derived from
+    stale: list = []                   # written tables with a written successor
     produced: set = set()
     codes: list = []
     passes = 0
@@ -191,7 +189,9 @@ def learn_bpe(words: DataFrame, n_merges: int = DEFAULT_MERGES, k: int = 256,
         top = src.orderBy(*pair_order()).limit(k).collect()
         for d in old:                  # the new tables are materialised now
             d.unpersist()
-        old = []
+        for d in stale:
+            release(d)
+        old, stale = [], []
         if not top or top[0]["n"] < MIN_PAIR_COUNT:
             break
         if batch:
@@ -208,6 +208,9 @@ def learn_bpe(words: DataFrame, n_merges: int = DEFAULT_MERGES, k: int = 256,
                .where(n_symbols("w") > 1))
         passes += 1
         cut = passes % checkpoint_every == 0
+        before_cut = files
+        if cut:
+            files = []
         if incremental:
             hit = None
             for l, r in merged:
@@ -219,14 +222,21 @@ def learn_bpe(words: DataFrame, n_merges: int = DEFAULT_MERGES, k: int = 256,
             nstats = (stats.unionByName(delta).groupBy("l", "r")
                       .agg(F.sum("n").cast("long").alias("n")).where(F.col("n") != 0))
             nstats = cut_lineage(nstats) if cut else nstats.persist()
+            if cut:
+                files.append(nstats)
             old.append(stats)
             stats = nstats
         nxt = cut_lineage(nxt) if cut else nxt.persist()
         old.append(cur)
+        if cut:
+            files.append(nxt)
+            stale = before_cut
         cur = nxt
     for d in old + [cur] + ([stats] if stats is not None else []):
         if d.is_cached:
             d.unpersist()
+    for d in files + stale:
+        release(d)
     return literal_rows(spark, [(i, l, r, int(n)) for i, (l, r, n) in enumerate(codes)],
                         "rank int, left string, right string, n long")
 
@@ -242,26 +252,27 @@ def symbol_pairs(syms) -> Column:
 
 
 def _greedy(word: str, ranks: dict) -> list:
-    """Apply the lowest-ranked pair present until none is left; drop the end-of-word mark."""
+    """Apply the lowest-ranked pair present until none is left; drop the end-of-word mark. The
+    rank of each neighbouring pair is kept, so a merge only looks up the pairs it makes."""
     sy = list(word) + [END_OF_WORD]
-    while len(sy) > 1:
-        best, best_rank = None, None
-        for a, b in zip(sy, sy[1:]):
-            rk = ranks.get((a, b))
-            if rk is not None and (best_rank is None or rk < best_rank):
-                best, best_rank = (a, b), rk
-        if best is None:
+    none = len(ranks) + (1 << 60)
+    get = ranks.get
+    rk = [get(p, none) for p in zip(sy, sy[1:])]
+    while rk:
+        best = min(rk)
+        if best == none:
             break
-        a, b = best
-        out, i = [], 0
-        while i < len(sy):
-            if i + 1 < len(sy) and sy[i] == a and sy[i + 1] == b:
-                out.append(a + b)
-                i += 2
-            else:
-                out.append(sy[i])
-                i += 1
-        sy = out
+        i = rk.index(best)
+        a, b = sy[i], sy[i + 1]
+        while i < len(rk):
+            if rk[i] == best and sy[i] == a and sy[i + 1] == b:
+                sy[i:i + 2] = [a + b]
+                del rk[i]
+                if i:
+                    rk[i - 1] = get((sy[i - 1], sy[i]), none)
+                if i < len(rk):
+                    rk[i] = get((sy[i], sy[i + 1]), none)
+            i += 1
     if sy[-1] == END_OF_WORD:
         sy = sy[:-1]
     elif sy[-1].endswith(END_OF_WORD):
@@ -273,16 +284,20 @@ SEGMENT_SCHEMA = T.StructType([T.StructField("word", T.StringType()),
                                T.StructField("subwords", T.ArrayType(T.StringType()))])
 
 
+def _sent_ranks(spark, codes: DataFrame):
+    """The ranked code list, one entry per merge, in every worker."""
+    ship(spark)
+    return spark.sparkContext.broadcast(
+        {(r["left"], r["right"]): r["rank"] for r in rank_codes(codes).collect()})
+
+
 def segment_words(words: DataFrame, codes: DataFrame, word: str = "word") -> DataFrame:
     """Segment each distinct word with the min-rank greedy rule.
 
     Runs as ``mapInPandas`` over the distinct words (Arrow batches); the ranked code list is
     bounded by the number of merges and is broadcast once.
     """
-    spark = words.sparkSession
-    ranked = rank_codes(codes).collect()
-    ranks = {(r["left"], r["right"]): r["rank"] for r in ranked}
-    bc = spark.sparkContext.broadcast(ranks)
+    bc = _sent_ranks(words.sparkSession, codes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rk = bc.value
@@ -312,9 +327,6 @@ def segment_words_fold(words: DataFrame, codes: DataFrame, word: str = "word") -
     return split.select("word", fixed.alias("subwords"))
 
 
-FOLD_MAX_CODES = 500   # longer code lists use the greedy mapInPandas form
-
-
 def fold_equals_greedy(pairs: list) -> bool:
     """True when applying the codes in rank order gives the min-rank greedy result: no code has
     an operand that only a code of the same or a later rank produces, and no two codes (or a
@@ -339,28 +351,31 @@ def segmented_form(subwords: Column, sep: str = SEPARATOR) -> Column:
     return F.array_join(F.concat(head, F.slice(subwords, n, 1)), " ")
 
 
+WORDS_CACHED = 400_000     # words whose segmentation a worker remembers
+
+
 def segment_text(lines: DataFrame, codes: DataFrame, sep: str = SEPARATOR,
-                 keys=vb.LINE_KEY, native: bool | None = None,
-                 words: DataFrame | None = None) -> DataFrame:
+                 keys=vb.LINE_KEY, carry=()) -> DataFrame:
     """One output line per input line, words segmented and joined by spaces.
 
-    Distinct words are segmented once and joined back to every occurrence (broadcast when
-    their checked count allows, else a shuffled join with AQE skew splitting). ``native=None``
-    picks the JVM fold for short code lists on which it provably equals greedy, else the
-    greedy ``mapInPandas`` form. ``words`` may pass the distinct words of ``lines`` (column
-    ``word``) when they already exist, e.g. the word table BPE was learned on.
+    One narrow Arrow pass, no shuffle: a worker segments each word it meets once and remembers
+    it, up to ``WORDS_CACHED`` words (then it starts anew; only speed depends on it).
     """
-    if native is None:
-        ranked = [(r["left"], r["right"]) for r in rank_codes(codes).orderBy("rank").collect()]
-        native = len(ranked) <= FOLD_MAX_CODES and fold_equals_greedy(ranked)
-    distinct = (words.select("word") if words is not None else
-                lines.select(F.explode(tx.word_tokens("text")).alias("word")).distinct())
-    seg = (segment_words_fold if native else segment_words)(distinct, codes)
-    table = seg.select(F.col("word").alias("_tok"),
-                       segmented_form(F.col("subwords"), sep).alias("_val"))
-    # (``subwords`` is a materialised column here, so the form reads it, not the fold)
-    table = cut_lineage(table)
-    n = table.count()
-    out = vb.lookup_tokens(lines, keys, tx.word_tokens("text"), table, n, F.col("_val"),
-                           F.col("_tok"), "_t", limit=BROADCAST_MAX_ROWS)
-    return out.select(*keys, tx.strip(F.array_join("_t", " ")).alias("text"))
+    bc = _sent_ranks(lines.sparkSession, codes)
+    cached, end = WORDS_CACHED, sep + " "
+
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        ranks, known = bc.value, {}
+
+        def one(w):
+            got = known.get(w)
+            if got is None:
+                if len(known) >= cached:
+                    known.clear()
+                got = known[w] = end.join(_greedy(w, ranks))
+            return got
+        for texts in batches:
+            yield pd.Series([None if t is None else " ".join([one(w) for w in t.split()])
+                             for t in texts], dtype="object")
+    return lines.select(*keys, *carry, run("text").alias("text"))

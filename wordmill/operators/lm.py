@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordmill.functions import frames as fr
-from wordmill.session import BROADCAST_MAX_ROWS, cut_lineage
+from wordmill.session import BROADCAST_MAX_BYTES, cut_lineage, small_enough
 
 
 def target_positions(seqs: DataFrame, ids: str = "ids", seq: str = "row_idx") -> DataFrame:
@@ -44,34 +44,42 @@ def score_ngram_lm(dev: DataFrame, bigrams: DataFrame, totals: DataFrame, n_type
     """M7: per-position loss -ln((c + k) / (t + k·n_types)) with its mask.
 
     ``mask='length'`` keeps every real target (validation rule); ``'nonzero'`` drops UNK
-    targets (training rule, sign(id)). The context totals have at most ``n_types`` rows, so
-    they are broadcast behind that bound; the bigram table grows with the data and is joined
-    by the planner (shuffled, AQE skew splitting).
+    targets (training rule, sign(id)). The bigram table grows with the corpus, the dev set does
+    not: the distinct dev pairs (combined map-side) pick their bigrams first, and only those few
+    rows meet the dev positions, so a hot pair such as (UNK, UNK) is one row on that side.
     """
     t = target_positions(dev, ids, seq)
-    tot = F.broadcast(totals) if n_types <= BROADCAST_MAX_ROWS else totals
-    j = t.join(bigrams, ["prev", "next"], "left").join(tot, "prev", "left")
+    asked = t.select("prev", "next").distinct()
+    asked = cut_lineage(asked)
+    near = F.broadcast(asked) if small_enough(asked) else asked
+    few = cut_lineage(near.join(bigrams, ["prev", "next"]).join(totals, "prev"))
+    ctx = cut_lineage(asked.select("prev").distinct().join(totals, "prev"))
+    hint = F.broadcast if small_enough(asked) else (lambda d: d)
+    j = (t.join(hint(few.select("prev", "next", "c")), ["prev", "next"], "left")
+         .join(hint(ctx), "prev", "left"))
     p = (F.coalesce(F.col("c"), F.lit(0)) + F.lit(k)) / \
         (F.coalesce(F.col("t"), F.lit(0)) + F.lit(k * n_types))
     m = F.lit(1.0) if mask == "length" else F.signum("next").cast("double")
     return j.select("seq", "pos", (-F.log(p)).alias("loss"), m.alias("mask"))
 
 
-def embedding_lookup_sum(framed: DataFrame, emb: DataFrame, n_vocab: int, n_emb_rows: int,
+def embedding_lookup_sum(framed: DataFrame, emb: DataFrame, n_vocab: int,
                          keys=("pair_id", "ord"), ids: str = "ids", key: str = "vec_id",
                          vec: str = "embedding", n_special: int = 3) -> DataFrame:
     """h[pos] = E[id] + E[V + n_special + pos] for every position of every sequence.
 
     Positions are exploded, the vector table is joined twice (token row and position row;
-    broadcast only when its checked row count allows), and the two vectors are added with
-    ``zip_with``. Positions whose id or position id has no row are dropped.
+    broadcast only when its measured bytes allow), and the two vectors are added with
+    ``zip_with``. A position whose id or position id has no row keeps its row with a null ``h``.
     """
     ex = framed.select(*keys, F.posexplode(ids).alias("pos", "id")) \
         .withColumn("pos_id", F.lit(n_vocab + n_special) + F.col("pos"))
     e = emb.select(F.col(key).alias("_k"), F.transform(vec, lambda x: x.cast("double"))
                    .alias("_v"))
-    e = F.broadcast(e) if n_emb_rows <= BROADCAST_MAX_ROWS else e
-    tok = ex.join(e.withColumnRenamed("_k", "id").withColumnRenamed("_v", "_tv"), "id")
-    both = tok.join(e.withColumnRenamed("_k", "pos_id").withColumnRenamed("_v", "_pv"), "pos_id")
+    size = e.agg(F.sum(F.size("_v") * 8 + 40)).head()[0] or 0
+    e = F.broadcast(e) if size <= BROADCAST_MAX_BYTES else e
+    tok = ex.join(e.withColumnRenamed("_k", "id").withColumnRenamed("_v", "_tv"), "id", "left")
+    both = tok.join(e.withColumnRenamed("_k", "pos_id").withColumnRenamed("_v", "_pv"), "pos_id",
+                    "left")
     return both.select(*keys, "pos", "id", "pos_id",
                        F.zip_with("_tv", "_pv", lambda a, b: a + b).alias("h"))

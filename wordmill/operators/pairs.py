@@ -13,18 +13,25 @@ from wordmill.functions import frames as fr
 from wordmill.operators.rows import dense_index
 
 
+LINES_PER_DOC = 1 << 24      # room for a document's pairs in ``pair_id``
+
+
 def doc_pairs(documents: DataFrame, labels: DataFrame | None = None,
               label_col: str = "toxic") -> DataFrame:
-    """Labelled pairs from documents: first line as A, second line (or '') as B, label from
-    ``labels`` (-1 where it has no row). ``pair_id`` = doc_id."""
-    p = F.split("text", "\n")
-    pairs = documents.select(F.col("doc_id").alias("pair_id"), F.get(p, 0).alias("a"),
-                             F.coalesce(F.get(p, 1), F.lit("")).alias("b"))
+    """Labelled pairs from documents: lines 2k and 2k+1 (or '') of every document as A and B,
+    label from ``labels`` (-1 where it has no row). ``pair_id`` = doc_id * 2^24 + k."""
+    lines = documents.select("doc_id", F.split("text", "\n").alias("p"))
+    k = F.explode(F.sequence(F.lit(0), ((F.size("p") - 1) / 2).cast("int")))
+    pairs = lines.select("doc_id", "p", k.alias("k")).select(
+        "doc_id", (F.col("doc_id") * LINES_PER_DOC + F.col("k")).alias("pair_id"),
+        F.get("p", F.col("k") * 2).alias("a"),
+        F.coalesce(F.get("p", F.col("k") * 2 + 1), F.lit("")).alias("b"))
     if labels is None:
-        return pairs.withColumn("label", F.lit(-1))
-    lab = labels.select(F.col("doc_id").alias("pair_id"), F.col(label_col).alias("_y"))
-    return (pairs.join(lab, "pair_id", "left")
-            .withColumn("label", F.coalesce(F.col("_y").cast("int"), F.lit(-1))).drop("_y"))
+        return pairs.drop("doc_id").withColumn("label", F.lit(-1))
+    lab = labels.select("doc_id", F.col(label_col).alias("_y"))
+    return (pairs.join(lab, "doc_id", "left")
+            .withColumn("label", F.coalesce(F.col("_y").cast("int"), F.lit(-1)))
+            .drop("_y", "doc_id"))
 
 
 def index_rows(df: DataFrame, key: str = "pair_id", name: str = "row_idx") -> DataFrame:

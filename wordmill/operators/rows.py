@@ -15,10 +15,6 @@ from pyspark.sql import functions as F
 from wordmill.session import cut_lineage
 
 
-def _parts(df: DataFrame, n: int | None) -> int:
-    return n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def dense_index(df: DataFrame, order: list, name: str = "row_idx",
                 num_partitions: int | None = None) -> DataFrame:
     """0-based dense row number in ``order`` (which must be a unique key).
@@ -97,10 +93,11 @@ def shuffle_key(seed: int, epoch, key) -> Column:
 
 
 def shuffle(df: DataFrame, seed: int, epoch: int, key: str = "row_idx",
-            name: str = "order_idx") -> DataFrame:
-    """A new seeded permutation per epoch; ``order_idx`` is the shuffled position."""
+            name: str = "order_idx", ties: tuple = ()) -> DataFrame:
+    """A new seeded permutation per epoch; ``order_idx`` is the shuffled position. With a
+    batch number as ``key`` whole batches change places; ``ties`` orders the rows inside one."""
     keyed = df.withColumn("_k", shuffle_key(seed, epoch, key))
-    return dense_index(keyed, [F.col("_k"), F.col(key)], name=name).drop("_k")
+    return dense_index(keyed, [F.col("_k"), F.col(key), *ties], name=name).drop("_k")
 
 
 def stack_columns(pairs: DataFrame, a: str = "a", b: str = "b", idx: str = "row_idx",

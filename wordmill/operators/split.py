@@ -25,7 +25,7 @@ def dev_rate(n_lines: int) -> float:
 
 def dev_rate_by_chars(n_chars: int) -> float:
     """8000 / counted characters (uncapped); an empty corpus gives 0."""
-    return DEV_CHARS_TARGET / n_chars if n_chars else 0.0
+    return float(DEV_CHARS_TARGET) / n_chars if n_chars else 0.0
 
 
 def dev_rate_frame(lines: DataFrame) -> DataFrame:
@@ -51,11 +51,18 @@ def random_split(lines: DataFrame, rate: float, seed: int = DEFAULT_SEED,
 
 
 def split_by_index(df: DataFrame, idx: DataFrame, col: str = "row_idx") -> DataFrame:
-    """Rows listed in ``idx`` are dev, the others train (semi/anti join on row index)."""
-    i = idx.select(col).distinct()
-    dev = df.join(i, col, "left_semi").withColumn("split", F.lit("dev"))
-    train = df.join(i, col, "left_anti").withColumn("split", F.lit("train"))
-    return dev.unionByName(train)
+    """Rows listed in ``idx`` are dev, the others train: one left join with the index."""
+    i = idx.select(col).distinct().withColumn("_dev", F.lit(True))
+    return (df.join(i, col, "left")
+            .withColumn("split", F.when(F.col("_dev"), F.lit("dev")).otherwise(F.lit("train")))
+            .drop("_dev"))
+
+
+def dev_rate_by_chars_frame(chars: DataFrame, col: str = "n_chars") -> DataFrame:
+    """E2 as a one-row frame: total of a per-line character count and the rate."""
+    n = F.coalesce(F.sum(col), F.lit(0)).cast("long")
+    return chars.agg(n.alias("n_chars"), F.when(n > 0, F.lit(dev_rate_by_chars(1)) / n)
+                     .otherwise(dev_rate_by_chars(0)).alias("rate"))
 
 
 def replicate_index(idx: DataFrame, n: int, col: str = "row_idx", blocks: int = 4) -> DataFrame:

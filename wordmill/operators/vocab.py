@@ -1,20 +1,22 @@
 """Token counting, vocabulary ids and token lookups (A1-A3, W1, W2, O1, J1-J4, T8 large form).
 
-Lookups against a vocabulary are joins. The vocabulary is broadcast only behind a checked row
-count; the corpus side is first clustered by line key so that re-assembling each line after a
-broadcast join needs no second exchange. Beyond the broadcast limit the planner picks a
-shuffled join (AQE splits skewed token partitions) and lines are re-assembled by one more
-shuffle.
+Lookups against a vocabulary of measured size are one narrow Arrow pass over the lines: the
+table goes to every worker as a dict, a line is split, looked up and joined in place, and no
+text is shuffled. A table beyond ``BROADCAST_MAX_BYTES`` is joined instead: lines are exploded to
+tokens, joined (AQE splits skewed tokens) and re-assembled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordmill.functions import text as tx
 from wordmill.operators.rows import dense_index
-from wordmill.session import BROADCAST_MAX_ROWS, literal_rows
+from wordmill.session import BROADCAST_MAX_BYTES, literal_rows, ship, small_enough
 
 # ---------------------------------------------------------------------------------------------
 # Reserved token strings and their order after the vocabulary.
@@ -131,24 +133,14 @@ def counts_by_frequency(counts: DataFrame) -> DataFrame:
     return dense_index(counts, frequency_order(), name="rank")
 
 
-# Above this many kept tokens, vocabulary ids come from distributed dense numbering instead of
-# one sorted window partition.
-WINDOW_MAX_ROWS = 1_000_000
-
-
-def assign_vocab_ids(counts: DataFrame, min_freq: int = MIN_COUNT_PREPARE,
-                     n_kept: int | None = None) -> DataFrame:
+def assign_vocab_ids(counts: DataFrame, min_freq: int = MIN_COUNT_PREPARE) -> DataFrame:
     """Id 0 = UNK, then 1.. by (freq desc, first seen) over tokens with freq >= min_freq.
 
-    Reserved strings never take an id of their own (a literal ``UNK`` in the text is UNK).
-    With a checked count of kept tokens at most ``WINDOW_MAX_ROWS`` the ids come from one
-    ``row_number`` window (a small sort); otherwise from distributed dense numbering.
+    Reserved strings never take an id of their own (a literal ``UNK`` in the text is UNK). Ids
+    come from distributed dense numbering, never from one window over the vocabulary.
     """
-    kept = min_count(counts, min_freq).where(~F.col("token").isin(*RESERVED))
-    if n_kept is not None and n_kept <= WINDOW_MAX_ROWS:
-        ranked = kept.withColumn("_r", F.row_number().over(Window.orderBy(*frequency_order())) - 1)
-    else:
-        ranked = dense_index(kept, frequency_order(), name="_r")
+    kept = kept_tokens(counts, min_freq)
+    ranked = dense_index(kept, frequency_order(), name="_r")
     body = ranked.select((F.col("_r") + 1).cast("int").alias("id"), "token")
     unk = literal_rows(counts.sparkSession, [(0, UNK)], "id int, token string")
     return unk.unionByName(body)
@@ -187,79 +179,111 @@ def regroup(exploded: DataFrame, keys, pos: str, value: Column, name: str,
             .select(*keys, *carry, F.transform("_s", lambda e: e["v"]).alias(name)))
 
 
-def lookup_tokens(df: DataFrame, keys, tokens: Column, table: DataFrame, n_table: int,
-                  on_hit, on_miss, name: str, limit: int = BROADCAST_MAX_ROWS,
-                  partition_keys=None, carry=()) -> DataFrame:
-    """Map every token of every row through a lookup table, keeping row and token order.
+def lookup_tokens(df: DataFrame, keys, tokens: Column, table: DataFrame, on_hit, on_miss,
+                  name: str, carry=()) -> DataFrame:
+    """Map every token of every row through a lookup table by a join, keeping row and token
+    order: the form for tables too large to hold in a worker.
 
     ``table`` has columns ``(_tok, _val)``. ``on_hit``/``on_miss`` build the output value from
-    the token and ``_val`` columns. ``partition_keys`` (default: all keys) is what rows are
-    clustered by before a broadcast lookup; a prefix of the keys lets a later aggregate on
-    that prefix reuse the same exchange. ``carry`` columns ride along unchanged.
+    the token and ``_val`` columns. ``carry`` columns ride along unchanged.
     """
-    small = n_table <= limit
-    base = df.repartition(*(partition_keys or keys)) if small else df
-    ex = base.select(*keys, *carry, F.posexplode_outer(tokens).alias("_pos", "_tok"))
-    t = F.broadcast(table) if small else table
-    j = ex.join(t, "_tok", "left")
+    ex = df.select(*keys, *carry, F.posexplode_outer(tokens).alias("_pos", "_tok"))
+    j = ex.join(table, "_tok", "left")
     value = F.when(F.col("_val").isNotNull(), on_hit).otherwise(on_miss)
     return regroup(j, keys, "_pos", value, name, carry)
 
 
+def _table_rows(table: DataFrame) -> dict:
+    """A lookup table of checked size as a dict."""
+    return {r["_tok"]: r["_val"] for r in table.select("_tok", "_val").collect()}
+
+
+def mapped_text(spark, table: dict, rule: str):
+    """A column function over text that looks tokens up in a broadcast dict.
+
+    ``words``: white-space tokens, unknown ones become UNK. ``chars``: code points of the stripped
+    text, white space becomes the empty token, unknown ones UNK. ``ids``: single-space split,
+    unknown ones 0. ``values``: white-space tokens replaced by their value, unknown ones kept.
+    """
+    ship(spark)
+    sent = spark.sparkContext.broadcast(table)
+    unk = UNK
+
+    @F.pandas_udf("array<int>" if rule == "ids" else "string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = sent.value
+        get = known.get
+        if rule == "ids":
+            one = lambda t: [get(x, 0) for x in t.split(" ")]
+        elif rule == "words":
+            one = lambda t: " ".join([x if x in known else unk for x in t.split()])
+        elif rule == "chars":
+            one = lambda t: " ".join(
+                [x if x in known else "" if x.isspace() else unk for x in t.strip()])
+        else:
+            one = lambda t: " ".join([get(x, x) for x in t.split()])
+        for texts in batches:
+            yield pd.Series([None if t is None else one(t) for t in texts], dtype="object")
+    return run
+
+
 def vocab_lookup_table(vocab: DataFrame) -> DataFrame:
     """Vocabulary tokens with id >= 1 (UNK itself is the miss value)."""
     return vocab.where(F.col("id") > 0).select(F.col("token").alias("_tok"),
                                                F.col("id").alias("_val"))
 
 
-def unk_replace(lines: DataFrame, vocab: DataFrame, n_vocab: int, mode: str = "word",
-                keys=LINE_KEY, text: str = "text", out: str = "text") -> DataFrame:
+def unk_replace(lines: DataFrame, vocab: DataFrame, mode: str = "word", keys=LINE_KEY,
+                text: str = "text", out: str = "text", carry=(),
+                limit: int = BROADCAST_MAX_BYTES) -> DataFrame:
     """Tokens outside the vocabulary become ``UNK``; joined by one space.
 
     word: whitespace tokens. char: every code point of the stripped line; whitespace
     characters become the empty token, so ``"a b"`` gives ``"a  b"``.
     """
+    if mode not in ("word", "char"):
+        raise ValueError(mode)
     table = vocab_lookup_table(vocab)
+    if small_enough(table, limit):
+        fn = mapped_text(lines.sparkSession, _table_rows(table), mode + "s")
+        return lines.select(*keys, *carry, fn(text).alias(out))
     if mode == "word":
-        toks = tx.word_tokens(text)
-        miss = F.lit(UNK)
-    elif mode == "char":
+        toks, miss = tx.word_tokens(text), F.lit(UNK)
+    else:
         toks = tx.chars(tx.strip(text))
         miss = F.when(F.col("_tok").rlike("^" + tx.WS_CLASS + "$") | (F.col("_tok") == ""),
                       F.lit("")).otherwise(F.lit(UNK))
-    else:
-        raise ValueError(mode)
-    r = lookup_tokens(lines, keys, toks, table, n_vocab, F.col("_tok"), miss, "_toks")
-    return r.select(*keys, F.array_join("_toks", " ").alias(out))
+    r = lookup_tokens(lines, keys, toks, table, F.col("_tok"), miss, "_toks", carry)
+    return r.select(*keys, *carry, F.array_join("_toks", " ").alias(out))
 
 
-def encode(df: DataFrame, vocab_specials: DataFrame, n_table: int, keys=LINE_KEY,
-           text: str = "text", out: str = "ids", carry=()) -> DataFrame:
+def encode(df: DataFrame, vocab_specials: DataFrame, keys=LINE_KEY, text: str = "text",
+           out: str = "ids", carry=(), limit: int = BROADCAST_MAX_BYTES) -> DataFrame:
     """Split on single spaces (empty tokens kept), token -> id, unknown -> 0."""
     table = vocab_specials.select(F.col("token").alias("_tok"), F.col("id").alias("_val"))
-    return lookup_tokens(df, keys, F.split(F.col(text), " "), table, n_table,
-                         F.col("_val"), F.lit(0), out, carry=carry)
-
+    if small_enough(table, limit):
+        fn = mapped_text(df.sparkSession, _table_rows(table), "ids")
+        return df.select(*keys, *carry, fn(text).alias(out))
+    return lookup_tokens(df, keys, F.split(F.col(text), " "), table, F.col("_val"), F.lit(0), out,
+                         carry)
 
-def encode_fields(df: DataFrame, cols, vocab_specials: DataFrame, n_table: int,
-                  key: str = "pair_id") -> DataFrame:
-    """J3 on each text column; other columns pass through.
 
-    The text columns are stacked into one long frame (the other columns ride along on the
-    first field's rows) so one lookup serves all of them; rows are clustered by ``key`` only,
-    so the per-field re-assembly and the pivot back to one row per key share one exchange and
-    no join back to the input is needed. ``key`` must be unique per row.
-    """
+def encode_fields(df: DataFrame, cols, vocab_specials: DataFrame, key: str = "pair_id",
+                  limit: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """J3 on each text column; other columns pass through. ``key`` must be unique per row."""
     rest = [c for c in df.columns if c not in cols and c != key]
+    table = vocab_specials.select(F.col("token").alias("_tok"), F.col("id").alias("_val"))
+    if small_enough(table, limit):
+        fn = mapped_text(df.sparkSession, _table_rows(table), "ids")
+        return df.select(key, *rest, *[fn(c).alias(c + "_ids") for c in cols])
     stacked = None
     for i, c in enumerate(cols):
         extra = [F.col(r) if i == 0 else F.lit(None).cast(df.schema[r].dataType).alias(r)
                  for r in rest]
         part = df.select(F.col(key), F.lit(i).alias("_field"), F.col(c).alias("_text"), *extra)
         stacked = part if stacked is None else stacked.unionByName(part)
-    table = vocab_specials.select(F.col("token").alias("_tok"), F.col("id").alias("_val"))
-    enc = lookup_tokens(stacked, (key, "_field"), F.split(F.col("_text"), " "), table, n_table,
-                        F.col("_val"), F.lit(0), "_ids", partition_keys=(key,), carry=rest)
+    enc = lookup_tokens(stacked, (key, "_field"), F.split(F.col("_text"), " "), table,
+                        F.col("_val"), F.lit(0), "_ids", carry=rest)
     return enc.groupBy(key).agg(
         *[F.max(c).alias(c) for c in rest],
         *[F.max(F.when(F.col("_field") == i, F.col("_ids"))).alias(c + "_ids")
@@ -272,12 +296,9 @@ def top_tokens(counts: DataFrame, k: int) -> list:
     return [r["token"] for r in rows]
 
 
-def drop_stopwords_table(tokens: DataFrame, stop: DataFrame, n_stop: int, keys=LINE_KEY,
-                         pos: str = "pos", token: str = "token") -> DataFrame:
-    """T8 for a long stop list held as a table: left-anti join of exploded tokens.
-
-    The stop table is broadcast only when its checked row count allows it.
-    """
+def drop_stopwords_table(tokens: DataFrame, stop: DataFrame, keys=LINE_KEY, pos: str = "pos",
+                         token: str = "token") -> DataFrame:
+    """T8 for a long stop list held as a table: left-anti join of exploded tokens. The planner
+    broadcasts the list where its measured size allows."""
     s = stop.select(F.col(stop.columns[0]).alias(token))
-    s = F.broadcast(s) if n_stop <= BROADCAST_MAX_ROWS else s
     return tokens.join(s, token, "left_anti").select(*keys, pos, token)

@@ -368,12 +368,12 @@ SELECT row_idx, CAST(e.range AS BIGINT) AS epoch FROM wseq, range(3) e"""
 
 
 # ------------------------------------------------------------------ B1-B8, A4, O2
-WFREQ = """wfreq AS (SELECT token AS word, count(*) AS freq FROM wtok GROUP BY token),
-wsym AS (SELECT word, freq, list_append(string_split(word, ''), '</w>') AS s FROM wfreq),
+WFREQ = """wfreq AS MATERIALIZED (SELECT token AS word, count(*) AS freq FROM wtok GROUP BY token),
+wsym AS MATERIALIZED (SELECT word, freq, list_append(string_split(word, ''), '</w>') AS s FROM wfreq),
 wpair_occ AS (
   SELECT freq, s[i] AS l, s[i + 1] AS r
   FROM (SELECT freq, s, unnest(range(1, len(s))) AS i FROM wsym)),
-wstats AS (SELECT l, r, CAST(sum(freq) AS BIGINT) AS n FROM wpair_occ GROUP BY l, r)"""
+wstats AS MATERIALIZED (SELECT l, r, CAST(sum(freq) AS BIGINT) AS n FROM wpair_occ GROUP BY l, r)"""
 _BPE = [LINES, WTOK, WFREQ]
 
 ORACLE["word_symbols"] = _with(*_BPE) + \
@@ -386,7 +386,7 @@ SELECT l, r, n, CAST(row_number() OVER (ORDER BY n DESC, l, r) - 1 AS BIGINT) AS
 FROM wstats ORDER BY n DESC, l, r LIMIT 10"""
 
 ORACLE["merge_pair"] = _with(*_BPE) + """,
-best AS (SELECT l, r FROM wstats ORDER BY n DESC, l, r LIMIT 1),
+best AS MATERIALIZED (SELECT l, r FROM wstats ORDER BY n DESC, l, r LIMIT 1),
 merged AS (
   SELECT word, freq,
          replace(chr(28) || array_to_string(s, chr(29) || chr(28)) || chr(29),
@@ -428,18 +428,9 @@ ORACLE["learn_bpe"] = _with(*_BPE, LEARNED) + """
 SELECT CAST(rank AS BIGINT) AS rank, l AS "left", r AS "right", n FROM codes"""
 
 ORACLE["rank_codes"] = _with(LINES, WTOK, WFREQ) + """,
-fwsym AS (
-  SELECT token AS word, count(*) AS freq, list_append(string_split(token, ''), '</w>') AS s
-  FROM wtok WHERE line_no = 0 GROUP BY token),
-fstats AS (
-  SELECT l, r, sum(freq) AS n
-  FROM (SELECT freq, s[i] AS l, s[i + 1] AS r
-        FROM (SELECT freq, s, unnest(range(1, len(s))) AS i FROM fwsym))
-  GROUP BY l, r),
-a AS (SELECT l, r, row_number() OVER (ORDER BY n DESC, l, r) - 1 AS rank
-      FROM wstats ORDER BY n DESC, l, r LIMIT 20),
-b AS (SELECT l, r, row_number() OVER (ORDER BY n DESC, l, r) + 19 AS rank
-      FROM fstats ORDER BY n DESC, l, r LIMIT 20)
+a AS (SELECT l, r, row_number() OVER (ORDER BY n DESC, l, r) - 1 AS rank FROM wstats),
+b AS (SELECT l, r, row_number() OVER (ORDER BY n, l, r) - 1
+             + (SELECT count(*) FROM wstats) AS rank FROM wstats)
 SELECT l AS "left", r AS "right", CAST(min(rank) AS BIGINT) AS rank
 FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY l, r"""
 
@@ -450,7 +441,7 @@ FROM (SELECT word, s[i] || chr(31) || s[i + 1] AS p
       FROM (SELECT word, s, unnest(range(1, len(s))) AS i FROM wsym))
 GROUP BY word"""
 
-TOPCODES = """topcodes AS (
+TOPCODES = """topcodes AS MATERIALIZED (
   SELECT list({'f': chr(28) || l || chr(29) || chr(28) || r || chr(29),
                't': chr(28) || l || r || chr(29)} ORDER BY n DESC, l, r) AS cl
   FROM (SELECT l, r, n FROM wstats ORDER BY n DESC, l, r LIMIT 50))"""
@@ -458,7 +449,7 @@ TOPCODES = """topcodes AS (
 
 def _fold_sql(codes_cte: str, src: str = "wsym") -> str:
     return f"""{codes_cte},
-folded AS (
+folded AS MATERIALIZED (
   SELECT word, string_split(substr(m, 2, length(m) - 2), chr(29) || chr(28)) AS sy
   FROM (SELECT word,
                list_reduce(c.cl, lambda acc, x: replace(acc, x.f, x.t),
@@ -490,7 +481,7 @@ ON l.doc_id = r.doc_id AND l.line_no = r.line_no"""
 
 ORACLE["segment_text"] = _with(*_BPE, _fold_sql(TOPCODES)) + _SEGTEXT
 
-LEARNEDCODES = """learnedcodes AS (
+LEARNEDCODES = """learnedcodes AS MATERIALIZED (
   SELECT list({'f': chr(28) || l || chr(29) || chr(28) || r || chr(29),
                't': chr(28) || l || r || chr(29)} ORDER BY rank) AS cl
   FROM codes)"""
@@ -499,11 +490,13 @@ ORACLE["segment_text_learned"] = _with(*_BPE, LEARNED, _fold_sql(LEARNEDCODES))
 
 
 # ------------------------------------------------------------------ pairs
-PAIRS = """pairs AS (
-  SELECT d.doc_id AS pair_id, string_split(d.text, chr(10))[1] AS a,
-         coalesce(string_split(d.text, chr(10))[2], '') AS b,
+PAIRS = """pairs AS MATERIALIZED (
+  SELECT d.doc_id * 16777216 + d.k AS pair_id, p[2 * d.k + 1] AS a,
+         coalesce(p[2 * d.k + 2], '') AS b,
          CAST(coalesce(l.toxic, -1) AS BIGINT) AS label
-  FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id),
+  FROM (SELECT doc_id, p, unnest(range(0, (len(p) + 1) // 2)) AS k
+        FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)) d
+  LEFT JOIN labels l ON l.doc_id = d.doc_id),
 ipairs AS (SELECT *, CAST(row_number() OVER (ORDER BY pair_id) - 1 AS BIGINT) AS row_idx
            FROM pairs)"""
 
@@ -554,10 +547,10 @@ FROM (SELECT CASE WHEN label >= 0 THEN 0 ELSE 1 END AS src, row_idx, pair_id, la
       FROM ipairs)"""
 
 ORACLE["zip_columns"] = """
-WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents),
-a AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_idx, p[1] AS a FROM d),
-b AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_idx, p[2] AS b
-      FROM d WHERE len(p) >= 2),
+WITH d AS (SELECT doc_id, unnest(p) AS t, generate_subscripts(p, 1) - 1 AS k
+      FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)),
+a AS (SELECT row_number() OVER (ORDER BY doc_id, k) - 1 AS row_idx, t AS a FROM d WHERE k % 2 = 0),
+b AS (SELECT row_number() OVER (ORDER BY doc_id, k) - 1 AS row_idx, t AS b FROM d WHERE k % 2 = 1),
 l AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_idx, toxic AS label FROM labels)
 SELECT CAST(coalesce(a.row_idx, b.row_idx, l.row_idx) AS BIGINT) AS row_idx,
        coalesce(a.a, '') AS a, coalesce(b.b, '') AS b,
@@ -615,10 +608,13 @@ FROM su x JOIN su y ON x.row_idx = y.row_idx AND x.side = 0 AND y.side = 1
 
 # ------------------------------------------------------------------ M1-M9, A5-A10, W7, W8, J9
 LOGITS = """lg AS (
-  SELECT vec_id AS id, [CAST(embedding[1] AS DOUBLE), CAST(embedding[2] AS DOUBLE)] AS x,
+  SELECT vec_id AS id,
+         [list_sum(list_filter(v, lambda x, i: i % 2 = 1)),
+          list_sum(list_filter(v, lambda x, i: i % 2 = 0))] AS x,
          CAST(CASE WHEN label = 1 THEN 1 ELSE 0 END AS BIGINT) AS y,
-         CAST(embedding[3] AS DOUBLE) AS e2
-  FROM embeddings),
+         list_sum(list_transform(v, lambda x: abs(x))) / len(v) AS e2
+  FROM (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v
+        FROM embeddings)),
 ce AS (
   SELECT id, y, x,
          greatest(x[1], x[2]) + ln(exp(x[1] - greatest(x[1], x[2]))
@@ -764,10 +760,10 @@ FROM hvec"""
 
 # ------------------------------------------------------------------ S2-S12 round trips, R1
 ORACLE["pairs_tsv_roundtrip"] = _with(PAIRS) + """
-SELECT p[1] AS a, p[2] AS b,
+SELECT row_idx AS pair_id, p[1] AS a, p[2] AS b,
        CAST(CASE WHEN len(p) < 3 THEN -1 ELSE CAST(p[len(p)] AS INTEGER) END AS BIGINT) AS label
-FROM (SELECT string_split(a || chr(9) || b || chr(9) || CAST(label AS VARCHAR), chr(9)) AS p
-      FROM pairs)"""
+FROM (SELECT row_idx, string_split(a || chr(9) || b || chr(9) || CAST(label AS VARCHAR), chr(9)) AS p
+      FROM ipairs)"""
 
 ORACLE["inference_pairs_roundtrip"] = _with(PAIRS) + """
 SELECT coalesce(p[1], '') AS "index", coalesce(p[2], '') AS a, coalesce(p[3], '') AS b

@@ -31,7 +31,7 @@ def build_vocab(lines: DataFrame, mode: str = "word", min_freq: int = vb.MIN_COU
     ``with_line_count`` also the number of lines, counted in the same pass.
 
     Only the kept tokens (freq >= min_freq) are written to the checkpoint folder; their count
-    is V - 1 and decides how ids are numbered.
+    is V - 1.
     """
     counts = vb.token_counts(lines, mode, line_sentinel=with_line_count)
     kept = vb.kept_tokens(counts, min_freq)
@@ -45,9 +45,9 @@ def build_vocab(lines: DataFrame, mode: str = "word", min_freq: int = vb.MIN_COU
         n_lines = row["freq"] if row else 0
         kept = kept.where(F.col("token") != vb.LINE_SENTINEL)
     n_kept = kept.count()
-    v = vb.assign_vocab_ids(kept, min_freq, n_kept=n_kept)
+    v = vb.assign_vocab_ids(kept, min_freq)
     if materialize:
-        v = v.cache()
+        v = cut_lineage(v)
     if with_line_count:
         return v, n_kept + 1, n_lines
     return v, n_kept + 1
@@ -64,7 +64,7 @@ def prepare_corpus(lines: DataFrame, mode: str = "word", min_freq: int = vb.MIN_
     """
     v, n_vocab, n_lines = build_vocab(lines, mode, min_freq, materialize, with_line_count=True)
     rate = split.dev_rate(n_lines)
-    replaced = vb.unk_replace(lines, v, n_vocab, mode)
+    replaced = vb.unk_replace(lines, v, mode)
     corpus = split.random_split(replaced, rate, seed).select("doc_id", "line_no", "split", "text")
     if materialize:
         corpus = cut_lineage(corpus)
@@ -76,7 +76,7 @@ def encode_frame(corpus: DataFrame, v: DataFrame, n_vocab: int, n_ctx: int,
     """W2 -> J3 -> E4 over unk-replaced lines; returns keys + carry + ``ids`` (framed)."""
     specials = vb.special_ids(n_vocab)
     table = vb.add_specials(v, n_vocab)
-    enc = vb.encode(corpus, table, n_vocab + 3, keys=keys, carry=carry)
+    enc = vb.encode(corpus, table, keys=keys, carry=carry)
     return enc.select(*keys, *carry, fr.frame("ids", n_ctx, specials[vb.START],
                                               specials[vb.END]).alias("ids"))
 

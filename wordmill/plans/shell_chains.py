@@ -38,7 +38,7 @@ def subword_chain(indexed_pairs: DataFrame, n_merges: int = bpe.SCRIPT_MERGES,
     seg = cut_lineage(bpe.segment_text(stacked, codes, keys=KEYS))
     counts = vb.token_counts(seg, "word", keys=KEYS)
     v = cut_lineage(vb.assign_vocab_ids(counts, min_freq))
-    replaced = vb.unk_replace(seg, v, v.count(), "word", keys=KEYS)
+    replaced = vb.unk_replace(seg, v, "word", keys=KEYS)
     return _finish(replaced, stacked, n_rows, indexed_pairs), codes
 
 
@@ -49,5 +49,5 @@ def char_chain(indexed_pairs: DataFrame,
     stacked = cut_lineage(stacked)
     counts = vb.token_counts(stacked, "char", keys=KEYS)
     v = cut_lineage(vb.assign_vocab_ids(counts, min_freq))
-    replaced = vb.unk_replace(stacked, v, v.count(), "char", keys=KEYS)
+    replaced = vb.unk_replace(stacked, v, "char", keys=KEYS)
     return _finish(replaced, stacked, n_rows, indexed_pairs)

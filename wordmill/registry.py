@@ -68,7 +68,8 @@ def documents(spark, sf) -> DataFrame:
 
 
 def lines(spark, sf) -> DataFrame:
-    return src.read_corpus(documents(spark, sf))
+    """Corpus lines; the test tables are single small files, so their documents are spread."""
+    return src.read_corpus(documents(spark, sf), spread=2 * spark.sparkContext.defaultParallelism)
 
 
 _CACHE: dict = {}
@@ -159,13 +160,13 @@ def q_counts_by_frequency(spark, sf):
 @query("unk_replace_word")
 def q_unk_word(spark, sf):
     p = prepared(spark, sf, "word")
-    return normalize(vb.unk_replace(lines(spark, sf), p.vocab, p.n_vocab, "word"))
+    return normalize(vb.unk_replace(lines(spark, sf), p.vocab, "word"))
 
 
 @query("unk_replace_char")
 def q_unk_char(spark, sf):
     p = prepared(spark, sf, "char")
-    return normalize(vb.unk_replace(lines(spark, sf), p.vocab, p.n_vocab, "char"))
+    return normalize(vb.unk_replace(lines(spark, sf), p.vocab, "char"))
 
 
 @query("dev_rate")
@@ -175,10 +176,8 @@ def q_dev_rate(spark, sf):
 
 @query("dev_rate_by_chars")
 def q_dev_rate_chars(spark, sf):
-    n = F.sum(F.size(tx.char_tokens("text")))
-    return normalize(lines(spark, sf).agg(
-        n.cast("long").alias("n_chars"),
-        F.when(n > 0, F.lit(float(split.DEV_CHARS_TARGET)) / n).otherwise(0.0).alias("rate")))
+    chars = lines(spark, sf).select(F.size(tx.char_tokens("text")).alias("n_chars"))
+    return normalize(split.dev_rate_by_chars_frame(chars))
 
 
 @query("random_split")
@@ -204,7 +203,7 @@ def _encoded(spark, sf, which=None):
     p = prepared(spark, sf, "word")
     c = p.corpus if which is None else p.corpus.where(F.col("split") == which)
     table = vb.add_specials(p.vocab, p.n_vocab)
-    return vb.encode(c, table, p.n_vocab + 3), p.n_vocab
+    return vb.encode(c, table), p.n_vocab
 
 
 @query("encode")
@@ -461,7 +460,7 @@ def q_merge_pair(spark, sf):
 def learned_codes(spark, sf, n=N_MERGES_CHECK):
     key = (spark.sparkContext.applicationId, sf, n)
     if key not in _CODES:
-        _CODES[key] = bpe.learn_bpe(_words(spark, sf), n).cache()
+        _CODES[key] = bpe.learn_bpe(_words(spark, sf), n)
     return _CODES[key]
 
 
@@ -472,12 +471,13 @@ def q_learn_bpe(spark, sf):
 
 @query("rank_codes")
 def q_rank_codes(spark, sf):
-    ln = lines(spark, sf)
-    first = ln.where(F.col("line_no") == 0)
-    a = bpe.best_pairs(bpe.pair_stats(bpe.word_symbols(ln)), 20).collect()
-    b = bpe.best_pairs(bpe.pair_stats(bpe.word_symbols(first)), 20).collect()
-    codes = literal_rows(spark, [(i, r["l"], r["r"]) for i, r in enumerate(a + b)],
-                         "rank int, left string, right string")
+    # all pairs of the corpus by count, then all pairs of its words in reverse order of count
+    stats = cut_lineage(bpe.pair_stats(_words(spark, sf)).select("l", "r", "n"))
+    n = stats.count()
+    one = rows.dense_index(stats, bpe.pair_order(), name="rank")
+    two = rows.dense_index(stats, [F.col("n"), F.col("l"), F.col("r")], name="rank")
+    codes = one.unionByName(two.withColumn("rank", F.col("rank") + n)).select(
+        "rank", F.col("l").alias("left"), F.col("r").alias("right"))
     return normalize(bpe.rank_codes(codes))
 
 
@@ -506,14 +506,12 @@ def q_segment_words_fold(spark, sf):
 
 @query("segment_text")
 def q_segment_text(spark, sf):
-    return normalize(bpe.segment_text(lines(spark, sf), _top_codes(spark, sf),
-                                      words=_words(spark, sf)))
+    return normalize(bpe.segment_text(lines(spark, sf), _top_codes(spark, sf)))
 
 
 @query("segment_text_learned")
 def q_segment_text_learned(spark, sf):
-    return normalize(bpe.segment_text(lines(spark, sf), learned_codes(spark, sf),
-                                      words=_words(spark, sf)))
+    return normalize(bpe.segment_text(lines(spark, sf), learned_codes(spark, sf)))
 
 
 # ------------------------------------------------------------------ pairs: J4-J8, U1, U2, U4, E9, B9, B10
@@ -535,7 +533,7 @@ def q_doc_pairs(spark, sf):
 def _encoded_pairs(spark, sf):
     p = prepared(spark, sf, "word")
     table = vb.add_specials(p.vocab, p.n_vocab)
-    return vb.encode_fields(doc_pairs(spark, sf), ["a", "b"], table, p.n_vocab + 3), p.n_vocab
+    return vb.encode_fields(doc_pairs(spark, sf), ["a", "b"], table), p.n_vocab
 
 
 @query("project_pairs")
@@ -590,10 +588,10 @@ def q_concat_datasets(spark, sf):
 
 @query("zip_columns")
 def q_zip_columns(spark, sf):
-    d = documents(spark, sf).select("doc_id", F.split("text", "\n").alias("p"))
-    a = pr.index_rows(d.select("doc_id", F.get("p", 0).alias("a")), "doc_id").drop("doc_id")
-    b = pr.index_rows(d.where(F.size("p") >= 2).select("doc_id", F.get("p", 1).alias("b")),
-                      "doc_id").drop("doc_id")
+    ln = lines(spark, sf)
+    key = [F.col("doc_id"), F.col("line_no")]
+    a = rows.dense_index(ln.where("line_no % 2 = 0"), key).select("row_idx", F.col("text").alias("a"))
+    b = rows.dense_index(ln.where("line_no % 2 = 1"), key).select("row_idx", F.col("text").alias("b"))
     lab = pr.index_rows(src.read_table(spark, sf, "labels").select(
         "doc_id", F.col("toxic").alias("label")), "doc_id").drop("doc_id")
     z = pr.zip_columns(a, b, lab)
@@ -640,14 +638,16 @@ ADD_K = 1.0
 
 
 def logits(spark, sf):
-    """Logits = first two embedding entries; y = (label = 1); row_idx in vec_id order."""
+    """Two logits per vector: the sums of its even and of its odd entries; y = (label = 1); ``e2``
+    is the mean absolute entry."""
     e = src.read_table(spark, sf, "embeddings")
-    x = e.select(F.col("vec_id").alias("id"),
-                 F.slice(F.transform("embedding", lambda v: v.cast("double")), 1, 2)
-                 .alias("logits"),
-                 F.when(F.col("label") == 1, 1).otherwise(0).alias("y"),
-                 F.col("embedding")[2].cast("double").alias("e2"))
-    return x
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    x = e.select(F.col("vec_id").alias("id"), v.alias("v"),
+                 F.when(F.col("label") == 1, 1).otherwise(0).alias("y"))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, b: a + b)
+    return x.select("id", F.array(total(F.filter("v", lambda e, i: i % 2 == 0)),
+                                  total(F.filter("v", lambda e, i: i % 2 == 1))).alias("logits"),
+                    "y", (total(F.transform("v", F.abs)) / F.size("v")).alias("e2"))
 
 
 @query("softmax")
@@ -771,16 +771,16 @@ def q_embedding_lookup_sum(spark, sf):
                                      F.col("a").alias("text"))
                         .unionByName(pairs.select(F.col("pair_id"), F.lit(1).alias("side"),
                                                   F.col("b").alias("text"))),
-                        p.vocab, p.n_vocab, "char", keys=("pair_id", "side"))
+                        p.vocab, "char", keys=("pair_id", "side"))
     wide = ra.groupBy("pair_id").agg(
         F.max(F.when(F.col("side") == 0, F.col("text"))).alias("a"),
         F.max(F.when(F.col("side") == 1, F.col("text"))).alias("b"))
     table = vb.add_specials(p.vocab, p.n_vocab)
-    enc = vb.encode_fields(wide, ["a", "b"], table, p.n_vocab + 3)
+    enc = vb.encode_fields(wide, ["a", "b"], table)
     sp = vb.special_ids(p.n_vocab)
     framed = pr.frame_pairs(enc, CLF_N_CTX, sp[vb.START], sp[vb.DELIMITER], sp[vb.END])
     emb = src.read_table(spark, sf, "embeddings")
-    h = lm.embedding_lookup_sum(framed, emb, p.n_vocab, emb.count())
+    h = lm.embedding_lookup_sum(framed, emb, p.n_vocab).where("h is not null")
     return normalize(h.select(
         "pair_id", "ord", "pos", "id", "pos_id", F.size("h").alias("dim"),
         F.round(F.aggregate("h", F.lit(0.0), lambda a, x: a + x), 4).alias("h_sum"),
@@ -815,7 +815,7 @@ def q_pairs_tsv(spark, sf):
     path = _scratch(spark, "pairs")
     src.write_pairs(doc_pairs(spark, sf), path)
     pairs, _ = src.read_pairs(spark, path)
-    return normalize(pairs.select("a", "b", "label"))
+    return normalize(pairs.select("pair_id", "a", "b", "label"))
 
 
 @query("inference_pairs_roundtrip")
@@ -901,11 +901,11 @@ def q_predictions_roundtrip(spark, sf):
 @query("stream_token_counts")
 def q_stream_token_counts(spark, sf):
     """Running counts after the stream has consumed every arriving document file."""
-    name = f"wm_stream_counts_{uuid.uuid4().hex[:8]}"
+    out = _scratch(spark, "stream-counts")
     q = stm.start_token_counts(stm.read_document_stream(spark, sf.rstrip("/") + "/documents*.parquet"),
-                               name)
+                               out, f"wm_stream_counts_{uuid.uuid4().hex[:8]}")
     q.awaitTermination()
-    return normalize(spark.table(name))
+    return normalize(stm.read_token_counts(spark, out))
 
 
 @query("stream_encode")

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
+import weakref
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Rows of a lookup table (vocabulary, segmentation map, BPE codes) that we are willing to
-# broadcast. Beyond it the join is left to the planner (sort-merge with AQE skew splitting).
-BROADCAST_MAX_ROWS = 2_000_000
+# Bytes of a lookup table (vocabulary, segmentation map) that we are willing to hold in every
+# worker; its size is measured first. Beyond it lookups are shuffled joins.
+BROADCAST_MAX_BYTES = 128 << 20
 
 
 def get_session(app: str = "wordmill", master: str | None = None,
@@ -17,19 +21,18 @@ def get_session(app: str = "wordmill", master: str | None = None,
                 driver_memory: str | None = None) -> SparkSession:
     """Create (or reuse) a session with AQE on and the UI off.
 
-    On a cluster the master, memory and checkpoint folder come from spark-submit; here we only
-    fill in what is unset so the same code runs in tests on ``local[*]``.
+    On a cluster the master, memory, shuffle partitions and checkpoint folder come from
+    spark-submit; only what is passed here as an argument is set.
     """
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
-    cpus = os.environ.get("BENCH_CPUS")
-    parts = shuffle_partitions or (int(cpus) if cpus else 8)
+    if shuffle_partitions:
+        b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     if driver_memory:
         b = b.config("spark.driver.memory", driver_memory)
     b = (b.config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
-         .config("spark.sql.shuffle.partitions", str(parts))
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -44,7 +47,8 @@ def get_session(app: str = "wordmill", master: str | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Read from the session; only when it is unset (local tests) a scratch folder is created.
+    Read from the session. Only on a local master a scratch folder is made where it is unset; on
+    a cluster a machine-local folder would be unreadable to the other machines, so that is an error.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
@@ -52,8 +56,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return d
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         d = tempfile.mkdtemp(prefix="wordmill-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
 
@@ -64,28 +69,70 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return base.rstrip("/") + "/tables/" + name
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` to the reliable checkpoint folder (survives executor loss)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+_WRITTEN: dict[int, str] = {}
 
 
-def broadcast_if_small(df: DataFrame, n_rows: int, limit: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only behind a checked row count; beyond it the planner decides."""
-    from pyspark.sql import functions as F
-    return F.broadcast(df) if n_rows <= limit else df
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back. Plans on top of it keep
+    column pruning and filter pushdown, and a lost executor costs nothing. ``release`` deletes it."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "cut-" + uuid.uuid4().hex)
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[id(out)] = path
+    weakref.finalize(out, _WRITTEN.pop, id(out), None)
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete the files behind a frame from ``cut_lineage`` that no plan needs any more."""
+    path = _WRITTEN.pop(id(df), None)
+    if path:
+        spark = df.sparkSession
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def literal_rows(spark: SparkSession, rows: list, schema: str) -> DataFrame:
-    """A small driver-side table (bounded by the caller) as a JVM literal: no Python RDD, so no
-    Python worker is needed to read it. ``schema`` is a DDL string like ``"id int, t string"``."""
+    """A small driver-side table (bounded by the caller). It goes to the JVM as Arrow, so neither
+    its plan nor a Python worker is paid per row. ``schema`` is a DDL string."""
+    import pyarrow as pa
     from pyspark.sql import functions as F
+    from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
-    st = _parse_datatype_string(schema)
-    names = [f.name for f in st.fields]
-    if not rows:
-        return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name)
-                                      for f in st.fields])
-    structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name)
-                          for v, f in zip(r, st.fields)]) for r in rows]
-    return spark.range(1).select(F.inline(F.array(*structs))).select(*names)
+    kind = _parse_datatype_string(schema)
+    arrow = to_arrow_schema(kind)
+    cols = list(zip(*rows)) if rows else [()] * len(arrow)
+    data = pa.table([pa.array(list(c), f.type) for c, f in zip(cols, arrow)], schema=arrow)
+    return spark.createDataFrame(data).select(*[F.col(f.name).cast(f.dataType) for f in kind])
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, once per application, wherever the driver
+    got it from: a zip that Spark's own file server hands to every executor."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="wordmill-py-"), "wordmill.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(root):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
+
+
+def small_enough(table: DataFrame, limit: int = BROADCAST_MAX_BYTES) -> bool:
+    """Whether a table's strings and numbers, with the overhead of a dict entry per row, measure
+    at most ``limit`` bytes."""
+    from pyspark.sql import functions as F
+    size = sum((F.coalesce(F.octet_length(F.col(f.name).cast("string")), F.lit(0))
+                for f in table.schema.fields), F.lit(200))
+    total = table.agg(F.sum(size.cast("long"))).head()[0]
+    return (total or 0) <= limit

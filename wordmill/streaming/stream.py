@@ -13,16 +13,19 @@ from pyspark.sql.streaming import StreamingQuery
 
 from wordmill.functions import frames as fr
 from wordmill.operators import bpe, vocab as vb
-from wordmill.session import checkpoint_dir
+from wordmill.session import checkpoint_dir, cut_lineage
 from wordmill.sources.corpus import read_corpus
 
 DOCUMENT_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
-def read_document_stream(spark: SparkSession, path: str, max_files: int = 1) -> DataFrame:
-    """Documents arriving as parquet files under ``path`` (a folder or glob)."""
-    return (spark.readStream.schema(DOCUMENT_SCHEMA).option("maxFilesPerTrigger", max_files)
-            .parquet(path).select("doc_id", "text"))
+def read_document_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+    """Documents arriving as parquet files under ``path`` (a folder or glob). ``max_files`` limits
+    a micro-batch where a user wants smaller ones; by default it takes all that arrived."""
+    r = spark.readStream.schema(DOCUMENT_SCHEMA)
+    if max_files:
+        r = r.option("maxFilesPerTrigger", max_files)
+    return r.parquet(path).select("doc_id", "text")
 
 
 def stream_token_counts(docs: DataFrame, mode: str = "word") -> DataFrame:
@@ -32,23 +35,34 @@ def stream_token_counts(docs: DataFrame, mode: str = "word") -> DataFrame:
         .groupBy("token").agg(F.count(F.lit(1)).alias("freq"))
 
 
-def start_token_counts(docs: DataFrame, name: str, mode: str = "word",
+def start_token_counts(docs: DataFrame, out_path: str, name: str, mode: str = "word",
                        available_now: bool = True) -> StreamingQuery:
-    """Run R1 into an in-memory table ``name`` (complete mode)."""
+    """Run R1: each micro-batch writes the counts that it changed (update mode) to its own
+    ``batch_id=`` folder under ``out_path``; ``read_token_counts`` gives the running totals. The
+    state stays on the executors, nothing is collected, and a replayed batch replaces its folder."""
     spark = docs.sparkSession
-    w = (stream_token_counts(docs, mode).writeStream.outputMode("complete").format("memory")
-         .queryName(name)
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/batch_id={batch_id}")
+
+    w = (stream_token_counts(docs, mode).writeStream.outputMode("update").foreachBatch(run)
          .option("checkpointLocation", checkpoint_dir(spark).rstrip("/") + f"/streams/{name}"))
     w = w.trigger(availableNow=True) if available_now else w
     return w.start()
 
 
+def read_token_counts(spark: SparkSession, out_path: str) -> DataFrame:
+    """Running totals: the latest written count of every token."""
+    return (spark.read.parquet(out_path).groupBy("token")
+            .agg(F.max_by("freq", "batch_id").alias("freq")))
+
+
 def encode_batch(lines: DataFrame, codes: DataFrame, vocab: DataFrame, n_vocab: int,
                  n_ctx: int) -> DataFrame:
     """The batch form of R2: segment, unk-replace, encode with specials, frame."""
     seg = bpe.segment_text(lines, codes)
-    rep = vb.unk_replace(seg, vocab, n_vocab, "word")
-    enc = vb.encode(rep, vb.add_specials(vocab, n_vocab), n_vocab + 3)
+    rep = vb.unk_replace(seg, vocab, "word")
+    enc = vb.encode(rep, vb.add_specials(vocab, n_vocab))
     sp = vb.special_ids(n_vocab)
     return enc.select("doc_id", "line_no",
                       fr.frame("ids", n_ctx, sp[vb.START], sp[vb.END]).alias("ids"))
@@ -60,11 +74,12 @@ def start_stream_encode(docs: DataFrame, codes: DataFrame, vocab: DataFrame, n_v
     """R2: arriving lines segmented, unk-replaced, encoded and framed in ``foreachBatch``.
 
     Each micro-batch is written to its own ``batch_id=`` folder with overwrite, so a replayed
-    batch (after a failure) replaces its earlier output instead of duplicating rows.
+    batch (after a failure) replaces its earlier output instead of duplicating rows. ``out_path``
+    belongs to one query: folders of another checkpoint's batches would be taken for its own.
     """
     spark = docs.sparkSession
-    codes = codes.select("rank", "left", "right").cache()
-    vocab = vocab.select("id", "token").cache()
+    codes = cut_lineage(codes.select("rank", "left", "right"))
+    vocab = cut_lineage(vocab.select("id", "token"))
 
     def run(batch: DataFrame, batch_id: int) -> None:
         lines = read_corpus(batch)
