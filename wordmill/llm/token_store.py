@@ -15,6 +15,8 @@ most unused files.
 from __future__ import annotations
 
 import io
+import sys
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -47,6 +49,13 @@ def _dtype(width: int) -> str:
     return "<u2" if width == 2 else "<u4"
 
 
+def _packed(ids: list[int], width: int) -> bytes:
+    raw = array("H" if width == 2 else "I", ids)
+    if sys.byteorder == "big":
+        raw.byteswap()
+    return raw.tobytes()
+
+
 def _bucket(n_index: int):
     return F.pmod(F.xxhash64("key", "copy"), F.lit(n_index)).cast("int")
 
@@ -66,8 +75,8 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int = 0, path: str | No
 
     def encode(batches):
         enc = tk.encoder(tokenizer)
-        pack = lambda ids: np.array(ids, dtype=_dtype(width)).tobytes()
-        cache = tk.PieceCache(lambda p: pack(enc.piece_ids(p)), capacity=300_000)
+        pack = lambda ids: _packed(ids, width)
+        cache = tk.PieceCache(lambda p: pack(enc.piece_ids(p)))
         get, end = cache.__getitem__, pack([end_id])
         fs, root = open_fs(path)
         name, out, at, last, copy = f"ids-{task_label()}.bin", None, 0, object(), 0

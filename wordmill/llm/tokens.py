@@ -71,11 +71,15 @@ class Encoder:
             return []
         if not self._plain(piece):
             return self.text_ids(piece)
-        out = []
-        for word in self._pre(piece):
-            coded = word.encode().decode("latin-1").translate(self._alphabet)
-            out += [t.id for t in self._model.tokenize(coded)]
-        return out
+        bare = piece[1:] if piece[0] == " " else piece
+        words = (piece,) if bare.isalpha() else self._pre(piece)
+        if len(words) == 1:
+            return self._word_ids(words[0])
+        return [i for w in words for i in self._word_ids(w)]
+
+    def _word_ids(self, word: str) -> list[int]:
+        coded = word.encode().decode("latin-1").translate(self._alphabet)
+        return [t.id for t in self._model.tokenize(coded)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -89,20 +93,24 @@ def encoder(path: str) -> Encoder:
 
 
 class PieceCache(dict):
-    """piece -> value, computed on a miss. ``pinned`` entries always stay; beyond ``capacity``
-    the others are forgotten, so memory is bounded and only speed depends on it."""
+    """key -> value, computed on a miss. ``pinned`` entries always stay. Of the others the last
+    two generations of ``capacity`` entries are kept, and what the younger one asks for moves on
+    from the older, so memory is bounded, frequent keys stay, and only speed depends on it."""
 
     def __init__(self, make, pinned: dict | None = None, capacity: int = 400_000):
         super().__init__(pinned or {})
-        self._make, self._pinned, self.capacity = make, pinned or {}, capacity
+        self._make, self._pinned, self._old, self.capacity = make, pinned or {}, {}, capacity
 
     def __missing__(self, piece):
-        value = self._make(piece)
+        value = self._old.get(piece)
+        if value is None:
+            value = self._make(piece)
         if len(piece) <= 64:
             self[piece] = value
         return value
 
     def trim(self) -> None:
         if len(self) > self.capacity + len(self._pinned):
+            self._old = dict(self)
             self.clear()
             self.update(self._pinned)
