@@ -8,9 +8,10 @@ still catches back-to-back occurrences (``abab``) and runs of one symbol (``aaa`
 
 Learning (B3) is a driver loop over a word table that stays distributed. Each pass is one
 action: pair statistics are recounted with map-side partial aggregation, and the top-K pairs
-come back with two per-symbol bounds. Several merges are taken per pass only when that is
-provably the same as one-at-a-time greedy (see ``choose_batch``); every later pass handles the
-rest, so nothing is capped. Lineage is cut every few passes with a reliable checkpoint.
+come back, then their overlaps and the largest count each merge could make. Several merges are
+taken per pass only when that is provably the same as one-at-a-time greedy (see
+``choose_batch``); every later pass handles the rest, so nothing is capped. Lineage is cut every
+few passes by a written table.
 """
 
 from __future__ import annotations
@@ -100,42 +101,76 @@ def merge_pair(words: DataFrame, left: str, right: str) -> DataFrame:
     return words.withColumn("w", merge_expr(F.col("w"), [(left, right)]))
 
 
-def topk_bounds(top: list, complete: bool) -> tuple:
-    """Upper bounds of the counts of pairs ending in / starting with each symbol, from the
-    top-K pairs alone: a pair outside the list is seen at most as often as the K-th pair."""
-    floor = 0 if complete else top[-1]["n"]
-    into: dict = {}
-    outof: dict = {}
-    for row in top:
-        into[row["r"]] = max(into.get(row["r"], 0), row["n"])
-        outof[row["l"]] = max(outof.get(row["l"], 0), row["n"])
-    return into, outof, floor
-
-
-def choose_batch(top: list, produced: set, remaining: int, complete: bool = False) -> list:
-    """Longest prefix of the ranked candidates that one-at-a-time greedy would also take.
-
-    A later pair joins only if it shares no symbol with the pairs taken (so its count is
-    unchanged) and its count is strictly above every count a new pair could reach: merging
-    (l, r) seen n times creates pairs seen at most min(n, max count of a pair ending in l) and
-    min(n, max count of a pair starting with r) times. The batch closes after a pair of two
-    equal symbols, or one whose merged string already exists as a symbol.
+def contexts(words: DataFrame, pairs: list) -> tuple:
+    """What merging a candidate touches: ``reach`` (l, r) -> the largest count of a pair that the
+    merge makes, and ``over`` {pair: {other pair: count of their overlap}} among the candidates.
+    One aggregate over the symbol triples of the words; at most k + k^2 rows come back."""
+    spark = words.sparkSession
+    names = sorted({(r["l"], r["r"]) for r in pairs})
+    syms = words.select("freq", symbols_of("w").alias("_s"))
+    n = F.size("_s")
+    t = F.explode(F.arrays_zip(F.slice("_s", 1, n - 2).alias("a"), F.slice("_s", 2, n - 2).alias("b"),
+                               F.slice("_s", 3, n - 2).alias("c")))
+    t = syms.where(n > 2).select("freq", t.alias("t")).groupBy(
+        F.col("t.a").alias("a"), F.col("t.b").alias("b"), F.col("t.c").alias("c")).agg(
+        F.sum("freq").cast("long").alias("n"))
+    known = literal_rows(spark, names, "x string, y string").withColumn("ok", F.lit(True))
+    ab = F.broadcast(known.select(F.col("x").alias("a"), F.col("y").alias("b"), F.col("ok").alias("ab")))
+    bc = F.broadcast(known.select(F.col("x").alias("b"), F.col("y").alias("c"), F.col("ok").alias("bc")))
+    t = t.join(ab, ["a", "b"], "left").join(bc, ["b", "c"], "left").where("ab or bc")
+    none = F.lit(None).cast("string").alias("c")
+    side = F.filter(F.array(
+        F.struct(F.col("a").alias("l"), F.col("b").alias("r"), F.col("ab").alias("ok")),
+        F.struct(F.col("b").alias("l"), F.col("c").alias("r"), F.col("bc").alias("ok"))),
+        lambda x: x["ok"])
+    sides = t.select(F.inline(side), "n").groupBy("l", "r").agg(F.max("n").alias("n"))
+    rows = (sides.select("l", "r", none, "n")
+            .union(t.where("ab and bc").select("a", "b", "c", "n"))).collect()
+    reach, over = {}, {}
+    for r in rows:
+        if r["c"] is None:
+            reach[r["l"], r["r"]] = r["n"]
+        else:
+            one, two = (r["l"], r["r"]), (r["r"], r["c"])
+            over.setdefault(one, {})[two] = r["n"]
+            over.setdefault(two, {})[one] = r["n"]
+    return reach, over
+
+
+def choose_batch(top: list, produced: set, remaining: int, reach: dict, over: dict,
+                 complete: bool = False) -> list:
+    """Merges that one-at-a-time greedy would take next, in its order.
+
+    Merging (l, r) changes the count of another pair only where the two overlap, that is where
+    the other starts with r or ends with l. Such a pair is set aside: its count is then at most
+    what is left after the first overlap is taken off. Pairs that a merge makes are seen at most
+    ``reach`` times, whatever is merged after it, and pairs outside ``top`` at most as often as
+    its last. The next candidate not set aside is taken while its count is strictly above all
+    these. The batch closes after a pair of two equal symbols, or one whose merged string already
+    exists as a symbol.
     """
-    into, outof, floor = topk_bounds(top, complete)
+    floor = 0 if complete else top[-1]["n"]
     taken: list = []
-    used: set = set()
+    lefts: set = set()
+    rights: set = set()
     bound = 0
+    aside: dict = {}
     for row in top:
         l, r, n = row["l"], row["r"], row["n"]
         if len(taken) >= remaining or n < MIN_PAIR_COUNT:
             break
-        if taken and (l in used or r in used or n <= bound):
+        if taken and (l in rights or r in lefts):
+            first = next(p for p in taken if p[1] == l or p[0] == r)
+            aside[l, r] = n - over.get((first[0], first[1]), {}).get((l, r), 0)
+            if l == r:
+                break
+            continue
+        if taken and (n <= bound or n <= floor or any(n <= u for u in aside.values())):
             break
         taken.append((l, r, n))
-        used.update((l, r))
-        in_l = max(into.get(l, 0), floor)
-        out_r = max(outof.get(r, 0), floor)
-        bound = max(bound, min(n, in_l), min(n, out_r))
+        lefts.add(l)
+        rights.add(r)
+        bound = max(bound, reach.get((l, r), 0))
         m = l + r
         close = l == r or m in produced or m == END_OF_WORD
         produced.add(m)
@@ -160,7 +195,7 @@ def learn_bpe(words: DataFrame, n_merges: int = DEFAULT_MERGES, k: int = 256,
 
     Ties between equally frequent pairs go to the smaller (left, right) (a fixed rule where the
     original falls back to dict order). Stops after ``n_merges`` codes or when the best pair is
-    seen fewer than twice. Only the <= k top pairs of a pass reach the driver.
+    seen fewer than twice. Only the <= k top pairs of a pass and their overlaps reach the driver.
 
     ``incremental`` keeps the pair statistics as a table and updates it from the words a pass
     changed (old symbols counted negatively, new ones positively), so a pass shuffles a delta
@@ -195,7 +230,8 @@ def learn_bpe(words: DataFrame, n_merges: int = DEFAULT_MERGES, k: int = 256,
         if not top or top[0]["n"] < MIN_PAIR_COUNT:
             break
         if batch:
-            taken = choose_batch(top, produced, n_merges - len(codes), complete=len(top) < k)
+            taken = choose_batch(top, produced, n_merges - len(codes), *contexts(cur, top),
+                                 complete=len(top) < k)
         else:
             taken = [(top[0]["l"], top[0]["r"], top[0]["n"])]
             produced.add(taken[0][0] + taken[0][1])

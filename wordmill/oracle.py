@@ -280,15 +280,16 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 ORACLE["mask_alnum"] = _line_sql("regexp_replace(text, '[a-z]+|[0-9]+|[A-Z]+', '*', 'g')")
 ORACLE["collapse_stars"] = _line_sql("regexp_replace(text, '\\*+', '*', 'g')")
-ORACLE["fix_typos"] = _line_sql("replace(replace(text, '花贝', '花呗'), '借贝', '借呗')")
+ORACLE["fix_typos"] = _line_sql(
+    "replace(replace(translate(text, 'erth', '花贝借呗'), '花贝', '花呗'), '借贝', '借呗')")
 ORACLE["tag_numbers"] = _line_sql(_t("text"))
 ORACLE["star_numbers"] = _line_sql(_s("text"))
 ORACLE["space_latin"] = _line_sql(_latin("text"))
 ORACLE["lower_latin"] = _line_sql(
     f"translate(regexp_replace(text, '([a-zA-Z]+)', ' \\1 ', 'g'), '{UPPER}', '{LOWER}')")
 ORACLE["space_symbols"] = _line_sql(_space_runs("text", SYM))
-ORACLE["space_cjk"] = _line_sql(_space_runs("text", CJK_CLASS))
-ORACLE["collapse_ws"] = _line_sql(_ws("text"))
+ORACLE["space_cjk"] = _line_sql(_space_runs("translate(text, 'the', '花呗贝')", CJK_CLASS))
+ORACLE["collapse_ws"] = _line_sql(_ws("replace(text, ' ', ' ' || chr(9) || chr(12288))"))
 ORACLE["clean_symbols"] = _line_sql(_ws(_space_runs(_s(_space_runs("text", SYM)), CJK_CLASS)))
 ORACLE["clean_numbers"] = _line_sql(_ws(_latin(_t("text"))))
 
@@ -424,6 +425,23 @@ w{k + 1} AS (
 
 LEARNED = _learn_sql(20)
 
+ORACLE["stop_rule"] = """WITH csym AS MATERIALIZED (
+  SELECT c_mktsegment AS word, count(*) AS freq,
+         list_append(string_split(c_mktsegment, ''), '</w>') AS s
+  FROM customer GROUP BY c_mktsegment),
+""" + _learn_sql(50, "csym") + """
+SELECT CAST(rank AS BIGINT) AS rank, l AS "left", r AS "right", n FROM codes"""
+
+ORACLE["codes_text_roundtrip"] = _with(*_BPE) + """
+SELECT CAST(row_number() OVER (ORDER BY n DESC, l, r) - 1 AS BIGINT) AS rank,
+       l AS "left", r AS "right" FROM wstats"""
+
+ORACLE["text_roundtrips"] = _with(LINES, WTOK, WCOUNTS) + """
+SELECT CAST(0 AS BIGINT) AS id, 'UNK' AS token
+UNION ALL
+SELECT CAST(row_number() OVER (ORDER BY freq DESC, token) AS BIGINT) AS id, token
+FROM wcounts WHERE freq >= 20 AND token NOT IN ('UNK', '_start_', '_delimiter_', '_end_')"""
+
 ORACLE["learn_bpe"] = _with(*_BPE, LEARNED) + """
 SELECT CAST(rank AS BIGINT) AS rank, l AS "left", r AS "right", n FROM codes"""
 
@@ -877,6 +895,12 @@ r2enc AS (
   LEFT JOIN r2spec s ON s.token = e.token
   GROUP BY e.doc_id, e.line_no)"""
 
+ORACLE["shuffle_batches"] = _with(*ALL_W, SPECIALS, WUNK, WCORPUS, WENC, WDEV) + """
+SELECT row_idx, CAST(row_idx // 8 AS BIGINT) AS batch,
+       CAST(row_number() OVER (ORDER BY md5(concat_ws(':', '42', '1', row_idx // 8)), row_idx // 8,
+                               row_idx) - 1 AS BIGINT) AS order_idx
+FROM wdev"""
+
 ORACLE["stream_encode"] = _with(*_BPE, _fold_sql(TOPCODES), R2) + """
 SELECT doc_id, line_no,
        array_to_string(list_concat([n.v], ids[1:198], [n.v + 2]), ' ') AS ids

@@ -338,6 +338,15 @@ for _name, _fn in [("mask_alnum", tx.mask_alnum), ("collapse_stars", tx.collapse
     QUERIES[_name] = (lambda fn: lambda spark, sf: _line_map(spark, sf, fn))(_fn)
 
 
+# The corpus holds none of the characters these three look for; frequent letters of its lines
+# stand in for them, so that lines do change.
+for _name, _fn in [
+        ("fix_typos", lambda t: tx.fix_typos(F.translate(t, "erth", "花贝借呗"))),
+        ("space_cjk", lambda t: tx.space_cjk(F.translate(t, "the", "花呗贝"))),
+        ("collapse_ws", lambda t: tx.collapse_ws(F.replace(t, F.lit(" "), F.lit(" \t\u3000"))))]:
+    QUERIES[_name] = (lambda fn: lambda spark, sf: _line_map(spark, sf, fn))(_fn)
+
+
 @query("drop_stopwords")
 def q_drop_stopwords(spark, sf):
     ln = lines(spark, sf)
@@ -469,6 +478,44 @@ def q_learn_bpe(spark, sf):
     return normalize(learned_codes(spark, sf))
 
 
+@query("stop_rule")
+def q_stop_rule(spark, sf):
+    """Learning over the customers' market segments ends by itself, far below the limit."""
+    c = src.read_table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("doc_id"), F.lit(0).alias("line_no"),
+        F.col("c_mktsegment").alias("text"))
+    return normalize(bpe.learn_bpe(bpe.word_symbols(c)))
+
+
+@query("shuffle_batches")
+def q_shuffle_batches(spark, sf):
+    """Whole batches of dev sequences change places, their rows keep their order."""
+    dev, _ = _dev_sequences(spark, sf)
+    b = dev.select("row_idx", F.floor(F.col("row_idx") / N_BATCH).cast("long").alias("batch"))
+    return normalize(rows.shuffle(b, SEED, 1, key="batch", ties=(F.col("row_idx"),)))
+
+
+@query("text_roundtrips")
+def q_text_roundtrips(spark, sf):
+    """S4-S6 as text: the vocabulary made from a written counts file, exported and read back."""
+    path = _scratch(spark, "text")
+    src.write_counts(vb.token_counts(lines(spark, sf), "word"), path + "-counts")
+    v = src.vocab_from_counts(src.read_counts(spark, path + "-counts"), vb.MIN_COUNT_PREPARE)
+    src.write_vocab(v, path + "-vocab", path + "-vocab-text")
+    return normalize(src.read_vocab_text(spark, path + "-vocab-text"))
+
+
+@query("codes_text_roundtrip")
+def q_codes_text(spark, sf):
+    """All initial pairs in rank order, written as ``left right`` lines and read back."""
+    path = _scratch(spark, "codes-text")
+    stats = cut_lineage(bpe.pair_stats(_words(spark, sf)).select("l", "r", "n"))
+    ranked = rows.dense_index(stats, bpe.pair_order(), name="rank").select(
+        "rank", F.col("l").alias("left"), F.col("r").alias("right"))
+    src.write_codes_text(ranked, path)
+    return normalize(src.read_codes_text(spark, path))
+
+
 @query("rank_codes")
 def q_rank_codes(spark, sf):
     # all pairs of the corpus by count, then all pairs of its words in reverse order of count
