@@ -30,6 +30,8 @@ def test_stream_encode_equals_batch_and_replays(spark, tmp_dir):
         q = st.start_stream_encode(st.read_document_stream(spark, PATTERN), codes, v, n, out,
                                    "wm_encode_test", n_ctx=50)
         q.awaitTermination()
+    # a replay of the first batch, as after a failure between its write and its commit
+    st.encode_writer(codes, v, n, out, 50)(docs, 0)
     got = spark.read.parquet(out)
     want = st.encode_batch(lines, codes, v, n, 50)
     assert got.count() == want.count()

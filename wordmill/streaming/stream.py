@@ -68,6 +68,16 @@ def encode_batch(lines: DataFrame, codes: DataFrame, vocab: DataFrame, n_vocab:
                       fr.frame("ids", n_ctx, sp[vb.START], sp[vb.END]).alias("ids"))
 
 
+def encode_writer(codes: DataFrame, vocab: DataFrame, n_vocab: int, out_path: str,
+                  n_ctx: int = 200):
+    """The ``foreachBatch`` function of R2: a batch's encoded lines replace the ``batch_id=``
+    folder of an earlier attempt at the same batch."""
+    def run(batch: DataFrame, batch_id: int) -> None:
+        out = encode_batch(read_corpus(batch), codes, vocab, n_vocab, n_ctx)
+        out.write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/batch_id={batch_id}")
+    return run
+
+
 def start_stream_encode(docs: DataFrame, codes: DataFrame, vocab: DataFrame, n_vocab: int,
                         out_path: str, name: str, n_ctx: int = 200,
                         available_now: bool = True) -> StreamingQuery:
@@ -80,12 +90,7 @@ def start_stream_encode(docs: DataFrame, codes: DataFrame, vocab: DataFrame, n_v
     spark = docs.sparkSession
     codes = cut_lineage(codes.select("rank", "left", "right"))
     vocab = cut_lineage(vocab.select("id", "token"))
-
-    def run(batch: DataFrame, batch_id: int) -> None:
-        lines = read_corpus(batch)
-        out = encode_batch(lines, codes, vocab, n_vocab, n_ctx)
-        out.write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/batch_id={batch_id}")
-
+    run = encode_writer(codes, vocab, n_vocab, out_path, n_ctx)
     w = (docs.writeStream.foreachBatch(run)
          .option("checkpointLocation", checkpoint_dir(spark).rstrip("/") + f"/streams/{name}"))
     w = w.trigger(availableNow=True) if available_now else w
