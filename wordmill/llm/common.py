@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-import io
-import os
-import tempfile
 import uuid
-import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from wordmill.session import checkpoint_dir
+from wordmill.session import checkpoint_dir, literal_rows as small_table, ship
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -35,30 +30,6 @@ def drop(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers, once per application, wherever the driver
-    got it from: a zip that Spark's own file server hands to every executor."""
-    sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    base, buf = os.path.dirname(root), io.BytesIO()
-    with zipfile.ZipFile(buf, "w") as z:
-        for folder, _, names in os.walk(root):
-            for n in sorted(names):
-                if n.endswith(".py"):
-                    full = os.path.join(folder, n)
-                    z.write(full, os.path.relpath(full, base))
-    path = os.path.join(tempfile.mkdtemp(prefix="wordmill-py-"), "wordmill.zip")
-    with open(path, "wb") as f:
-        f.write(buf.getvalue())
-    sc.addPyFile(os.path.abspath(path))
-    _SHIPPED.add(sc.applicationId)
-
-
 def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Exactly two columns ``doc_id`` (long) and ``text``, whatever else the input carries.
     Also ships the package to the workers."""
@@ -94,17 +65,4 @@ def task_label() -> str:
     return f"{c.partitionId():06d}-{c.taskAttemptId()}"
 
 
-def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """A small driver-side table (its size bounded by the caller). It goes to the JVM as Arrow, so
-    reading it needs no Python worker."""
-    import pyarrow as pa
-    from pyspark.sql.pandas.types import to_arrow_schema
-    kind = T._parse_datatype_string(schema)
-    arrow = to_arrow_schema(kind)
-    cols = list(zip(*rows)) if rows else [()] * len(arrow)
-    data = pa.table([pa.array(list(c), f.type) for c, f in zip(cols, arrow)], schema=arrow)
-    return spark.createDataFrame(data).select(*[F.col(f.name).cast(f.dataType) for f in kind])
-
-
-__all__ = ["ship", "scratch", "written", "drop", "id_and_text", "free_name", "small_table", "open_fs", "task_label",
-           "F", "T"]
+__all__ = ["ship", "scratch", "written", "drop", "id_and_text", "free_name", "small_table", "open_fs", "task_label"]
