@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordmill.llm import tokens as tk
-from wordmill.llm.common import id_and_text
+from wordmill.llm.common import drop, id_and_text, written
 
 OUT = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
@@ -41,9 +41,13 @@ def frequent_pieces(docs: DataFrame, table_size: int, share: int) -> list[str]:
 
     part = (docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0)
             .where(F.col("text").isNotNull()).select("text"))
-    rows = (part.mapInArrow(count, "piece string, n long").groupBy("piece")
-            .agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(table_size).collect())
-    return [r["piece"] for r in rows]
+    # written before it is collected: a collected top-k sends every task's k rows to the driver
+    top, path = written(part.mapInArrow(count, "piece string, n long").groupBy("piece")
+                        .agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece")
+                        .limit(table_size), "frequent-pieces")
+    found = [r["piece"] for r in top.collect()]
+    drop(docs.sparkSession, path)
+    return found
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, table_size: int = 50_000,
