@@ -33,9 +33,10 @@ def toxic_sample(n=400, seed=3):
 def test_model_learns_and_shares_subwords():
     texts, y = toxic_sample()
     m = tx.train(texts[:300], y[:300], np.ones(300), SMALL)
+    value = m.word_values()
 
     def score(t):
-        z = sum((m.word(w) for w in t.split()), 0j)
+        z = sum((value(w) for w in t.split()), 0j)
         return 1 / (1 + np.exp(-(z.real / max(1, z.imag) + m.bias)))
     got = np.array([score(t) > 0.5 for t in texts[300:]])
     assert (got == (y[300:] == 1)).mean() > 0.95

@@ -12,6 +12,7 @@ subword, so a word adds (sum of weights, number of subwords), cached per worker.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from wordmill.llm.common import ship
 from wordmill.llm.tokens import PieceCache
 
+PART = 1 << 20     # entries summed at a time: bounds the driver's memory
 PUNCT = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»“”‘’…—–"
 
 
@@ -31,26 +33,29 @@ class Settings:
     """``max_toxic`` and ``max_clean`` bound the labelled sample (rows by hash of the id);
     documents of a class weigh as much as the whole labelled class."""
     max_toxic: int = 1200
-    max_clean: int = 3000
+    max_clean: int = 3800
     buckets: int = 1 << 18
     n_min: int = 3
     n_max: int = 5
     dim: int = 4
-    epochs: int = 60
+    epochs: int = 100
     rate: float = 0.05
-    decay: float = 1e-6
+    decay: float = 3e-5
     scale: float = 30.0
     seed: int = 7
 
 
-def subwords(word: str, s: Settings) -> np.ndarray:
+def subwords(word: str, s: Settings) -> set[int]:
     """Table rows of a word: the word itself and the n-grams of ``<word>``, each once. A word
     longer than 40 characters gives n-grams too, all of them."""
     from xxhash import xxh32_intdigest as h
-    word = word.lower().strip(PUNCT)
-    w = f"<{word}>"
-    grams = {w} | {w[i:i + n] for n in range(s.n_min, s.n_max + 1) for i in range(len(w) - n + 1)}
-    return np.unique(np.array([h(g) % s.buckets for g in grams], np.int64))
+    w = f"<{word.lower().strip(PUNCT)}>"
+    n = len(w)
+    buckets = s.buckets
+    rows = {h(w) % buckets}
+    for k in range(s.n_min, s.n_max + 1):
+        rows.update([h(w[i:i + k]) % buckets for i in range(n - k + 1)])
+    return rows
 
 
 @dataclass
@@ -60,9 +65,14 @@ class Model:
     weight: np.ndarray
     bias: float
 
-    def word(self, word: str) -> complex:
-        rows = subwords(word, self.settings)
-        return complex(float(self.weight[rows].sum()), len(rows))
+    def word_values(self):
+        """A function word -> (sum of weights, number of subwords) as a complex number."""
+        weight, s = self.weight.tolist(), self.settings
+
+        def value(word: str) -> complex:
+            rows = subwords(word, s)
+            return complex(sum([weight[r] for r in rows]), len(rows))
+        return value
 
 
 def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, s: Settings) -> Model:
@@ -80,17 +90,25 @@ def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, s: Settings
         p = float((labels * weights).sum() / weights.sum()) if len(labels) else 0.0
         p = min(max(p, 1e-4), 1 - 1e-4)
         return Model(s, np.zeros(s.buckets, np.float32), float(np.log(p / (1 - p))))
-    per_word = [subwords(w, s).astype(np.int32) for w in vocab]
-    n_sub = np.array([len(x) for x in per_word], np.int64)
-    sub = np.concatenate(per_word)
-    del per_word
-    rows, sub = np.unique(sub, return_inverse=True)          # only rows that occur are trained
-    sub = sub.astype(np.int32)
-    owner = np.repeat(np.arange(len(n_sub), dtype=np.int32), n_sub)
-    by_row = np.argsort(sub, kind="stable").astype(np.int32)
-    owner_by_row = owner[by_row]
-    row_at = np.searchsorted(sub[by_row], np.arange(len(rows)))
-    del by_row, owner
+    flat, sizes = array("i"), array("i")
+    for word in vocab:
+        found = sorted(subwords(word, s))
+        flat.extend(found)
+        sizes.append(len(found))
+    vocab.clear()
+    n_sub = np.frombuffer(sizes, np.int32).astype(np.int64)
+    sub = np.frombuffer(flat, np.int32)
+    seen = np.zeros(s.buckets, bool)
+    seen[sub] = True
+    rows = np.flatnonzero(seen)                              # only rows that occur are trained
+    place = np.cumsum(seen, dtype=np.int32) - 1
+    # blocks of whole words of about PART subwords: sums go block by block to bound memory
+    ends = np.cumsum(n_sub)
+    cuts = np.unique(np.concatenate([[0], np.searchsorted(
+        ends, np.arange(PART, int(ends[-1]), PART)) + 1, [len(n_sub)]]))
+    starts_at = np.concatenate([[0], ends])
+    blocks = [(a, b, place[sub[starts_at[a]:starts_at[b]]]) for a, b in zip(cuts, cuts[1:])]
+    del sub, flat
     words, counts = np.concatenate(doc_words), np.concatenate(doc_counts)
     docs = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(starts))
     by_word = np.argsort(words, kind="stable")
@@ -102,30 +120,34 @@ def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, s: Settings
     p0 = float(np.clip((y * g).sum(), 1e-4, 1 - 1e-4))
     b = np.float64(np.log(p0 / (1 - p0)))
     me, ve, mw, vw, mb, vb = np.zeros_like(e), np.zeros_like(e), 0 * w, 0 * w, 0.0, 0.0
-    word_first = np.cumsum(n_sub) - n_sub
     sums = np.add.reduceat   # no run is empty: every word has subwords and occurs in a text
 
     for step in range(1, s.epochs + 1):
         h = np.empty((s.dim, len(texts)))
         for k in range(s.dim):
-            u = sums(e[k][sub], word_first)
+            u = np.concatenate([sums(e[k][x], starts_at[lo:hi] - starts_at[lo])
+                                for lo, hi, x in blocks])
             h[k] = np.bincount(docs, counts * u[words], len(texts)) * s.scale / size
         z = np.clip(w @ h + b, -30, 30)
         err = (1 / (1 + np.exp(-z)) - y) * g
         gw, gb = h @ err, err.sum()
         per_doc = err * s.scale / size
         du = sums((counts * per_doc[docs])[by_word], word_at).astype(np.float32)
-        base = sums(du[owner_by_row], row_at)
+        base = np.zeros(len(rows))
+        for lo, hi, x in blocks:
+            base += np.bincount(x, np.repeat(du[lo:hi], n_sub[lo:hi]), len(rows))
+        base = base.astype(np.float32)
         a1, a2 = 1 - 0.9 ** step, 1 - 0.999 ** step
+        rate = s.rate * (1 - 0.95 * step / s.epochs)      # small steps at the end: no swinging
         for k in range(s.dim):
             ge = base * w[k] + s.decay * e[k]
             me[k] += 0.1 * (ge - me[k])
             ve[k] += 0.001 * (ge * ge - ve[k])
-            e[k] -= s.rate * (me[k] / a1) / (np.sqrt(ve[k] / a2) + 1e-8)
+            e[k] -= rate * (me[k] / a1) / (np.sqrt(ve[k] / a2) + 1e-8)
         mw, vw = mw + 0.1 * (gw - mw), vw + 0.001 * (gw * gw - vw)
         mb, vb = mb + 0.1 * (gb - mb), vb + 0.001 * (gb * gb - vb)
-        w = (w - s.rate * (mw / a1) / (np.sqrt(vw / a2) + 1e-8)).astype(np.float32)
-        b -= s.rate * (mb / a1) / (np.sqrt(vb / a2) + 1e-8)
+        w = (w - rate * (mw / a1) / (np.sqrt(vw / a2) + 1e-8)).astype(np.float32)
+        b -= rate * (mb / a1) / (np.sqrt(vb / a2) + 1e-8)
     weight = np.zeros(s.buckets, np.float32)
     weight[rows] = (w @ e) * s.scale
     return Model(s, weight, float(b))
@@ -174,7 +196,7 @@ def scorer(spark, model: Model):
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         s, raw, bias = sent.value
         m = Model(s, np.frombuffer(raw, np.float32), bias)
-        cache = PieceCache(m.word)
+        cache = PieceCache(m.word_values())
         get = cache.__getitem__
         for texts in batches:
             out = []
