@@ -19,7 +19,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go."""
-    return toxicity.drop_toxic(docs, _table(spark, sf_dir, "labels"), threshold=0.5)
+    return toxicity.drop_toxic(docs, _table(spark, sf_dir, "labels"), threshold=0.3)
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
