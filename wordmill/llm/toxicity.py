@@ -32,8 +32,8 @@ PUNCT = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»“”‘’…—–"
 class Settings:
     """``max_toxic`` and ``max_clean`` bound the labelled sample (rows by hash of the id);
     documents of a class weigh as much as the whole labelled class."""
-    max_toxic: int = 1200
-    max_clean: int = 3800
+    max_toxic: int = 1000
+    max_clean: int = 3000
     buckets: int = 1 << 18
     n_min: int = 3
     n_max: int = 5
