@@ -1,0 +1,87 @@
+"""Registered byte-pair queries over whole code lists: learned over the corpus to the operator's own
+limit or its stop rule. SQL would take one statement per merge, so these have none; the tests hold
+them against one-at-a-time greedy. The queries of the same names without ``_full`` learn less and
+have SQL."""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wordmill import registry as rg
+from wordmill.operators import bpe, vocab as vb
+from wordmill.plans import prepare as pp
+from wordmill.plans import shell_chains as sc
+from wordmill.session import cut_lineage
+from wordmill.sources import corpus as src
+from wordmill.streaming import stream as stm
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+NO_LIMIT = 2**31 - 1     # ranks are ints
+
+_CODES: dict = {}
+
+
+def query(name: str):
+    def deco(fn):
+        QUERIES[name] = fn
+        return fn
+    return deco
+
+
+def codes(spark, sf, n=bpe.DEFAULT_MERGES) -> DataFrame:
+    """Codes learned over the corpus, written once per session."""
+    key = (spark.sparkContext.applicationId, sf, n)
+    if key not in _CODES:
+        _CODES[key] = cut_lineage(bpe.learn_bpe(rg._words(spark, sf), n, incremental=True))
+    return _CODES[key]
+
+
+@query("learn_bpe_full")
+def q_learn_bpe(spark, sf):
+    return rg.normalize(codes(spark, sf))
+
+
+@query("stop_rule_full")
+def q_stop_rule(spark, sf):
+    """No limit, so only the stop rule ends it."""
+    return rg.normalize(codes(spark, sf, NO_LIMIT))
+
+
+@query("segment_words_full")
+def q_segment_words(spark, sf):
+    s = bpe.segment_words(rg._words(spark, sf).select("word"), codes(spark, sf))
+    return rg.normalize(s.select("word", F.array_join("subwords", " ").alias("subwords")))
+
+
+@query("segment_text_full")
+def q_segment_text(spark, sf):
+    return rg.normalize(bpe.segment_text(rg.lines(spark, sf), codes(spark, sf)))
+
+
+@query("codes_roundtrip_full")
+def q_codes_roundtrip(spark, sf):
+    path = rg._scratch(spark, "codes-full")
+    src.write_codes(codes(spark, sf).drop("n"), path)
+    return rg.normalize(src.read_codes(spark, path))
+
+
+@query("subword_chain_full")
+def q_subword_chain(spark, sf):
+    out, _ = sc.subword_chain(rg.indexed_pairs(spark, sf))
+    return rg.normalize(out)
+
+
+@query("stream_encode_full")
+def q_stream_encode(spark, sf):
+    c = codes(spark, sf)
+    v, n = pp.build_vocab(bpe.segment_text(rg.lines(spark, sf), c), "word", vb.MIN_COUNT_PREPARE)
+    out = rg._scratch(spark, "stream-encode-full")
+    docs = stm.read_document_stream(spark, sf.rstrip("/") + "/documents*.parquet")
+    stm.start_stream_encode(docs, c, v, n, out, f"wm_encode_{uuid.uuid4().hex[:8]}",
+                            rg.N_CTX).awaitTermination()
+    return rg.normalize(spark.read.parquet(out).select(
+        "doc_id", "line_no", rg.ids_str("ids").alias("ids")))
