@@ -177,6 +177,28 @@ def test_wrapper_takes_slots_and_leaves_template():
     assert hx.extract(None) == "" and hx.extract("") == "" and hx.extract("a < b &amp c") == "a < b & c"
 
 
+def test_all_regions_of_a_host_are_kept():
+    two = ("<body><div class=a><article class=lead><p>Lead {n}</p></article></div>"
+           "<article class=rest><p>Rest {n}</p></article><p>menu</p></body>")
+    pages = [two.replace("{n}", str(n) * 3) for n in range(6)]
+    w = hx.induce(pages)
+    assert hx.extract(pages[2], w) == hx.extract(pages[2]) == "Lead 222 Rest 222"
+    other = "<body><main id=m><p>Other</p></main></body>"      # a kind of page not sampled
+    assert hx.extract(other, w) == "Other"
+
+
+def test_text_outside_the_largest_block_is_kept():
+    page = ("<body><p>Site</p><div class=wrap>{lead}<div class=text><p>" + "long text {n} " * 20
+            + "</p><p>more {n}</p></div></div></body>")
+    pages = [page.replace("{lead}", f"<h1>Head {n}</h1>").replace("{n}", str(n) * 3) for n in range(6)]
+    w = hx.induce(pages)
+    assert hx.extract(pages[1], w).startswith("Head 1 long text 111")
+    assert "Site" not in hx.extract(pages[1], w)
+    # a headline on some pages only, not on the one that the alignment starts from
+    some = [p if n == 0 else p.replace(f"<h1>Head {n}</h1>", "") for n, p in enumerate(pages)]
+    assert hx.extract(some[0], hx.induce(some)).startswith("Head 0 long text 000")
+
+
 def test_article_and_broken_markup():
     h = "<body><article><header><h1>T</h1></header><p><b>a<br><p>b &amp; c<!-- x --><form>f</form>d</article>z"
     assert hx.extract(h) == "T a b & c d"
