@@ -199,6 +199,24 @@ def test_text_outside_the_largest_block_is_kept():
     assert hx.extract(some[0], hx.induce(some)).startswith("Head 0 long text 000")
 
 
+def test_large_pages_and_numbered_ids_have_a_template():
+    page = ("<body><div id=post-{n}><h1>Head {n}</h1>" + "<p>Para {n} of a long page</p>" * hx.MOST_NODES
+            + "<p>Share this page</p></div></body>")
+    for html in (page, page.replace("<p>Para {n} of a long page</p>" * hx.MOST_NODES, "<p>Para {n}</p>")):
+        pages = [html.replace("{n}", str(n) * 3) for n in range(6)]
+        text = hx.extract(pages[4], hx.induce(pages))
+        assert text.startswith("Head 444 Para 444") and "Share" not in text
+
+
+def test_copies_do_not_fill_the_sample(spark):
+    pages = [(n, "http://copies.example/", PAGE.replace("{n}", "7" if n >= 8 else str(n) * 3))
+             for n in range(400)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in hx.extract_pages(df).collect()}
+    assert len(got) == 400
+    assert all(got[n] == f"Head {str(n) * 3} One & two {str(n) * 3} x Para {str(n) * 3}" for n in range(8))
+
+
 def test_article_and_broken_markup():
     h = "<body><article><header><h1>T</h1></header><p><b>a<br><p>b &amp; c<!-- x --><form>f</form>d</article>z"
     assert hx.extract(h) == "T a b & c d"
