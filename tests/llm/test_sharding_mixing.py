@@ -93,3 +93,29 @@ def test_mixing_odd_rows(spark, odd_docs, odd_labels):
     assert set(mixing.mix(odd_docs, odd_labels, floor=1.0, keep_all=True).columns) == set(odd_docs.columns)
     assert mixing.mix_table(odd_docs.limit(0), odd_labels).count() == 0
     assert mixing.mix_table(odd_docs, odd_labels.limit(0)).count() == odd_docs.count()
+
+
+def test_rare_domains_have_a_class_at_any_sample(spark, two_languages):
+    rare = spark.createDataFrame([(1000, "uno dos tres cuatro", "es"), (1001, "um dois quatro", "pt")],
+                                 "doc_id long, text string, lang string")
+    docs = two_languages.unionByName(rare)
+    labels = docs.select("doc_id").where("lang <> 'pt'")
+    few = mixing.Settings(sample=20)
+    for s in (few, mixing.Settings()):
+        c = mixing.fit_classifier(docs, labels, s=s)
+        assert c.domains == ["de", "en", "es", "pt"]
+        assert np.exp(c.prior) == pytest.approx(np.array([100, 300, 1, 1]) / 402)
+    assert mixing._rates({"a": 1, "b": 30, "c": 300}, 61) == {"a": 1.0, "b": 1.0, "c": 0.1}
+    m = mixing.fit(docs, labels, weights={"en": 0.5, "de": 0.3, "es": 0.1, "pt": 0.1}, s=few)
+    assert all(m.targets[d] > 0 for d in ("es", "pt"))
+    with pytest.raises(ValueError, match="xx"):
+        mixing.fit(docs, labels, weights={"en": 0.5, "xx": 0.5})
+
+
+def test_residual_is_reported(spark, two_languages):
+    labels = two_languages.select("doc_id")
+    with pytest.warns(UserWarning, match="off their targets"):
+        m = mixing.fit(two_languages, labels, weights={"en": 0.1, "de": 0.9},
+                       s=mixing.Settings(steps=1))
+    off = max(abs(m.totals[d] - m.targets[d]) / m.targets[d] for d in m.targets)
+    assert m.residual == pytest.approx(off) and m.residual > mixing.Settings().tolerance

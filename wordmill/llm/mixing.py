@@ -1,8 +1,9 @@
 """Mixing to target weights with soft domain membership, in DataFrame functions only.
 
-1. A naive Bayes classifier over hashed words is counted from labelled documents (a bounded
-   sample) and gives every document a posterior over the domains, tempered so that long texts
-   stay soft. It is a column expression over the whole text: nothing is joined or shuffled.
+1. The domains and their priors are counted over all rows. A naive Bayes classifier over hashed
+   words is counted from a bounded sample of each domain's labelled documents (of all of them where
+   none is labelled) and gives every document a posterior over the domains, tempered so that long
+   texts stay soft. It is a column expression over the whole text: nothing is joined or shuffled.
 2. Rates r >= ``floor`` are fitted by projected gradient on
 
        1/2 sum_k (T_k(r) - target_k)^2 / (target_k S)  +  ridge/2 sum_d (t_d / S) (r_d - 1)^2
@@ -17,18 +18,20 @@
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wordmill.llm.common import drop, free_name, written
+from wordmill.llm.common import drop, free_name, small_table, written
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample`` bounds the labelled documents the classifier counts (smallest hashes of ids);
+    """``sample`` is about the most documents the classifier counts, dealt evenly over the domains
+    (smallest hashes of ids; a small domain leaves its share to the others);
     ``evidence`` is the number of words whose likelihood a text is given at most."""
     buckets: int = 2048
     sample: int = 20_000
@@ -56,6 +59,7 @@ class Mix:
     gradients: list[list[float]] = field(default_factory=list)
     eta: float = 1.0
     floor: float = 0.0
+    residual: float = 0.0            # largest |total - target| / target
 
 
 def words(text: Column) -> Column:
@@ -67,28 +71,53 @@ def buckets(text: Column, s: Settings) -> Column:
     return F.transform(words(text), lambda w: F.pmod(F.xxhash64(w), F.lit(s.buckets)).cast("int"))
 
 
+def _rates(rows: dict[str, int], most: int) -> dict[str, float]:
+    """The share of each domain's rows to sample: equal numbers, all of a domain that has fewer."""
+    out, left = {}, most
+    for i, (d, n) in enumerate(sorted(rows.items(), key=lambda x: (x[1], x[0]))):
+        take = min(n, max(1, left // (len(rows) - i)))
+        out[d], left = take / n, left - take
+    return out
+
+
+def _per_domain(rows: DataFrame) -> dict[str, int]:
+    return {r["domain"]: r["n"] for r in rows.groupBy("domain")
+            .agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
 def fit_classifier(docs: DataFrame, labels: DataFrame, domain: str = "lang",
                    s: Settings = Settings()) -> Classifier:
-    """Count word buckets per domain over documents that have a row in ``labels``. Rows without
-    id or domain are left out; with none at all there is a single domain, "all"."""
+    """Domains and priors of all rows with a domain; word buckets counted over a sample of each
+    domain's documents that have a row in ``labels``, or of all its documents where none has.
+    Rows without id give no words; with no domain at all there is a single one, "all"."""
     spark = docs.sparkSession
-    ids = (labels.select(labels["doc_id"].cast("long").alias("doc_id")).where("doc_id is not null")
-           .distinct().orderBy(F.xxhash64("doc_id", F.lit(s.seed)), "doc_id").limit(s.sample))
-    ids, path = written(ids, "mix-sample")      # at most ``sample`` longs
     rows = (docs.select(docs["doc_id"].cast("long").alias("doc_id"),
                         docs[domain].cast("string").alias("domain"), docs["text"].alias("text"))
-            .where("domain is not null").join(F.broadcast(ids), "doc_id"))
+            .where("domain is not null"))
+    per_domain = _per_domain(rows)
+    domains = sorted(per_domain)
+    if not domains:
+        return Classifier(["all"], [0.0], [[0.0] * s.buckets], s)
+    named = rows.select("doc_id", "domain").where("doc_id is not null")
+    ids = (labels.select(labels["doc_id"].cast("long").alias("doc_id")).where("doc_id is not null")
+           .distinct())
+    labelled, labelled_path = written(named.join(ids, "doc_id"), "mix-labelled")
+    have = _per_domain(labelled)
+    bare = [d for d in domains if d not in have]
+    share = _rates({d: have.get(d, per_domain[d]) for d in domains}, s.sample)
+    shares = F.broadcast(small_table(spark, list(share.items()), "domain string, share double"))
+    pool = labelled.unionByName(named.where(F.col("domain").isin(bare))) if bare else labelled
+    u = F.pmod(F.xxhash64("doc_id", F.lit(s.seed)), F.lit(1 << 30)) / (1 << 30)
+    picked, path = written(pool.join(shares, "domain").where(u < F.col("share"))
+                           .select("doc_id", "domain").distinct(), "mix-sample")
+    rows = rows.join(F.broadcast(picked), ["doc_id", "domain"])      # about ``sample`` ids
     seen = (rows.select("domain", F.explode(buckets(F.col("text"), s)).alias("b"))
             .groupBy("domain", "b").agg(F.count(F.lit(1)).alias("n")))
-    per_domain = {r["domain"]: r["n"] for r in rows.groupBy("domain")
-                  .agg(F.count(F.lit(1)).alias("n")).collect()}
-    domains = sorted(per_domain)
     counts = {d: np.ones(s.buckets) for d in domains}
     for r in seen.collect():                    # domains x buckets at most
         counts[r["domain"]][r["b"]] += r["n"]
     drop(spark, path)
-    if not domains:
-        return Classifier(["all"], [0.0], [[0.0] * s.buckets], s)
+    drop(spark, labelled_path)
     total = sum(per_domain.values())
     logs = [np.log(counts[d] / counts[d].sum()) for d in domains]
     mean = sum(logs) / len(logs)
@@ -140,7 +169,9 @@ def fit(docs: DataFrame, labels: DataFrame, domain: str = "lang",
         s: Settings = Settings(), text_col: str = "text") -> Mix:
     """Fit rates. ``weights`` are target shares per domain (default: share ** temperature); the
     token budget is that of the input, or with ``keep_all`` the smallest at which no domain has to
-    shrink. Domains without expected tokens get no target."""
+    shrink. Domains without expected tokens get no target; a weight for a domain that no row has is
+    an error. Where the totals stay off their targets by more than the tolerance, because the steps
+    end or a bound holds them, ``residual`` says how far and a warning is given."""
     c = fit_classifier(docs, labels, domain, s)
     k = len(c.domains)
     narrow = with_posterior(docs.select(docs[text_col].alias("text")), c, F.col("text"))
@@ -154,6 +185,10 @@ def fit(docs: DataFrame, labels: DataFrame, domain: str = "lang",
     if total <= 0:
         drop(docs.sparkSession, path)
         return Mix(c, dict.fromkeys(c.domains, 0.0), dict.fromkeys(c.domains, 0.0), floor=floor)
+    unknown = sorted(set(weights or ()) - set(c.domains))
+    if unknown:
+        drop(docs.sparkSession, path)
+        raise ValueError(f"target weights for domains that no row has: {', '.join(unknown)}")
     share = np.array([weights.get(d, 0.0) for d in c.domains]) if weights else \
         (now / total) ** s.temperature
     share = np.where(now > 0, share, 0.0)
@@ -180,6 +215,10 @@ def fit(docs: DataFrame, labels: DataFrame, domain: str = "lang",
         if (np.abs(now - before) / scale).max() < s.tolerance / 5:
             break       # a bound (the floor) holds some total off its target
     m.totals = dict(zip(c.domains, now.tolist()))
+    m.residual = float(np.where(live, np.abs(now - target) / scale, 0.0).max())
+    if m.residual >= s.tolerance:
+        warnings.warn(f"mixing: totals are off their targets by up to {m.residual:.2%} after "
+                      f"{len(m.gradients)} steps", stacklevel=2)
     drop(docs.sparkSession, path)
     return m
 
