@@ -105,6 +105,26 @@ def test_pii_leaves_the_rest(spark, odd_docs):
     assert pii.pseudonymise(odd_docs.limit(0), "key").count() == 0
 
 
+def test_free_forms_of_personal_data(spark):
+    one = {"date": ["2024-05-01T12:00", "5/1/2024", "1.5.2024", "13/5/2024", "2024-5-1"],
+           "card": ["3782 822463 10005", "12 3782-822463-10005 7", "37 82 8224 6310 005",
+                    "12 4845 1681 1440 7329"],
+           "phone": ["+44 20 7946 0958", "+49 (0)30 12345", "+49 30 123456 and", "+33 1 23 45 67 89"]}
+    two = {"date": ["2024-01-01/2024-02-01", "2024-01-01T10:00Z/2024-02-01T11:00Z", "1.5.2024-3.5.2024",
+                    "1/5/2024-2/5/2024"], "phone": ["+1 212 555 0100 212-555-0199"]}
+    rows = [(f"a {t} b", k, n) for n, f in ((1, one), (2, two)) for k, ts in f.items() for t in ts]
+    df = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pseudonymise(df, "key").collect()}
+    for i, (t, k, n) in enumerate(rows):
+        assert (t, got[i][f"n_{k}"], got[i].n_values) == (t, n, n)
+        assert got[i].text != t
+    # numbers next to others keep their kinds
+    other = ["100 212-555-0100", "5 2024-01-15 1234", "1234 5678 9012 10.0.0.1", "3 123-45-6789 2020"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(other)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pseudonymise(df, "key").collect()}
+    assert [got[i][f"n_{k}"] for i, k in enumerate(["phone", "date", "ip", "ssn"])] == [1] * 4
+
+
 def items(rng, n=60):
     w = [f"w{i}" for i in range(900)] + ["the", "of", "and"] * 60
     return [(i, " ".join(rng.choice(w) for _ in range(rng.randrange(12, 40))) + ". "

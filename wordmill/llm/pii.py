@@ -6,14 +6,17 @@ format get different ones. The permutation is a Feistel network on two numbers (
 in turn x <- x + F(round, y) mod a and y <- y + F(round, x) mod b, F from SHA-256 over key, format,
 length, round and value. Formats and their domains:
 
-* card: 13 to 19 digits with a valid Luhn sum; all but the last are permuted, the last is the
-  new check digit;
-* phone: with country code, 10 digits, or (ddd) ddd-dddd and ddd-ddd-dddd; the last ten digits;
+* card: 13 to 19 digits with a valid Luhn sum, in one run, in groups of 4-4-4-4, 4-6-5 or 4-6-4, or
+  in any groups with single blanks or hyphens where no other number stands next to them; all but
+  the last are permuted, the last is the new check digit;
+* phone: + and 8 to 15 digits in any groups, or (ddd) ddd-dddd and ddd-ddd-dddd; the last ten digits
+  (all but the first of a shorter number, all but three of one over 13);
 * ssn: ddd-dd-dddd of valid area, group and serial; the 898 x 989901 valid numbers;
 * ip: dotted quads of numbers to 255; the 2^16 x 2^16 addresses;
-* date: yyyy-mm-dd, dd.mm.yyyy, mm/dd/yyyy (or dd/mm/yyyy where only that is valid) of the years
-  1800 to 2199; their 27 x 5411 days. Dates in a format are permuted within it; the two readings of
-  slash dates may share a pseudonym;
+* date: yyyy-mm-dd, dd.mm.yyyy, mm/dd/yyyy (or dd/mm/yyyy where only that is valid), days and months
+  also of one digit, before a time (T12:00) and in ranges too, of the years 1800 to 2199; their
+  27 x 5411 days. Dates in a format are permuted within it; the two readings of slash dates, and
+  dates with and without leading zeros, may share a pseudonym;
 * email: letters and digits of the local part, each among its kind; the domain stays.
 
 A text is cut once at the pattern's matches and put together again, so replacement is linear and
@@ -27,16 +30,25 @@ from pyspark.sql import functions as F
 
 ROUNDS = 10
 KINDS = ("card", "phone", "ssn", "ip", "date", "email")
+_CARD = r"\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{4}[ -]\d{6}[ -]\d{4,5}|\d{13,19}"
+#: What a run of digit groups must not hold to be tried as one card.
+_OTHER = rf"{_CARD}|\d{{3}}-\d{{3}}-\d{{4}}|\d{{3}}-\d{{2}}-\d{{4}}|\d{{4}}-\d{{1,2}}-\d{{1,2}}"
 FORMAT = {
     "email": r"(?<![\w.+-])[A-Za-z0-9][\w.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "phone": (r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\w)"
+              r"|(?<![\w+])\+\d(?:[ .()/-]{0,3}\d){7,14}(?!\w|[./-]\d)"
               r"|(?<!\w)\(\d{3}\) ?\d{3}-\d{4}(?!\w)|(?<![\w-])\d{3}-\d{3}-\d{4}(?![\w-])"),
-    "date": (r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})"
-             r"(?!\w|[./-]\d)"),
+    "date": (r"(?:(?<![\w./-])|(?<=\d{4}-\d{2}-\d{2}/)|(?<=T[0-9:.,Z+-]{4,25}/))\d{4}-\d{1,2}-\d{1,2}"
+             r"(?:(?!\w|[./-]\d)|(?=T\d{2})|(?=/\d{4}-\d{1,2}-\d))"
+             r"|(?:(?<![\w./-])|(?<=\.\d{4}[/-]))\d{1,2}\.\d{1,2}\.\d{4}"
+             r"(?:(?!\w|[./-]\d)|(?=[/-]\d{1,2}\.\d{1,2}\.\d{4}))"
+             r"|(?:(?<![\w./-])|(?<=/\d{4}-))\d{1,2}/\d{1,2}/\d{4}"
+             r"(?:(?!\w|[./-]\d)|(?=-\d{1,2}/\d{1,2}/\d{4}))"),
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)",
-    "card": (r"(?<![0-9A-Za-z])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{13,19})"
-             r"(?![0-9A-Za-z])"),
+    "card": (rf"(?<![0-9A-Za-z])(?:{_CARD})(?![0-9A-Za-z])"
+             rf"|(?<![0-9A-Za-z]|\d[ -])(?!(?:\d+[ -])*(?:{_OTHER})(?![0-9A-Za-z]))"
+             r"\d(?:[ -]?\d){12,18}(?![0-9A-Za-z]|[ -]?\d|[./:@+_-]\w)"),
 }
 ANY = "|".join(FORMAT[k] for k in ("email", "phone", "date", "ssn", "ip", "card"))
 FIRST_DAY, DAYS = "1800-01-01", 146_097          # 400 years: 27 * 5411 days
@@ -141,8 +153,9 @@ def _card(m: Column, key: str) -> Column:
 def _phone(m: Column, key: str) -> Column:
     d = _digits(m)
     n = F.length(d)
-    last = permute_digits(F.substring(d, n - 9, F.lit(10)), key, "phone")
-    return _fill(m, F.concat(F.substring(d, F.lit(1), n - 10), last), F.lit(""))
+    k = F.greatest(F.least(F.lit(10), n - m.startswith("+").cast("int")), n - 3)
+    last = permute_digits(F.substring(d, n - k + 1, k), key, "phone")
+    return _fill(m, F.concat(F.substring(d, F.lit(1), n - k), last), F.lit(""))
 
 
 def _ssn(m: Column, key: str) -> Column:
@@ -166,10 +179,14 @@ def _ip(m: Column, key: str) -> Column:
                for f in (lambda n: F.floor(n / 256), lambda n: n % 256)]))
 
 
+DATES = {"yyyy-MM-dd": "-", "dd.MM.yyyy": ".", "MM/dd/yyyy": "/", "dd/MM/yyyy": "/",
+         "yyyy-M-d": "-", "d.M.yyyy": ".", "M/d/yyyy": "/", "d/M/yyyy": "/"}
+
+
 def _first_valid(m: Column) -> Column:
-    tries = [("-", "yyyy-MM-dd"), (".", "dd.MM.yyyy"), ("/", "MM/dd/yyyy"), ("/", "dd/MM/yyyy")]
-    return F.coalesce(*[F.when(m.contains(mark) & _day(m, f).between(0, DAYS - 1), F.lit(f))
-                        for mark, f in tries])
+    """struct(f, day) of the first format that a date is valid in."""
+    return F.coalesce(*[F.when(m.contains(mark) & _day(m, f).between(0, DAYS - 1), F.struct(
+        F.lit(f).alias("f"), _day(m, f).alias("day"))) for f, mark in DATES.items()])
 
 
 def _day(m: Column, fmt: str) -> Column:
@@ -177,18 +194,14 @@ def _day(m: Column, fmt: str) -> Column:
 
 
 def _date(m: Column, key: str) -> Column:
-    out = None
-    for fmt in ("yyyy-MM-dd", "dd.MM.yyyy", "MM/dd/yyyy", "dd/MM/yyyy"):
-        day = _day(m, fmt)
-        both = feistel(F.floor(day / 5411), day % 5411, F.lit(27), F.lit(5411), key, F.lit("date"))
-        hit = _first_valid(m) == fmt
-        out = F.when(hit, _shown(both, fmt)) if out is None else out.when(hit, _shown(both, fmt))
-    return out
-
-
-def _shown(both: Column, fmt: str) -> Column:
-    return _let(both, lambda s: F.date_format(F.date_add(
-        F.lit(FIRST_DAY).cast("date"), (s["x"] * 5411 + s["y"]).cast("int")), fmt))
+    def swap(v: Column) -> Column:
+        both = feistel(F.floor(v["day"] / 5411), v["day"] % 5411, F.lit(27), F.lit(5411), key,
+                       F.lit("date"))
+        new = _let(both, lambda s: F.date_add(F.lit(FIRST_DAY).cast("date"),
+                                              (s["x"] * 5411 + s["y"]).cast("int")))
+        return _let(new, lambda d: F.coalesce(*[F.when(v["f"] == f, F.date_format(d, f))
+                                                for f in DATES]))
+    return _let(_first_valid(m), swap)
 
 
 def _email(m: Column, key: str) -> Column:
