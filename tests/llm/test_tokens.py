@@ -85,3 +85,8 @@ def test_store_round_trip(spark, odd_docs, library):
 def test_empty_store(spark, odd_docs):
     store = token_store.write_store(odd_docs.limit(0), FILE)
     assert token_store.read(store, token_store.locate(store, odd_docs.select("doc_id"))).count() == 0
+
+
+def test_pieces_of_many_tokens_are_not_in_the_table():
+    from wordmill.llm import token_counts as tc
+    assert tc._packed(["a", "😀" * 64, "b"], [1, 256, 255]) == (b"a\0b", bytes([1, 255]))

@@ -50,6 +50,12 @@ def frequent_pieces(docs: DataFrame, table_size: int, share: int) -> list[str]:
     return found
 
 
+def _packed(pieces: list[str], counts: list[int]) -> tuple[bytes, bytes]:
+    """Pieces and their token counts, one byte each; a piece of more tokens is left out."""
+    held = [(p, n) for p, n in zip(pieces, counts) if n <= 255]
+    return "\0".join(p for p, _ in held).encode(), bytes(n for _, n in held)
+
+
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, table_size: int = 50_000,
                  share: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokens of every whole text: ``doc_id, n_bytes, n_tokens, over_limit`` (n_tokens > limit).
@@ -61,8 +67,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, table_size:
     spark = docs.sparkSession
     top = frequent_pieces(docs, table_size, share)
     enc = tk.encoder(tokenizer)
-    counts = [len(enc.piece_ids(p)) if enc.by_piece else 0 for p in top]  # at most 64 bytes each
-    table = spark.sparkContext.broadcast(("\0".join(top).encode(), bytes(min(n, 255) for n in counts)))
+    counts = [len(enc.piece_ids(p)) if enc.by_piece else 0 for p in top]
+    table = spark.sparkContext.broadcast(_packed(top, counts))
 
     def run(batches):
         enc = tk.encoder(tokenizer)
