@@ -6,8 +6,6 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-SF_SMALL = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -28,9 +26,3 @@ def spark():
 @pytest.fixture()
 def tmp_dir():
     return tempfile.mkdtemp(prefix="wordmill-test-")
-
-
-def lines_df(spark, texts, doc_id=0):
-    """Lines fixture: one document per call, one row per given line."""
-    return spark.createDataFrame([(doc_id, i, t) for i, t in enumerate(texts)],
-                                 "doc_id long, line_no int, text string")

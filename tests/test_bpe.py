@@ -5,7 +5,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL, lines_df
+from helpers import SF_SMALL, brute_learn, lines_df
 from wordmill.operators import bpe
 from wordmill.sources.corpus import read_corpus, read_table
 
@@ -43,36 +43,6 @@ def test_duplicate_code_first_rank(spark):
     assert {(x["left"], x["right"]): x["rank"] for x in r.collect()}[("a", "b")] == 0
 
 
-def brute_learn(words: dict, n: int) -> list:
-    """One merge at a time: most frequent pair, ties by (left, right); stop below 2."""
-    vocab = {tuple(w) + ("</w>",): f for w, f in words.items()}
-    codes = []
-    for _ in range(n):
-        stats = Counter()
-        for sy, f in vocab.items():
-            for a, b in zip(sy, sy[1:]):
-                stats[(a, b)] += f
-        if not stats:
-            break
-        best = min(stats, key=lambda p: (-stats[p], p))
-        if stats[best] < 2:
-            break
-        codes.append(best)
-        new = Counter()
-        for sy, f in vocab.items():
-            out, i = [], 0
-            while i < len(sy):
-                if i + 1 < len(sy) and (sy[i], sy[i + 1]) == best:
-                    out.append(sy[i] + sy[i + 1])
-                    i += 2
-                else:
-                    out.append(sy[i])
-                    i += 1
-            new[tuple(out)] += f
-        vocab = new
-    return codes
-
-
 def fixture_lines(spark, max_doc=30):
     docs = read_table(spark, SF_SMALL, "documents").where(F.col("doc_id") < max_doc)
     return read_corpus(docs.select("doc_id", "text"))

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from conftest import SF_SMALL
+from helpers import SF_SMALL
 from wordmill.sources.corpus import TABLES
 
 SAMPLE = ["vocab_word", "prepare_corpus", "unk_replace_char", "clean_symbols",

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from helpers import SF_SMALL
 from wordmill.operators import vocab as vb
 from wordmill.plans import prepare as pp
 from wordmill.sources.corpus import read_corpus, read_table

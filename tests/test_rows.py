@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from helpers import SF_SMALL, brute_learn
 from wordmill.operators import bpe, pairs as pr, rows, split, vocab as vb
 from wordmill.sources.corpus import read_corpus, read_table
 

@@ -1,6 +1,6 @@
 """Streaming R1/R2 equal their batch forms; a replayed R2 does not duplicate rows."""
 
-from conftest import SF_SMALL
+from helpers import SF_SMALL, brute_learn
 from wordmill.operators import bpe, vocab as vb
 from wordmill.plans import prepare as pp
 from wordmill.sources.corpus import read_corpus, read_table

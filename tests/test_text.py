@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from helpers import SF_SMALL
 from wordmill.functions import text as tx
 from wordmill.sources.corpus import read_corpus, read_table
 

@@ -1,6 +1,6 @@
 """Vocabulary rules: ordering, ties, reserved tokens, unk replacement, encoding."""
 
-from conftest import lines_df
+from helpers import lines_df
 from wordmill.functions import frames as fr
 from wordmill.operators import vocab as vb
 from wordmill.plans import prepare as pp

@@ -6,8 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from conftest import SF_SMALL
-from test_bpe import brute_learn
+from helpers import SF_SMALL, brute_learn
 from wordmill.operators import bpe
 from wordmill.sources.corpus import read_table
 
