@@ -91,3 +91,10 @@ def op10_html_text(spark, sf):
 def op5_pii(spark, sf):
     from wordmill.llm import pii
     return pii.pseudonymise(table(spark, sf, "documents"), key="wordmill-demo-key")
+
+
+@query
+def op11_bin_packing(spark, sf):
+    from wordmill.llm import packing as pk
+    return pk.pack(table(spark, sf, "documents"), tokenizer_file("byte_bpe_50k.json"),
+                   capacity=2048, end_id=0)
