@@ -98,3 +98,9 @@ def op11_bin_packing(spark, sf):
     from wordmill.llm import packing as pk
     return pk.pack(table(spark, sf, "documents"), tokenizer_file("byte_bpe_50k.json"),
                    capacity=2048, end_id=0)
+
+
+@query
+def op13_merkle_manifest(spark, sf):
+    from wordmill.llm import merkle as mk
+    return mk.prove(mk.build(table(spark, sf, "documents"), mk.tampered_text(every=5)))
