@@ -104,3 +104,9 @@ def op11_bin_packing(spark, sf):
 def op13_merkle_manifest(spark, sf):
     from wordmill.llm import merkle as mk
     return mk.prove(mk.build(table(spark, sf, "documents"), mk.tampered_text(every=5)))
+
+
+@query
+def op12_spelling_variants(spark, sf):
+    from wordmill.llm import spelling as sp
+    return sp.variants(table(spark, sf, "documents"), min_length=5, min_count=3, noise=97, ratio=2)
