@@ -1,6 +1,7 @@
 """BPE: hand cases, exact batched learning against a one-at-a-time statement of the rule,
 and segmentation properties."""
 
+import random
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -95,11 +96,73 @@ def test_text_is_its_words_segmented(spark):
         assert seg[r["doc_id"], r["line_no"]] == " ".join(form[w] for w in r["text"].split())
 
 
-def test_incremental_equals_full_recount(spark):
+def test_epochs_equal_single_merges(spark):
     lines = fixture_lines(spark, 12)
     w = bpe.word_symbols(lines)
-    a = bpe.learn_bpe(w, 30, incremental=True).orderBy("rank").collect()
-    b = bpe.learn_bpe(w, 30, incremental=False).orderBy("rank").collect()
-    c = bpe.learn_bpe(w, 30, batch=False).orderBy("rank").collect()
-    key = [[(r["left"], r["right"], r["n"]) for r in x] for x in (a, b, c)]
-    assert key[0] == key[1] == key[2]
+    log: list = []
+    b = bpe.learn_bpe(w, 60, batch=False)
+    runs = [b, bpe.learn_bpe(w, 60), bpe.learn_bpe(w, 60, k=3),
+            # so little room that epochs retry with fewer pairs
+            bpe.learn_bpe(w, 60, run_symbols=300, log=log.append)]
+    key = [[(r["left"], r["right"], r["n"]) for r in x.orderBy("rank").collect()] for x in runs]
+    assert key[0] == key[1] == key[2] == key[3]
+    assert len(log) > 4
+
+
+def test_pass_over_the_whole_table_where_runs_have_no_room(spark):
+    w = bpe.word_symbols(fixture_lines(spark, 4))
+    a = bpe.learn_bpe(w, 25, run_symbols=0).orderBy("rank").collect()
+    b = bpe.learn_bpe(w, 25).orderBy("rank").collect()
+    assert [tuple(r) for r in a] == [tuple(r) for r in b]
+
+
+def random_words(rng):
+    """Few letters and many repeats, so that pairs tie, overlap and spell a symbol twice."""
+    letters = "ab</w>"[:rng.choice([2, 3, 6])]
+    return {"".join(rng.choices(letters, k=rng.randint(1, 9))): rng.randint(1, 4) for _ in range(40)}
+
+
+def test_merges_of_runs_equal_brute_force():
+    """Epochs in plain Python over the same functions: cut at a threshold, learn, apply."""
+    rng = random.Random(3)
+    twice = 0
+    for _ in range(150):
+        words = random_words(rng)
+        state = [(list(w) + ["</w>"], f) for w, f in words.items()]
+        made: set = set()
+        codes: list = []
+        while True:
+            count = Counter()
+            for sy, f in state:
+                for p in zip(sy, sy[1:]):
+                    count[p] += f
+            best = max(count.values(), default=0)
+            if best < 2:
+                break
+            floor = rng.randint(2, best)
+            found = Counter()
+            for sy, f in state:
+                a = 0
+                for i in range(1, len(sy) + 1):
+                    if i == len(sy) or count[sy[i - 1], sy[i]] < floor:
+                        if i - a > 1:
+                            found[tuple(sy[a:i])] += f
+                        a = i
+            new = bpe.greedy_merges([(list(k), f) for k, f in found.items()], floor, 10**6, made)
+            twice += len({l + r for l, r, _ in new}) < len(new) or any(l + r in made for l, r, _ in new[-1:])
+            made.update(l + r for l, r, _ in new)
+            ranks = {(l, r): i for i, (l, r, _) in enumerate(new)}
+            state = [(bpe._merged(sy, ranks, once=True), f) for sy, f in state]
+            codes += [(l, r) for l, r, _ in new]
+        assert codes == brute_learn(words, 10**6)
+    assert twice          # the case of a symbol spelled twice occurs
+
+
+def test_fold_finds_the_codes_of_each_word(spark):
+    lines = fixture_lines(spark, 20)
+    words = bpe.word_symbols(lines)
+    codes = bpe.learn_bpe(words, 1500)
+    assert bpe.fold_equals_greedy([(r["left"], r["right"]) for r in codes.orderBy("rank").collect()])
+    w = words.select("word")
+    g = {r["word"]: r["subwords"] for r in bpe.segment_words(w, codes).collect()}
+    assert g == {r["word"]: r["subwords"] for r in bpe.segment_words_fold(w, codes).collect()}

@@ -6,16 +6,19 @@ Python whitespace, so they never occur inside a word. With an opening and a clos
 symbol, merging a pair is one literal ``replace`` that is left-to-right and non-overlapping and
 still catches back-to-back occurrences (``abab``) and runs of one symbol (``aaa`` -> ``aa a``).
 
-Learning (B3) is a driver loop over a word table that stays distributed. Each pass is one
-action: pair statistics are recounted with map-side partial aggregation, and the top-K pairs
-come back, then their overlaps and the largest count each merge could make. Several merges are
-taken per pass only when that is provably the same as one-at-a-time greedy (see
-``choose_batch``); every later pass handles the rest, so nothing is capped. Lineage is cut every
-few passes by a written table.
+Learning (B3) goes in epochs over a word table that stays distributed. An epoch takes the most
+frequent pairs as active and cuts every word at its other pairs: those are less frequent than the
+threshold, and merging never makes a pair more frequent than the pair it stands on, so down to
+that threshold greedy learning can't see across the cuts. What is left are runs of active pairs,
+few and short however large the corpus, because the same runs come back in most words. Equal runs
+are added up by Spark, one task learns from them merge by merge down to the threshold, and all
+its codes are applied to the words in one pass. The number of active pairs follows from the size
+of the runs, which is checked before they go to that task (see ``learn_bpe``).
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,7 +28,7 @@ from pyspark.sql import types as T
 
 from wordmill.functions import text as tx
 from wordmill.operators import vocab as vb
-from wordmill.session import cut_lineage, literal_rows, release, ship
+from wordmill.session import cut_lineage, literal_rows, release, ship, small_enough
 
 # ---------------------------------------------------------------------------------------------
 # Fixed values.
@@ -179,104 +182,206 @@ def choose_batch(top: list, produced: set, remaining: int, reach: dict, over: di
     return taken
 
 
-def _pairs_weighted(words: DataFrame, sign: int) -> DataFrame:
-    syms = words.select((F.col("freq") * sign).alias("freq"), symbols_of("w").alias("_s"))
-    return syms.select("freq", F.explode(adjacent_pairs(F.col("_s"))).alias("p")) \
-        .select(F.col("p.l").alias("l"), F.col("p.r").alias("r"), F.col("freq").alias("n"))
+WORDS_PER_PARTITION = 200_000
+RUN_SYMBOLS = 400_000       # symbols of all runs that one task learns from
 
 
-WORDS_PER_PARTITION = 200_000
+def _symbol_list(w: str) -> list:
+    return w[1:-1].split(CLOSE + OPEN)
+
+
+def active_runs(words: DataFrame, active: DataFrame) -> DataFrame:
+    """Words cut at every pair that is not in ``active`` (l, r), equal runs of two or more symbols
+    added up: ``w, freq``. ``active`` goes to every worker, its size is the caller's concern."""
+    ship(words.sparkSession)
+    known = words.sparkSession.sparkContext.broadcast(
+        {(r["l"], r["r"]) for r in active.select("l", "r").collect()})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pairs = known.value
+        for pdf in batches:
+            found: dict = {}
+            for w, freq in zip(pdf["w"], pdf["freq"]):
+                sy, a = _symbol_list(w), 0
+                for i in range(1, len(sy) + 1):
+                    if i == len(sy) or (sy[i - 1], sy[i]) not in pairs:
+                        if i - a > 1:
+                            key = tuple(sy[a:i])
+                            found[key] = found.get(key, 0) + freq
+                        a = i
+            if found:
+                yield pd.DataFrame({"w": [OPEN + (CLOSE + OPEN).join(k) + CLOSE for k in found],
+                                    "freq": list(found.values())})
+
+    return (words.select("w", "freq").mapInPandas(run, "w string, freq long")
+            .groupBy("w").agg(F.sum("freq").cast("long").alias("freq")))
+
+
+def greedy_merges(runs, floor: int, limit: int, made: set) -> list:
+    """One merge at a time from ``(symbols, freq)`` runs: the most frequent pair, ties by (left,
+    right), until the best is seen fewer than ``floor`` times or ``limit`` merges are made. Ends
+    early after a merge that spells a symbol that exists (in ``made``, which grows): then pairs may
+    add up across cuts. Counts are changed by what a merge touches; the heap holds an entry at or
+    above every pair's count, corrected when it comes up."""
+    runs = list(runs)
+    count: dict = {}
+    where: dict = {}
+    for i, (sy, freq) in enumerate(runs):
+        for p in zip(sy, sy[1:]):
+            count[p] = count.get(p, 0) + freq
+            where.setdefault(p, set()).add(i)
+    heap = [(-n, l, r) for (l, r), n in count.items() if n >= floor]
+    heapq.heapify(heap)
+    out: list = []
+    while heap and len(out) < limit:
+        n, l, r = heapq.heappop(heap)
+        now = count.get((l, r), 0)
+        if now != -n:
+            if floor <= now < -n:
+                heapq.heappush(heap, (-now, l, r))
+            continue
+        out.append((l, r, now))
+        m, new = l + r, set()
+        for i in where.pop((l, r)):
+            sy, freq = runs[i]
+            to, j = [], 0
+            while j < len(sy):
+                if sy[j] == l and j + 1 < len(sy) and sy[j + 1] == r:
+                    to.append(m)
+                    j += 2
+                else:
+                    to.append(sy[j])
+                    j += 1
+            if len(to) == len(sy):
+                continue
+            for p in zip(sy, sy[1:]):
+                count[p] -= freq
+            for p in zip(to, to[1:]):
+                count[p] = count.get(p, 0) + freq
+                where.setdefault(p, set()).add(i)
+                if m in p:
+                    new.add(p)
+            runs[i] = (to, freq)
+        for p in new:
+            if count[p] >= floor:
+                heapq.heappush(heap, (-count[p], *p))
+        if m in made or m == END_OF_WORD:
+            break
+        made.add(m)
+    return out
+
+
+def _learn_runs(runs: DataFrame, floor: int, limit: int, made: set) -> list:
+    """``greedy_merges`` in one task over a run table of checked size: its codes, in order."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = [(_symbol_list(w), int(n)) for pdf in batches for w, n in zip(pdf["w"], pdf["freq"])]
+        codes = greedy_merges(rows, floor, limit, set(made))
+        yield pd.DataFrame({"i": range(len(codes)), "l": [c[0] for c in codes],
+                            "r": [c[1] for c in codes], "n": [c[2] for c in codes]})
+
+    got = runs.coalesce(1).mapInPandas(run, "i long, l string, r string, n long").collect()
+    return [(c["l"], c["r"], c["n"]) for c in sorted(got, key=lambda c: c["i"])]
 
 
-def learn_bpe(words: DataFrame, n_merges: int = DEFAULT_MERGES, k: int = 256,
-              checkpoint_every: int = 8, batch: bool = True, incremental: bool = False,
-              log=None) -> DataFrame:
-    """B3 + B4: ranked merge codes ``(rank, left, right, n)``.
+def apply_merges(words: DataFrame, codes: list) -> DataFrame:
+    """Words (w, freq) after the given merges, one after the other; a word that became one symbol
+    has no pair left and goes."""
+    ship(words.sparkSession)
+    sent = words.sparkSession.sparkContext.broadcast({(c[0], c[1]): i for i, c in enumerate(codes)})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ranks = sent.value
+        for pdf in batches:
+            out = [_merged(_symbol_list(w), ranks, once=True) for w in pdf["w"]]
+            more = [len(sy) > 1 for sy in out]
+            if any(more):
+                yield pd.DataFrame({"w": [OPEN + (CLOSE + OPEN).join(sy) + CLOSE
+                                          for sy in out if len(sy) > 1],
+                                    "freq": pdf["freq"].to_numpy()[more]})
+
+    return words.select("w", "freq").mapInPandas(run, "w string, freq long")
+
+
+def _threshold(stats: DataFrame, k: int, below: int | None) -> tuple[int, int]:
+    """(count of the k-th most frequent pair, at least ``below``; pairs with at least that)."""
+    floor = stats.orderBy(F.desc("n")).limit(k).agg(F.min("n")).head()[0]
+    floor = max(floor, MIN_PAIR_COUNT, below or 0)
+    return floor, stats.where(F.col("n") >= floor).count()
+
+
+def learn_bpe(words: DataFrame, n_merges: int = DEFAULT_MERGES, k: int = 256, batch: bool = True,
+              run_symbols: int = RUN_SYMBOLS, log=None) -> DataFrame:
+    """B3 + B4: ranked merge codes ``(rank, left, right, n)``, as one-at-a-time greedy finds them.
 
     Ties between equally frequent pairs go to the smaller (left, right) (a fixed rule where the
     original falls back to dict order). Stops after ``n_merges`` codes or when the best pair is
-    seen fewer than twice. Only the <= k top pairs of a pass and their overlaps reach the driver.
-
-    ``incremental`` keeps the pair statistics as a table and updates it from the words a pass
-    changed (old symbols counted negatively, new ones positively), so a pass shuffles a delta
-    plus the distinct pairs instead of every pair occurrence of every word; words are found
-    with a narrow filter on the merged patterns. Otherwise every pass recounts from scratch.
-    Word and statistics tables are written every ``checkpoint_every`` passes, and the written
-    predecessors are deleted.
+    seen fewer than twice.
+
+    An epoch counts all pairs, takes about ``k`` of them as active (k is adapted), and learns from
+    their runs down to the least frequent active pair's count. If runs have more than
+    ``run_symbols`` symbols, fewer pairs are active. Where even one count's pairs make too many
+    runs, the epoch is a pass of ``choose_batch`` over the whole table. Every epoch makes at least
+    one merge, so nothing is capped, and the word table of each is written and the one before it
+    deleted. ``batch=False`` takes the best pair of a recount each time.
     """
     spark = words.sparkSession
-    first = words.select("word", "freq", "w").persist()   # deterministic; recomputable
+    first = words.select("w", "freq").persist()   # deterministic; recomputable
     n_words = first.count()
-    # partitions sized by the table (each pass scans it), not by the shuffle setting
+    # partitions sized by the table (each epoch scans it), not by the shuffle setting
     parts = max(spark.sparkContext.defaultParallelism, -(-n_words // WORDS_PER_PARTITION))
     cur = cut_lineage(first.repartition(parts))
     first.unpersist()
-    stats = cut_lineage(pair_stats(cur)) if incremental else None
-    start = [cur] + ([stats] if incremental else [])
-    old: list = []                     # tables to release once their successors exist
-    files: list = start                # written tables that later ones are derived from
-    stale: list = []                   # written tables with a written successor
-    produced: set = set()
+    made: set = set()
     codes: list = []
-    passes = 0
     while len(codes) < n_merges:
-        src = stats if incremental else pair_stats(cur)
-        top = src.orderBy(*pair_order()).limit(k).collect()
-        for d in old:                  # the new tables are materialised now
-            d.unpersist()
-        for d in stale:
-            release(d)
-        old, stale = [], []
-        if not top or top[0]["n"] < MIN_PAIR_COUNT:
+        stats = cut_lineage(pair_stats(cur))
+        top = best_pairs(stats).head()
+        if top is None or top["n"] < MIN_PAIR_COUNT:
+            release(stats)
             break
         if batch:
-            taken = choose_batch(top, produced, n_merges - len(codes), *contexts(cur, top),
-                                 complete=len(top) < k)
+            taken, k = _epoch(cur, stats, int(top["n"]), k, n_merges - len(codes), made, run_symbols)
         else:
-            taken = [(top[0]["l"], top[0]["r"], top[0]["n"])]
-            produced.add(taken[0][0] + taken[0][1])
+            taken = [(top["l"], top["r"], top["n"])]
+        made.update(l + r for l, r, _ in taken)
         codes.extend(taken)
         if log is not None:
-            log(f"pass {passes}: +{len(taken)} merges (total {len(codes)}), best n={top[0]['n']}")
-        merged = [(l, r) for l, r, _ in taken]
-        # a word that became one symbol has no pair left and can never change again
-        nxt = (cur.withColumn("w", merge_expr(F.col("w"), merged))
-               .where(n_symbols("w") > 1))
-        passes += 1
-        cut = passes % checkpoint_every == 0
-        before_cut = files
-        if cut:
-            files = []
-        if incremental:
-            hit = None
-            for l, r in merged:
-                c = F.instr("w", OPEN + l + CLOSE + OPEN + r + CLOSE) > 0
-                hit = c if hit is None else hit | c
-            before = cur.where(hit)
-            after = before.withColumn("w", merge_expr(F.col("w"), merged))
-            delta = _pairs_weighted(after, 1).unionByName(_pairs_weighted(before, -1))
-            nstats = (stats.unionByName(delta).groupBy("l", "r")
-                      .agg(F.sum("n").cast("long").alias("n")).where(F.col("n") != 0))
-            nstats = cut_lineage(nstats) if cut else nstats.persist()
-            if cut:
-                files.append(nstats)
-            old.append(stats)
-            stats = nstats
-        nxt = cut_lineage(nxt) if cut else nxt.persist()
-        old.append(cur)
-        if cut:
-            files.append(nxt)
-            stale = before_cut
+            log(f"+{len(taken)} merges (total {len(codes)}), from n={top['n']}, {k} active pairs")
+        release(stats)
+        nxt = cut_lineage(apply_merges(cur, taken))
+        release(cur)
         cur = nxt
-    for d in old + [cur] + ([stats] if stats is not None else []):
-        if d.is_cached:
-            d.unpersist()
-    for d in files + stale:
-        release(d)
+    release(cur)
     return literal_rows(spark, [(i, l, r, int(n)) for i, (l, r, n) in enumerate(codes)],
                         "rank int, left string, right string, n long")
 
 
+def _epoch(words: DataFrame, stats: DataFrame, best: int, k: int, limit: int, made: set,
+           run_symbols: int) -> tuple[list, int]:
+    """The merges of one epoch and the number of active pairs to try in the next."""
+    below = None
+    while True:
+        floor, n_active = _threshold(stats, k, below)
+        if n_active <= run_symbols:
+            runs = cut_lineage(active_runs(words, stats.where(F.col("n") >= floor)))
+            size = runs.agg(F.sum(n_symbols("w"))).head()[0] or 0
+            if size <= run_symbols:
+                break
+            release(runs)
+        else:
+            size = 2 * n_active
+        if floor >= best:       # the pairs of a single count make too many runs
+            top = best_pairs(stats, 256).collect()
+            return choose_batch(top, made, limit, *contexts(words, top), complete=len(top) < 256), k
+        below = floor + 1       # ties: fewer active pairs must mean a higher threshold
+        k = max(1, int(k * max(0.1, 0.7 * run_symbols / size)))
+    taken = _learn_runs(runs, floor, limit, made)
+    release(runs)
+    if n_active <= 2 * k:       # else ties decide, not k
+        k = max(1, min(run_symbols, int(k * min(8, 0.7 * run_symbols / max(1, size)))))
+    return taken, k
+
+
 def rank_codes(codes: DataFrame) -> DataFrame:
     """The first occurrence of a duplicated code wins."""
     return codes.groupBy("left", "right").agg(F.min("rank").alias("rank"))
@@ -287,10 +392,10 @@ def symbol_pairs(syms) -> Column:
     return F.array_distinct(adjacent_pairs(F.col(syms) if isinstance(syms, str) else syms))
 
 
-def _greedy(word: str, ranks: dict) -> list:
-    """Apply the lowest-ranked pair present until none is left; drop the end-of-word mark. The
-    rank of each neighbouring pair is kept, so a merge only looks up the pairs it makes."""
-    sy = list(word) + [END_OF_WORD]
+def _merged(sy: list, ranks: dict, once: bool = False) -> list:
+    """Apply the lowest-ranked pair present until none is left. The rank of each neighbouring pair
+    is kept, so a merge only looks up the pairs it makes. ``once`` takes the ranks as a sequence of
+    merges: a pair made by a later merge is not merged any more."""
     none = len(ranks) + (1 << 60)
     get = ranks.get
     rk = [get(p, none) for p in zip(sy, sy[1:])]
@@ -304,11 +409,17 @@ def _greedy(word: str, ranks: dict) -> list:
             if rk[i] == best and sy[i] == a and sy[i + 1] == b:
                 sy[i:i + 2] = [a + b]
                 del rk[i]
-                if i:
-                    rk[i - 1] = get((sy[i - 1], sy[i]), none)
-                if i < len(rk):
-                    rk[i] = get((sy[i], sy[i + 1]), none)
+                for j in (i - 1, i):
+                    if 0 <= j < len(rk):
+                        new = get((sy[j], sy[j + 1]), none)
+                        rk[j] = none if once and new <= best else new
             i += 1
+    return sy
+
+
+def _greedy(word: str, ranks: dict) -> list:
+    """Segment a word with ranked codes; drop the end-of-word mark."""
+    sy = _merged(list(word) + [END_OF_WORD], ranks)
     if sy[-1] == END_OF_WORD:
         sy = sy[:-1]
     elif sy[-1].endswith(END_OF_WORD):
@@ -347,13 +458,28 @@ def segment_words(words: DataFrame, codes: DataFrame, word: str = "word") -> Dat
 def segment_words_fold(words: DataFrame, codes: DataFrame, word: str = "word") -> DataFrame:
     """B7, native form: fold the codes in rank order with ``replace`` on the marked word.
 
-    Equal to the greedy rule when ``fold_equals_greedy`` holds for the code list (true of
-    learned codes); its cost grows with the number of codes, so it suits short lists. Each
-    step is its own projection so the replace chain runs once per word.
+    Equal to the greedy rule when ``fold_equals_greedy`` holds for the code list. A code can only
+    apply to a word that its merged string is part of, so every word first finds its own codes: its
+    parts, up to the longest merged string, are joined with the code list. The fold is then as
+    long as the word has codes, however many there are in all.
     """
-    pairs = [(r["left"], r["right"]) for r in rank_codes(codes).orderBy("rank").collect()]
-    w = merge_expr(delimit(F.concat(tx.chars(word), F.array(F.lit(END_OF_WORD)))), pairs)
-    marked = words.select(F.col(word).alias("word"), w.alias("_w"))
+    made = rank_codes(codes).select(
+        F.concat("left", "right").alias("part"), "rank",
+        F.concat(F.lit(OPEN), "left", F.lit(CLOSE + OPEN), "right", F.lit(CLOSE)).alias("a"),
+        F.concat(F.lit(OPEN), "left", "right", F.lit(CLOSE)).alias("b"))
+    longest = made.agg(F.max(F.char_length("part"))).head()[0] or 0
+    named = words.select(F.col(word).alias("word")).withColumn("_t", F.concat("word", F.lit(END_OF_WORD)))
+    at = named.select("word", "_t", F.explode(F.sequence(F.lit(1), F.length("_t"))).alias("i"))
+    room = F.least(F.lit(longest), F.length("_t") - F.col("i") + 1)
+    parts = at.where(room > 1).select("word", "_t", "i", F.explode(F.sequence(F.lit(2), room)).alias("n")) \
+        .select("word", F.substring("_t", F.col("i"), F.col("n")).alias("part"))
+    table = F.broadcast(made) if small_enough(made) else made
+    own = parts.join(table, "part").groupBy("word").agg(
+        F.array_sort(F.collect_set(F.struct("rank", "a", "b"))).alias("_c"))
+    chars = delimit(F.concat(tx.chars("word"), F.array(F.lit(END_OF_WORD))))
+    folded = F.aggregate("_c", F.col("_w"), lambda w, c: F.replace(w, c["a"], c["b"]))
+    marked = named.select("word", chars.alias("_w")).join(own, "word", "left").select(
+        "word", F.coalesce(folded, F.col("_w")).alias("_w"))
     split = marked.select("word", symbols_of("_w").alias("_s"))
     syms = F.col("_s")
     last = F.element_at(syms, -1)

@@ -387,51 +387,18 @@ SELECT l, r, n, CAST(row_number() OVER (ORDER BY n DESC, l, r) - 1 AS BIGINT) AS
 FROM wstats ORDER BY n DESC, l, r LIMIT 10"""
 
 ORACLE["merge_pair"] = _with(*_BPE) + """,
-best AS MATERIALIZED (SELECT l, r FROM wstats ORDER BY n DESC, l, r LIMIT 1),
+best AS MATERIALIZED (
+  SELECT chr(28) || l || chr(29) || chr(28) || r || chr(29) AS a, chr(28) || l || r || chr(29) AS b
+  FROM wstats ORDER BY n DESC, l, r LIMIT 1),
 merged AS (
   SELECT word, freq,
          replace(chr(28) || array_to_string(s, chr(29) || chr(28)) || chr(29),
-                 chr(28) || b.l || chr(29) || chr(28) || b.r || chr(29),
-                 chr(28) || b.l || b.r || chr(29)) AS w
-  FROM wsym, best b)
+                 (SELECT a FROM best), (SELECT b FROM best)) AS w
+  FROM wsym)
 SELECT word, freq,
        replace(substr(w, 2, length(w) - 2), chr(29) || chr(28), ' ') AS symbols
 FROM merged"""
 
-
-def _learn_sql(n: int, src: str = "wsym") -> str:
-    """n one-at-a-time greedy merge steps, unrolled, over the words of ``src``."""
-    parts = [f"""w0 AS (SELECT word, freq,
-         chr(28) || array_to_string(s, chr(29) || chr(28)) || chr(29) AS w FROM {src})"""]
-    for k in range(n):
-        parts.append(f"""s{k} AS (
-  SELECT l, r, CAST(sum(freq) AS BIGINT) AS n
-  FROM (SELECT freq, sy[i] AS l, sy[i + 1] AS r
-        FROM (SELECT freq, sy, unnest(range(1, len(sy))) AS i
-              FROM (SELECT freq, string_split(substr(w, 2, length(w) - 2),
-                                              chr(29) || chr(28)) AS sy FROM w{k})))
-  GROUP BY l, r),
-b{k} AS (SELECT l, r, n FROM s{k} WHERE n >= 2 ORDER BY n DESC, l, r LIMIT 1),
-w{k + 1} AS (
-  SELECT word, freq,
-         CASE WHEN b.l IS NULL THEN w
-              ELSE replace(w, chr(28) || b.l || chr(29) || chr(28) || b.r || chr(29),
-                           chr(28) || b.l || b.r || chr(29)) END AS w
-  FROM w{k} LEFT JOIN b{k} b ON true)""")
-    codes = " UNION ALL ".join(f"SELECT {k} AS rank, l, r, n FROM b{k}" for k in range(n))
-    parts.append(f"codes AS ({codes})")
-    return ",\n".join(parts)
-
-
-LEARNED = _learn_sql(20)
-
-ORACLE["stop_rule"] = """WITH csym AS MATERIALIZED (
-  SELECT c_mktsegment AS word, count(*) AS freq,
-         list_append(string_split(c_mktsegment, ''), '</w>') AS s
-  FROM customer GROUP BY c_mktsegment),
-""" + _learn_sql(50, "csym") + """
-SELECT CAST(rank AS BIGINT) AS rank, l AS "left", r AS "right", n FROM codes"""
-
 ORACLE["codes_text_roundtrip"] = _with(*_BPE) + """
 SELECT CAST(row_number() OVER (ORDER BY n DESC, l, r) - 1 AS BIGINT) AS rank,
        l AS "left", r AS "right" FROM wstats"""
@@ -442,9 +409,6 @@ UNION ALL
 SELECT CAST(row_number() OVER (ORDER BY freq DESC, token) AS BIGINT) AS id, token
 FROM wcounts WHERE freq >= 20 AND token NOT IN ('UNK', '_start_', '_delimiter_', '_end_')"""
 
-ORACLE["learn_bpe"] = _with(*_BPE, LEARNED) + """
-SELECT CAST(rank AS BIGINT) AS rank, l AS "left", r AS "right", n FROM codes"""
-
 ORACLE["rank_codes"] = _with(LINES, WTOK, WFREQ) + """,
 a AS (SELECT l, r, row_number() OVER (ORDER BY n DESC, l, r) - 1 AS rank FROM wstats),
 b AS (SELECT l, r, row_number() OVER (ORDER BY n, l, r) - 1
@@ -459,53 +423,6 @@ FROM (SELECT word, s[i] || chr(31) || s[i + 1] AS p
       FROM (SELECT word, s, unnest(range(1, len(s))) AS i FROM wsym))
 GROUP BY word"""
 
-TOPCODES = """topcodes AS MATERIALIZED (
-  SELECT list({'f': chr(28) || l || chr(29) || chr(28) || r || chr(29),
-               't': chr(28) || l || r || chr(29)} ORDER BY n DESC, l, r) AS cl
-  FROM (SELECT l, r, n FROM wstats ORDER BY n DESC, l, r LIMIT 50))"""
-
-
-def _fold_sql(codes_cte: str, src: str = "wsym") -> str:
-    return f"""{codes_cte},
-folded AS MATERIALIZED (
-  SELECT word, string_split(substr(m, 2, length(m) - 2), chr(29) || chr(28)) AS sy
-  FROM (SELECT word,
-               list_reduce(c.cl, lambda acc, x: replace(acc, x.f, x.t),
-                           chr(28) || array_to_string(s, chr(29) || chr(28)) || chr(29)) AS m
-        FROM {src}, {codes_cte.split(' AS')[0]} c)),
-segmented AS (
-  SELECT word,
-         CASE WHEN sy[len(sy)] = '</w>' THEN sy[1:len(sy) - 1]
-              ELSE list_concat(sy[1:len(sy) - 1], [replace(sy[len(sy)], '</w>', '')]) END AS sub
-  FROM folded),
-segform AS (
-  SELECT word, array_to_string(list_concat(list_transform(sub[1:len(sub) - 1],
-                                                           lambda x: x || '@@'),
-                                            [sub[len(sub)]]), ' ') AS seg
-  FROM segmented)"""
-
-
-ORACLE["segment_words"] = _with(*_BPE, _fold_sql(TOPCODES)) + \
-    "SELECT word, array_to_string(sub, ' ') AS subwords FROM segmented"
-ORACLE["segment_words_fold"] = ORACLE["segment_words"]
-
-_SEGTEXT = """
-SELECT l.doc_id, l.line_no, coalesce(r.text, '') AS text
-FROM lines l LEFT JOIN (
-  SELECT t.doc_id, t.line_no, string_agg(g.seg, ' ' ORDER BY t.pos) AS text
-  FROM wtok t JOIN segform g ON g.word = t.token
-  GROUP BY t.doc_id, t.line_no) r
-ON l.doc_id = r.doc_id AND l.line_no = r.line_no"""
-
-ORACLE["segment_text"] = _with(*_BPE, _fold_sql(TOPCODES)) + _SEGTEXT
-
-LEARNEDCODES = """learnedcodes AS MATERIALIZED (
-  SELECT list({'f': chr(28) || l || chr(29) || chr(28) || r || chr(29),
-               't': chr(28) || l || r || chr(29)} ORDER BY rank) AS cl
-  FROM codes)"""
-
-ORACLE["segment_text_learned"] = _with(*_BPE, LEARNED, _fold_sql(LEARNEDCODES)) + _SEGTEXT
-
 
 # ------------------------------------------------------------------ pairs
 PAIRS = """pairs AS MATERIALIZED (
@@ -792,11 +709,6 @@ ORACLE["vocab_roundtrip"] = ORACLE["vocab_word"]
 
 ORACLE["counts_roundtrip"] = _with(LINES, WTOK, WCOUNTS) + "SELECT token, freq FROM wcounts"
 
-ORACLE["codes_roundtrip"] = _with(*_BPE) + """
-SELECT CAST(row_number() OVER (ORDER BY n DESC, l, r) - 1 AS BIGINT) AS rank,
-       l AS "left", r AS "right"
-FROM wstats ORDER BY n DESC, l, r LIMIT 50"""
-
 ORACLE["split_roundtrip"] = ORACLE["prepare_corpus"]
 
 ORACLE["sequences_roundtrip"] = ORACLE["prepare_sequences"]
@@ -814,94 +726,8 @@ ORACLE["stream_token_counts"] = _with(LINES, WTOK) + \
     "SELECT token, count(*) AS freq FROM wtok GROUP BY token"
 
 
-# Stacked pair corpus -> 20 learned merges -> segmentation -> tokens seen >= 10 times ->
-# unk replacement -> first/second half -> labels pasted by row.
-STACK = f"""st AS (SELECT 0 AS side, row_idx, a AS text FROM ipairs
-       UNION ALL SELECT 1 AS side, row_idx, b AS text FROM ipairs),
-stok AS (
-  SELECT side, row_idx, generate_subscripts(t, 1) AS pos, unnest(t) AS token
-  FROM (SELECT side, row_idx,
-               list_filter(regexp_split_to_array(text, '{WS}+'), lambda x: x <> '') AS t
-        FROM st)),
-ssym AS (SELECT token AS word, count(*) AS freq,
-                list_append(string_split(token, ''), '</w>') AS s
-         FROM stok GROUP BY token)"""
-
-ORACLE["subword_chain"] = _with(PAIRS, STACK, _learn_sql(20, "ssym"),
-                                _fold_sql(LEARNEDCODES, "ssym")) + f""",
-sseg AS (
-  SELECT s.side, s.row_idx, coalesce(r.text, '') AS text
-  FROM st s LEFT JOIN (
-    SELECT t.side, t.row_idx, string_agg(g.seg, ' ' ORDER BY t.pos) AS text
-    FROM stok t JOIN segform g ON g.word = t.token GROUP BY t.side, t.row_idx) r
-  ON s.side = r.side AND s.row_idx = r.row_idx),
-sgt AS (
-  SELECT side, row_idx, generate_subscripts(t, 1) AS pos, unnest(t) AS token
-  FROM (SELECT side, row_idx,
-               list_filter(regexp_split_to_array(text, '{WS}+'), lambda x: x <> '') AS t
-        FROM sseg)),
-svoc AS (SELECT token FROM sgt GROUP BY token HAVING count(*) >= 10
-         AND token NOT IN ('UNK', '_start_', '_delimiter_', '_end_')),
-sunk AS (
-  SELECT s.side, s.row_idx, coalesce(r.text, '') AS text
-  FROM st s LEFT JOIN (
-    SELECT t.side, t.row_idx,
-           string_agg(CASE WHEN v.token IS NULL THEN 'UNK' ELSE t.token END, ' '
-                      ORDER BY t.pos) AS text
-    FROM sgt t LEFT JOIN svoc v ON v.token = t.token GROUP BY t.side, t.row_idx) r
-  ON s.side = r.side AND s.row_idx = r.row_idx)
-SELECT x.row_idx, x.text AS a, y.text AS b, p.label
-FROM sunk x JOIN sunk y ON x.row_idx = y.row_idx AND x.side = 0 AND y.side = 1
-     JOIN ipairs p ON p.row_idx = x.row_idx"""
-
-# R2: every line segmented with the 50 best initial pairs, vocabulary of the segmented text
-# (min count 20, first-seen ties), unk replacement, encoding with the specials, framing.
-R2 = f"""r2seg AS (
-  SELECT l.doc_id, l.line_no, coalesce(r.text, '') AS text
-  FROM lines l LEFT JOIN (
-    SELECT t.doc_id, t.line_no, string_agg(g.seg, ' ' ORDER BY t.pos) AS text
-    FROM wtok t JOIN segform g ON g.word = t.token GROUP BY t.doc_id, t.line_no) r
-  ON l.doc_id = r.doc_id AND l.line_no = r.line_no),
-r2tok AS (
-  SELECT doc_id, line_no, CAST(generate_subscripts(t, 1) - 1 AS BIGINT) AS pos, unnest(t) AS token
-  FROM (SELECT doc_id, line_no,
-               list_filter(regexp_split_to_array(text, '{WS}+'), lambda x: x <> '') AS t
-        FROM r2seg)),
-r2counts AS (
-  SELECT token, count(*) AS freq, min({{'d': doc_id, 'l': line_no, 'p': pos}}) AS f
-  FROM r2tok GROUP BY token),
-r2vocab AS (
-  SELECT CAST(0 AS BIGINT) AS id, 'UNK' AS token
-  UNION ALL
-  SELECT CAST(row_number() OVER (ORDER BY freq DESC, f.d, f.l, f.p) AS BIGINT) AS id, token
-  FROM r2counts WHERE freq >= 20 AND token NOT IN ('UNK', '_start_', '_delimiter_', '_end_')),
-r2unk AS (
-  SELECT l.doc_id, l.line_no, coalesce(r.text, '') AS text
-  FROM lines l LEFT JOIN (
-    SELECT t.doc_id, t.line_no,
-           string_agg(CASE WHEN v.id IS NULL THEN 'UNK' ELSE t.token END, ' ' ORDER BY t.pos) AS text
-    FROM r2tok t LEFT JOIN r2vocab v ON v.token = t.token AND v.id > 0
-    GROUP BY t.doc_id, t.line_no) r
-  ON l.doc_id = r.doc_id AND l.line_no = r.line_no),
-r2nv AS (SELECT count(*) AS v FROM r2vocab),
-r2spec AS (
-  SELECT id, token FROM r2vocab
-  UNION ALL SELECT v, '_start_' FROM r2nv UNION ALL SELECT v + 1, '_delimiter_' FROM r2nv
-  UNION ALL SELECT v + 2, '_end_' FROM r2nv),
-r2enc AS (
-  SELECT e.doc_id, e.line_no, list(coalesce(s.id, 0) ORDER BY e.pos) AS ids
-  FROM (SELECT doc_id, line_no, generate_subscripts(t, 1) AS pos, unnest(t) AS token
-        FROM (SELECT doc_id, line_no, string_split(text, ' ') AS t FROM r2unk)) e
-  LEFT JOIN r2spec s ON s.token = e.token
-  GROUP BY e.doc_id, e.line_no)"""
-
 ORACLE["shuffle_batches"] = _with(*ALL_W, SPECIALS, WUNK, WCORPUS, WENC, WDEV) + """
 SELECT row_idx, CAST(row_idx // 8 AS BIGINT) AS batch,
        CAST(row_number() OVER (ORDER BY md5(concat_ws(':', '42', '1', row_idx // 8)), row_idx // 8,
                                row_idx) - 1 AS BIGINT) AS order_idx
 FROM wdev"""
-
-ORACLE["stream_encode"] = _with(*_BPE, _fold_sql(TOPCODES), R2) + """
-SELECT doc_id, line_no,
-       array_to_string(list_concat([n.v], ids[1:198], [n.v + 2]), ' ') AS ids
-FROM r2enc, r2nv n"""

@@ -417,8 +417,7 @@ def q_repeat(spark, sf):
 # ------------------------------------------------------------------ B1-B8, A4, O2
 
 
-N_CODES_TOP = 50      # code list of the segmentation checks: the 50 best initial pairs
-N_MERGES_CHECK = 20   # merges learned by the registered learning query
+NO_LIMIT = 2**31 - 1     # merges of a list that only the stop rule ends; ranks are ints
 
 
 def _words(spark, sf):
@@ -429,15 +428,6 @@ def _words(spark, sf):
     return _CACHE[key]
 
 
-def _top_codes(spark, sf, k=N_CODES_TOP):
-    key = (spark.sparkContext.applicationId, sf, "top", k)
-    if key not in _CODES:
-        top = bpe.best_pairs(bpe.pair_stats(_words(spark, sf)), k).collect()
-        _CODES[key] = literal_rows(spark, [(i, r["l"], r["r"]) for i, r in enumerate(top)],
-                                   "rank int, left string, right string")
-    return _CODES[key]
-
-
 @query("word_symbols")
 def q_word_symbols(spark, sf):
     w = _words(spark, sf)
@@ -466,10 +456,11 @@ def q_merge_pair(spark, sf):
                               F.array_join(bpe.symbols_of("w"), " ").alias("symbols")))
 
 
-def learned_codes(spark, sf, n=N_MERGES_CHECK):
+def learned_codes(spark, sf, n=bpe.DEFAULT_MERGES):
+    """Codes learned over the corpus, written once per session."""
     key = (spark.sparkContext.applicationId, sf, n)
     if key not in _CODES:
-        _CODES[key] = bpe.learn_bpe(_words(spark, sf), n)
+        _CODES[key] = cut_lineage(bpe.learn_bpe(_words(spark, sf), n))
     return _CODES[key]
 
 
@@ -480,11 +471,8 @@ def q_learn_bpe(spark, sf):
 
 @query("stop_rule")
 def q_stop_rule(spark, sf):
-    """Learning over the customers' market segments ends by itself, far below the limit."""
-    c = src.read_table(spark, sf, "customer").select(
-        F.col("c_custkey").alias("doc_id"), F.lit(0).alias("line_no"),
-        F.col("c_mktsegment").alias("text"))
-    return normalize(bpe.learn_bpe(bpe.word_symbols(c)))
+    """Learning over the corpus without a limit, so only the stop rule ends it."""
+    return normalize(learned_codes(spark, sf, NO_LIMIT))
 
 
 @query("shuffle_batches")
@@ -540,24 +528,19 @@ def q_symbol_pairs(spark, sf):
 @query("segment_words")
 def q_segment_words(spark, sf):
     w = _words(spark, sf).select("word")
-    s = bpe.segment_words(w, _top_codes(spark, sf))
+    s = bpe.segment_words(w, learned_codes(spark, sf))
     return normalize(s.select("word", F.array_join("subwords", " ").alias("subwords")))
 
 
 @query("segment_words_fold")
 def q_segment_words_fold(spark, sf):
     w = _words(spark, sf).select("word")
-    s = bpe.segment_words_fold(w, _top_codes(spark, sf))
+    s = bpe.segment_words_fold(w, learned_codes(spark, sf))
     return normalize(s.select("word", F.array_join("subwords", " ").alias("subwords")))
 
 
 @query("segment_text")
 def q_segment_text(spark, sf):
-    return normalize(bpe.segment_text(lines(spark, sf), _top_codes(spark, sf)))
-
-
-@query("segment_text_learned")
-def q_segment_text_learned(spark, sf):
     return normalize(bpe.segment_text(lines(spark, sf), learned_codes(spark, sf)))
 
 
@@ -665,7 +648,7 @@ def q_frame_pair(spark, sf):
 
 @query("subword_chain")
 def q_subword_chain(spark, sf):
-    out, _ = sc.subword_chain(indexed_pairs(spark, sf), N_MERGES_CHECK)
+    out, _ = sc.subword_chain(indexed_pairs(spark, sf))
     return normalize(out)
 
 
@@ -894,7 +877,7 @@ def q_counts_roundtrip(spark, sf):
 def q_codes_roundtrip(spark, sf):
     """Ranked merge codes persisted and loaded back."""
     path = _scratch(spark, "codes")
-    src.write_codes(_top_codes(spark, sf), path)
+    src.write_codes(learned_codes(spark, sf).drop("n"), path)
     return normalize(src.read_codes(spark, path))
 
 
@@ -957,9 +940,9 @@ def q_stream_token_counts(spark, sf):
 
 @query("stream_encode")
 def q_stream_encode(spark, sf):
-    """R2: streamed lines segmented (50 best initial pairs), unk-replaced, encoded, framed."""
+    """R2: streamed lines segmented with the learned codes, unk-replaced, encoded, framed."""
     ln = lines(spark, sf)
-    codes = _top_codes(spark, sf)
+    codes = learned_codes(spark, sf)
     v, n = pp.build_vocab(bpe.segment_text(ln, codes), "word", vb.MIN_COUNT_PREPARE)
     out = _scratch(spark, "stream-encode")
     q = stm.start_stream_encode(stm.read_document_stream(spark, sf.rstrip("/") + "/documents*.parquet"),
