@@ -90,3 +90,36 @@ def test_empty_store(spark, odd_docs):
 def test_pieces_of_many_tokens_are_not_in_the_table():
     from wordmill.llm import token_counts as tc
     assert tc._packed(["a", "😀" * 64, "b"], [1, 256, 255]) == (b"a\0b", bytes([1, 255]))
+
+
+def test_an_id_of_many_rows_is_split_and_its_copies_numbered(spark, library):
+    from pyspark.sql import functions as F
+    docs = spark.range(3000).select(
+        F.when(F.col("id") % 3 > 0, F.lit(7)).when(F.col("id") % 2 > 0, F.col("id")).alias("doc_id"),
+        F.concat(F.lit("text "), F.col("id") % 500).alias("text"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        store = token_store.write_store(docs, FILE)
+        assert store.parts.count() == 4
+        rows = token_store.read(store, token_store.locate(store, docs.select("doc_id"))).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for key in (7, token_store.NULL_KEY):
+        mine = [r for r in rows if r["key"] == key]
+        assert sorted(r["copy"] for r in mine) == list(range(2000 if key == 7 else 500))
+    want = sorted(np.array(library(r.text) + [0], "<u4").tobytes() for r in docs.collect())
+    assert sorted(bytes(r["ids"]) for r in rows) == want
+    reader = token_store.Reader(store)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup()
+    for r in rows[::50]:
+        key = None if r["key"] == token_store.NULL_KEY else r["key"]
+        assert reader.get(key, r["copy"]).astype("<u4").tobytes() == bytes(r["ids"])
+    assert reader.get(7, 2000) is None and reader.get(8) is None
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup() == jobs
+
+
+def test_buckets_of_the_driver_are_those_of_spark(spark):
+    keys = [(0, 0), (7, 3), (-1, 1), (token_store.NULL_KEY, 2), (2**62, 9)]
+    df = spark.createDataFrame(keys, "key long, copy long")
+    got = [r[0] for r in df.select(token_store._bucket(13)).collect()]
+    assert got == [token_store.bucket_of(k, c, 13) for k, c in keys]

@@ -15,13 +15,14 @@ most unused files.
 from __future__ import annotations
 
 import io
-import sys
-from array import array
+import struct
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,13 +50,6 @@ def _dtype(width: int) -> str:
     return "<u2" if width == 2 else "<u4"
 
 
-def _packed(ids: list[int], width: int) -> bytes:
-    raw = array("H" if width == 2 else "I", ids)
-    if sys.byteorder == "big":
-        raw.byteswap()
-    return raw.tobytes()
-
-
 def _bucket(n_index: int):
     return F.pmod(F.xxhash64("key", "copy"), F.lit(n_index)).cast("int")
 
@@ -74,10 +68,7 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int = 0, path: str | No
     width = 2 if max(tk.encoder(tokenizer).n_vocab, end_id + 1) <= 65536 else 4
 
     def encode(batches):
-        enc = tk.encoder(tokenizer)
-        pack = lambda ids: _packed(ids, width)
-        cache = tk.PieceCache(lambda p: pack(enc.piece_ids(p)))
-        get, end = cache.__getitem__, pack([end_id])
+        enc = tk.batch_encoder(tokenizer)
         fs, root = open_fs(path)
         name, out, at, last, copy = f"ids-{task_label()}.bin", None, 0, object(), 0
         part = int(name.split("-")[1])
@@ -87,35 +78,30 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int = 0, path: str | No
             if out is None:
                 fs.create_dir(root, recursive=True)
                 out = fs.open_output_stream(f"{root}/{name}")
-            keys, copies, starts, sizes = [], [], [], []
-            for key, text in zip(b.column(0).to_pylist(), b.column(1)):
-                text = text.as_py() or ""
-                if enc.whole(text):
-                    ids = pack(enc.text_ids(text))
-                else:
-                    ids = b"".join(map(get, tk.pieces(text)))
-                    cache.trim()
-                out.write(ids)
-                out.write(end)
+            copies = []
+            for key in b.column(0).to_pylist():
                 copy = copy + 1 if key == last else 0
-                last, n = key, len(ids) // width + 1
-                keys.append(NULL_KEY if key is None else key)
+                last = key
                 copies.append(copy)
-                starts.append(at)
-                sizes.append(n)
-                at += n
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(copies, pa.int64()),
-                 pa.array([part] * len(keys), pa.int32()), pa.array([name] * len(keys)),
-                 pa.array(starts, pa.int64()), pa.array(sizes, pa.int64())],
-                names=["key", "copy", "part", "file", "first", "n"])
+            keys = pc.fill_null(b.column(0), NULL_KEY)
+            for row, ids, bounds in enc.documents(b.column(1), end_id):
+                out.write(ids.astype(_dtype(width)).tobytes())
+                n = len(bounds) - 1
+                yield pa.RecordBatch.from_arrays(
+                    [keys.slice(row, n), pa.array(copies[row:row + n], pa.int64()),
+                     pa.array([part] * n, pa.int32()), pa.array([name] * n),
+                     pa.array(at + bounds[:-1], pa.int64()), pa.array(np.diff(bounds), pa.int64())],
+                    names=["key", "copy", "part", "file", "first", "n"])
+                at += len(ids)
         if out is not None:
             out.close()
 
-    ordered = (docs.withColumn("_h", F.xxhash64("text")).repartitionByRange("doc_id")
+    # rows of one id (or without one) are split by their text, so no id is a hot key
+    ordered = (docs.withColumn("_h", F.xxhash64("text")).repartitionByRange("doc_id", "_h")
                .sortWithinPartitions("doc_id", "_h").select("doc_id", "text"))
     entries, _ = written(ordered.mapInArrow(
         encode, "key long, copy long, part int, file string, first long, n long"), "token-entries")
+    entries = _copies_across_parts(entries)
     # a row per payload file: as many as the range partitioning has partitions
     parts = entries.groupBy("part", "file").agg(F.sum("n").alias("n_ids"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -146,6 +132,18 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int = 0, path: str | No
     return TokenStore(path, width, n_index, parts, index)
 
 
+def _copies_across_parts(entries: DataFrame) -> DataFrame:
+    """Copies of an id are counted per part; where an id goes on in the next part, the copies before
+    are added. Only the first id of a part can go on, so the tables here have a row per part."""
+    first = entries.groupBy("part").agg(F.min("key").alias("key"))
+    per = (entries.join(F.broadcast(first.select("key").distinct()), "key")
+           .groupBy("key", "part").agg(F.count(F.lit(1)).alias("n_here")))
+    before = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = per.select("key", "part", F.sum("n_here").over(before).alias("shift")).where("shift > 0")
+    return entries.join(F.broadcast(shift), ["key", "part"], "left").withColumn(
+        "copy", F.col("copy") + F.coalesce("shift", F.lit(0))).drop("shift")
+
+
 def _placed(at, values, kind):
     out = np.zeros(len(values), kind)
     out[at] = values.astype(kind)
@@ -230,25 +228,52 @@ def _ranges(f, g: pd.DataFrame, width: int):
         i = j
 
 
+class Reader:
+    """Keyed access without Spark jobs: the store's file tables (a row per payload or index file)
+    are read once, index files when they are first asked for, the last ``open_indexes`` stay."""
+
+    def __init__(self, store: TokenStore, open_indexes: int = 64):
+        self.store, self.open_indexes = store, open_indexes
+        self.files = {r["bucket"]: r["file"] for r in store.index.collect()}
+        self.parts = {r["part"]: r["file"] for r in store.parts.collect()}
+        self.fs, self.root = open_fs(store.path)
+        self._open: dict[int, tuple] = {}
+
+    def _index(self, bucket: int):
+        if bucket not in self._open:
+            while len(self._open) >= self.open_indexes:
+                del self._open[next(iter(self._open))]
+            self._open[bucket] = _read_index(self.fs, f"{self.root}/{self.files[bucket]}")
+        return self._open[bucket]
+
+    def get(self, key: int | None, copy: int = 0) -> np.ndarray | None:
+        """The ids of one document, in constant time: one index entry, one range of one file."""
+        key = NULL_KEY if key is None else key
+        bucket = bucket_of(key, copy, self.store.n_index)
+        if bucket not in self.files:
+            return None
+        mph, a = self._index(bucket)
+        k, c = np.array([key], np.int64), np.array([copy], np.int64)
+        at = int(mph.find(k, c)[0])
+        if at < 0 or a["fingerprint"][at] != fingerprint(k, c)[0]:
+            return None
+        width = self.store.width
+        with self.fs.open_input_file(f"{self.root}/{self.parts[int(a['part'][at])]}") as f:
+            raw = f.read_at(int(a["n"][at]) * width, int(a["first"][at]) * width)
+        return np.frombuffer(raw, dtype=_dtype(width)).astype(np.uint32)
+
+
+def bucket_of(key: int, copy: int, n_index: int) -> int:
+    """``_bucket`` of one key on the driver: Spark's xxhash64 of two longs (seed 42, chained)."""
+    h = 42
+    for value in (key, copy):
+        h = xxhash.xxh64_intdigest(struct.pack("<q", value), seed=h)
+    return (h - (1 << 64) if h >> 63 else h) % n_index
+
+
 def get(store: TokenStore, key: int | None, copy: int = 0) -> np.ndarray | None:
-    """The ids of one document, in constant time: one index entry, one range of one file."""
-    spark = store.index.sparkSession
-    k = np.array([NULL_KEY if key is None else key], np.int64)
-    c = np.array([copy], np.int64)
-    one = spark.range(1).select(F.lit(int(k[0])).alias("key"), F.lit(copy).cast("long").alias("copy"))
-    bucket = one.select(_bucket(store.n_index)).head()[0]
-    row = store.index.where(F.col("bucket") == bucket).head()
-    if row is None:
-        return None
-    fs, root = open_fs(store.path)
-    mph, a = _read_index(fs, f"{root}/{row['file']}")
-    at = int(mph.find(k, c)[0])
-    if at < 0 or a["fingerprint"][at] != fingerprint(k, c)[0]:
-        return None
-    name = store.parts.where(F.col("part") == int(a["part"][at])).head()["file"]
-    with fs.open_input_file(f"{root}/{name}") as f:
-        raw = f.read_at(int(a["n"][at]) * store.width, int(a["first"][at]) * store.width)
-    return np.frombuffer(raw, dtype=_dtype(store.width)).astype(np.uint32)
-
-
-__all__ = ["TokenStore", "write_store", "locate", "read", "get"]
+    """The ids of one document. For many single keys keep a ``Reader``."""
+    return Reader(store).get(key, copy)
+
+
+__all__ = ["TokenStore", "Reader", "write_store", "locate", "read", "get"]
