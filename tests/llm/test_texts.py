@@ -95,6 +95,73 @@ def test_small_permutation_is_a_bijection(spark):
     assert sorted(out) == [f"{i:03d}" for i in range(1000)]
 
 
+@pytest.mark.parametrize("text", [
+    "12 " * 20_000, "12 " * 200_000, "1-" * 100_000, "a@" + "b." * 5_000 + "com", "a." * 100_000 + "@b.com",
+    "x@y." + "z" * 200_000, "+1" + " 2" * 100_000, "1.2." * 50_000, "4111 " * 50_000])
+def test_pii_of_very_long_groups_ends(spark, text):
+    mail = " mail kim@example.com"
+    rows = spark.createDataFrame([(1, text + mail)], "doc_id long, text string")
+    out = pii.pseudonymise(rows, "key").collect()[0]
+    assert out.n_email >= 1 and not out.text.endswith(mail) and out.text.endswith("@example.com")
+    assert len(out.text) == len(text + mail)
+
+
+def plain_feistel(x, y, a, b, key, tweak):
+    """The network stated anew: F is the first 15 hex digits of a SHA-256."""
+    import hashlib
+    turn = lambda i, v: int(hashlib.sha256(f"{key}|{tweak}|{i}|{v}".encode()).hexdigest()[:15], 16)
+    for i in range(10):
+        if i % 2 == 0:
+            x = (x + turn(i, y) % a) % a
+        else:
+            y = (y + turn(i, x) % b) % b
+    return x, y
+
+
+def test_pii_values_against_a_plain_network(spark):
+    import datetime as dt
+    values = ["123-45-6789", "10.20.30.40", "2024-05-01", "2024/05/01", "+1 212 555 0100", "212.555.0100",
+              "212 555 0100", "4111.1111.1111.1111", "4111111111111111"]
+    df = spark.createDataFrame([(i, f"a {v}, b") for i, v in enumerate(values)], "doc_id long, text string")
+    got = [r.text[2:-3] for r in pii.pseudonymise(df, "k").orderBy("doc_id").collect()]
+
+    def digits(d, kind):
+        h = len(d) // 2
+        x, y = plain_feistel(int(d[:h] or 0), int(d[h:]), 10 ** h, 10 ** (len(d) - h), "k", f"{kind}|{len(d)}")
+        return (f"{x:0{h}d}" if h else "") + f"{y:0{len(d) - h}d}"
+
+    def fill(form, d):
+        d = iter(d)
+        return "".join(next(d) if c.isdigit() else c for c in form)
+
+    def card(form):
+        body = digits("411111111111111", "card")
+        check = next(c for c in "0123456789" if sum(
+            int(x) if i % 2 == 0 else sum(map(int, str(2 * int(x)))) for i, x in enumerate((body + c)[::-1])) % 10 == 0)
+        return fill(form, body + check)
+
+    x, y = plain_feistel(123 - 1, 44 * 9999 + 6788, 898, 989_901, "k", "ssn")
+    area = x + 1 + (x + 1 >= 666)
+    ssn = f"{area:03d}-{y // 9999 + 1:02d}-{y % 9999 + 1:04d}"
+    x, y = plain_feistel(10 * 256 + 20, 30 * 256 + 40, 65536, 65536, "k", "ip")
+    ip = f"{x // 256}.{x % 256}.{y // 256}.{y % 256}"
+    day = (dt.date(2024, 5, 1) - dt.date(1800, 1, 1)).days
+    x, y = plain_feistel(day // 5411, day % 5411, 27, 5411, "k", "date")
+    date = dt.date(1800, 1, 1) + dt.timedelta(x * 5411 + y)
+    phone = digits("2125550100", "phone")
+    assert got == [ssn, ip, f"{date:%Y-%m-%d}", f"{date:%Y/%m/%d}", fill("+1 ", "1") + fill("212 555 0100", phone),
+                   fill("212.555.0100", phone), fill("212 555 0100", phone), card("4111.1111.1111.1111"),
+                   card("4111111111111111")]
+
+
+def test_pii_of_texts_with_the_marks(spark):
+    rows = [(1, "a kim@example.com b"), (2, "a kim@example.com b \ufdd0 123-45-6789"), (3, "\ufdd1"), (4, "")]
+    got = {r.doc_id: r.text for r in pii.pseudonymise(
+        spark.createDataFrame(rows, "doc_id long, text string"), "key").collect()}
+    assert got[2].startswith(got[1] + " \ufdd0 ") and got[3] == "\ufdd1" and got[4] == ""
+    assert "123-45-6789" not in got[2] and len(got[2]) == len(rows[1][1])
+
+
 def test_pii_leaves_the_rest(spark, odd_docs):
     got = pii.pseudonymise(odd_docs, "key").collect()
     assert sorted(str((r.doc_id, r.text)) for r in got) == \

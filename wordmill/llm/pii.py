@@ -6,21 +6,25 @@ format get different ones. The permutation is a Feistel network on two numbers (
 in turn x <- x + F(round, y) mod a and y <- y + F(round, x) mod b, F from SHA-256 over key, format,
 length, round and value. Formats and their domains:
 
-* card: 13 to 19 digits with a valid Luhn sum, in one run, in groups of 4-4-4-4, 4-6-5 or 4-6-4, or
+* card: 13 to 19 digits with a valid Luhn sum, in one run, in groups of 4-4-4-4 (with full stops
+  too), 4-6-5 or 4-6-4, or
   in any groups with single blanks or hyphens where no other number stands next to them; all but
   the last are permuted, the last is the new check digit;
-* phone: + and 8 to 15 digits in any groups, or (ddd) ddd-dddd and ddd-ddd-dddd; the last ten digits
+* phone: + and 8 to 15 digits in any groups, or (ddd) ddd-dddd, ddd-ddd-dddd, ddd.ddd.dddd and
+  ddd ddd dddd; the last ten digits
   (all but the first of a shorter number, all but three of one over 13);
 * ssn: ddd-dd-dddd of valid area, group and serial; the 898 x 989901 valid numbers;
 * ip: dotted quads of numbers to 255; the 2^16 x 2^16 addresses;
-* date: yyyy-mm-dd, dd.mm.yyyy, mm/dd/yyyy (or dd/mm/yyyy where only that is valid), days and months
+* date: yyyy-mm-dd, yyyy/mm/dd, dd.mm.yyyy, mm/dd/yyyy (or dd/mm/yyyy where only that is valid), days and months
   also of one digit, before a time (T12:00) and in ranges too, of the years 1800 to 2199; their
   27 x 5411 days. Dates in a format are permuted within it; the two readings of slash dates, and
   dates with and without leading zeros, may share a pseudonym;
 * email: letters and digits of the local part, each among its kind; the domain stays.
 
-A text is cut once at the pattern's matches and put together again, so replacement is linear and
-a value inside a longer number isn't touched. What fails its validation stays as it is.
+The pattern runs once over a text and puts marks round its matches; at those it is cut and put
+together again, so replacement is linear and a value inside a longer number isn't touched. No
+group of the pattern repeats without a bound, so its depth doesn't grow with the text. What fails
+its validation stays as it is.
 """
 
 from __future__ import annotations
@@ -30,16 +34,19 @@ from pyspark.sql import functions as F
 
 ROUNDS = 10
 KINDS = ("card", "phone", "ssn", "ip", "date", "email")
-_CARD = r"\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{4}[ -]\d{6}[ -]\d{4,5}|\d{13,19}"
+_CARD = r"\d{4}[ .-]\d{4}[ .-]\d{4}[ .-]\d{4}|\d{4}[ -]\d{6}[ -]\d{4,5}|\d{13,19}"
 #: What a run of digit groups must not hold to be tried as one card.
 _OTHER = rf"{_CARD}|\d{{3}}-\d{{3}}-\d{{4}}|\d{{3}}-\d{{2}}-\d{{4}}|\d{{4}}-\d{{1,2}}-\d{{1,2}}"
 FORMAT = {
-    "email": r"(?<![\w.+-])[A-Za-z0-9][\w.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": (r"(?<![\w.+-])[A-Za-z0-9][\w.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){1,126}"
+              r"(?!\.?[A-Za-z0-9-])"),
     "phone": (r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\w)"
               r"|(?<![\w+])\+\d(?:[ .()/-]{0,3}\d){7,14}(?!\w|[./-]\d)"
-              r"|(?<!\w)\(\d{3}\) ?\d{3}-\d{4}(?!\w)|(?<![\w-])\d{3}-\d{3}-\d{4}(?![\w-])"),
+              r"|(?<!\w)\(\d{3}\) ?\d{3}-\d{4}(?!\w)|(?<![\w-])\d{3}-\d{3}-\d{4}(?![\w-])"
+              r"|(?<![\w.-]|\d )(?:\d{3}\.\d{3}\.|\d{3} \d{3} )\d{4}(?!\w|[ .-]\d)"),
     "date": (r"(?:(?<![\w./-])|(?<=\d{4}-\d{2}-\d{2}/)|(?<=T[0-9:.,Z+-]{4,25}/))\d{4}-\d{1,2}-\d{1,2}"
              r"(?:(?!\w|[./-]\d)|(?=T\d{2})|(?=/\d{4}-\d{1,2}-\d))"
+             r"|(?<![\w./-])\d{4}/\d{1,2}/\d{1,2}(?!\w|[./-]\d)"
              r"|(?:(?<![\w./-])|(?<=\.\d{4}[/-]))\d{1,2}\.\d{1,2}\.\d{4}"
              r"(?:(?!\w|[./-]\d)|(?=[/-]\d{1,2}\.\d{1,2}\.\d{4}))"
              r"|(?:(?<![\w./-])|(?<=/\d{4}-))\d{1,2}/\d{1,2}/\d{4}"
@@ -47,7 +54,7 @@ FORMAT = {
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)",
     "card": (rf"(?<![0-9A-Za-z])(?:{_CARD})(?![0-9A-Za-z])"
-             rf"|(?<![0-9A-Za-z]|\d[ -])(?!(?:\d+[ -])*(?:{_OTHER})(?![0-9A-Za-z]))"
+             rf"|(?<![0-9A-Za-z]|\d[ -])(?!(?:\d{{1,19}}[ -]){{0,19}}(?:{_OTHER})(?![0-9A-Za-z]))"
              r"\d(?:[ -]?\d){12,18}(?![0-9A-Za-z]|[ -]?\d|[./:@+_-]\w)"),
 }
 ANY = "|".join(FORMAT[k] for k in ("email", "phone", "date", "ssn", "ip", "card"))
@@ -180,7 +187,8 @@ def _ip(m: Column, key: str) -> Column:
 
 
 DATES = {"yyyy-MM-dd": "-", "dd.MM.yyyy": ".", "MM/dd/yyyy": "/", "dd/MM/yyyy": "/",
-         "yyyy-M-d": "-", "d.M.yyyy": ".", "M/d/yyyy": "/", "d/M/yyyy": "/"}
+         "yyyy-M-d": "-", "d.M.yyyy": ".", "M/d/yyyy": "/", "d/M/yyyy": "/",
+         "yyyy/MM/dd": "/", "yyyy/M/d": "/"}
 
 
 def _first_valid(m: Column) -> Column:
@@ -245,13 +253,14 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id",
     A null text stays null with no values, an empty one empty; null ids are kept; repeated rows
     give equal rows; other columns are not read. An empty table gives an empty result.
     """
-    found = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"),
-                        F.coalesce(F.regexp_extract_all(docs[text_col], F.lit(ANY), F.lit(0)),
-                                   F.array().cast("array<string>")).alias("m"))
+    text = docs[text_col]
+    found = docs.select(docs[id_col].cast("long").alias("doc_id"), text.alias("text"),
+                        F.coalesce(_cut(text), F.array().cast("array<string>")).alias("c"))
+    found = found.select("doc_id", "text", F.filter("c", lambda x, i: i % 2 == 1).alias("m"),
+                         F.filter("c", lambda x, i: i % 2 == 0).alias("b"))
     valid = found.withColumn("v", F.transform("m", lambda m: F.struct(m.alias("m"), kind(m).alias("k"))))
     made = F.transform("v", lambda v: pseudonym(v["m"], v["k"], key))
-    between = F.split("text", ANY, -1)
-    joined = F.array_join(F.zip_with(between, F.concat(F.col("w"), F.array(F.lit(""))),
+    joined = F.array_join(F.zip_with(F.col("b"), F.concat(F.col("w"), F.array(F.lit(""))),
                                      lambda a, b: F.concat(a, b)), "")
     count = {k: _count(k) for k in KINDS}
     return (valid.withColumn("w", F.when(F.size("m") > 0, made).otherwise(F.col("m")))
@@ -260,5 +269,18 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id",
                     *[count[k].alias(f"n_{k}") for k in KINDS]))
 
 
+OPEN, CLOSE = "\ufdd0", "\ufdd1"       # code points that are no characters, as marks
+
+
+def _cut(text: Column) -> Column:
+    """The text in parts; every second one is a match of the pattern. A text that holds one of the
+    marks takes two passes of the pattern instead."""
+    marked = F.regexp_replace(text, f"(?:{ANY})", OPEN + "$0" + CLOSE)
+    found, between = F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), F.split(text, ANY, -1)
+    both = F.zip_with(between, found, lambda b, m: F.array(b, F.coalesce(m, F.lit(""))))
+    return F.when(text.rlike(f"[{OPEN}{CLOSE}]"), F.slice(F.flatten(both), F.lit(1), 2 * F.size(found) + 1)
+                  ).otherwise(F.split(marked, f"[{OPEN}{CLOSE}]", -1))
+
+
 def _count(k: str) -> Column:
     return F.size(F.filter("v", lambda v: v["k"] == k))

@@ -127,7 +127,7 @@ class BatchEncoder:
     depends on it)."""
 
     #: Texts are taken together up to this many characters.
-    CHUNK = 8 << 20
+    CHUNK = 4 << 20
 
     def __init__(self, path: str, capacity: int = 700_000):
         self.enc, self.capacity = encoder(path), capacity
