@@ -126,3 +126,86 @@ def test_approx_totals(spark):
     approx = vb.corpus_totals(ln, approx=True).first()
     assert exact["n_tokens"] == approx["n_tokens"]
     assert abs(approx["n_distinct"] - exact["n_distinct"]) <= 0.05 * exact["n_distinct"]
+
+
+def buffer_order(n, size, pick, last):
+    """The buffer itself, one row at a time."""
+    buf, out = list(range(min(size, n))), []
+    for step in range(n - len(buf)):
+        e = pick(step) % len(buf)
+        out.append(buf[e])
+        buf[e] = step + len(buf)
+    return out + sorted(buf, key=lambda i: (last(i), i))
+
+
+def test_buffered_shuffle_equals_a_running_buffer(spark):
+    import hashlib
+    draw = lambda *k: int(hashlib.md5(":".join(map(str, k)).encode()).hexdigest()[:8], 16)
+    sizes = {0: 0, 1: 1, 2: 7, 3: 50, 4: 333}
+    df = spark.createDataFrame([(s, i) for s, n in sizes.items() for i in range(n)], "shard int, batch long")
+    got = {}
+    for r in rows.buffered_shuffle(df, 5, 2, buffer=10, stream="shard").collect():
+        got.setdefault(r["shard"], {})[r["order_idx"]] = r["batch"]
+    for s, n in sizes.items():
+        want = buffer_order(n, 10, lambda t: draw(5, 2, s, t), lambda i: draw(5, 2, s, "end", i))
+        assert [got.get(s, {})[k] for k in range(n)] == want
+    one = rows.buffered_shuffle(df.where("shard = 4"), 5, 3, buffer=10).collect()
+    assert sorted(r["order_idx"] for r in one) == list(range(333))
+    assert all(r["order_idx"] >= r["batch"] - 10 for r in one)       # nothing leaves before it came
+
+
+def test_shard_positions_are_arithmetic_where_shards_were_dealt(spark):
+    df = rows.round_robin_shard(spark.range(1003).withColumnRenamed("id", "row_idx"), 7)
+    got = rows.shard_positions(df)
+    assert "Exchange" not in _plan(got)
+    order = [r["row_idx"] for r in got.orderBy("_i").collect()]
+    assert order == sorted(range(1003), key=lambda i: (i % 7, i))
+    assert [r["_i"] for r in got.orderBy("_i").collect()] == list(range(1003))
+    some = df.where("row_idx <> 500")                                # a gap: numbered by the rows
+    order = [r["row_idx"] for r in rows.shard_positions(some).orderBy("_i").collect()]
+    assert order == sorted((i for i in range(1003) if i != 500), key=lambda i: (i % 7, i))
+    b = rows.padded_batches(df.withColumn("ids", F.array(F.col("row_idx").cast("int"))), 8)
+    assert _plan(b).count("Exchange") == 1
+
+
+def test_sequences_are_prepared_without_shuffling_text(spark):
+    """What is exchanged while sequences are made are keys and framed ids."""
+    from wordmill.plans import prepare as pp
+    p = pp.prepare_corpus(corpus_lines(spark), "word", min_freq=2)
+    seen = []
+    real = rows.dense_index
+    try:
+        rows.dense_index = lambda df, *a, **k: seen.append(df.columns) or real(df, *a, **k)
+        n = pp.prepare_sequences(p, 50).count() + pp.prepare_sequences(p, 50, which="dev").count()
+        both = pp.prepare_split_sequences(p, 50).count()
+    finally:
+        rows.dense_index = real
+    assert n == both == p.corpus.count()
+    assert len(seen) == 3 and all("text" not in c and "ids" in c for c in seen)
+
+
+def test_hot_keys_are_split_off_the_lookup_join(spark):
+    from wordmill.operators.joins import hot_split_join
+    df = spark.range(6000).select("id", F.when(F.col("id") % 2 == 0, F.lit("hot"))
+                                  .when(F.col("id") % 3 == 0, F.lit(None))
+                                  .otherwise(F.concat(F.lit("k"), F.col("id") % 2000)).alias("tok"))
+    table = spark.createDataFrame([("hot", 1), *[(f"k{i}", i) for i in range(0, 2000, 3)]], "tok string, v int")
+    got = hot_split_join(df, table, "tok", share=100)
+    key = lambda r: str(tuple(r))
+    assert sorted(map(key, got.collect())) == sorted(map(key, df.join(table, "tok", "left").select(
+        "tok", "id", "v").collect()))
+    p = _plan(got)
+    assert p.count("BroadcastHashJoin") + p.count("BroadcastExchange") >= 3 and "Union" in p
+
+
+def test_lookups_beyond_the_broadcast_size_are_the_same(spark):
+    from wordmill.operators import lm
+    seqs = spark.createDataFrame([(i, 0, [1, 1, 1, i % 5, 9]) for i in range(200)],
+                                 "pair_id long, ord int, ids array<int>")
+    emb = spark.createDataFrame([(i, [float(i), 2.0 * i]) for i in range(16) if i != 3],
+                                "vec_id long, embedding array<double>")
+    key = lambda r: str(tuple(r))
+    a = lm.embedding_lookup_sum(seqs, emb, 6).collect()
+    b = lm.embedding_lookup_sum(seqs, emb, 6, limit=0).collect()
+    assert sorted(map(key, a)) == sorted(map(key, b)) and len(a) == 1000
+    assert any(r["h"] is None for r in a) and any(r["h"] for r in a)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordmill.functions import frames as fr
+from wordmill.operators.joins import hot_split_join
 from wordmill.session import BROADCAST_MAX_BYTES, cut_lineage, small_enough
 
 
@@ -65,21 +66,23 @@ def score_ngram_lm(dev: DataFrame, bigrams: DataFrame, totals: DataFrame, n_type
 
 def embedding_lookup_sum(framed: DataFrame, emb: DataFrame, n_vocab: int,
                          keys=("pair_id", "ord"), ids: str = "ids", key: str = "vec_id",
-                         vec: str = "embedding", n_special: int = 3) -> DataFrame:
+                         vec: str = "embedding", n_special: int = 3,
+                         limit: int = BROADCAST_MAX_BYTES) -> DataFrame:
     """h[pos] = E[id] + E[V + n_special + pos] for every position of every sequence.
 
-    Positions are exploded, the vector table is joined twice (token row and position row;
-    broadcast only when its measured bytes allow), and the two vectors are added with
-    ``zip_with``. A position whose id or position id has no row keeps its row with a null ``h``.
+    Positions are exploded, the vector table is joined twice (token row and position row), and
+    the two vectors are added with ``zip_with``. The table is broadcast when its measured bytes
+    are at most ``limit``; a larger one is joined with the hot ids split off. A position whose id or position id has no row keeps its row with a null ``h``.
     """
     ex = framed.select(*keys, F.posexplode(ids).alias("pos", "id")) \
         .withColumn("pos_id", F.lit(n_vocab + n_special) + F.col("pos"))
     e = emb.select(F.col(key).alias("_k"), F.transform(vec, lambda x: x.cast("double"))
                    .alias("_v"))
     size = e.agg(F.sum(F.size("_v") * 8 + 40)).head()[0] or 0
-    e = F.broadcast(e) if size <= BROADCAST_MAX_BYTES else e
-    tok = ex.join(e.withColumnRenamed("_k", "id").withColumnRenamed("_v", "_tv"), "id", "left")
-    both = tok.join(e.withColumnRenamed("_k", "pos_id").withColumnRenamed("_v", "_pv"), "pos_id",
-                    "left")
+    def look(df, key, name):
+        table = e.select(F.col("_k").cast(df.schema[key].dataType).alias(key), F.col("_v").alias(name))
+        return df.join(F.broadcast(table), key, "left") if size <= limit else hot_split_join(df, table, key)
+
+    both = look(look(ex, "id", "_tv"), "pos_id", "_pv")
     return both.select(*keys, "pos", "id", "pos_id",
                        F.zip_with("_tv", "_pv", lambda a, b: a + b).alias("h"))

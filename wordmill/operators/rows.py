@@ -47,15 +47,37 @@ def round_robin_shard(df: DataFrame, n_shards: int = 10, idx: str = "row_idx",
     return df.withColumn(name, (F.col(idx) % n_shards).cast("int"))
 
 
+def shard_positions(df: DataFrame, name: str = "_i") -> DataFrame:
+    """Position of every row in (shard, row_idx) order, 0-based and dense.
+
+    Where shards were dealt round robin from a dense index, which one aggregate per shard shows,
+    the position is arithmetic: the rows of earlier shards plus the place in the own one. Nothing
+    is shuffled. Any other numbering takes ``dense_index``.
+    """
+    per = df.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.min("row_idx").alias("lo"),
+                                  F.max("row_idx").alias("hi"),
+                                  F.count_distinct("row_idx").alias("d")).orderBy("shard").collect()
+    step = len(per)
+    dealt = all(r["lo"] == r["shard"] == i and r["d"] == r["n"] and r["hi"] == i + (r["n"] - 1) * step
+                for i, r in enumerate(per))
+    if not dealt:
+        return dense_index(df, [F.col("shard"), F.col("row_idx")], name=name)
+    before = [0]
+    for r in per:
+        before.append(before[-1] + r["n"])
+    first = F.get(F.array(*[F.lit(x).cast("long") for x in before]), F.col("shard"))
+    return df.withColumn(name, first + F.floor(F.col("row_idx") / max(1, step)).cast("long"))
+
+
 def padded_batches(df: DataFrame, batch_size: int, ids: str = "ids",
                    order: list | None = None) -> DataFrame:
     """Consecutive rows in (shard, row_idx) order, zero-padded to the batch maximum.
 
     The last partial batch is dropped (drop-remainder batching). Output adds ``batch``,
-    ``batch_pos`` and ``padded``.
+    ``batch_pos`` and ``padded``. One exchange, by batch, where positions are arithmetic
+    (``shard_positions``); another ``order`` is numbered first.
     """
-    order = order or [F.col("shard"), F.col("row_idx")]
-    numbered = dense_index(df, order, name="_i")
+    numbered = dense_index(df, order, name="_i") if order else shard_positions(df)
     total = numbered.agg(F.count(F.lit(1)).alias("n")).first()["n"]
     full = (total // batch_size) * batch_size
     b = numbered.where(F.col("_i") < full).withColumn(
@@ -100,6 +122,40 @@ def shuffle(df: DataFrame, seed: int, epoch: int, key: str = "row_idx",
     return dense_index(keyed, [F.col("_k"), F.col(key), *ties], name=name).drop("_k")
 
 
+def draw(seed: int, epoch: int, *what) -> Column:
+    """A seeded 32-bit draw as a long (the first 8 hex digits of an md5)."""
+    key = F.concat_ws(":", F.lit(seed), F.lit(epoch), *[w.cast("string") for w in what])
+    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long")
+
+
+def buffered_shuffle(df: DataFrame, seed: int, epoch: int, buffer: int = 1000, idx: str = "batch",
+                     stream: str | None = None, name: str = "order_idx") -> DataFrame:
+    """O4, streamed form: the order in which a shuffle buffer of ``buffer`` entries lets the rows
+    of a stream go. ``idx`` is dense from 0 in each ``stream`` (without one, df is one stream).
+
+    The buffer first fills up. In step t entry ``draw(t) % buffer`` leaves and the next row takes
+    its place, until no row is left to come; what is then in the buffer leaves in the order of
+    seeded keys. No buffer has to be run for that: a row enters a known entry at a known step and
+    leaves at the entry's next draw, so the order is one window per entry (``lead`` over its
+    draws) plus one over the last ``buffer`` rows.
+    """
+    s = F.col(stream) if stream else F.lit(0)
+    rows = df.withColumn("_s", s.cast("long"))
+    n = F.broadcast(rows.groupBy("_s").agg(F.count(F.lit(1)).alias("_n")))   # a row per stream
+    size = F.least(F.lit(buffer), F.col("_n"))
+    i, step = F.col(idx).cast("long"), F.col(idx).cast("long") - size
+    entry = F.when(step < 0, i).otherwise(F.pmod(draw(seed, epoch, F.col("_s"), step), size))
+    rows = rows.join(n, "_s").withColumn("_size", size).withColumn("_entry", entry).withColumn(
+        "_in", F.greatest(step, F.lit(-1)))
+    out = F.lead("_in").over(Window.partitionBy("_s", "_entry").orderBy("_in"))
+    rows = rows.withColumn("_out", out)
+    gone = rows.where("_out is not null").withColumn(name, F.col("_out"))
+    last = Window.partitionBy("_s").orderBy(draw(seed, epoch, F.col("_s"), F.lit("end"), i), i)
+    left = rows.where("_out is null").withColumn(
+        name, F.col("_n") - F.col("_size") + F.row_number().over(last) - 1)
+    return gone.unionByName(left).drop("_s", "_n", "_size", "_entry", "_in", "_out")
+
+
 def stack_columns(pairs: DataFrame, a: str = "a", b: str = "b", idx: str = "row_idx",
                   text: str = "text") -> DataFrame:
     """All A rows, then all B rows, as one corpus keyed by (side, row_idx)."""

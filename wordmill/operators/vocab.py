@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordmill.functions import text as tx
+from wordmill.operators.joins import hot_split_join
 from wordmill.operators.rows import dense_index
 from wordmill.session import BROADCAST_MAX_BYTES, literal_rows, ship, small_enough
 
@@ -182,13 +183,14 @@ def regroup(exploded: DataFrame, keys, pos: str, value: Column, name: str,
 def lookup_tokens(df: DataFrame, keys, tokens: Column, table: DataFrame, on_hit, on_miss,
                   name: str, carry=()) -> DataFrame:
     """Map every token of every row through a lookup table by a join, keeping row and token
-    order: the form for tables too large to hold in a worker.
+    order: the form for tables too large to hold in a worker. Frequent tokens are not shuffled
+    (``hot_split_join``).
 
     ``table`` has columns ``(_tok, _val)``. ``on_hit``/``on_miss`` build the output value from
     the token and ``_val`` columns. ``carry`` columns ride along unchanged.
     """
     ex = df.select(*keys, *carry, F.posexplode_outer(tokens).alias("_pos", "_tok"))
-    j = ex.join(table, "_tok", "left")
+    j = hot_split_join(ex, table, "_tok")
     value = F.when(F.col("_val").isNotNull(), on_hit).otherwise(on_miss)
     return regroup(j, keys, "_pos", value, name, carry)
 

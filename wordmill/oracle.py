@@ -679,10 +679,11 @@ ppos AS (
   FROM pfr),
 hvec AS (
   SELECT p.pair_id, p.ord, p.pos, p.id, p.pos + {CNV} + 3 AS pos_id,
-         list_transform(list_zip(t.embedding, q.embedding),
-                        lambda z: CAST(z[1] AS DOUBLE) + CAST(z[2] AS DOUBLE)) AS h
-  FROM ppos p JOIN embeddings t ON t.vec_id = p.id
-  JOIN embeddings q ON q.vec_id = p.pos + {CNV} + 3)"""
+         CASE WHEN t.embedding IS NOT NULL AND q.embedding IS NOT NULL THEN
+           list_transform(list_zip(t.embedding, q.embedding),
+                          lambda z: CAST(z[1] AS DOUBLE) + CAST(z[2] AS DOUBLE)) END AS h
+  FROM ppos p LEFT JOIN embeddings t ON t.vec_id = p.id
+  LEFT JOIN embeddings q ON q.vec_id = p.pos + {CNV} + 3)"""
 
 ORACLE["embedding_lookup_sum"] = _with(LINES, CTOK, CCOUNTS, CVOCAB, PAIRS, J9) + """
 SELECT pair_id, ord, pos, CAST(id AS BIGINT) AS id, CAST(pos_id AS BIGINT) AS pos_id,
@@ -726,6 +727,22 @@ ORACLE["stream_token_counts"] = _with(LINES, WTOK) + \
     "SELECT token, count(*) AS freq FROM wtok GROUP BY token"
 
 
+# a row enters buffer entry ``e`` in step ``i`` and leaves at the entry's next draw; the last ones
+# leave by their keys
+ORACLE["shuffle_buffer"] = _with(*_SEQ) + """,
+nb AS (SELECT count(*) // 8 AS n, least(1000, count(*) // 8) AS size FROM wseq),
+bt AS (SELECT CAST(range AS BIGINT) AS batch, n, size FROM nb, range((SELECT n FROM nb))),
+en AS (SELECT batch, n, size, greatest(batch - size, -1) AS i,
+              CASE WHEN batch < size THEN batch
+                   ELSE CAST('0x' || substr(md5(concat_ws(':', '42', '1', '0', batch - size)), 1, 8) AS BIGINT)
+                        % size END AS e
+       FROM bt),
+gone AS (SELECT *, lead(i) OVER (PARTITION BY e ORDER BY i) AS o FROM en)
+SELECT batch, CAST(CASE WHEN o IS NOT NULL THEN o ELSE n - size - 1 + row_number() OVER (
+         PARTITION BY o IS NULL ORDER BY CAST('0x' || substr(md5(concat_ws(':', '42', '1', '0', 'end', batch)),
+                                                             1, 8) AS BIGINT), batch) END AS BIGINT) AS order_idx
+FROM gone"""
+
 ORACLE["shuffle_batches"] = _with(*ALL_W, SPECIALS, WUNK, WCORPUS, WENC, WDEV) + """
 SELECT row_idx, CAST(row_idx // 8 AS BIGINT) AS batch,
        CAST(row_number() OVER (ORDER BY md5(concat_ws(':', '42', '1', row_idx // 8)), row_idx // 8,

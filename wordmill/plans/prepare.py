@@ -86,34 +86,33 @@ def prepare_sequences(prepared: Prepared, n_ctx: int = 200, n_shards: int = 10,
     """Encode + frame the train lines, number them in file order, round-robin shard.
 
     Output ``(row_idx, shard, doc_id, line_no, ids)``; S8 writes it partitioned by shard.
-    Lines are numbered before encoding, so the range sampler of the numbering reads the
-    written corpus instead of re-running the encoding.
+    Lines are encoded before they are numbered, so what is shuffled are at most ``n_ctx`` ids a
+    line and never text; the ids are written first, because the range sampler of the numbering
+    would run the encoding a second time.
     """
     lines = prepared.corpus.where(F.col("split") == which).select("doc_id", "line_no", "text")
-    numbered = rows.dense_index(lines, [F.col("doc_id"), F.col("line_no")])
-    framed = encode_frame(numbered, prepared.vocab, prepared.n_vocab, n_ctx, carry=("row_idx",))
-    return rows.round_robin_shard(framed, n_shards).select(
+    framed = cut_lineage(encode_frame(lines, prepared.vocab, prepared.n_vocab, n_ctx))
+    numbered = rows.dense_index(framed, [F.col("doc_id"), F.col("line_no")])
+    return rows.round_robin_shard(numbered, n_shards).select(
         "row_idx", "shard", "doc_id", "line_no", "ids")
 
 
 def prepare_split_sequences(prepared: Prepared, n_ctx: int = 200,
                             n_shards: int = 10) -> DataFrame:
-    """E13 for both splits in one pass: one numbering and one encoding of the whole corpus.
+    """E13 for both splits in one pass: one encoding and one numbering of the whole corpus.
 
     Rows are numbered by (split, doc_id, line_no); ``dev`` sorts before ``train``, so the train
     index is the global one minus the number of dev lines (read from the written corpus).
     ``row_idx`` restarts at 0 in each split, in file order, exactly as numbering each split
-    alone. The framed sequences are written once (they are what the shard writer and the
-    language model read). Output ``(split, row_idx, shard, doc_id, line_no, ids)``.
+    alone. Only framed ids are shuffled, and the numbered sequences are the table that the shard
+    writer and the language model read. Output ``(split, row_idx, shard, doc_id, line_no, ids)``.
     """
     c = prepared.corpus.select("doc_id", "line_no", "split", "text")
     n_dev = c.where(F.col("split") == "dev").count()
-    numbered = rows.dense_index(c, [F.col("split"), F.col("doc_id"), F.col("line_no")],
+    framed = cut_lineage(encode_frame(c, prepared.vocab, prepared.n_vocab, n_ctx, carry=("split",)))
+    numbered = rows.dense_index(framed, [F.col("split"), F.col("doc_id"), F.col("line_no")],
                                 name="_g")
     numbered = numbered.withColumn(
         "row_idx", F.when(F.col("split") == "dev", F.col("_g")).otherwise(F.col("_g") - n_dev))
-    framed = encode_frame(numbered.drop("_g"), prepared.vocab, prepared.n_vocab, n_ctx,
-                          carry=("split", "row_idx"))
-    out = rows.round_robin_shard(framed, n_shards).select(
+    return rows.round_robin_shard(numbered, n_shards).select(
         "split", "row_idx", "shard", "doc_id", "line_no", "ids")
-    return cut_lineage(out)

@@ -32,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 N_CTX = 200          # pre-training context (the original default)
 N_SHARDS = 10        # sequence shards
 N_BATCH = 8          # pre-training batch size
+SHUFFLE_BUFFER = 1000   # entries of the streamed batch shuffle
 CLF_N_CTX = 73       # pair classifier context
 SEED = split.DEFAULT_SEED
 
@@ -483,6 +484,14 @@ def q_shuffle_batches(spark, sf):
     return normalize(rows.shuffle(b, SEED, 1, key="batch", ties=(F.col("row_idx"),)))
 
 
+@query("shuffle_buffer")
+def q_shuffle_buffer(spark, sf):
+    """O4, streamed: batches of train sequences in the order a shuffle buffer lets them go."""
+    s = _sequences(spark, sf)
+    b = rows.iter_batches(s, N_BATCH, truncate=True).select("batch").distinct()
+    return normalize(rows.buffered_shuffle(b, SEED, 1, buffer=SHUFFLE_BUFFER))
+
+
 @query("text_roundtrips")
 def q_text_roundtrips(spark, sf):
     """S4-S6 as text: the vocabulary made from a written counts file, exported and read back."""
@@ -810,7 +819,7 @@ def q_embedding_lookup_sum(spark, sf):
     sp = vb.special_ids(p.n_vocab)
     framed = pr.frame_pairs(enc, CLF_N_CTX, sp[vb.START], sp[vb.DELIMITER], sp[vb.END])
     emb = src.read_table(spark, sf, "embeddings")
-    h = lm.embedding_lookup_sum(framed, emb, p.n_vocab).where("h is not null")
+    h = lm.embedding_lookup_sum(framed, emb, p.n_vocab)
     return normalize(h.select(
         "pair_id", "ord", "pos", "id", "pos_id", F.size("h").alias("dim"),
         F.round(F.aggregate("h", F.lit(0.0), lambda a, x: a + x), 4).alias("h_sum"),
