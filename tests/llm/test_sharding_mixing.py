@@ -1,5 +1,6 @@
 """Ops 2 and 7: laws and totals on odd and on skewed rows."""
 
+import random
 import zlib
 
 import numpy as np
@@ -67,14 +68,15 @@ def test_expected_totals_meet_the_targets(spark, two_languages):
         assert m.totals[d] == pytest.approx(m.targets[d], rel=5e-3)
     rows = mixing.rates(two_languages, m).collect()
     k = m.classifier.domains.index("de")
-    # a step-by-step projected gradient in numpy gives the same rates
+    # the scaled projected steps in numpy give the same rates
     t, p = np.array([r.tokens for r in rows], float), np.array([r.p for r in rows])
     tau = np.array([m.targets[d] for d in m.classifier.domains])
-    r = np.ones(len(t))
+    moved = np.zeros(len(tau))
     for _ in m.gradients:
-        g = ((r * t) @ p - tau) / tau
-        r = np.maximum(0, r - m.eta * (p @ g + m.classifier.settings.ridge * (r - 1)))
-    assert np.allclose(r, [x.rate for x in rows], atol=1e-9)
+        r = np.maximum(0, 1 - p @ moved)
+        h = (p * t[:, None])[r > 0].T @ p[r > 0] + m.classifier.settings.damping * (p * t[:, None]).T @ p
+        moved += np.linalg.solve(h, (r * t) @ p - tau)
+    assert m.gradients and np.allclose(np.maximum(0, 1 - p @ moved), [x.rate for x in rows], atol=1e-5)
     right = np.mean([(x.p[k] > 0.5) == (x["row"].lang == "de") for x in rows])
     assert right > 0.95
 
@@ -108,6 +110,7 @@ def test_rare_domains_have_a_class_at_any_sample(spark, two_languages):
     assert mixing._rates({"a": 1, "b": 30, "c": 300}, 61) == {"a": 1.0, "b": 1.0, "c": 0.1}
     m = mixing.fit(docs, labels, weights={"en": 0.5, "de": 0.3, "es": 0.1, "pt": 0.1}, s=few)
     assert all(m.targets[d] > 0 for d in ("es", "pt"))
+    assert m.residual < 1     # the floor holds these; no worse than where it began
     with pytest.raises(ValueError, match="xx"):
         mixing.fit(docs, labels, weights={"en": 0.5, "xx": 0.5})
 
@@ -116,6 +119,48 @@ def test_residual_is_reported(spark, two_languages):
     labels = two_languages.select("doc_id")
     with pytest.warns(UserWarning, match="off their targets"):
         m = mixing.fit(two_languages, labels, weights={"en": 0.1, "de": 0.9},
-                       s=mixing.Settings(steps=1))
+                       floor=0.9)
     off = max(abs(m.totals[d] - m.targets[d]) / m.targets[d] for d in m.targets)
     assert m.residual == pytest.approx(off) and m.residual > mixing.Settings().tolerance
+
+
+def test_a_domain_of_five_documents_reaches_its_target(spark):
+    words = {"en": "the and of to in", "de": "der und die von im", "es": "el y los de en"}
+    rng = random.Random(2)
+    rows = []
+    for i in range(8000):
+        lang = "es" if i % 1600 == 7 else ("en" if i % 3 else "de")
+        rows.append((i, " ".join(rng.choice(words[lang].split()) for _ in range(3)), lang))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = docs.select("doc_id").where("doc_id % 2 = 1 or lang = 'es'")
+    m = mixing.fit(docs, labels, weights={"en": 0.5, "de": 0.4, "es": 0.1})
+    assert m.residual < 0.01 and abs(m.totals["es"] - 2400) < 24
+    out = mixing.rates(docs, m).groupBy("row.lang").agg({"rate": "min", "copies": "sum"}).collect()
+    assert all(r["min(rate)"] >= 0 for r in out)
+    # every document at least once: the targets of the smallest budget at which that can be
+    m = mixing.fit(docs, labels, weights={"en": 0.5, "de": 0.4, "es": 0.1}, floor=1.0, keep_all=True)
+    assert m.residual < 0.02
+    assert mixing.rates(docs, m).agg({"rate": "min"}).head()[0] >= 1.0
+
+
+def test_posteriors_and_rates_against_numpy(spark):
+    """The fitted rates recomputed in numpy from the classifier's tables and the steps."""
+    import numpy as np
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"{'ab'[i % 2]}{rng.randint(0, 30)}" for _ in range(rng.randint(0, 40))), "xy"[i % 2])
+            for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    m = mixing.fit(docs, docs, weights={"x": 0.7, "y": 0.3}, floor=0.5)
+    c = m.classifier
+    got = {r["row"]["doc_id"]: r for r in mixing.rates(docs, m).collect()}
+    b = {r.doc_id: r.b for r in docs.select("doc_id", mixing.buckets(docs["text"], c.settings).alias("b")).collect()}
+    totals = np.zeros(2)
+    for i, text, _ in rows:
+        z = np.array([p + min(1.0, c.settings.evidence / max(1, len(b[i]))) * sum(w[j] for j in b[i])
+                      for p, w in zip(c.prior, c.weights)])
+        p = np.exp(z - z.max())
+        p /= p.sum()
+        rate = max(0.5, 1 - float(p @ np.sum(m.gradients, axis=0)))
+        assert np.allclose(p, got[i].p) and abs(rate - got[i].rate) < 1e-6 * max(1, rate)
+        totals += rate * len(b[i]) * p
+    assert np.allclose(totals, [m.totals[d] for d in c.domains])

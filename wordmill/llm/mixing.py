@@ -36,8 +36,11 @@ class Settings:
     buckets: int = 2048
     sample: int = 20_000
     evidence: int = 20
-    ridge: float = 1e-3
+    ridge: float = 1e-9
     steps: int = 40
+    halvings: int = 12
+    damping: float = 0.01
+    patience: int = 8
     tolerance: float = 1e-3
     temperature: float = 0.7
     seed: int = 11
@@ -56,8 +59,7 @@ class Mix:
     classifier: Classifier
     targets: dict[str, float]
     totals: dict[str, float]         # expected tokens per domain at the fitted rates
-    gradients: list[list[float]] = field(default_factory=list)
-    eta: float = 1.0
+    gradients: list[list[float]] = field(default_factory=list)      # scaled, one per step
     floor: float = 0.0
     residual: float = 0.0            # largest |total - target| / target
 
@@ -155,13 +157,14 @@ def with_posterior(docs: DataFrame, c: Classifier, text: Column) -> DataFrame:
 
 
 def _rate(m: Mix, p: list[Column]) -> Column:
-    """The rate after all gradient steps so far; one term per step, evaluated in one pass."""
-    keep = 1 - m.eta * m.classifier.settings.ridge
-    r: Column = F.lit(max(1.0, m.floor))
-    for g in m.gradients:
-        pull = sum((x * F.lit(m.eta * v) for x, v in zip(p, g)), F.lit(0.0))
-        r = F.greatest(F.lit(m.floor), r * F.lit(keep) + F.lit(1 - keep) - pull)
-    return r
+    """The rate after all steps so far: 1 less the sum of the steps, cut at the floor. Cutting the
+    sum and not each step keeps the steps of a document that was at the floor for a while."""
+    return F.greatest(F.lit(m.floor), F.lit(1.0) - _pull(p, np.sum(m.gradients, axis=0).tolist()
+                                                          if m.gradients else [0.0] * len(p)))
+
+
+def _pull(p: list[Column], g: list[float]) -> Column:
+    return sum((x * F.lit(v) for x, v in zip(p, g)), F.lit(0.0))
 
 
 def fit(docs: DataFrame, labels: DataFrame, domain: str = "lang",
@@ -170,8 +173,16 @@ def fit(docs: DataFrame, labels: DataFrame, domain: str = "lang",
     """Fit rates. ``weights`` are target shares per domain (default: share ** temperature); the
     token budget is that of the input, or with ``keep_all`` the smallest at which no domain has to
     shrink. Domains without expected tokens get no target; a weight for a domain that no row has is
-    an error. Where the totals stay off their targets by more than the tolerance, because the steps
-    end or a bound holds them, ``residual`` says how far and a warning is given."""
+    an error.
+
+    A step moves all rates against the gradient of the squared misses, scaled by the k x k matrix
+    of tokens that two domains share in the documents above the floor (or pushed up from it); the
+    sum of the steps is projected on rates of at least the floor. Where no rate is cut, one step
+    meets the targets. A step is halved until it lowers the dual cost of the least squares (the
+    rates closest to 1 that meet the targets), which is convex and whose gradient the misses are.
+    The fit ends within the tolerance, or where ``patience`` steps haven't lowered the relative
+    misses, and then goes back to the best: the floor holds some total off its target, ``residual``
+    says how far, and a warning is given."""
     c = fit_classifier(docs, labels, domain, s)
     k = len(c.domains)
     narrow = with_posterior(docs.select(docs[text_col].alias("text")), c, F.col("text"))
@@ -197,23 +208,32 @@ def fit(docs: DataFrame, labels: DataFrame, domain: str = "lang",
     target = share * budget
     live = target > 0
     scale = np.where(live, target, 1.0)
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    gram = state.agg(*[F.sum(F.col("t") * p[i] * p[j]) for i, j in pairs]).head()
-    h = np.zeros((k, k))
-    for (i, j), v in zip(pairs, gram):
-        h[i, j] = h[j, i] = float(v) / math.sqrt(scale[i] * scale[j]) * live[i] * live[j]
-    m = Mix(c, dict(zip(c.domains, target.tolist())), {}, [],
-            1.0 / (float(np.linalg.eigvalsh(h).max()) + s.ridge), floor)
-    for _ in range(s.steps):
-        g = np.where(live, (now - target) / scale, 0.0)
-        if np.abs(g).max() < s.tolerance:
+    m = Mix(c, dict(zip(c.domains, target.tolist())), {}, [], floor)
+    now, shared, cost = _evaluate(state, m, p, F.lit(True))
+    damp = s.damping * shared
+    if m.floor >= 1.0:      # all rates start at the floor: those that the misses push up are free
+        up = _pull(p, np.where(live, (now - target) / scale, 0.0).tolist()) < 0
+        _, shared, _ = _evaluate(state, m, p, up)
+    off = lambda x: np.where(live, np.abs(x - target) / scale, 0.0)
+    best = ((off(now) ** 2).sum(), 0, now)
+    while off(now).max() >= s.tolerance and len(m.gradients) < min(s.steps, best[1] + s.patience):
+        miss = np.where(live, now - target, 0.0)
+        h = (shared + damp) / np.outer(scale, scale) * np.outer(live, live)
+        h += np.eye(k) * s.ridge * max(np.trace(h) / k, 1e-300)
+        d = np.where(live, np.linalg.lstsq(h, miss / scale, rcond=None)[0] / scale, 0.0)
+        for _ in range(s.halvings):
+            m.gradients.append(d.tolist())
+            after = _evaluate(state, m, p)
+            if after[2] + float(d @ target) < cost - 1e-4 * abs(float(miss @ d)):
+                break
+            m.gradients.pop()
+            d = d / 2
+        else:
             break
-        m.gradients.append([float(x) for x in g])
-        r = state.select("t", *p, _rate(m, p).alias("r"))
-        before, now = now, np.array([float(x) for x in r.agg(
-            *[F.sum(F.col("r") * F.col("t") * x) for x in p]).head()])
-        if (np.abs(now - before) / scale).max() < s.tolerance / 5:
-            break       # a bound (the floor) holds some total off its target
+        now, shared, cost = after
+        best = min(best, ((off(now) ** 2).sum(), len(m.gradients), now), key=lambda x: x[0])
+    now = best[2]
+    del m.gradients[best[1]:]
     m.totals = dict(zip(c.domains, now.tolist()))
     m.residual = float(np.where(live, np.abs(now - target) / scale, 0.0).max())
     if m.residual >= s.tolerance:
@@ -223,6 +243,24 @@ def fit(docs: DataFrame, labels: DataFrame, domain: str = "lang",
     return m
 
 
+def _evaluate(state: DataFrame, m: Mix, p: list[Column], up: Column | None = None) -> tuple:
+    """In one pass at the present rates: tokens per domain, tokens that two domains share in rows
+    above the floor (or in ``up``), and the part of the dual cost that is a sum over rows."""
+    k = len(p)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    r, t = _rate(m, p), F.col("t")
+    pull = _pull(p, np.sum(m.gradients, axis=0).tolist() if m.gradients else [0.0] * k)
+    rows = state.select("t", *p, r.alias("r"), pull.alias("pull"))
+    free = F.when((F.col("r") > m.floor) | (F.lit(False) if up is None else up), t).otherwise(0.0)
+    got = rows.agg(*[F.sum(F.col("r") * t * x) for x in p], *[F.sum(free * p[i] * p[j]) for i, j in pairs],
+                   F.sum(-t * ((F.col("r") - 1) ** 2 / 2 + F.col("r") * F.col("pull")))).head()
+    got = [float(x or 0.0) for x in got]
+    shared = np.zeros((k, k))
+    for (i, j), v in zip(pairs, got[k:]):
+        shared[i, j] = shared[j, i] = v
+    return np.array(got[:k]), shared, got[-1]
+
+
 def rates(docs: DataFrame, m: Mix, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``row, tokens, p, rate, copies`` per input row. Null and blank texts have no tokens and
     the prior's posterior; equal rows get equal rates and copies."""
