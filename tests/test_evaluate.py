@@ -81,3 +81,31 @@ def test_pair_classifier_learns_shared_tokens(spark):
     scored = clf.score_pairs(model, pairs, key="index")
     f = ev.f1(scored.withColumnRenamed("label", "y")).first()
     assert scored.count() == 40 and f["f1"] == 100.0
+
+
+def test_relational_classifier_against_numpy(spark):
+    from wordmill.operators import classifier as clf
+    rows = [(1, "a b c", "b c d", 1), (2, "a a", "", 0), (3, "", "", 1), (4, "b", "b", 0),
+            (5, "c d e", "e", 1), (6, "never seen", "words", -1)] + [(10 + i, "a", "b c", i % 2) for i in range(9)]
+    df = spark.createDataFrame(rows, "pair_id long, a string, b string, label int")
+    terms = [{("s:" if t in set(a.split()) & set(b.split()) else "u:") + t
+              for t in set(a.split()) | set(b.split())} for _, a, b, _ in rows]
+    known = [i for i, r in enumerate(rows) if r[3] >= 0]
+    names = sorted(set().union(*(terms[i] for i in known)))
+    x = np.array([[t in ts for t in names] for ts in terms], float)
+    y = np.array([r[3] for r in rows], float)
+    w = np.where(y == 1, 0.8, 0.2)
+    theta, bias = np.zeros(len(names)), 0.0
+    for _ in range(3):
+        e = (w * (1 / (1 + np.exp(-(x @ theta + bias))) - y))[known]
+        theta, bias = theta - 0.7 * x[known].T @ e / len(known), bias - 0.7 * e.sum() / len(known)
+    weights, got_bias = clf.fit_linear(df, steps=3, rate=0.7)
+    got = {r.term: r.w for r in weights.collect()}
+    assert sorted(got) == names and abs(got_bias - bias) < 1e-12
+    assert np.allclose([got[t] for t in names], theta)
+    scored = clf.linear_scores(df, clf.feature_rows(df), weights, got_bias)
+    z = x @ theta + bias
+    assert np.allclose([r.z for r in scored.orderBy("pair_id").collect()], z)
+    one = clf.weighted_loss(scored).first()
+    assert one.n == len(known)
+    assert math.isclose(one.loss, (w * np.log1p(np.exp(np.where(y == 1, -z, z))))[known].mean())

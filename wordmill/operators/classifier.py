@@ -3,6 +3,9 @@
 Features are hashed tokens shared by both sides and tokens on one side only; the logistic
 regression uses the original's class weights (p for positives, 1 - p for negatives) as the
 instance weight column. Training and scoring are distributed ml jobs.
+
+The same model is also stated as joins and aggregates over unhashed terms: logits at given
+weights, their weighted loss and gradient, and gradient steps.
 """
 
 from __future__ import annotations
@@ -15,6 +18,8 @@ from pyspark.sql import functions as F
 
 from wordmill.functions import scoring as sc
 from wordmill.functions import text as tx
+from wordmill.operators.joins import hot_split_join
+from wordmill.session import cut_lineage, release
 
 POS_WEIGHT = 0.8      # fixed value: class weight of positives in the original
 
@@ -47,3 +52,65 @@ def score_pairs(model: PipelineModel, pairs: DataFrame, key: str = "index") -> D
     out = model.transform(pair_features(pairs))
     return out.select(key, *[c for c in pairs.columns if c not in (key, "a", "b")],
                       sc.argmax(vector_to_array("_raw")).alias("pred"))
+
+
+def feature_rows(pairs: DataFrame, key: str = "pair_id") -> DataFrame:
+    """One row ``(key, term)`` per pair and term: ``s:`` for a token of both sides, ``u:`` for a
+    token of one side. A pair without tokens has no rows."""
+    return pair_features(pairs).select(key, F.explode("_terms").alias("term"))
+
+
+def linear_scores(pairs: DataFrame, features: DataFrame, weights: DataFrame, bias: float = 0.0,
+                  key: str = "pair_id") -> DataFrame:
+    """``pairs`` with ``z``, the sum of their terms' weights (``term, w``; an unknown term has
+    none) plus the bias. A frequent term's weight reaches its rows by broadcast, the others by a shuffle (``hot_split_join``)."""
+    z = (hot_split_join(features, weights.select("term", "w"), "term")
+         .groupBy(key).agg(F.sum("w").alias("_z")))
+    return pairs.join(z, key, "left").withColumn("z", F.coalesce("_z", F.lit(0.0)) + F.lit(bias)).drop("_z")
+
+
+def _weighted(scored: DataFrame, pos_weight: float) -> DataFrame:
+    """Logit, 0/1 label and class weight of the labelled pairs."""
+    return (scored.where(F.col("label") >= 0).withColumn("_y", F.col("label").cast("double"))
+            .withColumn("_w", sc.class_weight("label", pos_weight)))
+
+
+def weighted_loss(scored: DataFrame, pos_weight: float = POS_WEIGHT) -> DataFrame:
+    """M8: labelled pairs and the mean of their class-weighted logistic losses, in a form that no
+    logit overflows."""
+    z = F.col("z")
+    ce = F.greatest(z, F.lit(0.0)) - z * F.col("_y") + F.log1p(F.exp(-F.abs(z)))
+    return _weighted(scored, pos_weight).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("_w") * ce).alias("loss"))
+
+
+def gradient(scored: DataFrame, features: DataFrame, pos_weight: float = POS_WEIGHT,
+             key: str = "pair_id") -> DataFrame:
+    """The loss's gradient, summed over pairs: per term ``g`` and the labelled pairs ``n`` that
+    have it. Rows are added up per task before the shuffle, so a term of every pair is one row
+    per task."""
+    err = _weighted(scored, pos_weight).select(
+        key, (F.col("_w") * (1 / (1 + F.exp(-F.col("z"))) - F.col("_y"))).alias("_e"))
+    return features.join(err, key).groupBy("term").agg(F.sum("_e").alias("g"), F.count(F.lit(1)).alias("n"))
+
+
+def fit_linear(pairs: DataFrame, steps: int = 1, rate: float = 1.0, pos_weight: float = POS_WEIGHT,
+               key: str = "pair_id") -> tuple[DataFrame, float]:
+    """Weights (``term, w``) and bias after full gradient steps from zero on the mean loss of the
+    labelled pairs. Weights stay a table, written once a step; the driver holds the bias alone."""
+    known = pairs.where(F.col("label") >= 0)
+    features = cut_lineage(feature_rows(known, key))
+    weights = cut_lineage(features.select("term").distinct().withColumn("w", F.lit(0.0)))
+    bias = 0.0
+    for _ in range(steps):
+        scored = cut_lineage(linear_scores(known.select(key, "label"), features, weights, bias, key))
+        n, total = _weighted(scored, pos_weight).agg(
+            F.count(F.lit(1)), F.sum(F.col("_w") * (1 / (1 + F.exp(-F.col("z"))) - F.col("_y")))).first()
+        if n:
+            g = gradient(scored, features, pos_weight, key)
+            after = cut_lineage(weights.join(g, "term", "left").select(
+                "term", (F.col("w") - rate / n * F.coalesce("g", F.lit(0.0))).alias("w")))
+            release(weights)
+            weights, bias = after, bias - rate / n * total
+        release(scored)
+    release(features)
+    return weights, bias

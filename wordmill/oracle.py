@@ -512,6 +512,44 @@ SELECT pair_id, CAST(1 AS BIGINT) AS ord,
        CAST(len(x) AS BIGINT) AS len, array_to_string(x, ' ') AS ids
 FROM (SELECT pair_id, list_concat([v], b[1:35], [v + 1], a[1:35], [v + 2]) AS x FROM fp)"""
 
+PTERMS = f"""pterms AS MATERIALIZED (
+  SELECT pair_id, CASE WHEN count(*) = 2 THEN 's:' ELSE 'u:' END || token AS term
+  FROM (SELECT DISTINCT pair_id, side, token FROM (
+          SELECT pair_id, 0 AS side, unnest(regexp_split_to_array(a, '{WS}+')) AS token FROM pairs
+          UNION ALL
+          SELECT pair_id, 1 AS side, unnest(regexp_split_to_array(b, '{WS}+')) AS token FROM pairs)
+        WHERE token <> '')
+  GROUP BY pair_id, token)"""
+
+# at zero weights every logit is 0, so a pair's error is its class weight times (1/2 - label)
+PSTEP = """tr AS (
+  SELECT pair_id, label, CASE WHEN label = 1 THEN 0.8::DOUBLE ELSE 0.2::DOUBLE END AS w
+  FROM ipairs WHERE row_idx % 10 <> 0 AND label >= 0),
+gr AS (SELECT p.term, sum(t.w * (0.5 - t.label)) AS g, count(*) AS n
+       FROM tr t JOIN pterms p ON p.pair_id = t.pair_id GROUP BY p.term),
+bs AS (SELECT -sum(w * (0.5 - label)) / count(*) AS b, count(*) AS n FROM tr),
+zs AS (SELECT p.pair_id, any_value(p.label) AS label, any_value(p.row_idx) AS row_idx,
+              (SELECT b FROM bs) + coalesce(sum(-g.g / (SELECT n FROM bs)), 0) AS z
+       FROM ipairs p LEFT JOIN pterms f ON f.pair_id = p.pair_id LEFT JOIN gr g ON g.term = f.term
+       GROUP BY p.pair_id)"""
+
+ORACLE["pair_features"] = _with(PAIRS, PTERMS) + """
+SELECT p.pair_id, any_value(p.label) AS label, count(f.term) AS n_terms,
+       coalesce(string_agg(f.term, ' ' ORDER BY f.term), '') AS terms
+FROM pairs p LEFT JOIN pterms f ON f.pair_id = p.pair_id GROUP BY p.pair_id"""
+
+ORACLE["pair_gradient"] = _with(PAIRS, PTERMS, PSTEP) + "SELECT term, round(g, 6) + 0.0::DOUBLE AS g, n FROM gr"
+
+ORACLE["pair_loss"] = _with(PAIRS, PTERMS, PSTEP) + """
+SELECT CAST(0 AS BIGINT) AS step, count(*) AS n, round(avg(w * ln(2)), 6) AS loss FROM tr
+UNION ALL
+SELECT CAST(1 AS BIGINT), count(*), round(avg(t.w * ln(1 + exp(CASE WHEN t.label = 1 THEN -z.z ELSE z.z END))), 6)
+FROM tr t JOIN zs z ON z.pair_id = t.pair_id"""
+
+ORACLE["pair_logits"] = _with(PAIRS, PTERMS, PSTEP) + """
+SELECT pair_id, label, round(z, 6) + 0.0::DOUBLE AS z, CAST(CASE WHEN z > 0 THEN 1 ELSE 0 END AS BIGINT) AS pred
+FROM zs"""
+
 ORACLE["char_chain"] = _with(PAIRS) + f""",
 st AS (SELECT 0 AS side, row_idx, a AS text FROM ipairs
        UNION ALL SELECT 1, row_idx, b FROM ipairs),

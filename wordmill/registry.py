@@ -841,6 +841,54 @@ def q_pair_f1(spark, sf):
     return normalize(ev.f1(s.withColumnRenamed("label", "y")))
 
 
+CLF_RATE = 1.0      # of the gradient steps in the registered queries
+
+
+def _train_pairs(spark, sf):
+    ip = indexed_pairs(spark, sf)
+    return split.split_by_index(ip, _split_index(ip)).where(F.col("split") == "train")
+
+
+@query("pair_features")
+def q_pair_features(spark, sf):
+    """M8: terms of every pair that the classifier sees."""
+    f = clf.pair_features(doc_pairs(spark, sf))
+    return normalize(f.select("pair_id", "label", F.size("_terms").alias("n_terms"),
+                              F.array_join(F.array_sort("_terms"), " ").alias("terms")))
+
+
+@query("pair_gradient")
+def q_pair_gradient(spark, sf):
+    """M8: gradient of the class-weighted loss of the train pairs at zero weights, per term."""
+    train = _train_pairs(spark, sf)
+    scored = train.select("pair_id", "label", F.lit(0.0).alias("z"))
+    g = clf.gradient(scored, clf.feature_rows(train), clf.POS_WEIGHT)
+    return normalize(g.withColumn("g", F.round("g", 6) + F.lit(0.0)))      # no negative zero
+
+
+@query("pair_loss")
+def q_pair_loss(spark, sf):
+    """M8: weighted loss of the train pairs before and after a full gradient step."""
+    train, out = _train_pairs(spark, sf), None
+    features = clf.feature_rows(train)
+    for step in (0, 1):
+        weights, bias = clf.fit_linear(train, steps=step, rate=CLF_RATE)
+        one = clf.weighted_loss(clf.linear_scores(train, features, weights, bias)) \
+            .select(F.lit(step).alias("step"), "n", "loss")
+        out = one if out is None else out.unionByName(one)
+    return normalize(out)
+
+
+@query("pair_logits")
+def q_pair_logits(spark, sf):
+    """M9: logit and predicted label of every pair, train and dev, after a full gradient step."""
+    weights, bias = clf.fit_linear(_train_pairs(spark, sf), steps=1, rate=CLF_RATE)
+    pairs = doc_pairs(spark, sf)
+    scored = clf.linear_scores(pairs, clf.feature_rows(pairs), weights, bias)
+    return normalize(scored.select("pair_id", "label", (F.round("z", 6) + F.lit(0.0)).alias("z"),
+                                   (F.col("z") > 0).cast("int").alias("pred")))
+
+
 # ------------------------------------------------------------------ S2-S12 round trips, R1, R2
 
 
