@@ -236,6 +236,22 @@ def test_leaks_found_and_clean_kept(spark):
     assert kept == set(range(120)) - {d for d, _ in want}
 
 
+def test_items_in_parts_give_the_hits_of_one_index(spark, monkeypatch):
+    rng = random.Random(9)
+    bench = items(rng) + [(900, "w1 w2 " * 60 + "w3. w4 w5 w6 w7 w8 w9"), (901, None), (902, " "), (None, "w1 w2 w3")]
+    bench += bench[:2]                        # items that repeat
+    docs = [(d, " ".join(f"w{rng.randrange(900)}" for _ in range(rng.randrange(900)))
+             + " " + (bench[rng.randrange(60)][1] if d % 2 else "")) for d in range(60)]
+    df = spark.createDataFrame([*docs, (None, bench[0][1]), (70, None), (71, "")], "doc_id long, text string")
+    b = spark.createDataFrame(bench, "item_id long, text string").repartition(3)
+    whole = sorted(map(str, dc.leaks(df, b).collect()))
+    kept = sorted(map(str, dc.drop_leaks(df, b).collect()))
+    monkeypatch.setattr(dc, "MAX_INDEX_BYTES", 12 * 2500)
+    assert dc.load_index(b) is None
+    assert len(whole) > 30 and sorted(map(str, dc.leaks(df, b).collect())) == whole
+    assert sorted(map(str, dc.drop_leaks(df, b).collect())) == kept
+
+
 def test_leaks_on_odd_rows(spark, odd_docs):
     bench = spark.createDataFrame([(1, "the cat sat on the mat and slept all day long"), (2, None), (3, ""),
                                    (None, "eins zwei drei")], "item_id long, text string")

@@ -1,6 +1,7 @@
 """Benchmark decontamination: BM25 over an inverted index of test items with block-max WAND.
 
 The index holds the test items, never training data; its size is checked before it is broadcast.
+Larger test sets are indexed in parts, one after the other, with the statistics of all items.
 Every training text is cut into overlapping passages so long that each occurrence of an item lies
 within one of them, and every passage is a query:
 
@@ -22,6 +23,7 @@ import pickle
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -29,13 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordmill.llm.common import id_and_text, ship
+from wordmill.llm.common import drop, id_and_text, ship, written
 from wordmill.llm.tokens import PieceCache
 
 BLOCK = 8
 K1, B = 1.2, 0.75
 COMMON_SHARE = 1 / 3      # of the threshold: what the commonest terms may add to any item
 MAX_INDEX_BYTES = 256 << 20
+INDEX_PER_BYTE = 12       # bytes of index for a byte of test items, at most
 NO_WORD, UNKNOWN = -2, -1
 HIT = ("item_id long, score double, passage_start long, question_overlap double, "
        "answer_overlap double")
@@ -84,9 +87,21 @@ class Index:
     threshold: float
 
 
-def build_index(rows: list[tuple[int, str]], threshold: float = 0.6) -> Index:
+@dataclass
+class Statistics:
+    """Of all items with words: their number, mean and largest number of words, and for each word
+    the number of items that hold it."""
+    n: int
+    mean: float
+    longest: int
+    df: dict[str, int]
+
+
+def build_index(rows: list[tuple[int, str]], threshold: float = 0.6,
+                known: Statistics | None = None) -> Index:
     """Index of (item id, text) rows. Items without words are left out; items that repeat are
-    each kept. The longest item sets the passage length."""
+    each kept. The longest item sets the passage length. Rows that are a part of the items come
+    with the ``known`` statistics of all, so they score as in one index."""
     terms: dict[str, int] = {}
     texts, ids, parts = [], [], []
     for i, t in sorted((r for r in rows if r[0] is not None), key=lambda r: (r[0], r[1] or "")):
@@ -98,7 +113,10 @@ def build_index(rows: list[tuple[int, str]], threshold: float = 0.6) -> Index:
             texts.append(nums)
             parts.append((nums[:cut], nums[cut:]))
     n, df = len(texts), Counter(x for t in texts for x in set(t))
-    mean = sum(map(len, texts)) / max(1, n)
+    mean, longest = sum(map(len, texts)) / max(1, n), max(map(len, texts), default=1)
+    if known:
+        n, mean, longest = known.n, known.mean, known.longest
+        df = Counter({i: known.df[x] for x, i in terms.items()})
     posts: list[list[tuple[int, float]]] = [[] for _ in terms]
     for i, t in enumerate(texts):
         raw = {x: math.log(1 + (n - df[x] + .5) / (df[x] + .5)) * f * (K1 + 1)
@@ -112,7 +130,7 @@ def build_index(rows: list[tuple[int, str]], threshold: float = 0.6) -> Index:
         for i, v in p:
             best[i // BLOCK] = max(best.get(i // BLOCK, 0.0), v)
         bound.append(best)
-    rest = np.zeros(max(1, n))
+    rest = np.zeros(max(1, len(texts)))
     common = np.zeros(len(terms) + 2, bool)
     for x in sorted(range(len(terms)), key=lambda x: -df[x]):
         add = np.zeros_like(rest)
@@ -124,7 +142,7 @@ def build_index(rows: list[tuple[int, str]], threshold: float = 0.6) -> Index:
     flat = [p for ps in posts for p in ps]
     return Index(ids, parts, terms, np.cumsum([0] + [len(p) for p in posts]),
                  np.array([i for i, _ in flat], np.int64), np.array([v for _, v in flat]),
-                 bound, common, rest, max(map(len, texts), default=1), threshold)
+                 bound, common, rest, longest, threshold)
 
 
 def wand(ix: Index, query: list[int]) -> list[tuple[int, float]]:
@@ -241,6 +259,7 @@ class Matcher:
             for item, score in wand(ix, np.unique(span[span >= 0]).tolist()):
                 q, ans = (overlap(p, span.tolist()) for p in ix.parts[item])
                 if q >= self.least and ans >= self.least:
+                    score = round(score, 9)        # sums of equal terms in any order are equal
                     row = (ix.item_ids[item], score, start, q, ans)
                     if (i, item) not in best or best[i, item][1] < score:
                         best[i, item] = row
@@ -248,30 +267,69 @@ class Matcher:
             out[i].append(row)
 
 
+def _items(bench: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """``id, text`` of the items and the bytes of their texts."""
+    items = bench.select(bench[id_col].cast("long").alias("id"), bench[text_col].cast("string").alias("text"))
+    return items, items.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+
+
+def _sent(spark, rows, threshold: float, known: Statistics | None = None):
+    raw = pickle.dumps(build_index([(r["id"], r["text"]) for r in rows], threshold, known))
+    return spark.sparkContext.broadcast(raw)
+
+
 def load_index(bench: DataFrame, threshold: float = 0.6, id_col: str = "item_id",
                text_col: str = "text"):
-    """Broadcast the index of the test items; more than ``MAX_INDEX_BYTES`` is refused (split the
-    test set then: each part is an index of its own, and the hits are their union)."""
-    spark = bench.sparkSession
-    ship(spark)
-    total = bench.agg(F.sum(F.octet_length(F.col(text_col)))).head()[0] or 0
-    if 12 * total > MAX_INDEX_BYTES:
-        raise ValueError(f"test items of {total} bytes exceed the index limit; pass them in parts")
-    rows = [(r[0], r[1]) for r in bench.select(F.col(id_col).cast("long"), text_col).collect()]
-    raw = pickle.dumps(build_index(rows, threshold))
-    return spark.sparkContext.broadcast(raw)
+    """The broadcast index of all test items, or None if it would exceed ``MAX_INDEX_BYTES``."""
+    ship(bench.sparkSession)
+    items, total = _items(bench, id_col, text_col)
+    return _sent(bench.sparkSession, items.collect(), threshold) if _fits(total) else None
 
 
-def leaks(docs: DataFrame, bench: DataFrame, threshold: float = 0.6, least: float = 0.8,
-          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id`` and the columns of ``HIT``, one row per document row and leaked item.
+def _fits(text_bytes):
+    return text_bytes * INDEX_PER_BYTE <= MAX_INDEX_BYTES
 
-    Null and empty texts and items leak nothing, nor do empty tables; a null id is kept with its
-    hits; repeated rows each give theirs. ``passage_start`` counts words. Other columns are not
-    read.
-    """
-    sent = load_index(bench, threshold)
 
+def part_indexes(bench: DataFrame, threshold: float = 0.6, id_col: str = "item_id",
+                 text_col: str = "text") -> Iterator:
+    """Broadcast indexes that hold all items between them, each within the limit (an item beyond
+    it has one to itself). Words are counted over all items by Spark; a part collects the counts
+    of its own words. An index is destroyed when the next one is asked for."""
+    spark = bench.sparkSession
+    ship(spark)
+    items, total = _items(bench, id_col, text_col)
+
+    @F.pandas_udf("array<string>")
+    def all_words(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: words(t)[0])
+
+    rows, path = written(items.where("id is not null").withColumn("at", F.monotonically_increasing_id())
+                         .withColumn("words", all_words(F.coalesce("text", F.lit("")))), "leak-items")
+    rows = rows.where(F.size("words") > 0)
+    vocabulary, at = written(rows.select(F.explode(F.array_distinct("words")).alias("word"))
+                             .groupBy("word").agg(F.count(F.lit(1)).alias("df")), "leak-words")
+    n, mean, longest = rows.agg(F.count(F.lit(1)), F.avg(F.size("words")), F.max(F.size("words"))).head()
+    parts, split = 1, True
+    while split:
+        parts *= 2
+        dealt = F.pmod(F.xxhash64("at"), F.lit(parts))
+        sizes = rows.groupBy(dealt.alias("part")).agg(F.sum(F.octet_length("text")).alias("bytes"),
+                                                      F.count(F.lit(1)).alias("n"))
+        split = not sizes.where(~_fits(F.col("bytes")) & (F.col("n") > 1)).isEmpty()
+    for part in range(parts):
+        mine = rows.where(dealt == part)
+        own = mine.select(F.explode("words").alias("word")).distinct()
+        df = {r["word"]: r["df"] for r in vocabulary.join(own, "word").collect()}
+        if df:
+            sent = _sent(spark, mine.select("id", "text").collect(), threshold,
+                         Statistics(n, mean, longest, df))
+            yield sent
+            sent.destroy()
+    for p in (path, at):
+        drop(spark, p)
+
+
+def _hits(texts: DataFrame, sent, least: float) -> DataFrame:
     def run(batches):
         m = Matcher(pickle.loads(sent.value), least)
         for b in batches:
@@ -285,17 +343,47 @@ def leaks(docs: DataFrame, bench: DataFrame, threshold: float = 0.6, least: floa
                 names=["doc_id", "item_id", "score", "passage_start", "question_overlap",
                        "answer_overlap"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, " + HIT)
+    return texts.mapInArrow(run, "doc_id long, " + HIT)
 
 
-def drop_leaks(docs: DataFrame, bench: DataFrame, threshold: float = 0.6,
-               least: float = 0.8) -> DataFrame:
-    """The documents without a leaked item, with all their columns."""
+def leaks(docs: DataFrame, bench: DataFrame, threshold: float = 0.6, least: float = 0.8,
+          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id`` and the columns of ``HIT``, one row per document row and leaked item.
+
+    Null and empty texts and items leak nothing, nor do empty tables; a null id is kept with its
+    hits; repeated rows each give theirs. ``passage_start`` counts words. Other columns are not
+    read. Test sets beyond one index are searched part by part, each with a scan of the documents;
+    the hits are those of one index.
+    """
+    texts = id_and_text(docs, id_col, text_col)
     sent = load_index(bench, threshold)
+    if sent:
+        return _hits(texts, sent, least)
+    parts = [written(_hits(texts, s, least), "leak-hits")[0] for s in part_indexes(bench, threshold)]
+    return reduce(DataFrame.unionByName, parts)
 
+
+def _clean(sent, least: float):
+    """A column function text -> whether nothing of the index is leaked in it."""
     @F.pandas_udf("boolean")
     def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = Matcher(pickle.loads(sent.value), least)
         for texts in batches:
             yield pd.Series([not hits for hits in m.match(texts.tolist())], dtype="bool")
-    return docs.where(clean(docs["text"]))
+    return clean
+
+
+def drop_leaks(docs: DataFrame, bench: DataFrame, threshold: float = 0.6,
+               least: float = 0.8) -> DataFrame:
+    """The documents without a leaked item, with all their columns. Beyond one index a part takes
+    what the part before left."""
+    sent = load_index(bench, threshold)
+    if sent:
+        return docs.where(_clean(sent, least)(docs["text"]))
+    path = None
+    for s in part_indexes(bench, threshold):
+        before = path
+        docs, path = written(docs.where(_clean(s, least)(docs["text"])), "leak-free")
+        if before:
+            drop(docs.sparkSession, before)
+    return docs
