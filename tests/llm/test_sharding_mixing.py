@@ -51,6 +51,62 @@ def test_slots_in_chunks(spark):
         assert mine == list(range(len(mine)))
 
 
+def test_slots_of_repeated_rows(spark):
+    rows = spark.range(4000).select(
+        F.when(F.col("id") % 3 == 0, None).when(F.col("id") % 3 == 1, 7).otherwise(F.col("id")).alias("doc_id"),
+        (F.col("id") % 2).alias("shard"), (F.col("id") % 5).alias("text_crc32"))
+    key = lambda df: sorted(map(str, df.collect()))
+    want = key(rows)
+    for parts in (1, 7):
+        got = sharding.number_slots(rows.repartition(parts), rows_per_chunk=90)
+        assert key(got.drop("slot")) == want
+        for s in range(2):
+            assert sorted(r.slot for r in got.where(F.col("shard") == s).collect()) == list(range(2000))
+        first = key(got) if parts == 1 else first
+    assert key(got) == first                  # whatever the partitions
+
+
+def plain_tree(rows, weights, n_shards):
+    """Shard per row by sorting: ``rows`` are (coordinates, tie)."""
+    span = lambda at, d: max(rows[i][0][d] for i in at) - min(rows[i][0][d] for i in at)
+    everything = list(range(len(rows)))
+    dims = range(len(rows[0][0]))
+    root, shard = [max(1, span(everything, d)) for d in dims], {}
+
+    def split(at, first, count):
+        if count == 1 or not at:
+            shard.update(dict.fromkeys(at, first))
+            return
+        d = max(dims, key=lambda d: (span(at, d) / root[d], -d))
+        at = sorted(at, key=lambda i: (rows[i][0][d], rows[i][1]))
+        total = sum(weights[i] for i in at)
+        target, run, cut = total * (count // 2) / count, 0, len(at)
+        for n, i in enumerate(at):
+            if run + weights[i] >= target:     # the side of this row that lies nearer to the target
+                cut = n if target - run <= run + weights[i] - target else n + 1
+                break
+            run += weights[i]
+        split(at[:cut], first, count // 2)
+        split(at[cut:], first + count // 2, count - count // 2)
+    split(everything, 0, n_shards)
+    return [shard[i] for i in everything]
+
+
+@pytest.mark.parametrize("n_shards", [2, 5, 16])
+def test_tree_against_sorting(spark, n_shards):
+    rng = random.Random(n_shards)
+    docs = spark.createDataFrame(
+        [(i, "x" * rng.randrange(1, 400), rng.choice(["en", "en", "de", None]),
+          rng.choice(["hot", "hot", f"s{i % 7}"]), rng.choice([5, 5, rng.randrange(-3, 10**6), None]))
+         for i in range(700)], "doc_id long, text string, lang string, source string, n_chars long")
+    dims, keys = sharding._metadata(docs), ["doc_id", "text"]
+    tree = sharding.build_tree(docs, dims, sharding.text_size(), keys, n_shards, tolerance=0.0)
+    got = {r.doc_id: r.shard for r in sharding.assign(docs, tree, dims, keys).collect()}
+    raw = docs.select("doc_id", "text", *sharding._coordinates(dims), sharding._tie(keys)).orderBy("doc_id").collect()
+    want = plain_tree([((r.d0, r.d1, r.d2), r.tie) for r in raw], [len(r.text) + 1 for r in raw], n_shards)
+    assert [got[r.doc_id] for r in raw] == want
+
+
 @pytest.fixture(scope="module")
 def two_languages(spark):
     en, de = "the of and to in is that it was for", "der die und in den von zu das mit sich"

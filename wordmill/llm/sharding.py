@@ -209,19 +209,28 @@ def assign(docs: DataFrame, tree: Tree, dims: dict[str, Column], keys: list,
 def number_slots(rows: DataFrame, shard: str = "shard", order: str = "doc_id",
                  rows_per_chunk: int = 100_000) -> DataFrame:
     """``slot``: gapless numbers from 0 in each shard. Shards are numbered in chunks by a hash of
-    the order column; a chunk's offset comes from a table of n / rows_per_chunk rows."""
-    n = rows.count()
-    chunks = max(1, n // rows_per_chunk)
-    rows = rows.withColumn("_chunk", F.pmod(F.xxhash64(order, "text_crc32"), F.lit(chunks)))
-    sizes = rows.groupBy(shard, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(shard).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(shard, "_chunk",
-                           F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    by = Window.partitionBy(shard, "_chunk").orderBy(order)
-    return (rows.withColumn("_at", F.row_number().over(by))
-            .join(F.broadcast(offsets), [shard, "_chunk"])
-            .withColumn("slot", (F.col("_first") + F.col("_at") - 1).cast("long"))
-            .drop("_chunk", "_at", "_first"))
+    the order column and the text's crc; offsets have a row per shard and chunk and are joined by
+    the keys that the rows are already partitioned by.
+
+    Rows equal in all columns are counted before the shuffle and numbered as one row, so copies
+    never meet in a task; they are spread out again in runs of ``rows_per_chunk``. All columns
+    take part in the order, so every evaluation gives equal rows equal sets of slots."""
+    cols = rows.columns
+    counted = rows.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
+    chunks = max(1, rows.count() // rows_per_chunk)
+    counted = counted.withColumn("_chunk", F.pmod(F.xxhash64(order, "text_crc32"), F.lit(chunks)))
+    sizes = counted.groupBy(shard, "_chunk").agg(F.sum("_n").alias("_all"))
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(shard, "_chunk", F.coalesce(
+        F.sum("_all").over(upto(Window.partitionBy(shard).orderBy("_chunk"))), F.lit(0)).alias("_first"))
+    by = Window.partitionBy(shard, "_chunk").orderBy(order, *[c for c in cols if c not in (order, shard)])
+    numbered = (counted.withColumn("_at", F.coalesce(F.sum("_n").over(upto(by)), F.lit(0)))
+                .join(offsets, [shard, "_chunk"]))
+    runs = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(rows_per_chunk).cast("long")))
+    one = F.explode(F.sequence(F.col("_run"), F.least(F.col("_n"), F.col("_run") + rows_per_chunk) - 1))
+    return (numbered.withColumn("_run", runs).withColumn("_copy", one)
+            .withColumn("slot", (F.col("_first") + F.col("_at") + F.col("_copy")).cast("long"))
+            .select(*cols, "slot"))
 
 
 def _metadata(docs: DataFrame) -> dict[str, Column]:
