@@ -44,6 +44,54 @@ def test_model_learns_and_shares_subwords():
     assert score(clean) < 0.3 < score(clean + "moronn idiott scumbagg morons idiots")  # unseen forms
 
 
+def test_training_and_folded_scores_against_a_plain_computation(spark):
+    texts, labels = toxic_sample(60)
+    labels = np.array(labels)
+    s = tx.Settings(epochs=25, buckets=1 << 12, dim=3)
+    g = np.where(labels == 1, 2.0, 0.5)
+    model = tx.train(texts, labels, g, s)
+    bag = np.zeros((len(texts), s.buckets))          # the whole matrix of mean subword counts
+    for i, t in enumerate(texts):
+        for w in t.split():
+            for r in tx.subwords(w, s):
+                bag[i, r] += 1
+    bag /= np.maximum(1, bag.sum(1, keepdims=True))
+    seen = np.flatnonzero(bag.any(0))
+    x, g = bag[:, seen] * s.scale, g / g.sum()
+    rng = np.random.default_rng(s.seed)
+    theta = [rng.normal(0, 0.1, (s.dim, len(seen))), rng.normal(0, 0.3, s.dim)]
+    p0 = (labels * g).sum()
+    theta.append(np.log(p0 / (1 - p0)))
+    m, v = [0 * t for t in theta], [0 * t for t in theta]
+    for step in range(1, s.epochs + 1):
+        e, w, b = theta
+        err = (1 / (1 + np.exp(-(x @ e.T @ w + b))) - labels) * g
+        grads = [np.outer(w, x.T @ err) + s.decay * e, e @ x.T @ err, err.sum()]
+        rate = s.rate * (1 - 0.95 * step / s.epochs)
+        for k, d in enumerate(grads):
+            m[k], v[k] = 0.9 * m[k] + 0.1 * d, 0.999 * v[k] + 0.001 * d * d
+            theta[k] = theta[k] - rate * (m[k] / (1 - 0.9 ** step)) / (
+                np.sqrt(v[k] / (1 - 0.999 ** step)) + 1e-8)
+    e, w, b = theta
+    want = 1 / (1 + np.exp(-(x @ e.T @ w + b)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.s for r in df.select("doc_id", tx.scorer(spark, model)("text").alias("s")).orderBy("doc_id").collect()]
+    assert np.allclose(got, want, atol=2e-3) and want.max() - want.min() > 0.3
+
+
+def test_bytes_of_the_sample_are_bounded(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "word " * (2000 if i % 10 == 0 else 20)) for i in range(80)],
+                                 "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(tx, "train", lambda texts, y, w, s: seen.append((texts, y, w)))
+    tx.fit(docs, labels, tx.Settings(max_bytes=1000))
+    texts, y, w = seen[0]
+    assert {len(t) for t in texts} == {100} and (y == 0).sum() == (y == 1).sum() == 10
+    known = docs.where(tx.fold(docs["doc_id"]) != 2).count()
+    assert abs(w.sum() - known) < 1e-9        # a class weighs what the whole labelled class does
+
+
 def test_toxicity_on_odd_rows(spark, odd_docs, odd_labels):
     got = tx.score_documents(odd_docs, odd_labels, SMALL).collect()
     assert len(got) == odd_docs.count() and all(0 <= r.score <= 1 for r in got)

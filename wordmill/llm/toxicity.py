@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordmill.llm.common import ship
@@ -30,10 +30,12 @@ PUNCT = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»“”‘’…—–"
 
 @dataclass(frozen=True)
 class Settings:
-    """``max_toxic`` and ``max_clean`` bound the labelled sample (rows by hash of the id);
-    documents of a class weigh as much as the whole labelled class."""
+    """``max_toxic`` and ``max_clean`` bound the labelled sample (rows by hash of the id) and
+    ``max_bytes`` the text that a class brings to the driver; labelled texts of over an eighth of
+    that are not learned from. Documents of a class weigh as much as the whole labelled class."""
     max_toxic: int = 1000
     max_clean: int = 3000
+    max_bytes: int = 16 << 20
     buckets: int = 1 << 18
     n_min: int = 3
     n_max: int = 5
@@ -160,7 +162,8 @@ def fold(doc_id) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), label: str = "toxic") -> Model:
     """Train on labelled documents outside the held-out fold, at most ``max_toxic`` and
-    ``max_clean`` of them: those with the smallest hashes of their ids. Rows without id or label
+    ``max_clean`` of them: those with the smallest hashes of their ids, as far as their whole texts
+    fit in ``max_bytes``. Rows without id or label
     are left out; a document with contradicting labels counts as toxic. Without both classes the
     model gives the labelled share to every text."""
     spark = docs.sparkSession
@@ -172,16 +175,20 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), label: str
     pick = known.withColumn("h", F.xxhash64("doc_id", F.lit(s.seed)))
     ids = [(r["doc_id"], r["y"]) for y, most in ((1, s.max_toxic), (0, s.max_clean))
            for r in pick.where(F.col("y") == y).orderBy("h", "doc_id").limit(most).collect()]
-    taken = {y: sum(1 for _, v in ids if v == y) for y in (0, 1)}
     from wordmill.llm.common import small_table
     chosen = F.broadcast(small_table(spark, ids, "doc_id long, y int"))
     # one text per chosen id: the sample stays bounded when ids repeat
     rows = (docs.select(docs["doc_id"].cast("long").alias("doc_id"),
                         F.coalesce(docs["text"], F.lit("")).alias("text")).join(chosen, "doc_id")
             .groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
-            .collect())
+            .withColumn("bytes", F.octet_length("text").cast("long")).where(F.col("bytes") <= s.max_bytes // 8))
+    upto = Window.partitionBy("y").orderBy(F.xxhash64("doc_id", F.lit(s.seed)), "doc_id") \
+        .rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("upto", F.sum("bytes").over(upto)).where(F.col("upto") <= s.max_bytes) \
+        .select("doc_id", "text", "y").collect()
     rows.sort(key=lambda r: r["doc_id"])
     y = np.array([r["y"] for r in rows], np.int64)
+    taken = {v: int((y == v).sum()) for v in (0, 1)}
     weight = np.array([n[v] / taken[v] for v in y.tolist()], np.float64)
     return train([r["text"] for r in rows], y, weight, s)
 
