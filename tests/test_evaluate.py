@@ -109,3 +109,19 @@ def test_relational_classifier_against_numpy(spark):
     one = clf.weighted_loss(scored).first()
     assert one.n == len(known)
     assert math.isclose(one.loss, (w * np.log1p(np.exp(np.where(y == 1, -z, z))))[known].mean())
+
+
+def test_first_step_looks_no_weight_up_and_keys_may_repeat(spark, monkeypatch):
+    from wordmill.operators import classifier as clf
+    rows = [(1, "a b", "b c", 1), (1, "a b", "b c", 1), (2, "c", "", 0), (None, "d", "e", 0), (3, "x", "y", -1)]
+    df = spark.createDataFrame(rows, "pair_id long, a string, b string, label int")
+    zero = df.where("label >= 0").selectExpr("pair_id", "label", "0.0D as z")
+    g = {r["term"]: r["g"] for r in clf.gradient(zero, clf.feature_rows(df.where("label >= 0"))).collect()}
+    monkeypatch.setattr(clf, "linear_scores", None)
+    weights, _ = clf.fit_linear(df, steps=1, rate=1.0)
+    got = {r["term"]: r["w"] for r in weights.collect()}
+    assert set(got) == {"u:a", "u:c", "s:b", "u:d", "u:e"} and got["u:d"] == 0
+    for t, w in got.items():
+        assert abs(w + g.get(t, 0.0) / 4) < 1e-12
+    # two rows of one key meet each other's errors, as in a join
+    assert abs(g["s:b"] + 4 * 0.5 * clf.POS_WEIGHT) < 1e-12

@@ -83,34 +83,70 @@ def weighted_loss(scored: DataFrame, pos_weight: float = POS_WEIGHT) -> DataFram
     return _weighted(scored, pos_weight).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("_w") * ce).alias("loss"))
 
 
+def _errors(scored: DataFrame, pos_weight: float, key: str) -> DataFrame:
+    """The loss's derivative by the logit, added up per key: ``_e``, over ``_m`` labelled pairs."""
+    e = F.col("_w") * (1 / (1 + F.exp(-F.col("z"))) - F.col("_y"))
+    return _weighted(scored, pos_weight).groupBy(key).agg(F.sum(e).alias("_e"),
+                                                          F.count(F.lit(1)).alias("_m"))
+
+
+def _term_sums(rows: DataFrame) -> DataFrame:
+    """``(term, _e, _m)`` rows, added up per task before the shuffle: ``g`` and ``n`` per term."""
+    return rows.groupBy("term").agg(F.sum("_e").alias("g"), F.sum("_m").alias("n"))
+
+
 def gradient(scored: DataFrame, features: DataFrame, pos_weight: float = POS_WEIGHT,
              key: str = "pair_id") -> DataFrame:
     """The loss's gradient, summed over pairs: per term ``g`` and the labelled pairs ``n`` that
     have it. Rows are added up per task before the shuffle, so a term of every pair is one row
     per task."""
-    err = _weighted(scored, pos_weight).select(
-        key, (F.col("_w") * (1 / (1 + F.exp(-F.col("z"))) - F.col("_y"))).alias("_e"))
-    return features.join(err, key).groupBy("term").agg(F.sum("_e").alias("g"), F.count(F.lit(1)).alias("n"))
+    return _term_sums(features.join(_errors(scored, pos_weight, key), key))
+
+
+def term_lists(pairs: DataFrame, key: str = "pair_id") -> DataFrame:
+    """``(key, label, _terms)``, one row a pair, written once: tokens are split and compared a
+    single time, and what later steps move by key is a row per pair, not one per term."""
+    return cut_lineage(pair_features(pairs).select(key, "label", "_terms"))
+
+
+def term_rows(lists: DataFrame, key: str = "pair_id") -> DataFrame:
+    """``feature_rows`` of written term lists."""
+    return lists.select(key, F.explode("_terms").alias("term"))
 
 
 def fit_linear(pairs: DataFrame, steps: int = 1, rate: float = 1.0, pos_weight: float = POS_WEIGHT,
                key: str = "pair_id") -> tuple[DataFrame, float]:
     """Weights (``term, w``) and bias after full gradient steps from zero on the mean loss of the
-    labelled pairs. Weights stay a table, written once a step; the driver holds the bias alone."""
-    known = pairs.where(F.col("label") >= 0)
-    features = cut_lineage(feature_rows(known, key))
-    weights = cut_lineage(features.select("term").distinct().withColumn("w", F.lit(0.0)))
-    bias = 0.0
+    labelled pairs. Weights stay a table, written once a step; the driver holds the bias alone.
+
+    At zero weights every logit is the bias, so the first step looks no weight up. A step's
+    errors meet the term lists a row per pair, before the terms are exploded.
+    """
+    lists = term_lists(pairs.where(F.col("label") >= 0), key)
+    weights, bias = None, 0.0
     for _ in range(steps):
-        scored = cut_lineage(linear_scores(known.select(key, "label"), features, weights, bias, key))
+        known = lists.select(key, "label")
+        scored = (known.withColumn("z", F.lit(bias)) if weights is None else cut_lineage(
+            linear_scores(known, term_rows(lists, key), weights, bias, key)))
         n, total = _weighted(scored, pos_weight).agg(
             F.count(F.lit(1)), F.sum(F.col("_w") * (1 / (1 + F.exp(-F.col("z"))) - F.col("_y")))).first()
         if n:
-            g = gradient(scored, features, pos_weight, key)
-            after = cut_lineage(weights.join(g, "term", "left").select(
-                "term", (F.col("w") - rate / n * F.coalesce("g", F.lit(0.0))).alias("w")))
-            release(weights)
+            errors = _errors(scored, pos_weight, key)
+            hit = lists.join(errors, key).select("_e", "_m", F.explode("_terms").alias("term"))
+            g = _term_sums(hit)
+            if weights is None:
+                # terms of pairs without a key keep weight 0: no error meets them
+                base = term_rows(lists.where(F.col(key).isNull()), key) \
+                    .select("term", F.lit(0.0).alias("g"))
+                after = cut_lineage(g.select("term", "g").unionByName(base).groupBy("term").agg(
+                    (F.lit(0.0) - rate / n * F.sum("g")).alias("w")))
+            else:
+                after = cut_lineage(weights.join(g, "term", "left").select(
+                    "term", (F.col("w") - rate / n * F.coalesce("g", F.lit(0.0))).alias("w")))
+                release(weights)
             weights, bias = after, bias - rate / n * total
         release(scored)
-    release(features)
+    if weights is None:
+        weights = cut_lineage(term_rows(lists, key).select("term").distinct().withColumn("w", F.lit(0.0)))
+    release(lists)
     return weights, bias
