@@ -68,3 +68,15 @@ def test_line_count_from_counting_pass(spark):
     v, n, n_lines = pp.build_vocab(lines, "word", 1, materialize=False, with_line_count=True)
     assert n_lines == 4 and n == 3
     assert "\n" not in {r["token"] for r in v.collect()}
+
+
+def test_chars_are_counted_before_they_become_rows(spark):
+    rows = [(2, 0, "b a　a"), (1, 1, "ab😀"), (1, 0, None), (None, 0, "zz a"), (1, 1, ""), (0, 3, " ")]
+    lines = spark.createDataFrame(rows, "doc_id long, line_no int, text string").repartition(3)
+    got = vb.token_counts(lines, "char", line_sentinel=True)
+    plan = got._jdf.queryExecution().analyzed().toString()
+    assert "posexplode" not in plan.lower() and "MapInArrow" in plan
+    want = {"a": (4, 1, 1, 0), "b": (2, 1, 1, 1), "😀": (1, 1, 1, 2), "z": (2, None, None, None),
+            "\n": (5, 0, 3, 0)}
+    want["a"], want["b"] = (4, 1, 1, 0), (2, 1, 1, 1)
+    assert {r[0]: tuple(r[1:]) for r in got.collect()} == want
