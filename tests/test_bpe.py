@@ -166,3 +166,23 @@ def test_fold_finds_the_codes_of_each_word(spark):
     w = words.select("word")
     g = {r["word"]: r["subwords"] for r in bpe.segment_words(w, codes).collect()}
     assert g == {r["word"]: r["subwords"] for r in bpe.segment_words_fold(w, codes).collect()}
+
+
+def test_a_list_without_a_limit_settles_more_pairs_a_pass(spark, monkeypatch):
+    from wordmill import registry
+    from wordmill.operators import bpe as ops
+    words = ops.word_symbols(spark.createDataFrame(
+        [(" ".join(w[:n] for w in ("abcabd", "bcabca", "cababc") for n in range(2, 7)),)], "text string"))
+    learn, sizes = ops.learn_bpe, []
+
+    def seen(w, n, run_symbols=ops.RUN_SYMBOLS, **more):
+        sizes.append(run_symbols)
+        return learn(w, n, run_symbols=run_symbols, **more)
+
+    monkeypatch.setattr(registry, "_words", lambda spark, sf: words)
+    monkeypatch.setattr(ops, "learn_bpe", seen)
+    got = [tuple(r) for r in registry.learned_codes(spark, "rows-of-this-test", registry.NO_LIMIT)
+           .orderBy("rank").collect()]
+    assert sizes[0] > ops.RUN_SYMBOLS
+    plain = [tuple(r) for r in learn(words, registry.NO_LIMIT, batch=False).orderBy("rank").collect()]
+    assert got == plain and plain
