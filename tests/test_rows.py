@@ -209,3 +209,21 @@ def test_lookups_beyond_the_broadcast_size_are_the_same(spark):
     b = lm.embedding_lookup_sum(seqs, emb, 6, limit=0).collect()
     assert sorted(map(key, a)) == sorted(map(key, b)) and len(a) == 1000
     assert any(r["h"] is None for r in a) and any(r["h"] for r in a)
+
+
+def test_embedding_sums_are_made_once_per_id_and_position(spark):
+    from wordmill.operators import lm
+    seqs = spark.createDataFrame([(i, 0, [1, 2, 1, None, 9]) for i in range(300)] + [(7, 1, [])],
+                                 "pair_id long, ord int, ids array<int>")
+    emb = spark.createDataFrame([(i, [float(i), 2.0 * i]) for i in range(16) if i != 3] + [(1, [0.5, 0.5])],
+                                "vec_id long, embedding array<double>")
+    total = F.aggregate("h", F.lit(0.0), lambda a, x: a + x)
+    got = lm.embedding_lookup_sum(seqs, emb, 2, derive={"total": total})
+    assert "zip_with" not in _plan(got)          # no position adds vectors
+    rows = got.collect()
+    # id 1 has two vectors, position 2 of the row is at pos_id 7; a null id has no sum
+    assert len(rows) == 300 * 7
+    for r in rows:
+        assert (r["h"] is None) == (r["id"] is None) and r["total"] == (None if r["h"] is None else sum(r["h"]))
+    assert {tuple(r["h"]) for r in rows if r["pos"] == 1} == {(8.0, 16.0)}
+    assert {tuple(r["h"]) for r in rows if r["pos"] == 2} == {(8.0, 16.0), (7.5, 14.5)}
