@@ -186,3 +186,28 @@ def test_a_list_without_a_limit_settles_more_pairs_a_pass(spark, monkeypatch):
     assert sizes[0] > ops.RUN_SYMBOLS
     plain = [tuple(r) for r in learn(words, registry.NO_LIMIT, batch=False).orderBy("rank").collect()]
     assert got == plain and plain
+
+
+def test_the_library_segments_as_the_plain_rule(monkeypatch):
+    rng = random.Random(3)
+    slow = []
+    plain = bpe._greedy
+    monkeypatch.setattr(bpe, "_greedy", lambda w, r: slow.append(w) or plain(w, r))
+    for trial in range(60):
+        syms, ranks = list("abc<w>") + ["</w>", "/"], {}
+        for k in range(rng.choice([4, 12, 30])):     # not learned: strings made twice, or too late
+            pair = rng.choice(syms), rng.choice(syms)
+            if pair not in ranks and not pair[0].endswith("</w>"):
+                ranks[pair] = k
+                syms.append("".join(pair))
+        order = list(ranks.values())
+        if trial % 2:
+            rng.shuffle(order)
+        ranks = dict(zip(ranks, order))
+        words = ["", "a</w>b", "\U0001F600a", "a\x1cb"] + [
+            "".join(rng.choice("aabbcx</w>") for _ in range(rng.randint(0, 12))) for _ in range(100)]
+        assert bpe.segmenter(ranks)(words) == [plain(w, ranks) for w in words]
+    slow.clear()
+    ranks = {("a", "b"): 0, ("ab", "ab"): 1, ("c", "</w>"): 2}     # as learning gives them
+    assert bpe.segmenter(ranks)(["ababc", "xc", "abé"]) == [["abab", "c"], ["x", "c"], ["ab", "é"]]
+    assert not slow
