@@ -368,6 +368,30 @@ def test_copies_do_not_fill_the_sample(spark):
     assert all(got[n] == f"Head {str(n) * 3} One & two {str(n) * 3} x Para {str(n) * 3}" for n in range(8))
 
 
+def test_all_pages_of_a_host_are_counted(spark):
+    """Twelve small pages that say nothing of what most pages of their hosts, large ones, have: a
+    fixture inside the article, a headline outside the text's block."""
+    para = "".join(f"<p>Line {k}</p>" for k in range(hx.MOST_NODES))
+    place = "<body><p>Site</p><div class=wrap>{head}<div class=text><p>Text {i}</p>{more}</div></div></body>"
+    pages = []
+    for i in range(30):
+        large = i >= 12
+        pages.append((i, "http://a/", marked(i, "related-now" if large else "x").replace(
+            "</h1>", "</h1>" + para if large else "</h1>")))
+        pages.append((100 + i, "http://b/", place.format(
+            head=f"<h1>Head {i}</h1>" if large else "", i=i, more=para if large else "<p>And so on</p>")))
+    got = {r.page_id: r.text for r in hx.extract_pages(
+        spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for i in range(30):
+        assert ("Part" in got[i]) == (i < 12) and got[i].startswith(f"Title {i} ")
+        assert got[100 + i].startswith(f"Head {i} Text {i} Line 0" if i >= 12 else f"Text {i} And so on")
+
+
+def test_an_empty_page_does_not_hide_the_template():
+    pages = [PAGE.replace("{n}", str(n) * 3) for n in range(8)]
+    assert hx.induce([*pages, "", None]) == hx.induce(pages)
+
+
 def test_article_and_broken_markup():
     h = "<body><article><header><h1>T</h1></header><p><b>a<br><p>b &amp; c<!-- x --><form>f</form>d</article>z"
     assert hx.extract(h) == "T a b & c d"

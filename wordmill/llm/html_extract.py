@@ -1,11 +1,11 @@
 """Main text of web pages by wrapper induction.
 
-For every host the block trees of a bounded sample of its different pages are aligned by simple
-tree matching. Nodes whose text is the same in all of them are template, the others are slots; the
-parts of the tree that hold the article's slots become the host's regions: all article and main
-elements, else the deepest node outside which no sampled page has slots. A wrapper (region paths
-and hashes of template blocks) is a few hundred bytes. Applying it to all pages is one parse per
-page: blocks of the regions and of the page's own article and main elements, without template
+For every host the blocks of all its different pages are counted (copies of a page by their text
+count once). A block with the same text at the same place on all of them is template, the others
+are slots; the parts of the tree that hold the article's slots become the host's regions: all
+article and main elements, else the deepest node outside which no page has slots. A wrapper (region
+paths and hashes of template blocks) is a few hundred bytes. Applying it to all pages is one parse
+per page: blocks of the regions and of the page's own article and main elements, without template
 blocks and without what by its element, role, class or id is a menu, advert, notice, form or
 comment list. A page that doesn't fit its host's wrapper, or has no host, takes its own article,
 main or body as the region.
@@ -18,17 +18,19 @@ from collections import Counter
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordmill.llm.common import ship, written
+from wordmill.llm.common import drop, ship, written
 from wordmill.llm.components import join_by_weight
-from wordmill.llm.html_tree import Node, match, parse
+from wordmill.llm.html_tree import Node, parse
 
-SAMPLE = 12            # pages per host that a wrapper is induced from
-MOST_NODES = 1500      # larger pages are sampled last and held against others by path and text
+MOST_NODES = 1500      # nodes of a large page
 LEAST_PAGES = 4        # different pages that must agree before a block is template
+ODD_PAGES = 13         # one page in so many may lack a template block: none of up to 12
+ODD_SLOTS = 100        # one page in so many may have slots outside the region
 MAIN = ("article", "main")
+BLOCK, SOFT, PLACE = 0, 1, 2      # what is counted: blocks, soft marks, article and main elements
 
 
 def _nodes(root: Node):
@@ -81,75 +83,127 @@ def _regions(root: Node, paths: list[str]) -> list[Node]:
     return found
 
 
-def induce(pages: list[str]) -> dict:
-    """Wrapper of one host's sample pages: ``region`` (paths or None) and ``template`` hashes."""
-    trees, seen = [], set()
-    for html in pages:
-        root = parse(html)
-        body = _body(root)
-        if body not in seen:      # copies of a page say nothing about slots
-            seen.add(body)
-            trees.append((sum(1 for _ in _nodes(root)), root))
-    if len(trees) < 2:
+def _long(digest: str) -> int:
+    """A path or hash as a signed long; the root's path is 0."""
+    v = int(digest, 16) if len(digest) == 16 else 0
+    return v - (1 << 64) if v >> 63 else v
+
+
+def _digest(v: int) -> str:
+    return f"{v & ((1 << 64) - 1):016x}" if v else "#"
+
+
+def _facts(html: str | None) -> tuple:
+    """What the counts of a host need of a page: hash of the text in its own regions, whether it
+    has no article or main (None for an empty page, which isn't counted), the different ``(kind, key)`` on it, and, without article or main, its
+    region's tree as rows ``up, path, key, size`` (parent's index, path, hash and size of the own
+    text), parents first."""
+    from xxhash import xxh64_intdigest
+    if not html:
+        return 0, None, [], []
+    root = parse(html)
+    own = _own_regions(root)
+    plain = own[0].tag not in MAIN
+    found, keys = set(), {}
+    for n in _nodes(root):
+        text = n.text()
+        if text:
+            keys[id(n)] = _long(_hash(n.path, text)), len(text)
+            found.add((BLOCK, keys[id(n)][0]))
+        if n.soft:
+            found.add((SOFT, _long(n.path)))
+    tree: list = []
+    if plain:
+        todo = [(own[0], -1)]
+        while todo:
+            n, up = todo.pop()
+            if not n.off:
+                tree.append((up, _long(n.path), *keys.get(id(n), (0, 0))))
+                todo.extend((c, len(tree) - 1) for c in reversed(n.children))
+    else:
+        found.update((PLACE, _long(n.path)) for n in own)
+    body = "\n".join(_body(root)).encode("utf-8", "surrogatepass")
+    return xxh64_intdigest(body) - (1 << 63), plain, sorted(found), tree
+
+
+def _slots(tree: list, template) -> list[tuple]:
+    """``path, parent path, top, whole, one, kids`` of the paths in a page's tree: whether it is the
+    tree's root, whether its nodes hold all slots of the page, whether a single one does, and
+    whether it has children. Nothing where the page has no slots."""
+    sums = [0 if key in template else size for _, _, key, size in tree]
+    kids = [False] * len(tree)
+    for i in range(len(tree) - 1, 0, -1):      # children before their parents
+        sums[tree[i][0]] += sums[i]
+        kids[tree[i][0]] = True
+    if not tree or not sums[0]:
+        return []
+    found: dict = {}
+    for (up, path, _, _), n, k in zip(tree, sums, kids):
+        f = found.setdefault(path, [tree[up][1] if up >= 0 else None, 0, False, False])
+        f[1] += n
+        f[2] = f[2] or n == sums[0]
+        f[3] = f[3] or k
+    return [(path, up, up is None, n == sums[0], one, k) for path, (up, n, one, k) in found.items()]
+
+
+def _common(counts, n: int, n_plain: int) -> dict:
+    """A wrapper without the regions of plain pages, from ``(kind, key, pages)`` of ``n`` pages."""
+    if n < 2:
         return {"region": None, "template": []}
-    trees.sort(key=lambda x: x[0])
-    small = [t for n, t in trees if n <= MOST_NODES]
-    large = [t for n, t in trees if n > MOST_NODES]
-    base = (small or large)[len(small or large) // 2]
-    trees = small + large
-    texts = {id(n): [n.text()] for n in _nodes(base)}
-    for other in trees:
-        if other is base:
-            continue
-        if other in small:
-            pairs: list = []
-            match(base, other, pairs)
-            for mine, theirs in pairs:
-                texts[id(mine)].append(theirs.text())
-        else:      # in linear time: the same text at the same path
-            has = {(n.path, n.text()) for n in _nodes(other)}
-            for n in _nodes(base):
-                if (n.path, n.text()) in has:
-                    texts[id(n)].append(n.text())
-    template = {id(n) for n in _nodes(base)
-                if n.text() and len(texts[id(n)]) == len(trees) >= LEAST_PAGES
-                and len(set(texts[id(n)])) == 1}
-
-    hashes = {_hash(n.path, n.text()) for n in _nodes(base) if id(n) in template}
-    # what a word in its class marks inside the article goes if it comes back on other pages
-    on = Counter(path for t in trees for path in {n.path for n in _nodes(t) if n.soft})
-    soft = sorted(path for path, n in on.items() if n >= max(2, len(trees) / 3))
-    if _own_regions(base)[0].tag in MAIN:
-        paths = sorted({r.path for t in trees for r in _own_regions(t) if r.tag in MAIN})
-        return {"region": paths, "template": sorted(hashes), "soft": soft}
-    known: dict[int, int] = {}
-
-    def slots(top: Node) -> int:
-        if id(top) not in known:
-            for n in reversed(list(_nodes(top))):      # children before their parents
-                own = n.text()
-                known[id(n)] = 0 if n.off else sum(known[id(c)] for c in n.children) + (
-                    len(own) if own and _hash(n.path, own) not in hashes else 0)
-        return known[id(top)]
-
-    # pages with an article or main keep it in any case
-    plain = [t for t in trees if _own_regions(t)[0].tag not in MAIN]
-
-    def whole(path: str) -> bool:
-        """Whether no page that has the path has slots outside it."""
-        for t in plain:
-            found = _regions(t, [path])
-            if found and sum(slots(n) for n in found) < slots(_own_regions(t)[0]):
-                return False
-        return True
-
-    region = _own_regions(base)[0]
-    while slots(region):
-        deeper = [c for c in region.children if slots(c) == slots(region)]
-        if not deeper or not deeper[0].children or not whole(deeper[0].path):
-            break
-        region = deeper[0]
-    return {"region": [region.path], "template": sorted(hashes), "soft": soft}
+    odd = n // ODD_PAGES
+    of: dict = {BLOCK: [], SOFT: [], PLACE: []}
+    for kind, key, c in counts:
+        if kind == BLOCK:
+            ok = n >= LEAST_PAGES and c >= max(LEAST_PAGES, n - odd)
+        elif kind == SOFT:      # what a word in its class marks goes if it comes back on other pages
+            ok = c >= max(2, n / 3)
+        else:
+            ok = c > odd
+        if ok:
+            of[kind].append(_digest(key))
+    return {"region": [] if 2 * n_plain > n else sorted(of[PLACE]), "template": sorted(of[BLOCK]),
+            "soft": sorted(of[SOFT])}
+
+
+def _deepest(rows, n_plain: int) -> list[str]:
+    """Region paths of plain pages: from the root of their trees down to the deepest node outside
+    which no page that has its path has slots. ``rows``: sums of ``_slots`` over the pages, ``path,
+    up, top, has, whole, one, kids``."""
+    below: dict = {}
+    for r in rows:
+        below.setdefault(r["up"], []).append(r)
+    found = []
+    for top in [r for r in rows if r["top"] and r["has"] > n_plain // ODD_PAGES]:
+        at = top
+        while True:
+            down = [r for r in below.get(at["path"], ()) if not r["top"] and 2 * r["one"] > top["has"]
+                    and 2 * r["kids"] > r["has"] and r["has"] - r["whole"] <= r["has"] // ODD_SLOTS]
+            if not down:
+                break
+            at = max(down, key=lambda r: (r["one"], r["path"]))
+        found.append(_digest(at["path"]))
+    return sorted(found)
+
+
+def induce(pages: list[str]) -> dict:
+    """Wrapper of one host's pages: ``region`` (paths or None), ``template`` hashes, ``soft``
+    paths. What ``wrappers`` finds for tables, for a list."""
+    facts: dict = {}
+    for f in map(_facts, filter(None, pages)):
+        facts.setdefault(f[0], f)      # copies of a page say nothing about slots
+    n, n_plain = len(facts), sum(f[1] for f in facts.values())
+    counts = Counter(x for f in facts.values() for x in f[2])
+    found = _common([(*x, c) for x, c in counts.items()], n, n_plain)
+    if 2 * n_plain > n > 1:
+        template = {_long(x) for x in found["template"]}
+        sums: dict = {}
+        for f in facts.values():
+            for path, up, *flags in _slots(f[3], template):
+                old = sums.setdefault(path, [up, 0, 0, 0, 0, 0])
+                sums[path] = [up, *(a + b for a, b in zip(old[1:], (flags[0], 1, *flags[1:])))]
+        found["region"] = _deepest([dict(zip(("path", "up", "top", "has", "whole", "one", "kids"),
+                                             (path, *x))) for path, x in sums.items()], n_plain)
+    return found
 
 
 INSIDE = frozenset("a span b i em strong small label time".split())
@@ -184,7 +238,7 @@ def extract(html: str | None, wrapper: dict | None = None) -> str:
     regions = []
     template: frozenset = frozenset()
     soft = frozenset((wrapper or {}).get("soft", ()))
-    if wrapper and wrapper["region"]:
+    if wrapper and wrapper["region"] is not None:
         regions = _regions(root, wrapper["region"])
         template = frozenset(wrapper["template"]) if regions else template
     out: list[str] = []
@@ -199,49 +253,96 @@ def host(url) -> "F.Column":
                               F.lit("")))
 
 
-def _bodies(batches):
-    """``host, h, body`` (hash of the text in the page's own regions), ``large``."""
-    from xxhash import xxh64_intdigest
+LONGS = pa.list_(pa.int64())
+FACTS = ("host string, h long, body long, plain boolean, kinds array<long>, keys array<long>, "
+         "up array<long>, path array<long>, own array<long>, size array<long>")
+
+
+def _read(batches):
+    """The facts of every page (``FACTS``), from ``host, h, html``."""
     for b in batches:
-        body, large = [], []
-        for html in b.column(2):
-            root = parse(html.as_py() or "")
-            text = "\n".join(_body(root)).encode("utf-8", "surrogatepass")
-            body.append(xxh64_intdigest(text) - (1 << 63))
-            large.append(sum(1 for _ in _nodes(root)) > MOST_NODES)
+        facts = [_facts(html.as_py()) for html in b.column(2)]
+        lists = ([[x[k] for x in f[2]] for f in facts] for k in range(2))
+        trees = ([[x[k] for x in f[3]] for f in facts] for k in range(4))
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), b.column(1), pa.array(body, pa.int64()), pa.array(large, pa.bool_())],
-            names=["host", "h", "body", "large"])
+            [b.column(0), b.column(1), pa.array([f[0] for f in facts], pa.int64()),
+             pa.array([f[1] for f in facts], pa.bool_()), *(pa.array(x, LONGS) for x in (*lists, *trees))],
+            names=[c.split()[0] for c in FACTS.split(", ")])
+
+
+def _outside(batches):
+    """``_slots`` of plain pages, from ``host, up, path, own, size, template``."""
+    for b in batches:
+        out: Counter = Counter()
+        for host, *tree, template in zip(*(b.column(i).to_pylist() for i in range(6))):
+            for path, up, *flags in _slots(list(zip(*tree)), frozenset(template or ())):
+                out[host, path, up, *flags] += 1
+        rows = [(h, path, up, c, *(c * f for f in flags)) for (h, path, up, *flags), c in out.items()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[i] for r in rows], pa.string() if i == 0 else pa.int64()) for i in range(8)],
+            names=["host", "path", "up", "has", "top", "whole", "one", "kids"])
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """``host, wrapper`` (JSON), ``w`` (pages of the host), from ``page_id, host, html``. The
-    sample of a host are one page each of the texts with the smallest hashes, small pages first."""
+    """``host, wrapper`` (JSON), ``w`` (pages of the host), from ``page_id, host, html``. Every page
+    is counted, copies by their text once; a host's counts meet in sums made before the shuffle, and
+    only what stands on one page in ``ODD_PAGES`` comes together for it."""
     ship(pages.sparkSession)
     keyed = (pages.where("host <> ''").select("host", F.xxhash64("page_id", "host", "html").alias("h"),
                                               "html"))
-    # copies meet in sums made before the shuffle, not in one task
-    texts, _ = written(keyed.mapInArrow(_bodies, "host string, h long, body long, large boolean")
-                       .groupBy("host", "body").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("h"),
-                                                    F.min("large").alias("large")), "host-texts")
-    by = Window.partitionBy("host").orderBy("large", F.xxhash64("body", "host"), "body")
-    # a limit per host and task comes before the shuffle, so no host meets in one task
-    chosen = (texts.select("host", "body", "h", "large").withColumn("n", F.row_number().over(by))
-              .where(F.col("n") <= SAMPLE).groupBy("host").agg(F.collect_list("h").alias("hs")))
-    sizes = texts.groupBy("host").agg(F.sum("n").alias("w"))
-    limits, _ = written(sizes.join(chosen, "host"), "host-limits")
-    total = max(1, limits.agg(F.sum("w")).head()[0] or 0)
-    once = Window.partitionBy("host", "h").orderBy("h")      # repeated rows
-    sample = (join_by_weight(keyed, limits, "host", "w", total)
-              .where("array_contains(hs, h)").withColumn("n", F.row_number().over(once))
-              .where("n <= 1").select("host", "w", "html"))
-
-    def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = induce([h for h in pdf["html"] if h])
-        return pd.DataFrame({"host": pdf["host"].iloc[:1], "wrapper": [json.dumps(found)],
-                             "w": pdf["w"].iloc[:1]})
-    return written(sample.groupBy("host").applyInPandas(
-        learn, "host string, wrapper string, w long"), "wrappers")[0]
+    texts, at = written(
+        keyed.mapInArrow(_read, FACTS).groupBy("host", "body").agg(
+            F.count(F.lit(1)).alias("n"),
+            F.min_by(F.struct("plain", "kinds", "keys", "up", "path", "own", "size"), "h").alias("f"))
+        .select("host", "n", "f.*"), "host-texts")
+    hosts, at_hosts = written(texts.groupBy("host").agg(
+        F.sum("n").alias("w"), F.count("plain").alias("n"),
+        F.count_if("plain").alias("n_plain")), "host-sizes")
+    total = max(1, hosts.agg(F.sum("n_plain")).head()[0] or 0)
+    counts = (texts.select("host", F.explode(F.arrays_zip("kinds", "keys")).alias("x"))
+              .groupBy("host", F.col("x.kinds").alias("kind"), F.col("x.keys").alias("key"))
+              .agg(F.count(F.lit(1)).alias("c"))
+              .where(F.col("c") >= F.when(F.col("kind") == BLOCK, LEAST_PAGES)
+                     .when(F.col("kind") == SOFT, 2).otherwise(1))
+              .join(hosts.select("host", "n"), "host").where(F.col("c") * ODD_PAGES > F.col("n"))
+              .groupBy("host").agg(F.collect_list(F.struct("kind", "key", "c")).alias("counts")))
+
+    def common(batches):
+        for pdf in batches:
+            found = [_common([(x["kind"], x["key"], x["c"]) for x in (counts if counts is not None else ())],
+                             n, p) for counts, n, p in zip(pdf["counts"], pdf["n"], pdf["n_plain"])]
+            yield pd.DataFrame({
+                "host": pdf["host"], "w": pdf["w"], "n_plain": pdf["n_plain"],
+                "wrapper": [json.dumps(x) for x in found],
+                "plain": (2 * pdf["n_plain"] > pdf["n"]) & (pdf["n"] > 1),
+                "template": [[_long(t) for t in x["template"]] for x in found]})
+    made, at_made = written(hosts.join(counts, "host", "left").mapInPandas(
+        common, "host string, w long, n_plain long, wrapper string, plain boolean, template array<long>"),
+        "host-templates")
+    trees = join_by_weight(texts.where("plain").select("host", "up", "path", "own", "size"),
+                           made.where("plain").select("host", "template", "n_plain"), "host", "n_plain", total)
+    sums = (trees.select("host", "up", "path", "own", "size", "template").mapInArrow(
+        _outside, "host string, path long, up long, has long, top long, whole long, one long, kids long")
+        .groupBy("host", "path").agg(F.min("up").alias("up"), *[
+            F.sum(c).alias(c) for c in ("has", "top", "whole", "one", "kids")])
+        .join(made.select("host", "n_plain"), "host").where(F.col("has") * ODD_PAGES > F.col("n_plain"))
+        .groupBy("host").agg(F.collect_list(F.struct(
+            "path", "up", "top", "has", "whole", "one", "kids")).alias("paths")))
+
+    def regions(batches):
+        for pdf in batches:
+            out = []
+            for raw, plain, n_plain, paths in zip(pdf["wrapper"], pdf["plain"], pdf["n_plain"], pdf["paths"]):
+                if plain:
+                    raw = json.dumps(json.loads(raw) | {
+                        "region": _deepest([dict(r) for r in paths] if paths is not None else [], n_plain)})
+                out.append(raw)
+            yield pd.DataFrame({"host": pdf["host"], "wrapper": out, "w": pdf["w"]})
+    found = written(made.join(sums, "host", "left").select("host", "w", "n_plain", "wrapper", "plain", "paths")
+                    .mapInPandas(regions, "host string, wrapper string, w long"), "wrappers")[0]
+    for path in (at, at_hosts, at_made):
+        drop(pages.sparkSession, path)
+    return found
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
