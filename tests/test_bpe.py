@@ -168,6 +168,40 @@ def test_fold_finds_the_codes_of_each_word(spark):
     assert g == {r["word"]: r["subwords"] for r in bpe.segment_words_fold(w, codes).collect()}
 
 
+def test_fold_codes_by_join_equal_those_by_broadcast(spark, monkeypatch):
+    words = bpe.word_symbols(fixture_lines(spark, 6))
+    codes = bpe.learn_bpe(words, 200)
+    w = words.select("word").union(spark.createDataFrame([(None,), ("",), ("the",)], "word string"))
+    one = bpe.segment_words_fold(w, codes)
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan.split("Scan")[0]      # no row per part of a word
+    monkeypatch.setattr(bpe, "small_enough", lambda made: False)
+    two = bpe.segment_words_fold(w, codes)
+    rows = [Counter((r.word, tuple(r.subwords or ())) for r in x.collect() if r.word) for x in (one, two)]
+    assert rows[0] == rows[1] and one.count() == w.count()
+
+
+def test_numbered_tables_equal_spelled_ones(spark):
+    """Words that merges were made in before, a symbol that spells the end mark, an astral one."""
+    rows = [(["th", "e", "</w>"], 3), (["th", "e", "th", "e", "</w>"], 2), (["a", "a", "a", "</w>"], 5),
+            (["<", "/w>", "</w>"], 4), (["\U0001F600", "th", "e"], 2), (["x"], 7)]
+    words = spark.createDataFrame(rows, "s array<string>, freq long").select(
+        bpe.delimit(F.col("s")).alias("w"), "freq")
+    symbols = bpe.Symbols(["th", "/w>"])
+    numbered = bpe._numbered(words, symbols)
+    key = lambda df: {(r["l"], r["r"]): r["n"] for r in df.collect()}
+    assert key(bpe._named(bpe._numbered_stats(numbered), symbols.names)) == key(bpe.pair_stats(words))
+    symbols.add("the")
+    codes = [("th", "e", 9), ("<", "/w>", 4)]
+    got = bpe.apply_merges(numbered, codes, bpe._sent_pairs(spark, codes, symbols), symbols)
+    state = Counter({w: n for w, n in bpe._spelled(got, symbols.names).collect()})
+    spell = lambda *sy: bpe.OPEN + (bpe.CLOSE + bpe.OPEN).join(sy) + bpe.CLOSE
+    assert state == {spell("the", "</w>"): 3, spell("the", "the", "</w>"): 2, spell("a", "a", "a", "</w>"): 5,
+                     spell("</w>", "</w>"): 4, spell("\U0001F600", "the"): 2}
+    assert [tuple(r)[1:] for r in bpe.learn_bpe(words, 9).orderBy("rank").collect()] == [
+        tuple(r)[1:] for r in bpe.learn_bpe(words, 9, batch=False).orderBy("rank").collect()]
+
+
 def test_a_list_without_a_limit_settles_more_pairs_a_pass(spark, monkeypatch):
     from wordmill import registry
     from wordmill.operators import bpe as ops
