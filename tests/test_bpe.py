@@ -4,6 +4,7 @@ and segmentation properties."""
 import random
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from helpers import SF_SMALL, brute_learn, lines_df
@@ -245,3 +246,66 @@ def test_the_library_segments_as_the_plain_rule(monkeypatch):
     ranks = {("a", "b"): 0, ("ab", "ab"): 1, ("c", "</w>"): 2}     # as learning gives them
     assert bpe.segmenter(ranks)(["ababc", "xc", "abé"]) == [["abab", "c"], ["x", "c"], ["ab", "é"]]
     assert not slow
+
+
+def words_table(spark, words):
+    chars = F.concat(F.split("word", ""), F.array(F.lit(bpe.END_OF_WORD)))
+    return spark.createDataFrame(list(words.items()), "word string, freq long").select(
+        "word", "freq", bpe.delimit(chars).alias("w"))
+
+
+def test_merges_after_the_head_equal_brute_force(spark, monkeypatch):
+    """A list longer than the driver holds: the rest is learned by many tasks, in the same order, and
+    the driver never makes a table of more than the head (and the end mark)."""
+    sent = []
+    literal = bpe.literal_rows
+    monkeypatch.setattr(bpe, "literal_rows", lambda s, rows, schema: (
+        sent.append(len(rows)), literal(s, rows, schema))[1])
+    rng = random.Random(5)
+    words = {"".join(rng.choices("abcdefgh", k=rng.randint(1, 9))): rng.randint(1, 4) for _ in range(60)}
+    want = brute_learn(words, 10**6)
+    assert len(want) > 100
+    for head, limit, room in ((7, 10**6, bpe.RUN_SYMBOLS), (0, 50, 30)):
+        del sent[:]
+        got = bpe.learn_bpe(words_table(spark, words), limit, head=head, run_symbols=room).orderBy("rank").collect()
+        assert [(r["left"], r["right"]) for r in got] == want[:limit]
+        assert [r["rank"] for r in got] == list(range(len(got)))
+        assert all(a["n"] >= b["n"] >= 2 for a, b in zip(got, got[1:]))
+        assert max(sent) <= head + 1
+
+
+def test_symbols_spelled_twice_after_the_head(spark):
+    """The end mark written out in words, and runs of one letter: a merge spells what exists."""
+    words = {"x</w>": 3, "aaaaaaa": 3, "aaab": 2, "baaa": 2, "</w>": 2, "ab</w>x": 2}
+    want = brute_learn(words, 10**6)
+    log: list = []
+    got = bpe.learn_bpe(words_table(spark, words), 10**6, head=0, log=log.append).orderBy("rank").collect()
+    assert [(r["left"], r["right"]) for r in got] == want
+    assert any(left + right == bpe.END_OF_WORD for left, right in want)
+
+
+def test_epoch_ends_where_a_symbol_is_spelled_again(spark):
+    rows = [("a", "b", -5, "a", "b", 0, 10), ("c", "d", -4, "c", "d", 0, 11),
+            ("ab", "c", -4, "ab", "c", 1, 12), ("a", "bc", -3, "a", "bc", 1, 13), ("x", "y", -3, "x", "y", 2, 14)]
+    codes = spark.createDataFrame(rows, "left string, right string, wn long, wl string, wr string, i int, id int")
+    symbols = spark.createDataFrame([(3, "zz")], "id int, name string")
+    kept, again = bpe._until_spelled_again(codes, symbols)
+    assert sorted(r["id"] for r in kept.collect()) == [10, 11, 12, 13] and again == {13: 12}
+    kept, again = bpe._until_spelled_again(codes, spark.createDataFrame([(3, "cd")], "id int, name string"))
+    assert sorted(r["id"] for r in kept.collect()) == [10, 11, 12] and again == {11: 3}
+    kept, again = bpe._until_spelled_again(codes.where("id < 13"), symbols)
+    assert kept.count() == 3 and again == {}
+
+
+def test_runs_that_share_pairs_are_linked():
+    rng = random.Random(1)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)]
+    group = {x: {x} for e in edges for x in e}
+    for a, b in edges:
+        both = group[a] | group[b]
+        for x in both:
+            group[x] = both
+    a, b = (np.array(x, np.int64) * 1000 - 30000 for x in zip(*edges))
+    nodes, least = bpe._linked(a, b)
+    assert dict(zip(nodes.tolist(), least.tolist())) == {
+        x * 1000 - 30000: min(g) * 1000 - 30000 for x, g in group.items()}
